@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from foliospark.llm import mixing, quality
+from foliospark.llm import licenses, mixing, quality, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op4_license_scan": licenses.op4,
+    "op9_token_counts": tokencount.op9,
     "op10_mixing": mixing.op10,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op4_license_scan": licenses.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
