@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from foliospark.llm import licenses, mixing, quality, tokencount
+from foliospark.llm import decontaminate, langid, licenses, mixing, pii, quality, substrings, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_decontamination": decontaminate.op2,
+    "op3_substring_dedup": substrings.op3,
     "op4_license_scan": licenses.op4,
+    "op6_language_id": langid.op6,
+    "op8_pii": pii.op8,
     "op9_token_counts": tokencount.op9,
     "op10_mixing": mixing.op10,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
