@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, langid, licenses, mixing, pii, quality, substrings, tokencount
+from foliospark.llm import chat, decontaminate, langid, licenses, mixing, pii, quality, substrings, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3,
     "op4_license_scan": licenses.op4,
     "op6_language_id": langid.op6,
+    "op7_chat_format": chat.op7,
     "op8_pii": pii.op8,
     "op9_token_counts": tokencount.op9,
     "op10_mixing": mixing.op10,
