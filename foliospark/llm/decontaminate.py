@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import broadcast_if_small, cut, table
 
 #: Edits allowed as a share of an item's length, the shortest item (in normalised characters)
 #: that is looked for, and the characters of items that one pass takes.
@@ -147,10 +147,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item; null ids stay unless their own
-    row can't be told apart, that is, always."""
-    bad = find_items(docs, benchmark, rate).select(F.col("doc_id").alias("held_by")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("held_by"), "left_anti")
+    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns; rows with a
+    null doc_id stay."""
+    bad = cut(find_items(docs, benchmark, rate).select(F.col("doc_id").alias("__held_by")).distinct())
+    return docs.join(broadcast_if_small(bad, 500_000), F.col("doc_id") == F.col("__held_by"), "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

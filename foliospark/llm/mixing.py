@@ -59,6 +59,15 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return sources.select("source", "source_size", target.alias("target"))
 
 
+def _copies(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """``sized`` with source_size, target and copies of its source and row, under those names
+    with two underscores."""
+    rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size")), F.lit(0.0))
+    extra = (unit_hash(seed, F.col("source"), F.col("doc_id")) < rate - F.floor(rate)).cast("long")
+    targets = broadcast_if_small(targets.toDF("__source", "__source_size", "__target"))
+    return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", F.floor(rate) + extra)
+
+
 def mix(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
     """Copies of each document in the mix: doc_id, source, size, source_size, target, copies.
 
@@ -69,12 +78,16 @@ def mix(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
     a rate of 0.
     """
     sized = cut(docs.select("doc_id", "source", long(F.size(words(F.col("text")))).alias("size")))
-    targets = broadcast_if_small(source_targets(sized, **limits).withColumnRenamed("source", "of"))
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    extra = (unit_hash(seed, F.col("source"), F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.floor(rate) + extra).alias("copies")
-    )
+    out = _copies(sized, source_targets(sized, **limits), seed)
+    return out.select("doc_id", "source", "size", *[F.col(f"__{c}").alias(c) for c in ("source_size", "target", "copies")])
+
+
+def emit(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as mix() says, with all its columns and
+    copy, counted from 1 (a column ``copy`` of ``docs`` is replaced)."""
+    sized = cut(docs.select("source", long(F.size(words(F.col("text")))).alias("size")))
+    out = _copies(docs, source_targets(sized, **limits), seed).where("__copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__source", "__source_size", "__target", "__copies")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

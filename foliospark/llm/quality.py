@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import NO_WORD, SPACE, cut, let, long, table, words
+from foliospark.llm.common import NO_WORD, SPACE, broadcast_if_small, cut, let, long, table, words
 
 #: Rules: a share or density of each document and its cutoffs, from loose to strict. A document
 #: breaks a rule if its value is above the cutoff that the holdout allows.
@@ -40,8 +40,8 @@ def _repeated(w: Column) -> Column:
     return F.when(F.size(w) <= WINDOW, F.lit(0)).otherwise(let(windows, counted))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the value of every rule; null text counts as empty.
+def features(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lang, columns asked for, the base counts and the value of every rule; null text counts as empty.
 
     Everything is computed in one pass over the text, without a shuffle.
     """
@@ -63,12 +63,13 @@ def features(docs: DataFrame) -> DataFrame:
     counted = docs.select(
         "doc_id",
         "lang",
+        *more,
         let(words(F.col("text")), counts).alias("c"),
         long(F.length(F.regexp_replace(text, NO_WORD, ""))).alias("word_chars"),
         long(F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))).alias("n_symbols"),
         long(F.length(F.regexp_replace(text, "[^!]+", ""))).alias("n_shouts"),
     )
-    return counted.select("doc_id", "lang", "c.*", "word_chars", "n_symbols", "n_shouts").select(
+    return counted.select("*", "c.*").drop("c").select(
         "*",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "word_chars").alias("symbol_share"),
@@ -167,6 +168,19 @@ def quality(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     return verdicts(feats, fit_cutoffs(feats, labels, **risk))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A key of a row's id, language and text."""
+    return F.xxhash64(docs["doc_id"], docs["lang"], docs["text"])
+
+
+def passed(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
+    """The rows of ``docs`` that quality() keeps, with all columns. Rejected rows are found by a
+    key of id, language and text, so rows that share an id are judged apart."""
+    feats = cut(features(docs, row_key(docs).alias("__key")))
+    bad = cut(verdicts(feats, fit_cutoffs(feats, labels, **risk)).where(~F.col("kept")).select("__key").distinct())
+    return docs.join(broadcast_if_small(bad, 500_000), row_key(docs) == bad["__key"], "left_anti")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
