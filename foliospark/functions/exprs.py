@@ -107,20 +107,22 @@ def split_label(day: Column, label_end: Column, warm: Column, train_end: str, va
     )
 
 
-def freshness(checking: Column, offline: Column, failures: Column, last_success: Column, now: Column, stale_after_hours: int) -> Column:
+def freshness(in_progress: Column, error_class: Column, has_data: Column, last_checked: Column, now: Column, stale_after_hours: int) -> Column:
+    """State of local data; current means a good check inside the interval."""
+    stale = last_checked.isNull() | (last_checked < now - F.expr(f"INTERVAL {stale_after_hours} HOURS"))
     return (
-        F.when(F.coalesce(checking, F.lit(False)), "CHECKING")
-        .when(F.coalesce(offline, F.lit(False)), "OFFLINE")
-        .when((F.coalesce(failures, F.lit(0)) > 0) & last_success.isNull(), "ERROR")
-        .when(last_success.isNull(), "NO_DATA")
-        .when(last_success < now - F.expr(f"INTERVAL {stale_after_hours} HOURS"), "STALE")
+        F.when(F.coalesce(in_progress, F.lit(False)), "CHECKING")
+        .when(error_class == "offline", "OFFLINE")
+        .when(error_class.isNotNull() & (error_class != ""), "ERROR")
+        .when(~F.coalesce(has_data, F.lit(False)), "NO_DATA")
+        .when(stale, "STALE")
         .otherwise("CURRENT")
     )
 
 
 def backoff_seconds(failures: Column) -> Column:
-    """15 minutes doubled with every failure after the first, six hours at most; 0 without any."""
-    return F.when(failures <= 0, 0).otherwise(F.least(F.lit(21600.0), 900 * F.pow(F.lit(2.0), failures - 1))).cast("long")
+    """15 minutes, doubled with every failure after the first, six hours at most."""
+    return F.least(F.lit(21600.0), 900 * F.pow(F.lit(2.0), F.greatest(failures, F.lit(1)) - 1)).cast("long")
 
 
 def content_hash(payload: Column) -> Column:

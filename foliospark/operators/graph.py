@@ -67,7 +67,7 @@ def overlap_pairs(held: DataFrame, min_shared: int = 1, salts: int = 16) -> Data
     v = F.coalesce("w", F.lit(0.0))
     facts = vec.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(v, F.lit(0.0))).alias("negative"), F.sum(v * v).alias("square"), F.min(v).alias("least"))
     left = vec.select("as_of", F.col("etf_node_id").alias("left_etf"), "security_node_id", v.alias("a"), F.pmod(F.xxhash64("etf_node_id"), F.lit(salts)).alias("salt"))
-    right = vec.select("as_of", F.col("etf_node_id").alias("right_etf"), "security_node_id", v.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+    right = vec.select("as_of", F.col("etf_node_id").alias("right_etf"), "security_node_id", v.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     a, b = F.col("a"), F.col("b")
     met = left.join(right, ["as_of", "security_node_id", "salt"]).where("left_etf < right_etf")
     sums = met.groupBy("as_of", "left_etf", "right_etf").agg(

@@ -149,3 +149,164 @@ LEFT JOIN pairs p ON p.fund_id = c.fund_id AND p.to_date = c.snapshot_date LEFT
 LEFT JOIN conc a ON a.fund_id = p.fund_id AND a.snapshot_date = p.from_date""", "top_10_weight hhi holdings_distance top_10_delta", 7),
     "holdings_timeline": TL + rnd("SELECT * FROM tl", TL_COLS, 7),
 }
+
+BARS = """
+b AS (SELECT o_orderstatus AS instrument_id, CAST(o_orderdate AS DATE) AS trading_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+             min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY ALL)"""
+
+
+def fall(path: str) -> str:
+    """Largest fall of a list: over every place, from the largest value up to it."""
+    return f"list_max(list_transform(range(1, len({path}) + 1), lambda j: (list_max({path}[1:j]) - {path}[j]) / list_max({path}[1:j])))"
+
+
+def full(agg: str, of: str, n: int) -> str:
+    frame = f"OVER (PARTITION BY instrument_id ORDER BY trading_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({of}) {frame} = {n} THEN {agg}({of}) {frame} END"
+
+
+_ret = lambda n: f"close / lag(close, {n}) OVER w - 1"
+FEATURES = f"""
+f1 AS (SELECT *, {", ".join(f"{_ret(n)} AS return_{n}d" for n in (1, 5, 20, 60))}, ln(close) - ln(lag(close) OVER w) AS log_return_1d,
+  {", ".join(f"{_ret(n)} AS momentum_{n}d" for n in (20, 60, 120))}, (high - low) / close AS high_low_range, (close - open) / open AS close_open_range,
+  volume / lag(volume) OVER w - 1 AS volume_change FROM b WINDOW w AS (PARTITION BY instrument_id ORDER BY trading_date)),
+f2 AS (SELECT *, {", ".join(f"{full('stddev_samp', 'log_return_1d', n)} * sqrt(252) AS realized_vol_{n}d" for n in (5, 20, 60))},
+  {", ".join(f"(volume - {full('avg', 'volume', n)}) / nullif(round({full('stddev_samp', 'volume', n)}, 10), 0) AS volume_zscore_{n}d" for n in (20, 60))},
+  1 - close / max(close) OVER (PARTITION BY instrument_id ORDER BY trading_date) AS rolling_drawdown,
+  {", ".join(f"{full('list', 'close', n)} AS path_{n}" for n in (20, 60))},
+  CASE WHEN count(close) OVER a = 20 THEN list(close) OVER (PARTITION BY instrument_id ORDER BY trading_date ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING) END AS path_ahead,
+  CASE WHEN count(close) OVER a = 20 THEN stddev_samp(log_return_1d) OVER a * sqrt(252) END AS forward_realized_vol_20d,
+  CASE WHEN count(close) OVER a = 20 THEN max(trading_date) OVER a END AS label_end_date
+  FROM f1 WINDOW a AS (PARTITION BY instrument_id ORDER BY trading_date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+mf AS (SELECT * EXCLUDE (path_20, path_60, path_ahead), {fall("path_20")} AS rolling_max_drawdown_20d, {fall("path_60")} AS rolling_max_drawdown_60d, {fall("path_ahead")} AS forward_max_drawdown_20d FROM f2)"""
+F_NAMES = (
+    "return_1d return_5d return_20d return_60d log_return_1d momentum_20d momentum_60d momentum_120d high_low_range close_open_range volume_change "
+    "realized_vol_5d realized_vol_20d realized_vol_60d volume_zscore_20d volume_zscore_60d rolling_drawdown rolling_max_drawdown_20d rolling_max_drawdown_60d"
+)
+FUNDS = "fu AS (SELECT * FROM (VALUES ('F', 'F00'), ('O', 'F01'), ('P', 'F02')) AS v(instrument_id, fund_id))"
+ASOF = """
+tl1 AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY fund_id, available_from ORDER BY report_date DESC, accession DESC) = 1),
+rk AS (
+  SELECT m.*, t.* EXCLUDE (fund_id) FROM (SELECT mf.*, fu.fund_id FROM mf JOIN fu USING (instrument_id)) m
+  ASOF LEFT JOIN tl1 t ON m.fund_id = t.fund_id AND m.trading_date >= t.available_from),
+rs AS (SELECT *, CASE WHEN momentum_120d IS NULL THEN 'warmup' WHEN label_end_date IS NULL THEN 'no_target'
+  WHEN trading_date <= DATE '1999-12-31' THEN CASE WHEN label_end_date > DATE '1999-12-31' THEN 'purged_train' ELSE 'train' END
+  WHEN trading_date <= DATE '2000-12-31' THEN CASE WHEN label_end_date > DATE '2000-12-31' THEN 'purged_validation' ELSE 'validation' END ELSE 'test' END AS split FROM rk)"""
+MARKET = with_(BARS, FEATURES)
+RISK = with_(RAW, CONC, FILINGS, HELD_W, TIMELINE, dist("td", "hw", "tp"), TIMELINE_ROWS, BARS, FEATURES, FUNDS, ASOF)
+EDGES = """
+ch0 AS (SELECT * FROM f WHERE filed_at <= DATE '2000-01-15' QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY filed_at DESC, report_date DESC, accession DESC) = 1),
+e AS (SELECT DATE '2000-01-15' AS as_of, h.fund_id AS etf_node_id, security_id AS security_node_id, coalesce(portfolio_weight, 0) AS portfolio_weight,
+             CAST(portfolio_weight IS NULL AS BIGINT) AS missing_weights, security_ticker, security_name, country, snapshot_date AS report_date, filed_at AS available_from, accession
+      FROM h JOIN ch0 ON h.fund_id = ch0.fund_id AND h.snapshot_date = ch0.report_date)"""
+GRAPH = with_(RAW, FILINGS, EDGES)
+TICKS = """
+tk AS (SELECT 'price' AS type, event_id AS sequence, event_id + (event_id * 7) % 5 AS arrival, copy, epoch_us(ts) * 1000 AS sent, epoch_us(ts) * 1000 + (event_id * 7919) % 100003 - 50 AS decoded,
+              user_id % 64 AS instrument_id, CAST(round(value * 100) AS BIGINT) AS price_ticks, 'cusip:P' || lpad(CAST(user_id % 64 AS VARCHAR), 8, '0') AS security_node_id
+       FROM events, (VALUES (0), (1)) AS v(copy) WHERE copy = 0 OR event_id % 97 = 0)"""
+SHOCKS = """
+sh AS (
+  SELECT 'scenario-' || CAST(n % 7 AS VARCHAR) AS scenario_id, CAST(n * 10 AS INTEGER) AS ord, key, -0.05 * (n % 7 + 1) AS shock FROM (SELECT DISTINCT security_node_id AS key, CAST(substr(security_node_id, 8) AS INTEGER) AS n FROM e)
+  UNION ALL SELECT 'scenario-' || CAST(k AS VARCHAR), ord, key, shock FROM range(7) AS r(k), (VALUES (5001, 't100', -0.2), (5002, 'T7', -0.3), (5003, 'T9999', -0.4)) AS v(ord, key, shock)),
+sr AS (
+  SELECT s.*, CASE WHEN d.key IS NOT NULL OR n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unknown' END AS status,
+         CASE WHEN d.key IS NOT NULL THEN s.key WHEN n = 1 THEN one END AS security_node_id
+  FROM sh s LEFT JOIN (SELECT DISTINCT security_node_id AS key FROM e) d ON d.key = s.key
+  LEFT JOIN (SELECT upper(security_ticker) AS t, count(DISTINCT security_node_id) AS n, min(security_node_id) AS one FROM e GROUP BY 1) t ON t.t = upper(s.key))"""
+BINARY = "bn AS (SELECT instrument_id, trading_date, CAST(forward_max_drawdown_20d >= 0.97 AS INTEGER) AS y, round(rolling_max_drawdown_20d, 9) AS score FROM mf WHERE forward_max_drawdown_20d IS NOT NULL AND rolling_max_drawdown_20d IS NOT NULL)"
+SCAN = (
+    ("private key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("forge token", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})\b"),
+    ("cloud access key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
+    ("service token", r"\b(?:sk-(?:proj-)?[A-Za-z0-9_-]{24,}|xox[baprs]-[A-Za-z0-9-]{20,})\b"),
+    ("credential assignment", r"""(?i)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|secret)["'']?\s*[:=]\s*["''][A-Za-z0-9_+/.-]{20,}["'']"""),
+    ("environment credential", r"(?i)^[A-Z_]*(?:API_KEY|ACCESS_TOKEN|CLIENT_SECRET|PASSWORD)\s*=\s*[A-Za-z0-9_+/.-]{20,}\s*$"),
+    ("personal Linux path", r"/home/[A-Za-z0-9_.-]+/"),
+)
+
+ORACLES |= {
+    "market_features": MARKET + rnd(f"SELECT instrument_id, trading_date, open, high, low, close, volume, {F_NAMES.replace(" ", ", ")} FROM mf", F_NAMES, 6),
+    "forward_targets": MARKET + rnd("SELECT instrument_id, trading_date, forward_realized_vol_20d, forward_max_drawdown_20d, label_end_date, forward_max_drawdown_20d >= 0.97 AS tail_event_20d FROM mf", "forward_realized_vol_20d forward_max_drawdown_20d", 7),
+    "asof_holdings": RISK + rnd("""SELECT fund_id, trading_date, accession, report_date, available_from, superseded_by, holding_count, CAST(trading_date - report_date AS INTEGER) AS days_since_holdings_report_date,
+  CAST(trading_date - available_from AS INTEGER) AS days_since_holdings_publication, hhi FROM rs""", "hhi", 7),
+    "risk_dataset": RISK + rnd("SELECT fund_id, instrument_id, trading_date, momentum_120d, realized_vol_60d, label_end_date, accession, holdings_drift, split FROM rs", "momentum_120d realized_vol_60d holdings_drift", 7),
+    "split_counts": RISK + "SELECT fund_id, split, count(*) AS row_count FROM rs GROUP BY ALL",
+    "dataset_profile": RISK + "SELECT fund_id, count(*) AS row_count, count(return_1d) AS market_rows, count(holding_count) AS holdings_rows, min(trading_date) AS first_date, max(trading_date) AS last_date, count(DISTINCT accession) AS filings_used, " + ", ".join(f"count(*) FILTER (split = '{p}') AS {p}_rows" for p in ("train", "validation", "test", "purged_train", "purged_validation", "warmup", "no_target")) + " FROM rs GROUP BY fund_id",
+    "first_use": RISK + "SELECT t.fund_id, t.accession, t.available_from, min(r.trading_date) AS first_session FROM tl t LEFT JOIN rs r ON r.accession = t.accession WHERE t.fund_id IN ('F00', 'F01', 'F02') GROUP BY ALL",
+    "leak_gate": RISK + "SELECT fund_id, count(*) AS row_count, count(*) FILTER (holding_count IS NOT NULL AND available_from > trading_date) AS leaked FROM rs GROUP BY fund_id",
+    "provider_comparison": with_(BARS, """
+b2 AS (SELECT instrument_id, trading_date, volume, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0),
+j AS (SELECT coalesce(l.instrument_id, r.instrument_id) AS instrument_id, coalesce(l.trading_date, r.trading_date) AS trading_date, l.close AS a, r.close AS c, abs(l.close - r.close) AS gap, abs(l.volume - r.volume) AS vol
+      FROM b l FULL JOIN b2 r ON l.instrument_id = r.instrument_id AND l.trading_date = r.trading_date)""")
+    + rnd("""SELECT instrument_id, count(gap) AS common_sessions, count(*) FILTER (c IS NULL) AS missing_on_right, count(*) FILTER (a IS NULL) AS missing_on_left, median(gap) AS median_absolute, max(gap) AS max_absolute,
+  median(gap / a) AS median_relative, max(gap / a) AS max_relative, max(vol) AS max_volume, min(trading_date) FILTER (gap IS NOT NULL) AS overlap_start, max(trading_date) FILTER (gap IS NOT NULL) AS overlap_end FROM j GROUP BY ALL""", "median_absolute max_absolute median_relative max_relative max_volume", 4),
+    "bars_upsert": with_(BARS, """
+b2 AS (SELECT instrument_id, trading_date, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0 AND day(trading_date) > 10),
+m AS (SELECT instrument_id, trading_date, close, 'two' AS provider FROM b2 UNION ALL SELECT instrument_id, trading_date, close, 'one' FROM b WHERE day(trading_date) <= 20 AND (instrument_id, trading_date) NOT IN (SELECT (instrument_id, trading_date) FROM b2))""")
+    + rnd("SELECT instrument_id, provider, count(*) AS bars, min(trading_date) AS first_date, max(trading_date) AS last_date, sum(close) AS closes FROM m GROUP BY ALL", "closes", 4),
+    "graph_edges": GRAPH + rnd("SELECT * FROM e", "portfolio_weight"),
+    "graph_nodes": GRAPH + """SELECT as_of, etf_node_id AS node_id, max(report_date) AS report_date, max(available_from) AS available_from, max(accession) AS accession, 'ETF' AS node_type, NULL::VARCHAR AS ticker, NULL::VARCHAR AS name, NULL::VARCHAR AS country FROM e GROUP BY ALL
+UNION ALL SELECT as_of, security_node_id, NULL, NULL, NULL, 'SECURITY', min(security_ticker), min(security_name), min(country) FROM e GROUP BY as_of, security_node_id""",
+    "node_index": GRAPH + "SELECT DISTINCT security_node_id AS node_id, dense_rank() OVER (ORDER BY security_node_id) - 1 AS \"index\" FROM e",
+    "overlap_pairs": with_(RAW, FILINGS, EDGES, """
+fs AS (SELECT DISTINCT as_of, etf_node_id AS x FROM e),
+fx AS (SELECT a.as_of, a.x AS l, b.x AS r FROM fs a JOIN fs b ON a.x < b.x),
+un AS (SELECT as_of, l, r, security_node_id AS s FROM fx JOIN e USING (as_of) WHERE etf_node_id IN (l, r) GROUP BY ALL),
+al AS (SELECT u.*, a.etf_node_id IS NOT NULL AND b.etf_node_id IS NOT NULL AS shared, coalesce(a.portfolio_weight, 0) AS x, coalesce(b.portfolio_weight, 0) AS y
+       FROM un u LEFT JOIN e a ON a.etf_node_id = l AND a.security_node_id = s LEFT JOIN e b ON b.etf_node_id = r AND b.security_node_id = s)""")
+    + rnd("""SELECT as_of, l AS left_etf, r AS right_etf, count(*) FILTER (shared) AS shared_holding_count, count(*) FILTER (shared) / count(*) AS jaccard, sum(least(x, y)) AS weighted_overlap,
+  min(x) >= 0 AND min(y) >= 0 AS weighted_overlap_is_long_only, sum(x * y) / nullif(sqrt(sum(x * x)) * sqrt(sum(y * y)), 0) AS cosine_similarity FROM al GROUP BY ALL HAVING count(*) FILTER (shared) >= 1""", "jaccard weighted_overlap cosine_similarity"),
+    "crowding": GRAPH + rnd("""SELECT as_of, security_node_id, count(DISTINCT etf_node_id) AS etf_count, sum(portfolio_weight) AS total_reported_weight, avg(portfolio_weight) AS average_holding_weight, max(portfolio_weight) AS maximum_holding_weight,
+  min(security_ticker) AS security_ticker, min(security_name) AS security_name, (SELECT count(DISTINCT etf_node_id) FROM e) AS universe_etf_count FROM e GROUP BY as_of, security_node_id""", "total_reported_weight average_holding_weight maximum_holding_weight"),
+    "fund_degree": GRAPH + rnd("SELECT as_of, etf_node_id, count(*) AS holding_count, sum(portfolio_weight) AS weight_sum, sum(abs(portfolio_weight)) AS absolute_weighted_degree FROM e GROUP BY ALL", "weight_sum absolute_weighted_degree"),
+    "graph_quality": GRAPH + "SELECT as_of, count(*) AS edges, count(*) AS cusip_edges, 0::BIGINT AS isin_edges, 0::BIGINT AS ticker_edges, 0::BIGINT AS name_edges, count(*) FILTER (portfolio_weight < 0) AS negative_edges, count(*) FILTER (missing_weights > 0) AS missing_weight_edges, count(DISTINCT etf_node_id) AS funds, count(DISTINCT security_node_id) AS securities FROM e GROUP BY as_of",
+    "hash_split": GRAPH + """SELECT etf_node_id, security_node_id, CASE WHEN k < 7 THEN 'train' WHEN k < 9 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, CAST('0x' || substr(sha256('7:' || etf_node_id || ':' || security_node_id), 1, 2) AS INTEGER) % 10 AS k FROM e)""",
+    "shock_resolution": with_(RAW, FILINGS, EDGES, SHOCKS) + rnd("SELECT * FROM sr", "shock"),
+    "shock_impacts": with_(RAW, FILINGS, EDGES, SHOCKS, "ef AS (SELECT scenario_id, security_node_id, arg_max(shock, ord) AS shock FROM sr WHERE status = 'resolved' GROUP BY ALL)")
+    + rnd("""SELECT scenario_id, etf_node_id, coalesce(sum(portfolio_weight * shock) FILTER (missing_weights = 0), 0) AS direct_shock, coalesce(sum(portfolio_weight) FILTER (missing_weights = 0 AND shock IS NOT NULL), 0) AS covered_weight,
+  coalesce(sum(portfolio_weight) FILTER (missing_weights = 0), 0) AS weight_sum, count(*) FILTER (missing_weights > 0 AND shock IS NOT NULL) AS missing_weight_count
+FROM (SELECT DISTINCT scenario_id FROM sh) s CROSS JOIN e LEFT JOIN ef USING (scenario_id, security_node_id) GROUP BY ALL""", "direct_shock covered_weight weight_sum"),
+    "shock_replay": with_(RAW, FILINGS, EDGES, TICKS) + rnd("SELECT sequence, t.security_node_id, count(e.etf_node_id) AS funds, coalesce(sum(e.portfolio_weight * (sequence % 201 - 100) * 0.0001), 0) AS impact FROM tk t LEFT JOIN e USING (security_node_id) WHERE copy = 0 GROUP BY ALL", "impact"),
+    "universe_resolution": """WITH c AS (SELECT upper(n_name) AS ticker, CAST(s_nationkey AS VARCHAR) AS cik, 'S' || CAST(CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey % 2 ELSE 0 END AS VARCHAR) AS series FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 < 3),
+n AS (SELECT ticker, count(DISTINCT (cik, series)) AS k, min(cik) AS cik, min(series) AS series FROM c GROUP BY 1)
+SELECT upper(n_name) AS ticker, 'R' || CAST(n_regionkey AS VARCHAR) AS category, CASE WHEN k IS NULL THEN 'unresolved' WHEN k = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
+  CASE WHEN k = 1 THEN lpad(n.cik, 10, '0') END AS cik, CASE WHEN k = 1 THEN series END AS series_id, CASE WHEN k = 1 THEN 'C1' END AS class_id, CASE WHEN k = 1 THEN 'Fund' END AS fund_name
+FROM nation LEFT JOIN n ON n.ticker = upper(n_name) WHERE n_nationkey % 6 <> 5""",
+    "ingest_antijoin": with_(RAW, FILINGS) + "SELECT accession, fund_id, filed_at FROM f WHERE day(filed_at) % 2 <> 0",
+    "newest_n": with_(RAW, FILINGS) + "SELECT fund_id, accession, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY report_date DESC, accession DESC) AS nth FROM f) WHERE nth <= 3",
+    "weight_gate": with_(RAW) + rnd("SELECT *, CASE WHEN weight_sum IS NULL THEN 'no_weights' WHEN weight_sum < 0 OR weight_sum > 5 THEN 'reject' WHEN weight_sum < 0.5 OR weight_sum > 1.5 THEN 'warn' ELSE 'ok' END AS status FROM (SELECT fund_id, snapshot_date, sum(portfolio_weight) AS weight_sum FROM h GROUP BY ALL)", "weight_sum"),
+    "coverage_profile": with_(RAW) + " UNION ALL ".join(f"SELECT 'filled:{c}' AS item, count({c}) AS n FROM h" for c in ("security_id", "security_name", "sector", "market_value", "portfolio_weight")) + " UNION ALL SELECT 'key:cusip', count(*) FROM h",
+    "audit_top": with_(RAW) + "SELECT true AS weight_ok, true AS value_ok, count(*) AS n FROM (SELECT 1 FROM h QUALIFY row_number() OVER (PARTITION BY fund_id, snapshot_date ORDER BY portfolio_weight DESC NULLS LAST) <= 10)",
+    "cusip_check": """SELECT p_partkey, cusip, (10 - s % 10) % 10 = CAST(cusip[9] AS INTEGER) AS valid FROM (
+  SELECT *, list_sum(list_transform(range(1, 9), lambda i: CAST(floor(CAST(cusip[i] AS INTEGER) * (2 - i % 2) / 10) + CAST(cusip[i] AS INTEGER) * (2 - i % 2) % 10 AS INTEGER))) AS s
+  FROM (SELECT p_partkey, lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS cusip FROM part))""",
+    "freshness": """SELECT 'feed' AS provider, CAST(u AS VARCHAR) AS entity_id,
+  CASE WHEN u % 11 = 0 THEN 'CHECKING' WHEN u % 7 = 0 THEN 'OFFLINE' WHEN u % 5 = 0 THEN 'ERROR' WHEN u % 13 = 0 THEN 'NO_DATA' WHEN TIMESTAMP '2024-01-31' - t > INTERVAL 6 HOURS THEN 'STALE' ELSE 'CURRENT' END AS status,
+  CAST(least(21600, 900 * pow(2, greatest(fails, 1) - 1)) AS BIGINT) AS delay_seconds, fails = 0 OR epoch(TIMESTAMP '2024-01-31' - t) >= least(21600, 900 * pow(2, greatest(fails, 1) - 1)) AS due
+FROM (SELECT user_id % 50 AS u, max(ts) AS t, count(*) FILTER (event_type = 'error') % 8 AS fails FROM events GROUP BY 1)""",
+    "price_exposure": with_(RAW, FILINGS, EDGES, TICKS, "sr AS (SELECT security_node_id, arg_max(price_ticks, sequence) / arg_min(price_ticks, sequence) - 1 AS r, count(*) AS updates FROM tk WHERE price_ticks > 0 GROUP BY 1)")
+    + rnd("SELECT etf_node_id, sum(portfolio_weight * r) AS impact, count(*) AS links, CAST(sum(updates) AS BIGINT) AS updates FROM e JOIN sr USING (security_node_id) GROUP BY 1", "impact"),
+    "sequence_accounting": with_(TICKS, "sq AS (SELECT *, coalesce(max(sequence) OVER (ORDER BY arrival, sequence, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS high FROM tk)") + "SELECT type, count(*) AS observations, CAST(sum(greatest(sequence - high - 1, 0)) AS BIGINT) AS gaps, count(*) FILTER (sequence = high) AS duplicates, count(*) FILTER (sequence < high) AS out_of_order FROM sq GROUP BY type",
+    "latency_histogram": with_(TICKS, """
+v AS (SELECT decoded - sent AS ns FROM tk WHERE decoded >= sent),
+x AS (SELECT ns, CAST(CASE WHEN ns < 1024 THEN ns ELSE pow(2, floor(log2(ns))) + (floor((ns - pow(2, floor(log2(ns)))) / pow(2, floor(log2(ns)) - 4)) + 1) * pow(2, floor(log2(ns)) - 4) - 1 END AS BIGINT) AS top, row_number() OVER (ORDER BY ns) AS rk, count(*) OVER () AS total, max(ns) OVER () AS most FROM v)""")
+    + "SELECT 'transport' AS stage, CAST(p AS DOUBLE) AS percent, CASE WHEN greatest(1, ceil(total * p / 100)) >= total THEN most ELSE least(top, most) END AS ns, total AS samples FROM x, (VALUES (50.0::DOUBLE), (90.0), (95.0), (99.0), (99.9)) AS q(p) WHERE rk = greatest(1, ceil(total * p / 100))",
+    "feed_counters": with_(TICKS) + "SELECT type, count(*) AS messages FROM tk GROUP BY type",
+    "neighbours": rnd("""SELECT query_id, id, cosine, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rk FROM (
+  SELECT q.vec_id AS query_id, v.vec_id AS id, coalesce(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 0) AS cosine FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)) WHERE rk <= 5""", "cosine"),
+    "naive_scores": MARKET + rnd("""SELECT instrument_id, count(*) AS n, avg(abs(y - x)) AS mae, sqrt(avg((y - x) * (y - x))) AS rmse, 1 - sum((y - x) * (y - x)) / nullif(sum((y - m) * (y - m)), 0) AS r2
+FROM (SELECT instrument_id, forward_realized_vol_20d AS y, realized_vol_20d AS x, avg(forward_realized_vol_20d) OVER (PARTITION BY instrument_id) AS m FROM mf WHERE forward_realized_vol_20d IS NOT NULL AND realized_vol_20d IS NOT NULL) GROUP BY 1""", "mae rmse r2", 7),
+    "roc_auc": with_(BARS, FEATURES, BINARY) + rnd("""SELECT instrument_id, (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*) FROM bn p JOIN bn n ON p.instrument_id = n.instrument_id AND p.y = 1 AND n.y = 0 WHERE p.instrument_id = b0.instrument_id) AS roc_auc,
+  CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives FROM bn b0 GROUP BY 1""", "roc_auc"),
+    "average_precision": with_(BARS, FEATURES, BINARY) + rnd("""SELECT instrument_id, sum(CASE WHEN y = 1 THEN hits / rk END) / nullif(sum(y), 0) AS average_precision
+FROM (SELECT *, row_number() OVER o AS rk, sum(y) OVER o AS hits FROM bn WINDOW o AS (PARTITION BY instrument_id ORDER BY score DESC, trading_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1""", "average_precision"),
+    "classification_scores": with_(BARS, FEATURES, BINARY) + rnd("""SELECT instrument_id, avg(y) AS prevalence, avg((score - y) * (score - y)) AS brier, coalesce(count(*) FILTER (score >= 0.95 AND y = 1) / nullif(count(*) FILTER (score >= 0.95), 0), 0) AS "precision",
+  coalesce(count(*) FILTER (score >= 0.95 AND y = 1) / nullif(sum(y), 0), 0) AS recall FROM bn GROUP BY 1""", 'prevalence brier "precision" recall'),
+    "tail_counts": RISK + """SELECT *, min(positives) OVER () >= 15 AND count(*) OVER () = 3 AS usable FROM (
+  SELECT split, count(*) AS labelled, count(*) FILTER (forward_max_drawdown_20d >= 0.97) AS positives FROM rs WHERE split IN ('train', 'validation', 'test') AND forward_max_drawdown_20d IS NOT NULL GROUP BY split)""",
+    "missingness": MARKET + rnd(" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS INTEGER)) AS missing FROM mf" for c in F_NAMES.split()), "missing"),
+    "secret_scan": "WITH l AS (SELECT doc_id AS id, unnest(string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x{85}\\x{2028}\\x{2029}]'), 1) AS nr FROM documents)\n"
+    + " UNION ALL ".join(f"SELECT id, CAST(nr AS INTEGER) AS line, '{reason}' AS reason FROM l WHERE regexp_matches(line, '{p}')" for reason, p in SCAN)
+    + r""" UNION ALL SELECT id, CAST(nr AS INTEGER), 'email address' FROM l WHERE len(list_filter(regexp_extract_all(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), lambda m: NOT regexp_matches(lower(m), '@(?:example\.(?:com|net|org)|[a-z0-9.-]+\.invalid)$'))) > 0""",
+}
