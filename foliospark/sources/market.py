@@ -33,6 +33,20 @@ def _items(vendor: str, body: Column) -> Column:
     return F.from_json(F.get_json_object(body, f"$.{where}"), "array<map<string,string>>")
 
 
+def _reader(vendor: str):
+    """A function from an item's string map to the bar it stands for, with nulls for bad fields."""
+    fields = VENDORS[vendor][1]
+    get = lambda m, f: F.try_element_at(m, F.lit(fields[f]))
+    divisor = {"massive": 1000, "yahoo": 1}.get(vendor)
+
+    def bar(m: Column) -> Column:
+        text = get(m, "date")
+        day = F.to_date(F.timestamp_seconds((text.try_cast("long") / divisor).cast("long"))) if divisor else F.substring(text, 1, 10).try_cast("date")
+        return F.struct(day.alias("trading_date"), *[get(m, f).try_cast("double").alias(f) for f in ("open", "high", "low", "close", "volume")])
+
+    return bar
+
+
 def bars_from_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bars, status) of payload rows (provider, instrument_id, status_code, body, downloaded_at).
 
@@ -41,17 +55,8 @@ def bars_from_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     rate_limit, rejected, server, error or ok.
     """
     parts = None
-    for vendor, (_, fields) in VENDORS.items():
-        one = payloads.where(F.col("provider") == vendor)
-        get = lambda m, f, fields=fields: F.try_element_at(m, F.lit(fields[f]))
-        stamp = vendor in ("massive", "yahoo")
-        seconds = 1000 if vendor == "massive" else 1
-
-        def bar(m: Column, get=get, stamp=stamp, seconds=seconds) -> Column:
-            day = F.to_date(F.timestamp_seconds((get(m, "date").try_cast("long") / seconds).cast("long"))) if stamp else F.substring(get(m, "date"), 1, 10).try_cast("date")
-            return F.struct(day.alias("trading_date"), *[get(m, f).try_cast("double").alias(f) for f in ("open", "high", "low", "close", "volume")])
-
-        rows = one.withColumn("items", F.transform(_items(vendor, F.col("body")), bar))
+    for vendor in VENDORS:
+        rows = payloads.where(F.col("provider") == vendor).withColumn("items", F.transform(_items(vendor, F.col("body")), _reader(vendor)))
         parts = rows if parts is None else parts.unionByName(rows)
     code = F.col("status_code")
     good = lambda b: b["trading_date"].isNotNull() & b["open"].isNotNull() & b["high"].isNotNull() & b["low"].isNotNull() & b["close"].isNotNull() & (b["high"] >= b["low"]) & (b["open"] >= 0) & (b["close"] >= 0)
