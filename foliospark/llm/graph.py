@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import cut
 
 
-def _smallest(edges: DataFrame, and_self: bool) -> DataFrame:
-    own = F.least(F.min("v"), F.col("u")) if and_self else F.min("v")
-    return edges.groupBy("u").agg(own.alias("m")).withColumnRenamed("u", "of")
+def _smallest(edges: DataFrame) -> DataFrame:
+    """Of each u (``of``), the smallest of it and its neighbours."""
+    return edges.groupBy(F.col("u").alias("of")).agg(F.min(F.least("u", "v")).alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     sign = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(_smallest(both, True))
+        least = _smallest(both)
         large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
-        least = cut(_smallest(large, True))
+        least = _smallest(large)
         joined = large.join(least, F.col("u") == F.col("of"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         pairs = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
