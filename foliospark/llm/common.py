@@ -41,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches at 1,000 rows if they still have Spark's 10,000:
+    texts run to a million characters, and a task holds a batch several times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "1000")
+    return df
+
+
 def words(text: Column) -> Column:
     """Words of a text: runs of anything but ASCII white space. Null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")

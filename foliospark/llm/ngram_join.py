@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import sigtree
-from foliospark.llm.common import broadcast_if_small, cut, table
+from foliospark.llm.common import broadcast_if_small, cut, small_batches, table
 from foliospark.llm.graph import components
 from foliospark.llm.shingles import fingerprint, mix, shingle_sets
 
@@ -34,6 +34,8 @@ LIST = 1024
 SETS = 64
 #: Tokens counted together when frequent ones are looked for.
 TOGETHER = 1 << 22
+#: Fingerprints that a task remembers to leave out equal sets.
+SEEN = 500_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -71,12 +73,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _postings(docs: DataFrame, tokens: np.ndarray, lists: np.ndarray) -> DataFrame:
-    """(token, part, doc_id) of every prefix token, once a batch for equal sets. A frequent token's
+    """(token, part, doc_id) of every prefix token, about once a task for equal sets. A frequent token's
     postings are dealt to its number of lists, counted from 0; others have part -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
+            if len(seen) > SEEN:
+                seen.clear()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for doc_id, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
                 key = fingerprint(own)
@@ -231,34 +235,32 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
-def _meeting_pairs(most: int):
-    """Candidate pairs (u, v) of each meeting (meeting, side, doc_id, class, n, bits): all that the
-    traversal leaves, or ``most`` of each two classes."""
+def _meeting_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (u, v, cu, cv) of all meetings (meeting, side, doc_id, class, n, bits) of a
+    task, each once, with their classes."""
+    held: list[np.ndarray] = []
+    size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 1):
-            meeting, side, ids, klass, n = (rows.column(k).to_numpy() for k in range(5))
-            bits = _lists_of(rows.column(5))
-            edge = _bounds([meeting])
-            us, vs = [], []
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own = klass[lo:hi]
-                classes = np.unique(own, return_inverse=True)[1]
-                part = side[lo:hi] > 0
-                i, j = sigtree.candidates(bits[lo:hi], n[lo:hi], classes, part if part.any() else None)
-                if most and len(i):
-                    pair = np.minimum(classes[i], classes[j]) * len(classes) + np.maximum(classes[i], classes[j])
-                    order = np.argsort(pair, kind="stable")
-                    place = np.arange(len(order)) - np.repeat(*(lambda s: (np.concatenate(([0], np.cumsum(s)[:-1])), s))(np.unique(pair, return_counts=True)[1]))
-                    keep = order[place < most]
-                    i, j = i[keep], j[keep]
-                us.append(ids[lo:hi][i])
-                vs.append(ids[lo:hi][j])
-            u, v = np.concatenate(us), np.concatenate(vs)
-            pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-    return run
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.empty((4, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["u", "v", "cu", "cv"])
+
+    for rows in _runs(batches, 1):
+        meeting, side, ids, klass, n = (rows.column(k).to_numpy() for k in range(5))
+        bits = _lists_of(rows.column(5))
+        edge = _bounds([meeting])
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            own = klass[lo:hi]
+            part = side[lo:hi] > 0
+            i, j = sigtree.candidates(bits[lo:hi], n[lo:hi], np.unique(own, return_inverse=True)[1], part if part.any() else None)
+            u, v, cu, cv = ids[lo:hi][i], ids[lo:hi][j], own[i], own[j]
+            swap = u > v
+            held.append(np.stack((np.where(swap, v, u), np.where(swap, u, v), np.where(swap, cv, cu), np.where(swap, cu, cv))))
+            size += len(i)
+        if size > 500_000:
+            yield flush()
+            held, size = [], 0
+    yield flush()
 
 
 def _clusters(lists: DataFrame) -> DataFrame:
@@ -276,31 +278,37 @@ def _clusters(lists: DataFrame) -> DataFrame:
 
 
 def _meetings(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """(meeting, side, doc_id, class) of lists whose sets are in two groups or more.
+    """(meeting, side, doc_id, class) that bring together all sets of different groups that share
+    a prefix token.
 
-    The lists of one frequent token are one meeting too large for a task: sets outside its largest
-    group, in lists of LIST, meet each of its lists.
+    Lists of rare tokens with the same first set are one meeting, the union of their sets. Of
+    frequent tokens whose largest group is the same, the sets outside that group (side 0), in
+    lists of LIST by hash, meet all sets (side 1), in lists of LIST by hash.
     """
-    rows = lists.select(F.xxhash64("token", "part", "ids").alias("meeting"), "token", "part", F.explode("ids").alias("doc_id"))
-    rows = cut(rows.join(groups, F.col("doc_id") == F.col("node"), "left").select("meeting", "token", "part", "doc_id", F.coalesce("component", "doc_id").alias("class")))
-    mixed = rows.groupBy("meeting").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select(F.col("meeting").alias("of"))
-    inside = rows.join(mixed, F.col("meeting") == F.col("of")).select("meeting", F.lit(0).alias("side"), "doc_id", "class")
-    hot = rows.where("part >= 0")
+    named = lambda rows: rows.join(groups, F.col("doc_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("class"))
+    rare = lists.where("part < 0").select(F.element_at("ids", 1).alias("meeting"), F.explode("ids").alias("doc_id")).distinct()
+    rare = cut(named(rare))
+    mixed = rare.groupBy("meeting").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select(F.col("meeting").alias("of"))
+    inside = rare.join(mixed, F.col("meeting") == F.col("of")).select(F.xxhash64("meeting").alias("meeting"), F.lit(0).alias("side"), "doc_id", "class")
+
+    hot = cut(named(lists.where("part >= 0").select("token", F.explode("ids").alias("doc_id"))))
     by_class = hot.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
-    main = by_class.groupBy("token").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes"), (F.sum("n") - F.max("n")).alias("outside")).where("classes > 1")
-    main = cut(main.select(F.col("token").alias("of"), "main", F.ceil(F.col("outside") / LIST).cast("int").alias("lists")))
-    there = hot.join(main, F.col("token") == F.col("of"))
-    parts = there.select("token", "part", "lists").distinct()
-    outside = there.where(F.col("class") != F.col("main")).select(F.col("token").alias("token_"), "doc_id", "class", F.pmod(F.xxhash64("doc_id"), "lists").cast("int").alias("list"))
-    name = lambda token, part, of: F.xxhash64(token, part, of, F.lit("across")).alias("meeting")
-    one = outside.join(parts, F.col("token_") == F.col("token")).select(name("token", "part", "list"), F.lit(0).alias("side"), "doc_id", "class")
-    two = there.select("token", "part", "doc_id", "class", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list")).select(name("token", "part", "list"), F.lit(1).alias("side"), "doc_id", "class")
+    main = by_class.groupBy("token").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select(F.col("token").alias("of"), "main")
+    there = cut(hot.join(main, F.col("token") == F.col("of")).select("main", "doc_id", "class").distinct())
+    outer = F.col("class") != F.col("main")
+    sizes = cut(there.groupBy(F.col("main").alias("of")).agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts"), F.ceil(F.count_if(outer) / LIST).cast("int").alias("lists")))
+    dealt = there.join(sizes, F.col("main") == F.col("of"))
+    part, here = (F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int") for n in ("parts", "lists"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    name = F.xxhash64("main", "part", "list", F.lit("across")).alias("meeting")
+    one = dealt.where(outer).select("main", "doc_id", "class", here.alias("list"), every("parts").alias("part")).select(name, F.lit(0).alias("side"), "doc_id", "class")
+    two = dealt.select("main", "doc_id", "class", part.alias("part"), every("lists").alias("list")).select(name, F.lit(1).alias("side"), "doc_id", "class")
     return cut(inside.unionByName(one).unionByName(two))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets have a Jaccard similarity of 0.75 or more."""
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs.select("u", "v").distinct())
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
@@ -319,7 +327,7 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
     one for a row alone. Rows of one doc_id count as one node; a row with a null doc_id links only
     with equal sets. No rows give none; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(docs.mapInArrow(_classes, "kind int, key long, n long, f1 long, f2 long"))
     rows = found.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "f1", "f2")
     least = max(LIST // 4, rows.count() * FREQUENT)
@@ -343,18 +351,24 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
     equal = cut(rows.where("doc_id <> first").join(met, F.col("doc_id") == F.col("node")).select(F.col("doc_id").alias("u"), F.col("first").alias("v")))
     links = links.unionByName(equal)
     groups = cut(components(links))
-    for most in (4, 0):
-        meetings = _meetings(lists, groups)
-        if meetings.isEmpty():
-            break
+    meetings = _meetings(lists, groups)
+    if not meetings.isEmpty():
         ids = cut(meetings.select("doc_id").distinct())
         signed = _bitmaps(docs, ids).select(F.col("doc_id").alias("of"), "n", "bits")
         dealt = meetings.join(signed, F.col("doc_id") == F.col("of")).select("meeting", "side", "doc_id", "class", "n", "bits")
-        pairs = dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meeting_pairs(most), "u long, v long")
-        more = cut(_verified(docs, pairs))
+        pairs = dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meeting_pairs, "u long, v long, cu long, cv long")
+        pairs = cut(pairs.distinct())
+        # two pairs of each two groups first: what they link needs no other pair of theirs
+        ends = pairs.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min(F.struct("u", "v")).alias("x"), F.max(F.struct("u", "v")).alias("y"))
+        more = cut(_verified(docs, ends.select(F.inline(F.array("x", "y")))))
         if not more.isEmpty():
             links = links.unionByName(more)
-            groups = cut(components(links))
+            merged = cut(components(more.unionByName(pairs.select(F.col("u"), F.col("cu").alias("v"))).unionByName(pairs.select(F.col("v").alias("u"), F.col("cv").alias("v")))))
+            left, right = merged.toDF("nu", "gu"), merged.toDF("nv", "gv")
+            joined = pairs.join(left, F.col("u") == F.col("nu"), "left").join(right, F.col("v") == F.col("nv"), "left")
+            pairs = joined.where(F.coalesce("gu", "u") != F.coalesce("gv", "v")).select("u", "v")
+        links = links.unionByName(cut(_verified(docs, pairs)))
+        groups = cut(components(links))
     joined = rows.join(groups, F.col("first") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
 
