@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import broadcast_if_small, cut, table
+from foliospark.llm.common import broadcast_if_small, cut, small_batches, table
 
 #: Edits allowed as a share of an item's length, the shortest item (in normalised characters)
 #: that is looked for, and the characters of items that one pass takes.
@@ -141,7 +141,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 cols = [pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "start", "end"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        found = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Look-behinds and possessive repeats only keep long runs from
@@ -191,7 +191,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], ["doc_id", "base", "spans", "clean"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, base string, spans string, clean string")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, base string, spans string, clean string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
             cols = [pa.array(clean, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    done = docs.mapInArrow(run, schema)
+    done = small_batches(docs).mapInArrow(run, schema)
     return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import table
+from foliospark.llm.common import small_batches, table
 
 #: Units of fewer words stay wherever they are.
 MIN_WORDS = 8
@@ -44,7 +44,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), *[pa.array(x, pa.int32()) for x in (starts, ends, counts)], *[pa.array(x, pa.int64()) for x in (high, low)]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "n_words", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, n_words int, h1 long, h2 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, n_words int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
