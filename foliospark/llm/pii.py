@@ -40,13 +40,14 @@ _SIGN = "|".join(SIGNS)
 #: Four or more digit names or digits, at least one of them a name, with signs between.
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:{_NAME}|[0-9])(?:[ ,-]{{1,3}}(?:(?:{_SIGN})[ -]+)?(?:{_NAME}|[0-9])(?!\w)){{3,}}")
 SPELLED_WORD = re.compile(rf"(?i)(?:{_NAME}|{_SIGN}|[0-9])")
-#: an @ or dot in brackets anywhere; bare words only where a whole address has them
+#: an @ or dot in brackets anywhere; bare words only where a whole address has them and ends in a
+#: label of two to four letters
 _DOT = r"(?:\s{0,2}[(\[{]\s?(?:dot|\.)\s?[)\]}]\s{0,2}|\s(?:dot)\s)"
 _AT = r"(?:\s{0,2}[(\[{]\s?(?:at|@)\s?[)\]}]\s{0,2})"
 _PART = r"[A-Za-z0-9_%+-]+"
 DISGUISED = re.compile(
     rf"(?i)(?<![A-Za-z0-9._%+-]){_PART}(?:(?:\.|{_DOT}){_PART})*+"
-    rf"(?:{_AT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+|(?:\sat\s|\s?@\s?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*)"
+    rf"(?:{_AT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+|(?:\sat\s|\s?@\s?)(?:[A-Za-z0-9-]+(?:\.|{_DOT})){{0,5}}[A-Za-z0-9-]+{_DOT}[A-Za-z]{{2,4}}(?![A-Za-z0-9-]))"
 )
 AT_OR_DOT = re.compile(rf"(?i){_AT}|{_DOT}|\sat\s|\s?@\s?")
 BRACKETED = re.compile(r"(?i)[(\[{]\s?(?:at|dot|@|\.)\s?[)\]}]")

@@ -67,8 +67,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` (distinct, non-null doc_id) with repeated units cut out of the text; the column
     ``removed`` keeps their source offsets, in order."""
-    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    joined = docs.join(spans, F.col("doc_id") == F.col("of"), "left").drop("of")
+    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    joined = docs.join(spans, F.col("doc_id") == F.col("__of"), "left").drop("__of")
     cut = F.aggregate("removed", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at")), lambda a: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut))
 
