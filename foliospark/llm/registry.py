@@ -8,6 +8,7 @@ QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_decontamination": decontaminate.op2,
     "op3_substring_dedup": substrings.op3,
+    "op3_whole_units": substrings.op3_whole,
     "op4_license_scan": licenses.op4,
     "op5_ngram_join": ngram_join.op5,
     "op6_language_id": langid.op6,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +20,49 @@ MIN_WORDS = 8
 #: line is found by the sentences that it holds whole.
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
-
-
-def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_words, h1, h2 of each unit of at least ``min_words`` words.
+#: Thai, Lao, Burmese, Khmer, kana and Han, written without spaces between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+#: Words, and single characters of scripts without spaces.
+TOKEN = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])[^\W_])+")
+UNSPACED = re.compile(rf"[{_UNSPACED}]")
+LINE = re.compile(r"[^\n]+")
+SENTENCE = re.compile(r"[^.!?。！？]+[.!?。！？]*")
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, n_words, normal form) of each non-blank line, whole and of any length, and
+    within it of the shortest run of sentences of ``min_words`` words or more from each
+    sentence on, and up to each sentence. Any whole sentences that are long enough together are
+    covered by such runs, whatever stands around them in the line."""
+    for line in LINE.finditer(text):
+        body, at = line[0], line.start()
+        find = (TOKEN if UNSPACED.search(body) else WORD).findall
+        parts = [(m.start(), m.end(), w) for m in SENTENCE.finditer(body) if (w := find(m[0].lower()))]
+        n = sum(len(w) for _, _, w in parts)
+        if n:
+            yield at, line.end(), n, " ".join([x for _, _, w in parts for x in w])
+        elif body.strip():
+            yield at, line.end(), 0, "\n" + body.strip()
+        if n < min_words or len(parts) < 2:
+            continue
+        sums = [0, *accumulate(len(w) for _, _, w in parts)]
+        runs = {(i, j) for i, c in enumerate(sums) if (j := bisect.bisect_left(sums, c + min_words)) < len(sums)}
+        runs |= {(i, j) for j, c in enumerate(sums) if (i := bisect.bisect_right(sums, c - min_words) - 1) >= 0}
+        for i, j in sorted(runs - {(0, len(parts))}):
+            run = [x for _, _, w in parts[i:j] for x in w]
+            yield at + parts[i][0], at + parts[j - 1][1], len(run), " ".join(run)
+
+
+def sentences(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, str]]:
+    """As units(), of the pieces that UNIT cuts and that have ``min_words`` words or more only."""
+    for m in UNIT.finditer(text):
+        words = WORD.findall(m[0].lower())
+        if len(words) >= min_words:
+            yield m.start(), m.end(), len(words), " ".join(words)
+
+
+def digests(docs: DataFrame, min_words: int = MIN_WORDS, pieces: Callable = sentences) -> DataFrame:
+    """doc_id, start, end, n_words, h1, h2 of each unit that ``pieces`` gives.
 
     Offsets are source code points, end exclusive. (h1, h2) is a 128-bit digest of the unit's
     lower-cased words, so case, punctuation and spacing don't matter.
@@ -31,45 +72,46 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             ids, starts, ends, counts, high, low = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for m in UNIT.finditer(text or ""):
-                    words = WORD.findall(m[0].lower())
-                    if len(words) >= min_words:
-                        d = blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        ids.append(doc_id)
-                        starts.append(m.start())
-                        ends.append(m.end())
-                        counts.append(len(words))
-                        high.append(int.from_bytes(d[:8], "little", signed=True))
-                        low.append(int.from_bytes(d[8:], "little", signed=True))
+                for start, end, n_words, norm in pieces(text or "", min_words):
+                    d = blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    ids.append(doc_id)
+                    starts.append(start)
+                    ends.append(end)
+                    counts.append(n_words)
+                    high.append(int.from_bytes(d[:8], "little", signed=True))
+                    low.append(int.from_bytes(d[8:], "little", signed=True))
             cols = [pa.array(ids, pa.int64()), *[pa.array(x, pa.int32()) for x in (starts, ends, counts)], *[pa.array(x, pa.int64()) for x in (high, low)]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "n_words", "h1", "h2"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, n_words int, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, pieces: Callable = sentences) -> DataFrame:
     """doc_id, start, end, n_words, kept_doc_id, kept_start: every unit that repeats an earlier one.
 
     The earliest place by (doc_id, start) of each digest stays; a null doc_id comes last. Repeated
     rows with one doc_id count as one text. The first grouping is a minimum and a count a digest,
     combined before the shuffle; only digests seen twice or more meet their places again, in a
     join whose hot keys the adaptive planner splits. Null and empty texts have no units; no rows
-    give none; other columns are ignored.
+    give none; other columns are ignored. With units() as ``pieces``, whose runs may overlap, a
+    place that overlaps the one that stays is no repeat.
     """
-    places = digests(docs, min_words)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    places = digests(docs, min_words, pieces)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", *["end"] * (pieces is units))
     seen = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("latest"))
-    twice = seen.where("first < latest").select("h1", "h2", F.col("first.last").alias("kept_last"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")))
+    twice = seen.where("first < latest").select("h1", "h2", F.col("first.last").alias("kept_last"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), *[F.col("first.end").alias("kept_end")] * (pieces is units))
+    same = F.col("start") < F.col("kept_end") if pieces is units else F.col("start") == F.col("kept_start")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & same)
     return places.join(twice, ["h1", "h2"]).where(later).select("doc_id", "start", "end", "n_words", "kept_doc_id", "kept_start")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` (distinct, non-null doc_id) with repeated units cut out of the text; the column
-    ``removed`` keeps their source offsets, in order."""
-    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    """``docs`` (distinct, non-null doc_id) with repeated units() cut out of the text; the column
+    ``removed`` keeps their source offsets, in order. What overlapping units leave of a text
+    stands earlier, so its words are never lost."""
+    spans = repeats(docs, min_words, units).groupBy(F.col("doc_id").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     joined = docs.join(spans, F.col("doc_id") == F.col("__of"), "left").drop("__of")
-    cut = F.aggregate("removed", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at")), lambda a: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    cut = F.aggregate("removed", F.struct(F.lit("").alias("kept"), F.lit(0).alias("at")), lambda a, s: F.struct(F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("kept"), F.greatest(a["at"], s["end"]).alias("at")), lambda a: F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut))
 
 
@@ -77,6 +119,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole contract; op3's SQL holds the one of sentences() alone."""
+    return repeats(table(spark, sf_dir, "documents"), pieces=units)
+
+
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]+[.!?]*|[\n.!?]') AS p FROM documents),
 l AS (SELECT doc_id, p, list_transform(p, lambda x: length(x)) AS n FROM d),

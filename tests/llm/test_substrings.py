@@ -39,3 +39,44 @@ def test_odd_rows(make_docs):
     docs = make_docs([*enumerate(ODD), (None, LINE), (50, LINE), (50, LINE)])
     assert [(r["doc_id"], r["kept_doc_id"]) for r in substrings.repeats(docs).collect() if r["n_words"] == 11] == [(None, 50)]
     assert substrings.repeats(make_docs([])).count() == 0
+
+
+def test_whole_units_are_found(make_docs):
+    short = "We met. It was cold. Rates rose 3.14 points. J. Doe left at noon."
+    thai, han = "สวัสดีครับยินดีต้อนรับสู่ประเทศไทย", "今天天气很好。我们去公园散步。"
+    docs = [
+        (1, f"{short}\nMenu\n{thai}\n{han}\n---"),
+        (2, f"First line\n{short}\nMENU\n{thai}\n{han}\n---"),
+        (3, f"Here is something else before it. {short} And something else stands after it."),
+        (4, f"前文。{han}后文。"),
+    ]
+    text = dict(docs)
+    rows = substrings.repeats(make_docs(docs), pieces=substrings.units).collect()
+    assert all(r["kept_doc_id"] == 1 for r in rows)
+    whole = {text[2][r["start"] : r["end"]] for r in rows if r["doc_id"] == 2}
+    assert {short, "MENU", thai, han, "---"} <= whole
+    clean = {r["doc_id"]: r["text"] for r in substrings.without_repeats(make_docs(docs)).collect()}
+    assert clean[1] == text[1] and clean[2] == "First line\n\n\n\n\n"
+    assert clean[3] == "Here is something else before it. And something else stands after it." and clean[4] == "前文。后文。"
+
+
+def test_planted_runs_are_covered():
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: "".join(" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) + rng.choice(".!?") + " " for _ in range(n))
+    for _ in range(300):
+        passage = make(rng.randint(1, 6)).rstrip()
+        left, right = make(rng.randint(0, 3)), make(rng.randint(0, 3))
+        line = f"{left}{passage} {right}"
+        keys = {u[3] for u in substrings.units(passage)}
+        covered = set()
+        for s, e, _, key in substrings.units(line):
+            covered |= set(range(s, e)) if key in keys else set()
+        if len(substrings.WORD.findall(passage)) >= 8:
+            assert set(range(len(left), len(left) + len(passage))) <= covered, (left, passage, right)
+
+
+def test_overlapping_repeats_keep_the_first(make_docs):
+    docs = make_docs([(1, "Ha. " * 20 + "End of it.")])
+    assert substrings.without_repeats(docs).first()["text"].startswith("Ha. " * 7 + "Ha.")
