@@ -151,9 +151,9 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: hidden ones come in unless they touch a base span."""
+    """Base spans, and all spans: hidden ones come in unless a base span of their kind holds them."""
     base = base_spans(text)
-    more = [x for x in hidden_spans(text) if not any(x[1] < e and s < x[2] for _, s, e in base)]
+    more = [x for x in hidden_spans(text) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
     return base, sorted({*base, *more})
 
 

@@ -65,3 +65,14 @@ def test_operator(make_docs):
     got = {r["doc_id"]: r for r in clean.collect()}
     assert got[0]["text"] is None and got[77]["text"] == "[EMAIL]" and got[77]["n_chars"] == 7
     assert pii.find_pii(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "found",
+    ["jоhn@example.com", "anna@mail.exаmple.com", "john@mail.example dot com", "a.b@ехample.com", "joh\u200bn@example.com"],
+)
+def test_disguises_with_a_plain_remainder(found):
+    text = f"mail {found}, please"
+    base, spans = pii.all_spans(text)
+    assert set(base) <= set(spans) and found in {text[s:e] for _, s, e in spans}
+    assert pii.redacted(text, spans) == "mail [EMAIL], please"
