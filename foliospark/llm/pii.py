@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import small_batches, table
+from foliospark.llm.tlds import TLDS
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Look-behinds and possessive repeats only keep long runs from
@@ -38,18 +39,21 @@ SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
 _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SIGN = "|".join(SIGNS)
 #: Four or more digit names or digits, at least one of them a name, with signs between.
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ -]+)?(?:{_NAME}|[0-9])(?:[ ,-]{{1,3}}(?:(?:{_SIGN})[ -]+)?(?:{_NAME}|[0-9])(?!\w)){{3,}}")
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NAME}|[0-9])(?:[\s,-]{{1,3}}(?:(?:{_SIGN})[\s-]+)?(?:{_NAME}|[0-9])(?!\w)){{3,}}")
 SPELLED_WORD = re.compile(rf"(?i)(?:{_NAME}|{_SIGN}|[0-9])")
-#: an @ or dot in brackets anywhere; bare words only where a whole address has them and ends in a
-#: label of two to four letters
+#: Words that SPELLED reads; four of them stand in a row in whatever it matches.
+SPELLED_PARTS = frozenset([*DIGITS, *SIGNS, *"0123456789"])
+#: an @ or dot in brackets anywhere; bare words only where a whole address has them (addresses())
 _DOT = r"(?:\s{0,2}[(\[{]\s?(?:dot|\.)\s?[)\]}]\s{0,2}|\s(?:dot)\s)"
 _AT = r"(?:\s{0,2}[(\[{]\s?(?:at|@)\s?[)\]}]\s{0,2})"
 _PART = r"[A-Za-z0-9_%+-]+"
-DISGUISED = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-]){_PART}(?:(?:\.|{_DOT}){_PART})*+"
-    rf"(?:{_AT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+|(?:\sat\s|\s?@\s?)(?:[A-Za-z0-9-]+(?:\.|{_DOT})){{0,5}}[A-Za-z0-9-]+{_DOT}[A-Za-z]{{2,4}}(?![A-Za-z0-9-]))"
-)
-AT_OR_DOT = re.compile(rf"(?i){_AT}|{_DOT}|\sat\s|\s?@\s?")
+LOCAL_CHAIN = re.compile(rf"(?i){_PART}(?:(?:\.|{_DOT}){_PART})*+")
+DOMAIN_CHAIN = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)++")
+BRACKETED_AT = re.compile(rf"(?i){_AT}")
+ANY_AT = re.compile(rf"(?i){_AT}|\sat(?=\s)|\s?@")
+DOT = re.compile(rf"(?i){_DOT}")
+BARE = re.compile(r"(?i)\sdot\s|\s@|@\s")
+WORD = re.compile(r"\w+")
 BRACKETED = re.compile(r"(?i)[(\[{]\s?(?:at|dot|@|\.)\s?[)\]}]")
 ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(HIDDEN) + "！-～\U0001d7ce-\U0001d7ff٠-٩۰-۹०-९]")
 
@@ -118,14 +122,42 @@ def plain_char(c: str) -> str:
     return str(digit) if digit is not None else chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c
 
 
+def closes(domain: str, spelled: bool) -> bool:
+    """Whether a label after the first of a plain domain may close an address: a public one, or
+    with a dot spelled out also any of two to four letters, or of letters after two others."""
+    labels = domain.lower().split(".")[1:]
+    return any(x in TLDS or (spelled and x.isalpha() and (len(x) in (2, 3, 4) or n)) for n, x in enumerate(labels))
+
+
+def addresses(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end of the local part, start of the domain, end) of addresses with a disguised @
+    or dot, in order. A bare 'at' needs a disguised dot too; 'look at example.com' stays."""
+    out, ends, last = [], None, 0
+    for at in ANY_AT.finditer(text):
+        bracketed = BRACKETED_AT.fullmatch(at[0]) is not None
+        after = at.end() if bracketed or text[at.end() : at.end() + 1].strip() else at.end() + 1
+        domain = DOMAIN_CHAIN.match(text, after)
+        if domain is None:
+            continue
+        if ends is None:
+            ends = {m.end(): m.start() for m in LOCAL_CHAIN.finditer(text)}
+        start = max(ends.get(at.start(), len(text)), last)
+        if start >= at.start():
+            continue
+        plain = DOT.sub(".", domain[0])
+        hidden = DOT.search(text, start, at.start()) is not None or plain != domain[0]
+        if bracketed or ((hidden or ("@" in at[0] and after - at.start() > 1)) and closes(plain, hidden)):
+            last = domain.end()
+            out.append((start, at.start(), after, last))
+    return out
+
+
 def hidden_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans that show only after the transducers: look-alike characters, then spelled digits,
     then at/dot disguises."""
-    low = text.lower().replace("-", " ").replace(",", " ").replace("  ", " ")
     odd = ODD.search(text) is not None
-    names = [n for n in DIGITS if f" {n} " in low]
-    spelled = len(names) > 1 or any(f" {n} {n} " in low for n in names)
-    joined = " dot " in low or " @" in text or "@ " in text or BRACKETED.search(text) is not None
+    spelled = "1111" in "".join(["1" if w in SPELLED_PARTS else "0" for w in WORD.findall(text.casefold())])
+    joined = BARE.search(text) is not None or BRACKETED.search(text) is not None
     if not (odd or spelled or joined):
         return []
     m = Mapped(text)
@@ -143,8 +175,9 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
         changed = changed or bool(edits)
     if joined or odd:
         edits = []
-        for x in DISGUISED.finditer(m.text):
-            edits += [(*y.span(), "@" if "a" in y[0].lower() or "@" in y[0] else ".") for y in AT_OR_DOT.finditer(m.text, *x.span())]
+        for start, at, after, end in addresses(m.text):
+            dots = [[(*y.span(), ".") for y in DOT.finditer(m.text, *part)] for part in ((start, at), (after, end))]
+            edits += [*dots[0], (at, after, "@"), *dots[1]]
         m.rewrite(edits)
         changed = changed or bool(edits)
     return [(k, m.starts[s], m.ends[e - 1]) for k, s, e in base_spans(m.text)] if changed else []

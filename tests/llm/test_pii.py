@@ -76,3 +76,28 @@ def test_disguises_with_a_plain_remainder(found):
     base, spans = pii.all_spans(text)
     assert set(base) <= set(spans) and found in {text[s:e] for _, s, e in spans}
     assert pii.redacted(text, spans) == "mail [EMAIL], please"
+
+
+@pytest.mark.parametrize(
+    ("kind", "found"),
+    [
+        *[("email", f"anna at firma dot {x}") for x in ("online", "cloud", "berlin", "de")],
+        *[("email", x) for x in ("john @ example.com", "anna (dot) lopez@example.com", "anna\tat\tfirma\ndot\nonline", "x at a dot b dot c dot d dot e dot f dot g dot h dot com", "john @example.cloud")],
+        *[("phone", x) for x in ("+4 9 one 7 2 3 4 5 6", "+five 5 5 6 7 1 2 3 4", "plus\tfour\tnine\tone\tseven\ttwo\tthree\tfour\tfive")],
+    ],
+)
+def test_shortcuts_hold_all_of_their_patterns(kind, found):
+    text = f"so; {found}; then"
+    _, spans = pii.all_spans(text)
+    assert (kind, found) in {(pii.KINDS[k], text[s:e]) for k, s, e in spans}
+    assert pii.redacted(text, spans) == f"so; [{kind.upper()}]; then"
+
+
+def test_words_that_are_no_address_stay():
+    for t in ["arrive at noon dot Everything else follows", "6 apples @ 1.20 each", "via @john.doe", "meet @ ten", "one two three", "go at it. dot dot"]:
+        assert pii.all_spans(t) == ([], []), t
+
+
+def test_words_and_signs_are_linear():
+    for t in ["a @ b.c " * 20_000, "a @" * 30_000, "a at b dot com " * 5_000, "a dot " * 50_000 + "@ b.com", "one 2 " * 30_000, "a. " * 50_000]:
+        pii.all_spans(t)
