@@ -50,6 +50,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of a text: runs of anything but ASCII white space. Null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NO_WORD), "")

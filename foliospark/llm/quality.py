@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import NO_WORD, SPACE, broadcast_if_small, cut, let, long, table, words
+from foliospark.llm.common import NO_WORD, SPACE, broadcast_if_small, cut, let, long, table, unused, words
 
-#: Rules: a share or density of each document and its cutoffs, from loose to strict. A document
-#: breaks a rule if its value is above the cutoff that the holdout allows.
+#: Rules: a share or density of each document and its cutoffs, from loose to strict. Step i of the
+#: ladder holds every rule at its cutoff i (at its last one beyond); a document breaks a step if a
+#: value of its is above the cutoff there, and then breaks all stricter ones too.
 RULES = {
     "symbol_share": (0.5, 0.3, 0.2, 0.1, 0.05, 0.02),
     "dup_line_share": (0.8, 0.7, 0.6, 0.5, 0.4),
@@ -18,6 +19,7 @@ RULES = {
     "shout_share": (2.0, 1.5, 1.0, 0.7, 0.5),
     "word_length": (12.0, 10.0, 9.0, 8.5, 8.0),
 }
+STEPS = max(map(len, RULES.values()))
 WINDOW = 8
 
 
@@ -41,9 +43,10 @@ def _repeated(w: Column) -> Column:
 
 
 def features(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, lang, columns asked for, the base counts and the value of every rule; null text counts as empty.
+    """doc_id, lang, columns asked for, the base counts, the value of every rule, and step: the
+    first step of the ladder that the row breaks (STEPS if none). Null text counts as empty.
 
-    Everything is computed in one pass over the text, without a shuffle.
+    Everything is computed in one pass over the whole text, without a shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -69,7 +72,7 @@ def features(docs: DataFrame, *more: Column) -> DataFrame:
         long(F.length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))).alias("n_symbols"),
         long(F.length(F.regexp_replace(text, "[^!]+", ""))).alias("n_shouts"),
     )
-    return counted.select("*", "c.*").drop("c").select(
+    valued = counted.select("*", "c.*").drop("c").select(
         "*",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         per("n_symbols", "word_chars").alias("symbol_share"),
@@ -78,6 +81,8 @@ def features(docs: DataFrame, *more: Column) -> DataFrame:
         per("n_shouts", "n_words").alias("shout_share"),
         per("word_chars", "n_words").alias("word_length"),
     )
+    held = lambda rule, cutoffs: sum((F.col(rule) <= cutoffs[min(i, len(cutoffs) - 1)]).cast("int") for i in range(STEPS))
+    return valued.withColumn("step", F.least(*[held(rule, cutoffs) for rule, cutoffs in RULES.items()]))
 
 
 def log_gamma(x: Column) -> Column:
@@ -110,59 +115,45 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(kd >= nd * p, F.lit(1.0)).otherwise(F.exp(top) * ratio)
 
 
-def fit_cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, max_strata: int = 64) -> DataFrame:
-    """The cutoff of every rule for every stratum (language): lang, rule, cutoff.
+def fit_cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The strictest step of the ladder that every stratum's holdout allows: lang, limit.
 
-    Holdout: labelled documents of quality 1 (any label of 1 counts; null labels and ids don't).
-    With probability 1 - ``delta`` over the holdout, every stratum loses at most ``risk`` of its
-    good documents to all rules together: each rule may lose risk / rules; a cutoff passes if the
-    exact binomial tail of the losses seen is at most delta / (rules * strata), and each rule
-    tries its cutoffs from loose to strict and stops at the first that fails (fixed-sequence
-    testing), so only rules and strata need Bonferroni's correction. The ``max_strata`` - 1
-    largest languages are strata; all holdout documents together calibrate the row with a null
-    language, for the others and for documents without one. A rule without a passing cutoff
-    gets null and rejects nothing.
+    A stratum is a language, null one of its own. Holdout: documents of quality 1 (any label of 1
+    counts; null labels and ids don't) that pass the base rule. With probability 1 - ``delta``
+    over the holdout, no stratum loses more than ``risk`` of such documents to all rules together.
+    A step passes if the exact binomial tail of the losses seen is at most the stratum's share of
+    delta. Steps are tried from loose to strict up to the first that fails (fixed-sequence
+    testing), so they need no correction among themselves; strata share delta (Bonferroni) in
+    proportion to the square roots of their holdout sizes, which don't depend on the losses. A
+    stratum in which no step passes isn't listed, and the rules reject nothing there.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("good_id")).agg(F.max("quality").alias("q")).where("q = 1")
-    held = feats.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    sums = [F.count(F.lit(1)).alias("n")]
-    for rule, cutoffs in RULES.items():
-        sums += [F.count(F.when(F.col(rule) > c, 1)).alias(f"{rule}_{i}") for i, c in enumerate(cutoffs)]
-    by_lang = cut(held.groupBy("lang").agg(*sums))
-    pooled = by_lang.groupBy().agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in by_lang.columns[1:]])
-    strata = by_lang.where("lang IS NOT NULL").orderBy(F.desc("n"), "lang").limit(max_strata - 1)
-    strata = strata.unionByName(pooled.select(F.lit(None).cast("string").alias("lang"), *by_lang.columns[1:]))
-    level = delta / (len(RULES) * strata.count())
-    tried = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("lost")) for rule, cs in RULES.items() for i, c in enumerate(cs)])
-    tails = strata.select("lang", "n", F.inline(tried)).withColumn("passed", binomial_tail(F.col("lost"), F.col("n"), risk / len(RULES)) <= level)
-    so_far = F.min("passed").over(Window.partitionBy("lang", "rule").orderBy("i"))
-    passed = tails.withColumn("passed", so_far).groupBy("lang", "rule").agg(F.min(F.when(F.col("passed"), F.col("cutoff"))).alias("cutoff"))
-    return passed
+    held = feats.where("NOT base_failed").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    lost = [F.count(F.when(F.col("step") <= i, 1)).alias(f"lost_{i}") for i in range(STEPS)]
+    strata = cut(held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *lost))
+    whole = strata.agg(F.coalesce(F.sum(F.sqrt("n")), F.lit(1.0))).first()[0]
+    tried = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"lost_{i}").alias("lost")) for i in range(STEPS)])
+    level = delta * F.sqrt("n") / F.lit(whole)
+    tails = strata.select("lang", "n", F.inline(tried)).withColumn("passed", binomial_tail(F.col("lost"), F.col("n"), risk) <= level)
+    so_far = F.min("passed").over(Window.partitionBy("lang").orderBy("i"))
+    return tails.withColumn("passed", so_far).where("passed").groupBy("lang").agg(F.max("i").alias("limit"))
 
 
 def verdicts(feats: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``feats`` with kept: false if base_failed or a rule's cutoff of its stratum is exceeded.
-
-    ``cutoffs`` has at most ``max_strata`` x rules rows (fit_cutoffs), so it comes as a literal map
-    from stratum and rule to cutoff.
-    """
-    rows = cutoffs.collect()
-    strata = sorted({r["lang"] for r in rows if r["lang"] is not None})
-    key = F.when(F.col("lang").isin(strata), F.concat(F.lit("lang "), F.col("lang"))).otherwise("pooled") if strata else F.lit("pooled")
-    entries = [x for r in rows for x in (F.lit(f"{'pooled' if r['lang'] is None else 'lang ' + r['lang']} {r['rule']}"), F.lit(r["cutoff"]).cast("double"))]
-    limits = F.create_map(*entries)
-    broken = F.lit(False)
-    for rule in RULES:
-        broken = broken | F.coalesce(F.col(rule) > F.try_element_at(limits, F.concat(key, F.lit(f" {rule}"))), F.lit(False))
-    return feats.withColumn("kept", ~(F.col("base_failed") | broken))
+    """``feats`` with kept: false if base_failed or if the row breaks a step within its stratum's
+    limit. Limits are joined by language: broadcast if a count shows that they are few."""
+    limits = broadcast_if_small(cutoffs.select(F.col("lang").alias("stratum"), "limit"))
+    joined = feats.join(limits, F.col("lang").eqNullSafe(F.col("stratum")), "left")
+    return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce(F.col("step") <= F.col("limit"), F.lit(False)))).drop("stratum", "limit")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """Base counts, rule values and verdict of each row of ``docs`` (doc_id, text, lang).
+    """Base counts, rule values, step and verdict of each row of ``docs`` (doc_id, text, lang).
 
-    Null text counts as empty and fails the base rule; a null language or one without a stratum
-    of its own is judged by the pooled cutoffs; equal rows get equal verdicts; no labels keep all
-    that pass the base rule; no documents give no rows. Other columns are ignored.
+    Null text counts as empty and fails the base rule; texts are read whole, however long; a
+    null language is a stratum of its own; a language without enough good labels keeps all that
+    pass the base rule, as do no labels at all; equal rows get equal verdicts; no documents give
+    no rows. Other columns are ignored.
     """
     feats = cut(features(docs))
     return verdicts(feats, fit_cutoffs(feats, labels, **risk))
@@ -174,11 +165,16 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def passed(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """The rows of ``docs`` that quality() keeps, with all columns. Rejected rows are found by a
-    key of id, language and text, so rows that share an id are judged apart."""
-    feats = cut(features(docs, row_key(docs).alias("__key")))
-    bad = cut(verdicts(feats, fit_cutoffs(feats, labels, **risk)).where(~F.col("kept")).select("__key").distinct())
-    return docs.join(broadcast_if_small(bad, 500_000), row_key(docs) == bad["__key"], "left_anti")
+    """The rows of ``docs`` that quality() keeps, with all columns whatever their names.
+
+    Rejected rows are found by a key of id, language and text, so rows that share an id are
+    judged apart and repeated rows alike. Null and empty texts go (they fail the base rule); no
+    documents give no rows; no labels keep all that pass the base rule.
+    """
+    (key,) = unused(docs, "key")
+    feats = cut(features(docs.select("doc_id", "lang", "text", row_key(docs).alias(key)), F.col(key)))
+    bad = cut(verdicts(feats, fit_cutoffs(feats, labels, **risk)).where(~F.col("kept")).select(key).distinct())
+    return docs.join(broadcast_if_small(bad, 500_000), row_key(docs) == bad[key], "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +183,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cutoff_rows() -> str:
-    return ", ".join(f"('{rule}', {i}, {c}::DOUBLE)" for rule, cutoffs in RULES.items() for i, c in enumerate(cutoffs))
+    return ", ".join(f"('{rule}', {i}, {cutoffs[min(i, len(cutoffs) - 1)]}::DOUBLE)" for rule, cutoffs in RULES.items() for i in range(STEPS))
 
 
 OP1_SQL = rf"""
@@ -208,21 +204,22 @@ b AS (
          coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
          coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_shouts / nullif(n_words, 0), 0) AS shout_share,
          coalesce(word_chars / nullif(n_words, 0), 0) AS word_length FROM f),
-v AS (UNPIVOT (SELECT doc_id, lang, {", ".join(f"{r}::DOUBLE AS {r}" for r in RULES)} FROM b) ON {", ".join(RULES)} INTO NAME rule VALUE value),
-held AS (SELECT v.* FROM v WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+v AS (UNPIVOT (SELECT doc_id, lang, base_failed, {", ".join(f"{r}::DOUBLE AS {r}" for r in RULES)} FROM b) ON {", ".join(RULES)} INTO NAME rule VALUE value),
 c AS (SELECT * FROM (VALUES {_cutoff_rows()}) AS x(rule, i, cutoff)),
-own AS (SELECT lang FROM held WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 63),
+x AS (SELECT DISTINCT doc_id, i FROM v JOIN c USING (rule) WHERE value > cutoff),
+held AS (SELECT doc_id, lang FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+st AS (SELECT lang, count(*) AS n FROM held GROUP BY lang),
+lv AS (SELECT lang, n, 0.05 * sqrt(n) / sum(sqrt(n)) OVER () AS level FROM st),
 k AS (
-  SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM held JOIN c USING (rule) JOIN own USING (lang) GROUP BY ALL
-  UNION ALL SELECT NULL, rule, i, cutoff, count(*), count(*) FILTER (value > cutoff) FROM held JOIN c USING (rule) GROUP BY ALL),
-m AS (SELECT 0.05 / ({len(RULES)} * ((SELECT count(*) FROM own) + 1)) AS level, 0.02 / {len(RULES)} AS p),
+  SELECT lv.lang, any_value(n) AS n, any_value(level) AS level, r.i, count(x.doc_id) AS k
+  FROM lv CROSS JOIN range(0, {STEPS}) AS r(i) JOIN held ON held.lang IS NOT DISTINCT FROM lv.lang LEFT JOIN x ON x.doc_id = held.doc_id AND x.i = r.i
+  GROUP BY lv.lang, r.i),
 t AS (
-  SELECT k.*, k < n * p AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p))) FROM range(0, k + 1) AS r(j)) <= level AS passed
-  FROM k, m),
+  SELECT k.*, k < n * 0.02 AND (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98))) FROM range(0, k + 1) AS r(j)) <= level AS passed
+  FROM k),
 s AS (
-  SELECT lang, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang, rule ORDER BY i) AS so_far FROM t) WHERE so_far GROUP BY ALL),
-broken AS (
-  SELECT DISTINCT doc_id FROM v LEFT JOIN own ON v.lang = own.lang JOIN s ON s.rule = v.rule AND s.lang IS NOT DISTINCT FROM own.lang WHERE v.value > s.cutoff)
+  SELECT lang, i FROM (SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY i) AS so_far FROM t) WHERE so_far),
+broken AS (SELECT DISTINCT x.doc_id FROM x JOIN b USING (doc_id) JOIN s ON s.lang IS NOT DISTINCT FROM b.lang AND s.i = x.i)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM broken) AS kept
 FROM b
