@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from llm_odd import ODD
 from pyspark.sql import functions as F
 
@@ -39,18 +42,62 @@ def test_marked_transcript(spark):
     assert rows[1]["rendered"] == "<|assistant|>\nfine\n<|end|>"
 
 
-def test_blocks_agree_with_one_pass(spark, monkeypatch):
+def value(parts, model, states):
+    """The log score of one path."""
+    total = model["start"][states[0]] + parts[0][1][states[0]]
+    for (head, score), last, now in zip(parts[1:], states, states[1:], strict=False):
+        total += model["move" if head else "inside"][last][now] + score[now]
+    return total
+
+
+def scored(rows, model):
+    """(head, scores) of every part of the rows, in order."""
+    return [(head, chat.score_of(body, mark, not (turn or 0) > 0, model)) for _, turn, role, text in rows for head, mark, body in chat.parts_of(text or "", role)]
+
+
+def test_decoding_matches_all_paths(spark, monkeypatch):
+    """Viterbi over blocks of two messages against the best of all 4^n paths."""
+    model = chat.fit(sample(spark))
+    monkeypatch.setattr(chat, "BLOCK", 1)
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice([None, None, "user", "bot"]), "x" * rng.randint(0, 300) + rng.choice(["", "?"])) for c in range(25) for t in range(rng.randint(1, 6))]
+    got = {(r["conv_id"], r["turn"]): chat.ROLES.index(r["role"]) for r in chat.parse(convs(spark, rows), model).collect()}
+    for c in range(25):
+        mine = [r for r in rows if r[0] == c]
+        parts = scored(mine, model)
+        best = max(value(parts, model, p) for p in itertools.product(range(4), repeat=len(parts)))
+        assert value(parts, model, [got[(c, r[1])] for r in mine]) == best
+
+
+def test_long_conversation_over_many_blocks(spark, monkeypatch):
     model = chat.fit(sample(spark))
+    monkeypatch.setattr(chat, "BLOCK", 3)
     rows = [(7, t, None if t % 5 else "user", "x" * (3 + t * 37 % 400)) for t in range(150)]
-    whole = [(r["turn"], r["role"]) for r in chat.parse(convs(spark, rows), model).orderBy("turn").collect()]
-    units, scores, heads = chat.observed(__import__("pandas").DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).assign(turn=lambda d: d["turn"].astype(float)), model)
-    best = chat.reach(scores, heads, model)[len(chat.ROLES)]
-    states = [chat.ROLES.index(r) for _, r in whole]
-    assert [t for t, _ in whole] == list(range(150)) == [int(u[0]) for u in units]
-    score = model["start"][states[0]] + scores[0][states[0]]
-    for t in range(1, 150):
-        score += model["move"][states[t - 1], states[t]] + scores[t][states[t]]
-    assert abs(score - best.max()) < 1e-6
+    whole = sorted((r["turn"], chat.ROLES.index(r["role"])) for r in chat.parse(convs(spark, rows), model).collect())
+    parts = scored(rows, model)
+    best, _ = chat.forward([s for _, s in parts], [h for h, _ in parts], model, None)
+    assert [t for t, _ in whole] == list(range(150)) and value(parts, model, [s for _, s in whole]) == max(best)
+
+
+def test_hot_turn_is_dealt(spark, monkeypatch):
+    """Rows of one turn, null turns and repeated rows are messages in a row, over many blocks."""
+    model = chat.fit(sample(spark))
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    rows = [(1, 0, "user", "same")] * 700 + [(None, None, "user", f"t{i}") for i in range(300)] + [(1, 1, "user", f"t{i}") for i in range(500)]
+    got = chat.parse(convs(spark, rows), model).collect()
+    assert len(got) == 1500 and sum(r["text"] == "same" for r in got) == 700 and sum(r["conv_id"] is None for r in got) == 300
+    assert chat.fit(convs(spark, rows))["move"][1][1] > chat.fit(convs(spark, rows))["move"][1][0]
+
+
+def test_held_out_roles(spark):
+    """Learnt on three of four conversations, decoded without the role column."""
+    known = sample(spark, 200)
+    model = chat.fit(known.where(~chat.held_out(F.col("conv_id"))))
+    rows = chat.parse(known.where(chat.held_out(F.col("conv_id"))), model, use_role=False).collect()
+    assert len(rows) > 100 and sum(r["given"] == r["role"] for r in rows) / len(rows) >= 0.9
+    wrong = known.withColumn("role", F.lit("tool"))
+    roles = lambda df: sorted((r["conv_id"], r["turn"], r["role"]) for r in chat.parse(df, model, use_role=False).collect())
+    assert roles(wrong) == roles(known)  # the column isn't read
 
 
 def test_odd_rows(spark):
@@ -60,3 +107,5 @@ def test_odd_rows(spark):
     assert len(got) >= len(rows) and {r["conv_id"] for r in got} == {*range(len(ODD)), None}
     assert [r["role"] for r in got if r["conv_id"] == 3 and r["turn"] == 1] == ["assistant"] * 2
     assert chat.parse(convs(spark, []), model).count() == 0
+    long = chat.parse(convs(spark, [(1, 0, None, "line\n\n" * 30_000)]), model).collect()
+    assert "".join(r["text"] for r in long).count("line") == 30_000
