@@ -38,11 +38,10 @@ DIGITS = {
 SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
 _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SIGN = "|".join(SIGNS)
-#: Four or more digit names or digits, at least one of them a name, with signs between.
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NAME}|[0-9])(?:[\s,-]{{1,3}}(?:(?:{_SIGN})[\s-]+)?(?:{_NAME}|[0-9])(?!\w)){{3,}}")
-SPELLED_WORD = re.compile(rf"(?i)(?:{_NAME}|{_SIGN}|[0-9])")
-#: Words that SPELLED reads; four of them stand in a row in whatever it matches.
-SPELLED_PARTS = frozenset([*DIGITS, *SIGNS, *"0123456789"])
+#: Two or more digit names or numbers, at least one of them a name, with signs between. What the
+#: digits make must then match a base pattern.
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NAME}|[0-9]+)(?:[\s,-]{{1,3}}(?:(?:{_SIGN})[\s-]+)?(?:{_NAME}|[0-9]+)(?!\w))+")
+SPELLED_WORD = re.compile(rf"(?i)(?:{_NAME}|{_SIGN}|[0-9]+)")
 #: an @ or dot in brackets anywhere; bare words only where a whole address has them (addresses())
 _DOT = r"(?:\s{0,2}[(\[{]\s?(?:dot|\.)\s?[)\]}]\s{0,2}|\s(?:dot)\s)"
 _AT = r"(?:\s{0,2}[(\[{]\s?(?:at|@)\s?[)\]}]\s{0,2})"
@@ -52,6 +51,26 @@ DOMAIN_CHAIN = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)++")
 BRACKETED_AT = re.compile(rf"(?i){_AT}")
 ANY_AT = re.compile(rf"(?i){_AT}|\sat(?=\s)|\s?@")
 DOT = re.compile(rf"(?i){_DOT}")
+DOMAIN_DOT = re.compile(rf"(?i)\.|{_DOT}")
+#: Words of bare addresses: those before 'at' that no one has as a name, and those that are no
+#: name of a host. 'look at the dot' and 'we sat at home dot com' stay.
+VERBS = frozenset(
+    """
+    aim aimed am appear appeared are arrive arrived arriving ate back be been being book bought call called came come cost dine dined down eat
+    eating end ended everyone fire gather gathered gaze gazed glance glanced going good grab guess had happen happened hard has have held help here him
+    home is it jump keep kept land landed laugh laughed left lie live lived living located look looked looking looks lunch me meet meeting met never not
+    now off one open opened out over park parked play played point pointed price priced read run sat school see seen sell served shoot shot shout shown
+    sit sits sitting sleep slept sold someone speak staff standing stand stared start started stay stayed staying stood stop stopped study talk taught
+    that them there they this time today together tomorrow tonight train up us wait waited waiting was we went were which who winked wonder work worked
+    working works you
+    """.split()
+)
+FUNCTION_WORDS = frozenset(
+    """
+    all an and any as at be both but by each every for from he her his if in is it its just last least me more most my next no noon night of on once
+    one or our so some that the their them then there these they this those to us was we were what when where which who will with work you your
+    """.split()
+)
 BARE = re.compile(r"(?i)\sdot\s|\s@|@\s")
 WORD = re.compile(r"\w+")
 BRACKETED = re.compile(r"(?i)[(\[{]\s?(?:at|dot|@|\.)\s?[)\]}]")
@@ -122,16 +141,26 @@ def plain_char(c: str) -> str:
     return str(digit) if digit is not None else chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c
 
 
-def closes(domain: str, spelled: bool) -> bool:
-    """Whether a label after the first of a plain domain may close an address: a public one, or
-    with a dot spelled out also any of two to four letters, or of letters after two others."""
-    labels = domain.lower().split(".")[1:]
-    return any(x in TLDS or (spelled and x.isalpha() and (len(x) in (2, 3, 4) or n)) for n, x in enumerate(labels))
+def is_verb(word: str) -> bool:
+    """Whether a word, or what it is without -s, -d, -ed or -ing, is one of VERBS."""
+    forms = [word, *[word.removesuffix(x) for x in ("s", "d", "ed", "ing")], word.removesuffix("ing") + "e"]
+    return not VERBS.isdisjoint(forms)
+
+
+def closed(labels: list[str], prose: bool) -> int:
+    """How many labels of a bare domain its address takes: up to its last public one, since words
+    of the sentence may follow; 0 if it is no address, as in ``prose`` with a word among them that
+    no host has as its name."""
+    for n in range(len(labels), 1, -1):
+        if labels[n - 1] in TLDS and not (prose and any(x in FUNCTION_WORDS for x in labels[: n - 1])):
+            return n
+    return 0
 
 
 def addresses(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end of the local part, start of the domain, end) of addresses with a disguised @
-    or dot, in order. A bare 'at' needs a disguised dot too; 'look at example.com' stays."""
+    or dot, in order. Bracketed signs stand alone; a bare 'at' needs a spelled-out dot after it, a
+    public last label, and words around it that aren't ones of a sentence."""
     out, ends, last = [], None, 0
     for at in ANY_AT.finditer(text):
         bracketed = BRACKETED_AT.fullmatch(at[0]) is not None
@@ -144,11 +173,21 @@ def addresses(text: str) -> list[tuple[int, int, int, int]]:
         start = max(ends.get(at.start(), len(text)), last)
         if start >= at.start():
             continue
-        plain = DOT.sub(".", domain[0])
-        hidden = DOT.search(text, start, at.start()) is not None or plain != domain[0]
-        if bracketed or ((hidden or ("@" in at[0] and after - at.start() > 1)) and closes(plain, hidden)):
-            last = domain.end()
-            out.append((start, at.start(), after, last))
+        end = domain.end()
+        if not bracketed:
+            dots = list(DOMAIN_DOT.finditer(domain[0]))
+            word = "@" not in at[0]
+            n = closed(DOMAIN_DOT.sub(".", domain[0]).lower().split("."), word)
+            spaced = not word and after - at.start() > 1
+            spelled = any(len(d[0]) > 1 for d in dots[: max(n - 1, 0)])
+            if n == 0 or not (spelled or spaced or DOT.search(text, start, at.start())):
+                continue
+            if word and (not spelled or is_verb(text[start : at.start()].lower())):
+                continue
+            if n <= len(dots):
+                end = after + dots[n - 1].start()
+        last = end
+        out.append((start, at.start(), after, end))
     return out
 
 
@@ -156,7 +195,7 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans that show only after the transducers: look-alike characters, then spelled digits,
     then at/dot disguises."""
     odd = ODD.search(text) is not None
-    spelled = "1111" in "".join(["1" if w in SPELLED_PARTS else "0" for w in WORD.findall(text.casefold())])
+    spelled = not DIGITS.keys().isdisjoint(WORD.findall(text.casefold()))
     joined = BARE.search(text) is not None or BRACKETED.search(text) is not None
     if not (odd or spelled or joined):
         return []
