@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import broadcast_if_small, cut, small_batches, table
+from foliospark.llm.common import broadcast_if_small, cut, small_batches, table, unused
 
-#: Edits allowed as a share of an item's length, the shortest item (in normalised characters)
-#: that is looked for, and the characters of items that one pass takes.
+#: Edits allowed as a share of an item's length, the length (in normalised characters) under which
+#: an item has to stand as it is between word borders, and the characters of items in one pass.
 ERROR_RATE = 0.08
 MIN_CHARS = 40
 BLOCK_CHARS = 16_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
+def fold(text: str) -> str:
+    """Lower case, character by character: the capital I with a dot, the one character that
+    becomes two, becomes i."""
+    return text.replace("İ", "i").lower()
+
+
 def normalise(text: str) -> str:
     """Lower-case words with single spaces."""
-    return " ".join(WORD.findall(text.lower()))
+    return " ".join(WORD.findall(fold(text)))
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -60,12 +68,12 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    """Items ready to be looked for; built once a task."""
+    """Items (ids, normalised text) ready to be looked for; built once a task."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[list, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= MIN_CHARS else 0) for i, t in items]
         self.find = ahocorasick.Automaton()
         for n, (_, item, budget) in enumerate(self.items):
             for at, piece in pieces(item, budget):
@@ -74,7 +82,8 @@ class Matcher:
             self.find.make_automaton()
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each item, merged stretches of ``text`` where a piece says that it may lie."""
+        """For each item, merged stretches of ``text`` where a piece says that it may lie; for a
+        short one, its first place between word borders."""
         found: dict[int, set[int]] = {}
         for last, hits in self.find.iter(text):
             for n, at, size in hits:
@@ -82,6 +91,11 @@ class Matcher:
         out: dict[int, list[list[int]]] = {}
         for n, starts in found.items():
             _, item, budget = self.items[n]
+            if len(item) < MIN_CHARS:
+                whole = [s for s in starts if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")]
+                if whole:
+                    out[n] = [[min(whole), min(whole) + len(item)]]
+                continue
             spans: list[list[int]] = []
             for s in sorted(starts):
                 a, b = max(0, s - budget), min(len(text), s + len(item) + budget)
@@ -92,65 +106,78 @@ class Matcher:
             out[n] = spans
         return out
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of the best place of each item found, in ``text``'s
-        own code points; the start is where the last words of the item's length begin."""
+    def matches(self, text: str) -> list[tuple]:
+        """(item_id, distance, start, end) of the best place of each item found, the first of
+        equal ones, in ``text``'s own code points; the start is where the last words of the
+        item's length begin."""
         if not self.items:
             return []
         plain, out = normalise(text), []
         for n, spans in self.windows(plain).items():
-            item_id, item, budget = self.items[n]
+            ids, item, budget = self.items[n]
             places = [(got[0], a + got[1]) for a, b in spans if (got := myers(item, plain[a:b], budget))]
             if places:
                 distance, end = min(places)
-                out.append((item_id, distance, max(0, end - len(item)), end))
-        if out:
-            where = [m.span() for m in WORD.finditer(text.lower())] if len(text.lower()) == len(text) else []
-            ends = []
-            at = -1
-            for a, b in where:
-                at += 1 + b - a
-                ends.append(at)
-            source = lambda x, side: next((w[side] for w, e in zip(where, ends, strict=True) if e >= x), len(text)) if where else -1
-            out = [(i, d, source(s + 1, 0), source(e, 1)) for i, d, s, e in out]
-        return sorted(out)
-
-
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                out.append((ids, distance, max(0, end - len(item)), end))
+        if not out:
+            return []
+        where = [m.span() for m in WORD.finditer(fold(text))]
+        ends = list(accumulate(b - a + (n > 0) for n, (a, b) in enumerate(where)))
+        at = lambda x: where[bisect.bisect_left(ends, x)]  # noqa: E731 - the word that the normalised place x falls into
+        return [(i, d, at(s + 1)[0], at(e)[1]) for ids, d, s, e in out for i in ids]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, key: str | None = None) -> DataFrame:
     """doc_id, item_id, distance, start, end: every benchmark item that a document holds with at
-    most ``rate`` x its length edits, at its best place.
+    most ``rate`` x its length edits, at its best place (the first of equal ones); with ``key``
+    also that column (a long) of the document.
 
     Both texts are compared as lower-case words with single spaces. Items under MIN_CHARS
-    characters there, and null ones, are not looked for: clean texts hold such short strings.
-    Items go to the tasks in blocks of at most ``block_chars`` characters, one pass over the
-    documents a block. Null texts hold nothing; repeated rows give repeated results; no rows on
-    either side give none; other columns are ignored.
+    characters there are found only as they are, between word borders; items without a word and
+    null ones never; a null item_id is kept as such. Items of one text are looked for once. Items
+    go to the tasks in blocks of about ``block_chars`` characters, dealt by their texts; with
+    several blocks each one's finds are written before the next block comes to the driver. Null
+    texts hold nothing; whole texts are read, however long; repeated rows give repeated results;
+    no rows on either side give none; other columns are ignored.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = int(size // block_chars) + 1
-    schema = "doc_id long, item_id long, distance int, start int, end int"
+    schema = "doc_id long, item_id long, distance int, start int, end int" + (f", `{key}` long" if key else "")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *([key] if key else []))
     out = None
     for block in range(blocks):
-        mine = benchmark.where((F.abs(F.xxhash64("item_id")) % blocks == block) & F.col("text").isNotNull()).select("item_id", "text")
-        items = sorted({(r["item_id"], t) for r in mine.collect() if r["item_id"] is not None and len(t := normalise(r["text"])) >= MIN_CHARS})
+        mine = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)).select(F.col("item_id").cast("long"), "text").distinct()
+        ids: dict[str, list] = {}
+        for r in mine.toLocalIterator():
+            if t := normalise(r["text"]):
+                ids.setdefault(t, []).append(r["item_id"])
+        items = [(sorted(set(i), key=lambda x: (x is None, x or 0)), t) for t, i in sorted(ids.items())]
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
             for batch in batches:
-                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for x in matcher.matches(t)]
-                cols = [pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.int32()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "start", "end"])
-
-        found = small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+                rows = [(n, *x) for n, t in enumerate(batch.column(1).to_pylist()) if t for x in matcher.matches(t)]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                cols = [batch.column(0).take(at), *[pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.int32()) for i in range(1, 5)]]
+                cols += [batch.column(2).take(at)] if key else []
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "start", "end", *([key] if key else [])])
+
+        found = texts.mapInArrow(run, schema)
+        found = cut(found) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns; rows with a
-    null doc_id stay."""
-    bad = cut(find_items(docs, benchmark, rate).select(F.col("doc_id").alias("__held_by")).distinct())
-    return docs.join(broadcast_if_small(bad, 500_000), F.col("doc_id") == F.col("__held_by"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all columns, whatever their names.
+
+    Rows are told apart by a hash of id and text, so rows that share an id are judged alone, and
+    those with a null id too; repeated rows go or stay together; null and empty texts stay; no
+    documents give no rows, no benchmark keeps all."""
+    (key,) = unused(docs, "key")
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    bad = cut(find_items(docs.select("doc_id", "text", own.alias(key)), benchmark, rate, key=key).select(key).distinct())
+    return docs.join(broadcast_if_small(bad, 500_000), own == bad[key], "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def test_search_matches_brute_force(spark, make_docs):
         for k, item in items:
             p = dc.normalise(item)
             d = brute(p, dc.normalise(t))
-            if len(p) >= dc.MIN_CHARS and d <= int(len(p) * dc.ERROR_RATE):
+            if d <= int(len(p) * dc.ERROR_RATE) if len(p) >= dc.MIN_CHARS else f" {p} " in f" {dc.normalise(t)} ":
                 want[(i, k)] = d
     assert got == want and want
     blocks = {(r["doc_id"], r["item_id"]): r["distance"] for r in dc.find_items(make_docs(docs), bench, block_chars=100).collect()}
@@ -59,10 +59,34 @@ def test_search_matches_brute_force(spark, make_docs):
 def test_places_and_rows(spark, make_docs):
     docs = make_docs([*enumerate(ODD), (90, f"So: {ITEM.title()}! End."), (91, "clean text of no interest"), (None, ITEM), (90, "again")])
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, ITEM), (3, "short")], "item_id long, text string")
-    rows = {r["doc_id"]: r for r in dc.find_items(docs, bench).collect()}
-    assert set(rows) == {90, None} and rows[90]["item_id"] == 1
+    found = dc.find_items(docs, bench).collect()
+    rows = {r["doc_id"]: r for r in found if r["item_id"] == 1}
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i) for d in (90, None) for i in (1, None)}
     assert (rows[90]["start"], rows[90]["end"]) == (4, 4 + len(ITEM))
-    kept = [r["doc_id"] for r in dc.decontaminate(docs, bench).collect()]
-    assert sorted(kept, key=str) == sorted([*range(len(ODD)), 91, None], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in dc.decontaminate(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([*enumerate(ODD), (91, "clean text of no interest"), (90, "again")], key=str)
+    assert dc.decontaminate(docs, bench).columns == docs.columns
     empty = spark.createDataFrame([], "item_id long, text string")
     assert dc.find_items(docs, empty).count() == 0 and dc.find_items(make_docs([]), bench).count() == 0
+    assert dc.decontaminate(docs, empty).count() == len(ODD) + 4 and dc.decontaminate(make_docs([]), bench).count() == 0
+
+
+def test_short_items_stand_as_they_are(spark, make_docs):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "2 + 2"), (3, "?!")], "item_id long, text string")
+    docs = [(1, "Q: what is the\ncapital of France, please"), (2, "what is the capital of Francesca"), (3, "what is the capital of Frence?"), (4, "2+2 = 4, 22"), (5, "12 2")]
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in dc.find_items(make_docs(docs), bench).collect()}
+    assert got == {(1, 1): (0, 3, 32), (4, 2): (0, 0, 3)}
+
+
+def test_offsets_survive_case_folding(spark, make_docs):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    text = "İİ İstanbul ΣΑΣ. " + ITEM.upper() + " İ"
+    r = dc.find_items(make_docs([(1, text)]), bench).first()
+    assert text[r["start"] : r["end"]] == ITEM.upper()
+
+
+def test_long_texts(spark, make_docs):
+    bench = spark.createDataFrame([(1, ITEM), (2, "word " * 400)], "item_id long, text string")
+    text = "lorem ipsum " * 20_000 + ITEM + " dolor" * 20_000
+    got = {r["doc_id"]: r for r in dc.find_items(make_docs([(1, text), (2, "word " * 30_000)]), bench).collect()}
+    assert text[got[1]["start"] : got[1]["end"]] == ITEM and (got[2]["item_id"], got[2]["distance"]) == (2, 0)
