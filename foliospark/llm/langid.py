@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import small_batches, table
+from foliospark.llm.common import cut, small_batches, table
 
-#: n-grams in a profile, languages at most (the most frequent ones), and n-grams counted at once.
+#: n-grams in a profile, languages whose profiles a task holds at once (others follow in further
+#: passes), and n-grams counted at once.
 TOP = 300
-MAX_LANGUAGES = 256
+AT_ONCE = 1024
 CHUNK = 1 << 21
 _NONE = (1 << 21) - 1
 _LETTERS: np.ndarray | None = None
@@ -69,15 +70,41 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(train: DataFrame) -> DataFrame:
-    """Profiles (lang, gram, place) of all rows of ``train`` (text, lang); null texts and
-    languages are left out. Counts add up over all texts; each language keeps TOP n-grams, places
-    from 0. Languages are bounded by MAX_LANGUAGES, the most frequent first."""
-    known = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    counts = known.where(F.col("lang").isin(langs)).select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
+    """Profiles (lang, gram, place) of all rows of ``train`` (text, lang), every language; null
+    texts and languages are left out. Counts add up over all whole texts, repeated rows too; each
+    language keeps its TOP most frequent n-grams, ties by code, places from 0. The ranking drops
+    what can't be among the TOP of a language before its shuffle. No rows give no profiles."""
+    known = small_batches(train).where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("place", place - 1).where(F.col("place") < TOP).select("lang", "gram", "place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    return total.withColumn("rank", rank).where(F.col("rank") <= TOP).select("lang", "gram", (F.col("rank") - 1).alias("place"))
+
+
+class Profiles:
+    """Places of n-grams in some languages' profiles, looked up by n-gram."""
+
+    def __init__(self, rows: list):
+        self.langs = sorted({r["lang"] for r in rows})
+        number = {x: i for i, x in enumerate(self.langs)}
+        gram = np.array([r["gram"] for r in rows], np.int64)
+        order = np.argsort(gram, kind="stable")
+        self.codes, first = np.unique(gram[order], return_index=True)
+        self.first = np.append(first, len(gram))
+        self.lang = np.array([number[r["lang"]] for r in rows], np.int64)[order]
+        self.place = np.array([r["place"] for r in rows], np.int64)[order]
+
+    def best(self, top: np.ndarray) -> tuple[int, str]:
+        """(cost, language) of least cost, then least name, for a document's ranked n-grams."""
+        at = np.searchsorted(self.codes, top)
+        known = self.codes[np.minimum(at, len(self.codes) - 1)] == top
+        at, ranks = at[known], np.flatnonzero(known)
+        size = self.first[at + 1] - self.first[at]
+        hits = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else np.empty(0, np.int64)
+        gain = TOP - np.abs(self.place[hits] - np.repeat(ranks, size))
+        cost = TOP * len(top) - np.bincount(self.lang[hits], gain, len(self.langs)).astype(np.int64)
+        i = int(cost.argmin())
+        return int(cost[i]), self.langs[i]
 
 
 def predict(docs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -86,34 +113,39 @@ def predict(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     A document's n-grams, most frequent first, are compared with each profile: a gram costs the
     distance of its two places, or TOP if the profile lacks it. The language of least cost wins,
     ties by code point; score is 1 - cost / largest cost. Null texts, texts without a letter and
-    an empty profile table give ``und`` and 0. Rows are independent and other columns ignored.
-    ``profiles`` has at most MAX_LANGUAGES x TOP rows and is collected.
+    an empty profile table give ``und`` and 0. Whole texts are read, however long; rows are
+    independent, so repeated rows give repeated results and no rows none; other columns are
+    ignored. Profiles come to the tasks in blocks of about AT_ONCE languages; with several
+    blocks, each pass keeps the best language so far.
     """
-    rows = profiles.collect()
-    langs = sorted({r["lang"] for r in rows})
-    codes = np.array(sorted({r["gram"] for r in rows}), np.int64)
-    places = np.full((len(codes) + 1, len(langs)), -1, np.int32)
-    for r in rows:
-        places[np.searchsorted(codes, r["gram"]), langs.index(r["lang"])] = r["place"]
-
-    def judge(text: str | None) -> tuple[str, float]:
-        found = grams(text) if text else ()
-        if not len(found) or not langs:
-            return "und", 0.0
-        top = ranked(found)
-        at = np.searchsorted(codes, top)
-        at = np.where((at < len(codes)) & (codes[np.minimum(at, len(codes) - 1)] == top), at, len(codes))
-        theirs = places[at]
-        cost = np.where(theirs < 0, TOP, np.abs(theirs - np.arange(len(top))[:, None])).sum(0)
-        best = int(cost.argmin())
-        return langs[best], 1 - float(cost[best]) / (TOP * len(top))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [judge(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    profiles = cut(profiles)
+    blocks = -(-profiles.select("lang").distinct().count() // AT_ONCE)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("cost", "long"), ("most", "long"))]
+    out = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *none)
+    for block in range(blocks):
+        rows = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block).collect()
+        if not rows:
+            continue
+        mine = Profiles(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = []
+                for text, lang, cost in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                    found = grams(text) if text else ()
+                    if len(found):
+                        top = ranked(found)
+                        least = min(mine.best(top), (cost, lang)) if lang is not None else mine.best(top)
+                        got.append((least[1], least[0], TOP * len(top)))
+                    else:
+                        got.append((None, None, None))
+                cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text", "lang_pred", "cost", "most"])
+
+        out = out.mapInArrow(run, "doc_id long, text string, lang_pred string, cost long, most long")
+        out = cut(out) if blocks > 1 else out
+    score = F.coalesce(1 - F.col("cost") / F.col("most"), F.lit(0.0))
+    return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
