@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import sigtree
-from foliospark.llm.common import broadcast_if_small, cut, small_batches, table
+from foliospark.llm.common import broadcast_if_small, cut, small_batches, table, unused
 from foliospark.llm.graph import components
 from foliospark.llm.shingles import fingerprint, mix, shingle_sets
 
-#: A token is noted as frequent from this share of the sets on; at most so many are noted.
+#: A token is noted as frequent from this share of the sets on; at most so many are noted, those
+#: beyond are found when their lists are made.
 FREQUENT = 1 / 512
 MOST_FREQUENT = 200_000
 #: Postings of a frequent token that meet in one list, and sets of a block of a cluster.
@@ -110,22 +111,26 @@ def _postings(docs: DataFrame, tokens: np.ndarray, lists: np.ndarray) -> DataFra
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The sorted rows again, in tables that never part rows with equal values in the first
     ``keys`` columns (integers)."""
-    rest: pa.Table | None = None
+    held: list[pa.Table] = []
+    last: tuple | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]).combine_chunks() if rest is not None else now
         cols = [now.column(k).to_numpy() for k in range(keys)]
-        change = np.zeros(len(now) - 1, bool)
+        change = np.zeros(len(now), bool)
+        change[0] = last is not None and last != tuple(c[0] for c in cols)
         for c in cols:
-            change |= c[1:] != c[:-1]
-        last = np.flatnonzero(change)
-        if len(last):
-            yield now.slice(0, int(last[-1]) + 1)
-            rest = now.slice(int(last[-1]) + 1)
-        else:
-            rest = now
-    if rest is not None and len(rest):
-        yield rest
+            change[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in cols)
+        if change.any():
+            at = int(np.flatnonzero(change)[-1])
+            yield pa.concat_tables([*held, now.slice(0, at)])
+            held = []
+            now = now.slice(at)
+        held.append(now)
+    if held:
+        yield pa.concat_tables(held)
 
 
 def _bounds(cols: list[np.ndarray]) -> np.ndarray:
@@ -137,7 +142,8 @@ def _bounds(cols: list[np.ndarray]) -> np.ndarray:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, part, ids, votes) of tokens in two sets or more. Rare tokens with the same sets
-    become one row with a null token, as far as a task sees them."""
+    become one row with a null token, as far as a task sees them; a token that wasn't noted and yet
+    has more than LIST sets is dealt like a noted one."""
     held: dict[bytes, int] = {}
 
     def flush() -> pa.RecordBatch:
@@ -154,6 +160,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = own[np.concatenate(([True], own[1:] != own[:-1]))]
             if part[lo] >= 0:
                 hot.append((int(token[lo]), int(part[lo]), own))
+            elif len(own) > LIST:
+                hot += [(int(token[lo]), k // LIST, own[k : k + LIST]) for k in range(0, len(own), LIST)]
             elif len(own) > 1:
                 key = own.tobytes()
                 held[key] = held.get(key, 0) + 1
@@ -281,13 +289,17 @@ def _meetings(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """(meeting, side, doc_id, class) that bring together all sets of different groups that share
     a prefix token.
 
-    Lists of rare tokens with the same first set are one meeting, the union of their sets. Of
-    frequent tokens whose largest group is the same, the sets outside that group (side 0), in
+    Lists of rare tokens with the same first set are one meeting, the union of their sets, or a
+    meeting each if that has more than 4 x LIST. Of frequent tokens whose largest group is the same, the sets outside that group (side 0), in
     lists of LIST by hash, meet all sets (side 1), in lists of LIST by hash.
     """
     named = lambda rows: rows.join(groups, F.col("doc_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("class"))
     rare = lists.where("part < 0").select(F.element_at("ids", 1).alias("meeting"), F.explode("ids").alias("doc_id")).distinct()
     rare = cut(named(rare))
+    large = cut(rare.groupBy("meeting").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * LIST).select(F.col("meeting").alias("large")))
+    if not large.isEmpty():
+        own = lists.where("part < 0").join(broadcast_if_small(large), F.element_at("ids", 1) == F.col("large")).select(F.xxhash64("ids").alias("meeting"), F.explode("ids").alias("doc_id"))
+        rare = cut(rare.join(broadcast_if_small(large), F.col("meeting") == F.col("large"), "left_anti").unionByName(named(own)))
     mixed = rare.groupBy("meeting").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select(F.col("meeting").alias("of"))
     inside = rare.join(mixed, F.col("meeting") == F.col("of")).select(F.xxhash64("meeting").alias("meeting"), F.lit(0).alias("side"), "doc_id", "class")
 
@@ -322,7 +334,8 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     A set is the distinct five-word shingles of the text, A-Z lower-cased; a shorter text is one
-    shingle; null texts and those without words have an empty set and link with nothing. Rows link
+    shingle; null texts and those without words have an empty set and link with nothing; texts are
+    read whole, however long. Rows link
     if 100 x overlap >= 75 x union. component_id is the smallest doc_id that links reach, the own
     one for a row alone. Rows of one doc_id count as one node; a row with a null doc_id links only
     with equal sets. No rows give none; other columns are ignored.
@@ -375,9 +388,18 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group: those whose doc_id is its component_id,
-    and rows with a null doc_id. All columns stay."""
-    others = ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("__other"), "left_anti")
+    and rows with a null doc_id. Of rows with equal id and text one stays. Rows of one id and
+    different texts stay or go together; null and empty texts are groups of their own; no rows give
+    none. All columns stay, whatever their names."""
+    key, other = unused(docs, "key", "other")
+    own = F.xxhash64("doc_id", "text")
+    twice = cut(docs.groupBy(own.alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key)))
+    if not twice.isEmpty():
+        again = broadcast_if_small(twice, 500_000)
+        first = docs.withColumn(other, own).join(again, F.col(other) == F.col(key), "left_semi").dropDuplicates([other]).drop(other)
+        docs = docs.join(again, own == F.col(key), "left_anti").unionByName(first)
+    others = ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

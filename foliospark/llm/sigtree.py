@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 
-FAN = 8
+#: Children of a node. Two, since the OR of more sets that have little in common has too many bits
+#: to bound anything.
+FAN = 2
+#: Sizes of a tree's members are put together in steps of this ratio.
+RATIO = 1.15
 #: Node pairs that are bounded at once.
 STEP = 1 << 13
 
 
 def width_of(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` tokens: a power of two from 2 n to 4 n, 64 at least."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of ``n`` tokens: a power of two from 4 n to 8 n, 64 at least."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -65,14 +69,18 @@ def _survivors(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.nda
     return i[keep], j[keep]
 
 
-def dual(a: Tree, b: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Member pairs (of ``a`` with ``b``, or of ``a`` with itself, i < j) that may link."""
+def dual(a: Tree, b: Tree | None = None, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Member pairs (of ``a`` with ``b``, or of ``a`` with itself, i < j) that may link. ``log``
+    takes (levels of both nodes, node pairs tried, pairs left) of each step."""
     same = b is None
     b = a if same else b
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while len(i):
+        tried = len(i)
         i, j = _survivors(a.levels[la], b.levels[lb], i, j)
+        if log is not None:
+            log.append((la, lb, tried, len(i)))
         if la == lb == 0:
             break
         if la >= lb:
@@ -95,7 +103,21 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return kids[keep], other[keep]
 
 
-def candidates(bits: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def leaf_order(bits: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """An order that puts alike members next to each other: those of one class, then by size in
+    steps of RATIO, then by the first and last bit set. The first bit is the least token modulo
+    the width, which alike sets share with a chance of their similarity, as in min-hashing."""
+    times = np.bincount(classes - classes.min())[classes - classes.min()]
+    step = (np.log(np.maximum(sizes, 1)) / np.log(RATIO)).astype(np.int64)
+    rows, used = np.arange(len(bits)), bits != 0
+    first, last = used.argmax(1), bits.shape[1] - 1 - used[:, ::-1].argmax(1)
+    low, high = bits[rows, first], bits[rows, last]
+    least = first * 64 + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1))
+    most = last * 64 + np.floor(np.log2(np.maximum(high, 1).astype(np.float64))).astype(np.int64)
+    return np.lexsort((most, least, step, np.where(times > 1, classes, -1)))
+
+
+def candidates(bits: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, side: np.ndarray | None = None, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that may link, of different classes. With ``side``, pairs have one place on
     each side (False, True).
 
@@ -105,21 +127,24 @@ def candidates(bits: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, s
     words = np.array([len(b) for b in bits])
     found = []
     sides = [np.ones(len(bits), bool)] if side is None else [~side, side]
-    order = np.lexsort((sizes, classes))
-    groups = [{int(w): order[(words[order] == w) & s[order]] for w in np.unique(words[s])} for s in sides]
+
+    def ordered(at: np.ndarray) -> np.ndarray:
+        return at[leaf_order(np.stack([bits[k] for k in at]), sizes[at], classes[at])]
+
+    groups = [{int(w): ordered(np.flatnonzero((words == w) & s)) for w in np.unique(words[s])} for s in sides]
     tree = lambda at, half: Tree(np.stack([fold(bits[k]) if half else bits[k] for k in at]), sizes[at], classes[at])
     for x, g in enumerate(groups):
         for w, at in g.items():
             own = tree(at, False)
             if side is None:
-                i, j = dual(own)
+                i, j = dual(own, log=log)
                 found.append((at[i], at[j]))
             elif x == 0 and w in groups[1]:
-                i, j = dual(own, tree(groups[1][w], False))
+                i, j = dual(own, tree(groups[1][w], False), log)
                 found.append((at[i], groups[1][w][j]))
             other = groups[-1 - x] if side is not None else g
             if 2 * w in other:
-                i, j = dual(own, tree(other[2 * w], True))
+                i, j = dual(own, tree(other[2 * w], True), log)
                 found.append((at[i], other[2 * w][j]))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)

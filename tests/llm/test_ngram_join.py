@@ -103,3 +103,39 @@ def test_components_of_a_chain_and_a_star(spark):
 def test_shingles():
     odd = [None, "", " ", "a", "a b c d", "a b c d e", "A b C D e f", "a  b\tc\nd\x0be f", "a b c d e a b c d e"]
     assert [len(x) for x in shingle_sets(odd)] == [len(sets_of(x)) for x in odd]
+
+
+def test_inner_nodes_cut_most_pairs():
+    """Of 1,024 sets in a meeting, half of them alike to another one, the tree's inner levels
+    leave few of the 524,800 member pairs, and no pair that links is among those cut."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    sets = [draw(rng.integers(129, 257)) for _ in range(768)]
+    sets += [np.concatenate((s[: len(s) - 8], draw(8))) for s in sets[:256]]
+    sets = [np.unique(sets[k]) for k in rng.permutation(len(sets))]
+    n = np.array([len(s) for s in sets])
+    log = []
+    i, j = sigtree.candidates([sigtree.bitmap(s, sigtree.width_of(len(s))) for s in sets], n, np.arange(len(sets)), log=log)
+    leaves = sum(tried for a, b, tried, _ in log if a == b == 0)
+    assert leaves < len(sets) * (len(sets) + 1) / 2 / 10
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) * 7 >= 3 * (n[a] + n[b])}
+    assert len(want) == 256 and want <= got
+
+
+def test_unnoted_tokens_and_large_unions_are_dealt(make_docs, monkeypatch):
+    """Nothing is noted as frequent and unions are split from a handful of sets on."""
+    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "LIST", 5)
+    docs = corpus(random.Random(12), 6, 40)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_groups(make_docs(docs)).collect()}
+    assert got == brute(docs)
+
+
+def test_one_of_repeated_rows_stays(make_docs):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = make_docs([(1, text), (1, text), (2, text), (3, None), (3, None), (None, text), (None, text), (4, "a b")])
+    rows = ngram_join.one_of_each(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in rows if r["text"]) == [("1", text), ("4", "a b"), ("None", text)]
+    assert sum(r["doc_id"] == 3 for r in rows) == 1 and ngram_join.one_of_each(docs).columns == docs.columns
+    assert ngram_join.one_of_each(make_docs([])).count() == 0
