@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from foliospark.operators import text as T
+
 #: Raw holdings, holdings with reported weights, and holdings without.
 RAW = """
 raw0 AS (
@@ -214,15 +216,22 @@ sr AS (
   FROM sh s LEFT JOIN (SELECT DISTINCT security_node_id AS key FROM e) d ON d.key = s.key
   LEFT JOIN (SELECT upper(security_ticker) AS t, count(DISTINCT security_node_id) AS n, min(security_node_id) AS one FROM e GROUP BY 1) t ON t.t = upper(s.key))"""
 BINARY = "bn AS (SELECT instrument_id, trading_date, CAST(forward_max_drawdown_20d >= 0.97 AS INTEGER) AS y, round(rolling_max_drawdown_20d, 9) AS score FROM mf WHERE forward_max_drawdown_20d IS NOT NULL AND rolling_max_drawdown_20d IS NOT NULL)"
-SCAN = (
-    ("private key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
-    ("forge token", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})\b"),
-    ("cloud access key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("service token", r"\b(?:sk-(?:proj-)?[A-Za-z0-9_-]{24,}|xox[baprs]-[A-Za-z0-9-]{20,})\b"),
-    ("credential assignment", r"""(?i)(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|secret)["'']?\s*[:=]\s*["''][A-Za-z0-9_+/.-]{20,}["'']"""),
-    ("environment credential", r"(?i)^[A-Z_]*(?:API_KEY|ACCESS_TOKEN|CLIENT_SECRET|PASSWORD)\s*=\s*[A-Za-z0-9_+/.-]{20,}\s*$"),
-    ("personal Linux path", r"/home/[A-Za-z0-9_.-]+/"),
-)
+_LINES = r"string_split_regex(text, '\r\n|[\n\x0b\f\r\x{85}\x{2028}\x{2029}]')"
+_quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+
+
+def redacted_sql() -> str:
+    """text.scrub without look-around or back references: one pass a kind of quote, for texts that
+    hold no mark yet."""
+    out = "text"
+    for q in "\"'":
+        out = f"regexp_replace({out}, {_quoted(T._ASSIGNED + q + T._SCHEME + rf'(?:\\.|[^{q}\\])+' + q)}, {_quoted(rf'\1{q}\2{T.MARK}{q}')}, 'g')"
+    bare = T._ASSIGNED + T._SCHEME + r"[^\s\"',;&)}\]\[][^\s\"',;&)}\]]*"
+    for pattern, new in ((bare, rf"\1\2{T.MARK}"), (T.BEARER, rf"\1{T.MARK}"), ("|".join(T.issued_pattern(*f) for _, *f in T.ISSUED), T.MARK), (T.EMAIL, "[REDACTED_EMAIL]")):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+    return out
+
+
 
 ORACLES |= {
     "market_features": MARKET + rnd(f"SELECT instrument_id, trading_date, open, high, low, close, volume, {F_NAMES.replace(" ", ", ")} FROM mf", F_NAMES, 6),
@@ -306,7 +315,9 @@ FROM (SELECT *, row_number() OVER o AS rk, sum(y) OVER o AS hits FROM bn WINDOW
     "tail_counts": RISK + """SELECT *, min(positives) OVER () >= 15 AND count(*) OVER () = 3 AS usable FROM (
   SELECT split, count(*) AS labelled, count(*) FILTER (forward_max_drawdown_20d >= 0.97) AS positives FROM rs WHERE split IN ('train', 'validation', 'test') AND forward_max_drawdown_20d IS NOT NULL GROUP BY split)""",
     "missingness": MARKET + rnd(" UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NULL AS INTEGER)) AS missing FROM mf" for c in F_NAMES.split()), "missing"),
-    "secret_scan": "WITH l AS (SELECT doc_id AS id, unnest(string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x{85}\\x{2028}\\x{2029}]')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\x0b\\f\\r\\x{85}\\x{2028}\\x{2029}]'), 1) AS nr FROM documents)\n"
-    + " UNION ALL ".join(f"SELECT id, CAST(nr AS INTEGER) AS line, '{reason}' AS reason FROM l WHERE regexp_matches(line, '{p}')" for reason, p in SCAN)
-    + r""" UNION ALL SELECT id, CAST(nr AS INTEGER), 'email address' FROM l WHERE len(list_filter(regexp_extract_all(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), lambda m: NOT regexp_matches(lower(m), '@(?:example\.(?:com|net|org)|[a-z0-9.-]+\.invalid)$'))) > 0""",
+    "secret_scan": f"WITH l AS (SELECT doc_id AS id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS nr FROM documents)\n"
+    + " UNION ALL ".join(f"SELECT id, CAST(nr AS INTEGER) AS line, '{reason}' AS reason FROM l WHERE regexp_matches(line, {_quoted(p)})" for reason, p in T.RULES)
+    + f" UNION ALL SELECT id, CAST(nr AS INTEGER), 'email address' FROM l WHERE len(list_filter(regexp_extract_all(line, {_quoted(T.EMAIL)}), lambda m: NOT regexp_matches(lower(m), {_quoted(T.RESERVED_MAIL)}))) > 0"
+    + f" UNION ALL SELECT doc_id, 0, 'large text' FROM documents WHERE length(text) >= {T.LARGE} UNION ALL SELECT doc_id, 0, 'zero byte' FROM documents WHERE contains(text, chr(0))",
+    "redact_text": f"WITH c AS (SELECT doc_id, text, {redacted_sql()} AS clean FROM documents) SELECT doc_id, text <> clean AS changed, CAST(length(clean) AS INTEGER) AS chars, CAST(len(regexp_extract_all(clean, '\\[REDACTED')) AS INTEGER) AS marks FROM c",
 }

@@ -172,6 +172,11 @@ def test_redaction(spark):
         "Authorization: Bearer abc.def": "Authorization: Bearer [REDACTED]",
         "token='x'": "token='[REDACTED]'",
         "plain text stays": "plain text stays",
+        "https://a.b/?apikey=zzz&symbol=Q": "https://a.b/?apikey=[REDACTED]&symbol=Q",
+        "Authorization: Basic dXNlcg== status=401": "Authorization: Basic [REDACTED] status=401",
+        '{"refresh-token": "a b", "provider": "x"}': '{"refresh-token": "[REDACTED]", "provider": "x"}',
+        "saw hf_" + "k" * 30 + " there": "saw [REDACTED] there",
+        "tokens = 12, secretary: Jo": "tokens = 12, secretary: Jo",
         "mail me at someone@mail.org": "mail me at [REDACTED_EMAIL]",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.scrub(F.col("t")).alias("out"), text.scrub(text.scrub(F.col("t"))).alias("again"))
@@ -179,12 +184,20 @@ def test_redaction(spark):
         assert r.out == cases[r.t] == r.again
     m = one(spark.range(1).select(text.scrub_config(F.create_map(*[F.lit(x) for x in ("api_key", "v", "depth", "3", "nested", '{"password": "p", "n": 1}')])).alias("m"))).m
     assert m == {"depth": "3", "nested": '{ "n": 1}'}
+    more = {"userAgent": "x", "monkey": "stays", "db-Password": "x", "j": '{"a": {"contactName": {"b": 1}, "c": 2}}'}
+    m = one(spark.range(1).select(text.scrub_config(F.create_map(*[F.lit(x) for kv in more.items() for x in kv])).alias("m"))).m
+    assert m == {"monkey": "stays", "j": '{"a": { "c": 2}}'}
 
 
 def test_secret_scan_tells_places_only(spark):
     docs = spark.createDataFrame([(1, "ok\nAKIA" + "A" * 16 + "\nmail a@b.org or x@example.com"), (2, None), (3, "x@example.org")], "id long, t string")
     got = {(r.id, r.line, r.reason) for r in text.secret_scan(docs, "id", "t").collect()}
-    assert got == {(1, 2, "cloud access key"), (1, 3, "email address")}
+    assert got == {(1, 2, "AWS key id"), (1, 3, "email address")}
+    scanned = lambda t, **k: {(r.line, r.reason) for r in text.secret_scan(spark.createDataFrame([(1, t)], "id long, t string"), "id", "t", **k).collect()}
+    hidden = "filler\n" * 400 + "DB_PASSWORD=" + "q7" * 12 + "\npath /home/" + "kim/notes\n\0"
+    assert scanned(hidden, large=1000) == {(401, "assigned credential"), (402, "home folder of a person"), (0, "large text"), (0, "zero byte")}
+    assert scanned("glpat-" + "x" * 20 + " -----BEGIN EC " + "PRIVATE KEY-----") == {(1, "GitLab token"), (1, "private key block")}
+    assert scanned("token: local\nmonkey = " + "b" * 30 + "\nme@box.test") == set()
 
 
 def test_neighbours(spark):
