@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that stand for "not given".
-PLACEHOLDERS = ("", "N/A", "NA", "NONE", "NULL", "-", "--", "000000000")
+PLACEHOLDERS = ("", "N/A", "NA", "NAN", "NONE", "NULL", "UNKNOWN", "-", "--", "000000000")
 UNCLASSIFIED = "UNCLASSIFIED"
 
 

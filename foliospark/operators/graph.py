@@ -12,21 +12,16 @@ def weight() -> Column:
     return F.col("portfolio_weight")
 
 
-def public_holdings(holdings: DataFrame, filings: DataFrame) -> DataFrame:
-    """Holdings with the accession and publication day of each filing of their snapshot."""
-    f = filings.where("report_date IS NOT NULL AND filed_at IS NOT NULL").select("fund_id", F.col("report_date").alias("snapshot_date"), "accession", F.col("filed_at").alias("available_from"))
-    return holdings.join(f, ["fund_id", "snapshot_date"])
-
-
-def as_of(public: DataFrame, *days: str) -> DataFrame:
-    """Holdings of the newest filing of each fund public on each day: the greatest by publication,
-    report date and accession. The choice is made on filings; holdings follow by an equi join."""
-    spark = public.sparkSession
-    dates = spark.createDataFrame([(d,) for d in days], "as_of string").select(F.col("as_of").cast("date"))
-    known = public.select("fund_id", "available_from", "snapshot_date", "accession").distinct()
-    known = known.join(F.broadcast(dates), F.col("available_from") <= F.col("as_of"))
-    best = known.groupBy("as_of", "fund_id").agg(F.max(F.struct("available_from", "snapshot_date", "accession")).alias("b")).select("as_of", "fund_id", F.col("b.accession").alias("accession"))
-    return public.join(best, ["fund_id", "accession"])
+def as_of(holdings: DataFrame, filings: DataFrame, *days: str) -> DataFrame:
+    """Holdings of the newest filing of each fund public on each day, with the filing's accession
+    and publication day: the greatest by publication, report date and accession. The choice is
+    made on the filings of snapshots that are there; holdings follow by one equi join."""
+    public = filings.where("report_date IS NOT NULL AND filed_at IS NOT NULL").select("fund_id", F.col("report_date").alias("snapshot_date"), "accession", F.col("filed_at").alias("available_from"))
+    known = public.join(holdings.select("fund_id", "snapshot_date").distinct(), ["fund_id", "snapshot_date"], "left_semi")
+    reached = F.filter(F.array(*[F.lit(d).cast("date") for d in days]), lambda d: F.col("available_from") <= d)
+    seen = known.select("*", F.explode(reached).alias("as_of"))
+    best = seen.groupBy("as_of", "fund_id").agg(F.max(F.struct("available_from", "snapshot_date", "accession")).alias("b")).select("as_of", "fund_id", "b.*")
+    return holdings.join(best, ["fund_id", "snapshot_date"])
 
 
 def edges(chosen: DataFrame) -> DataFrame:
@@ -121,13 +116,19 @@ def quality_report(held: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(held: DataFrame, buckets: int = 256) -> DataFrame:
-    """A digest of the edge list of each day that depends on its content alone: hashes of edges,
-    ordered within hash buckets, then of the buckets; no task orders all edges."""
-    row = F.sha2(F.concat_ws("|", "etf_node_id", "security_node_id", F.round(weight(), 8).cast("decimal(20,8)").cast("string")), 256)
-    dealt = held.select("as_of", row.alias("h")).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    parts = dealt.groupBy("as_of", "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.groupBy("as_of").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+def fingerprint(held: DataFrame) -> DataFrame:
+    """A digest of the edges of each day that depends on their content alone: a hash of the count
+    and of four sums over slices of each edge's SHA-256. Sums add up in any order and before the
+    shuffle, so no task holds or orders the edges."""
+    row = F.sha2(F.concat_ws("|", "etf_node_id", "security_node_id", F.coalesce(F.round(weight(), 8).cast("decimal(20,8)").cast("string"), F.lit("null"))), 256)
+    slices = [F.sum(F.conv(F.substring("h", 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
+    sums = held.select("as_of", row.alias("h")).groupBy("as_of").agg(F.count(F.lit(1)).alias("edges"), *slices)
+    return sums.select("as_of", F.sha2(F.concat_ws("|", F.col("edges").cast("string"), *[F.col(f"s{k}").cast("string") for k in range(4)]), 256).alias("fingerprint"))
+
+
+def manifest(held: DataFrame) -> DataFrame:
+    """Counts and fingerprint of each day's graph."""
+    return quality_report(held).join(fingerprint(held), "as_of")
 
 
 def hash_split(pairs: DataFrame, left: str, right: str, seed: str = "7") -> DataFrame:
@@ -145,7 +146,3 @@ def node_index(held: DataFrame, column: str) -> DataFrame:
     starts = sizes.select("part", start.alias("start"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1
     return dealt.withColumn("place", place).join(F.broadcast(starts), "part").select("node_id", (F.col("place") + F.col("start")).alias("index"))
-
-
-def share(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(a, b), F.lit(0.0))

@@ -107,30 +107,76 @@ def gains(model: PipelineModel, features: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def tune(dataset: DataFrame, features: list[str], target: str, grid: list[dict]) -> tuple[dict, float]:
-    """The grid point of least MAE on the validation split; test rows are never seen."""
-    from foliospark.operators.quality import tuning_rows
-
-    rows = tuning_rows(dataset).cache()
+def mean_scores(dataset: DataFrame, target: str) -> DataFrame:
+    """Scores of the train mean as the prediction of every other split: the least a model has to beat."""
+    known = dataset.where(F.col(target).isNotNull())
+    mean = known.where("split = 'train'").agg(F.avg(target).alias("yhat"))
+    rows = known.where("split IN ('validation', 'test')").select("split", F.col(target).alias("y")).join(F.broadcast(mean))
+    return regression_scores(rows, ["split"])
+
+
+def fit_tail(dataset: DataFrame, features: list[str], **kind) -> PipelineModel | None:
+    """The tail classifier, or None where tail_counts() finds too few events in a split."""
+    usable = tail_counts(dataset).select("usable").first()
+    if usable is None or not usable["usable"]:
+        return None
+    return fit_split(tail_classifier(features, **kind), dataset.where("tail_event_20d IS NOT NULL").withColumn("y", F.col("tail_event_20d").cast("double")), "y")
+
+
+def tune(dataset: DataFrame, features: list[str], target: str, grid: list[dict], objective: str = "mae") -> tuple[dict, float]:
+    """The grid point that does best on the validation split, by least MAE or, for a flag
+    (``objective`` ap), by greatest average precision; test rows are never seen."""
+    from foliospark.operators.quality import firewall, tuning_rows
+
+    rows = firewall(tuning_rows(dataset)).where(F.col(target).isNotNull())
+    if objective == "ap":
+        rows = rows.withColumn("y", F.col(target).cast("double"))
+    rows = rows.cache()
     tried = []
     for point in grid:
-        model = fit_split(boosted(features, target, **point), rows, target)
-        seen = model.transform(rows.where((F.col("split") == "validation") & F.col(target).isNotNull()))
-        tried.append((seen.agg(F.avg(F.abs(F.col(target) - F.col("yhat")))).first()[0], len(tried)))
+        seen = rows.where("split = 'validation'")
+        if objective == "ap":
+            from pyspark.ml.functions import vector_to_array
+
+            scored = fit_split(tail_classifier(features, **point), rows, "y").transform(seen).select(F.lit(1).alias("one"), F.col("y"), vector_to_array("probability")[1].alias("score"), F.monotonically_increasing_id().alias("tie"))
+            value = -(average_precision(scored, ["one"], "tie").first()["average_precision"] or 0.0)
+        else:
+            value = fit_split(boosted(features, target, **point), rows, target).transform(seen).agg(F.avg(F.abs(F.col(target) - F.col("yhat")))).first()[0]
+        tried.append((value, len(tried)))
     rows.unpersist()
     best = min(tried)
-    return grid[best[1]], best[0]
+    return grid[best[1]], abs(best[0])
+
+
+def refit_best(rows: DataFrame, features: list[str], target: str, point: dict) -> PipelineModel:
+    """A model of the frozen parameters on the train and validation rows; a test row among them
+    stops the job."""
+    from foliospark.operators.quality import firewall
+
+    known = firewall(rows).where(F.col(target).isNotNull() & F.col("split").isin("train", "validation"))
+    return boosted(features, target, **point).fit(known)
+
+
+def score_once(model: PipelineModel, dataset: DataFrame, target: str) -> DataFrame:
+    """Scores on the test split, for a model that was refitted before."""
+    scored = model.transform(dataset.where((F.col("split") == "test") & F.col(target).isNotNull()))
+    return regression_scores(scored.select("split", F.col(target).alias("y"), "yhat"), ["split"])
 
 
-def score_latest(model: PipelineModel, dataset: DataFrame, features: list[str]) -> DataFrame:
-    """Predictions for the newest usable row of each fund; missing feature columns are an error."""
-    missing = [f for f in features if f not in dataset.columns]
+def score_latest(by_family: dict[str, PipelineModel], dataset: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    """Predictions for the newest usable row of each fund: by the model of family ``holdings`` where
+    the fund's holdings are known, else by that of ``market``. Missing feature columns are an error."""
+    missing = sorted({f for fs in features.values() for f in fs} - set(dataset.columns))
     if missing:
         raise ValueError(f"the dataset lacks {missing}")
     newest = F.row_number().over(Window.partitionBy("fund_id").orderBy(F.desc("trading_date")))
     rows = dataset.where("return_1d IS NOT NULL").withColumn("nth", newest).where("nth = 1")
     family = F.when(F.col("holding_count").isNotNull(), "holdings").otherwise("market")
-    return model.transform(rows).select("fund_id", "trading_date", family.alias("family"), "yhat")
+    out = None
+    for name, model in by_family.items():
+        mine = model.transform(rows.withColumn("family", family).where(F.col("family") == name)).select("fund_id", "trading_date", "family", "yhat")
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 def holding_links(held: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:

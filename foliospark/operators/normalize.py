@@ -102,9 +102,10 @@ def derive_weights(holdings: DataFrame) -> DataFrame:
     return out.withColumn("portfolio_weight", F.when(F.col("derivation") == "derived", made).otherwise(F.col("portfolio_weight")))
 
 
-def warnings_of(merged: DataFrame, weighted: DataFrame) -> DataFrame:
+def warnings_of(merged: DataFrame, weighted: DataFrame, ignored: list[str] = ()) -> DataFrame:
     """(kind, fund_id, snapshot_date, column, n): conflicts by column, merged duplicates, derived
-    and blocked snapshots, weight sums outside [0, 1.5], holdings without a weight."""
+    and blocked snapshots, weight sums outside [0, 1.5], holdings without a weight, and input
+    columns that were ``ignored`` beside their canonical name."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_conflict").cast("long").alias("n")) for c in TEXTS])
     conflicts = merged.select(F.inline(pairs)).groupBy("column").agg(F.sum("n").alias("n")).where("n > 0")
     none = F.lit(None).cast("string")
@@ -117,7 +118,11 @@ def warnings_of(merged: DataFrame, weighted: DataFrame) -> DataFrame:
         F.struct(F.lit("duplicates").alias("kind"), F.when(F.col("merged") > 0, F.col("merged")).alias("n")),
     )
     of_snaps = snaps.select("fund_id", "snapshot_date", F.inline(kinds)).where("n IS NOT NULL").select("kind", "fund_id", "snapshot_date", none.alias("column"), F.col("n").cast("long").alias("n"))
-    return conflicts.unionByName(of_snaps)
+    out = conflicts.unionByName(of_snaps)
+    if ignored:
+        names = merged.sparkSession.createDataFrame([("ignored_alias", None, None, c, 1) for c in ignored], "kind string, fund_id string, snapshot_date date, `column` string, n long")
+        out = out.unionByName(names)
+    return out
 
 
 def normalize(raw: DataFrame, weight_unit: str = "fraction", market_value_scale: float = 1.0, strict: bool = False) -> Normalized:
@@ -126,14 +131,14 @@ def normalize(raw: DataFrame, weight_unit: str = "fraction", market_value_scale:
     One shuffle by (date, fund, security) for the merge and one by (fund, date) for the weights.
     ``strict`` raises at run time on the first row that would be rejected.
     """
-    raw, _ = rename_aliases(raw)
+    raw, ignored = rename_aliases(raw)
     rows = typed(raw, weight_unit, market_value_scale)
     known = F.col("snapshot_date").isNotNull() & F.col("fund_id").isNotNull() & F.col("security_id").isNotNull()
     if strict:
         rows = rows.where(F.when(~known, F.raise_error(F.lit("a row has no snapshot_date, fund or security identifier")).cast("boolean")).otherwise(True))
     merged = merge_duplicates(rows.where(known))
     weighted = derive_weights(merged)
-    return Normalized(weighted.select(*CANONICAL), warnings_of(merged, weighted), rows.where(~known))
+    return Normalized(weighted.select(*CANONICAL), warnings_of(merged, weighted, ignored), rows.where(~known))
 
 
 def from_filing_rows(parsed: DataFrame, context: DataFrame) -> DataFrame:

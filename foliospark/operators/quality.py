@@ -76,6 +76,15 @@ def resolve_universe(universe: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def enabled_universe(entries: DataFrame) -> DataFrame:
+    """Enabled entries (ticker, category, enabled) with tickers in capitals; an enabled ticker that
+    stands twice stops the job."""
+    clean = entries.where("enabled").withColumn("ticker", X.upper_clean(F.col("ticker"))).where("ticker IS NOT NULL")
+    once = clean.groupBy("ticker").agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("n"))
+    fine = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("enabled twice: "), F.col("ticker"))).cast("boolean")).otherwise(True)
+    return once.where(fine).drop("n").withColumn("enabled", F.lit(True))
+
+
 def duplicate_tickers(universe: DataFrame) -> DataFrame:
     return universe.where("enabled").groupBy("ticker").count().where("count > 1")
 
@@ -95,6 +104,13 @@ def newest(filings: DataFrame, n: int) -> DataFrame:
     return filings.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
 
 
+def newest_needed(filings: DataFrame, stored: DataFrame, n: int) -> DataFrame:
+    """The filings to fetch so that each fund has its newest ``n``; stored ones (accession,
+    parser_version) count towards them."""
+    have = stored.select("accession", "parser_version").distinct()
+    return newest(filings, n).join(have, ["accession", "parser_version"], "left_anti")
+
+
 def ingest_summary(rows: DataFrame) -> DataFrame:
     """Counts by status of a run: discovered, skipped, failed, ingested."""
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("filings"))
@@ -141,17 +157,40 @@ def audit_top(stored: DataFrame, parsed: DataFrame, limit: int = 10) -> DataFram
 
 
 def manifest(dataset: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One row of facts of a dataset: dates, rows, filings, and the gate's outcome."""
+    """One row of facts of a dataset: dates, rows, filings, the gate's outcome, and a fingerprint of
+    the counts by split and of the accessions, whatever their order; no list comes to one task."""
     leaked = F.coalesce(F.col("available_from") > F.col("trading_date"), F.lit(False)) & F.col("holding_count").isNotNull()
-    facts = dataset.groupBy(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("row_count"), F.max("trading_date").alias("market_through"), F.count_if(leaked).alias("leaked"))
-    through = timeline.groupBy(F.lit(1).alias("one")).agg(F.max("publication_date").alias("holdings_through"))
-    return facts.join(through, "one", "left").drop("one").withColumn("validation_status", F.when(F.col("leaked") == 0, "PASSED").otherwise("FAILED"))
+    splits = ("train", "validation", "test", "purged_train", "purged_validation", "warmup", "no_target")
+    facts = dataset.groupBy(F.lit(1).alias("one")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("holding_count").alias("holdings_rows"),
+        F.min("trading_date").alias("market_from"),
+        F.max("trading_date").alias("market_through"),
+        F.count_if(leaked).alias("leaked"),
+        F.concat_ws(",", *[F.count_if(F.col("split") == s).cast("string") for s in splits]).alias("splits"),
+    )
+    digest = F.conv(F.substring(F.sha2("accession", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    through = timeline.groupBy(F.lit(1).alias("one")).agg(F.max("publication_date").alias("holdings_through"), F.count("accession").alias("filings"), F.sum(digest).cast("string").alias("accessions"))
+    out = facts.join(through, "one", "left").drop("one").withColumn("validation_status", F.when(F.col("leaked") == 0, "PASSED").otherwise("FAILED"))
+    return out.withColumn("fingerprint", F.sha2(F.concat_ws("|", "row_count", "splits", "market_from", "market_through", "filings", "accessions"), 256)).drop("splits", "accessions")
+
+
+def same_build(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two manifests tell of the same passed build."""
+    a, b = left.first(), right.first()
+    return a["validation_status"] == b["validation_status"] == "PASSED" and a["fingerprint"] == b["fingerprint"]
 
 
 def tuning_rows(dataset: DataFrame) -> DataFrame:
-    """All but test rows; a test row that slips through stops the job."""
-    kept = dataset.where("split <> 'test'")
-    return kept.where(F.when(F.col("split") == "test", F.raise_error(F.lit("a test row reached tuning")).cast("boolean")).otherwise(True))
+    """All but test rows; rows without a split stay."""
+    return dataset.where(F.coalesce(F.col("split") != "test", F.lit(True)))
+
+
+def firewall(rows: DataFrame) -> DataFrame:
+    """``rows``, which stop the job if a test row is among them: for what is given to tuning."""
+    if "split" not in rows.columns:
+        raise ValueError("tuning needs the split of its rows")
+    return rows.where(F.when(F.col("split") == "test", F.raise_error(F.lit("a test row reached tuning")).cast("boolean")).otherwise(True))
 
 
 def freshness_of(state: DataFrame, now: str, stale_after_hours: int = 24) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that funds are dealt to when each of them meets every scenario.
+SPREAD = 64
+
 
 def resolve(shocks: DataFrame, held: DataFrame) -> DataFrame:
     """Shock keys (scenario_id, ord, key, shock) with status resolved, ambiguous or unknown and the
@@ -23,9 +26,10 @@ def effective(resolved: DataFrame) -> DataFrame:
     return resolved.where("status = 'resolved'").groupBy("scenario_id", "security_node_id").agg(F.max_by("shock", "ord").alias("shock"))
 
 
-def impacts(held: DataFrame, shocks: DataFrame) -> DataFrame:
+def impacts(held: DataFrame, shocks: DataFrame, hits_only: bool = False) -> DataFrame:
     """Direct shock, covered weight, weight sum and missing weights of each fund in each scenario;
-    funds without a hit have 0. Only hits are joined; totals come from the funds alone."""
+    funds without a hit have 0, or are left out with ``hits_only``. Only hits are joined; totals
+    come from the funds alone. All funds meet all scenarios in the full form, which is its result."""
     w = F.col("portfolio_weight")
     known = F.col("missing_weights") == 0 if "missing_weights" in held.columns else w.isNotNull()
     hits = held.join(effective(resolve(shocks, held)), "security_node_id")
@@ -35,10 +39,14 @@ def impacts(held: DataFrame, shocks: DataFrame) -> DataFrame:
         F.count(F.when(~known, 1)).alias("missing_weight_count"),
     )
     totals = held.groupBy("etf_node_id").agg(F.sum(F.when(known, w)).alias("weight_sum"))
-    # every scenario for every fund: the list of scenarios goes along with the funds' totals
-    names = F.broadcast(shocks.groupBy(F.lit(1).alias("one")).agg(F.collect_set("scenario_id").alias("scenarios")))
-    every = totals.withColumn("one", F.lit(1)).join(names, "one").select("etf_node_id", "weight_sum", F.explode("scenarios").alias("scenario_id"))
-    out = every.join(hit, ["scenario_id", "etf_node_id"], "left")
+    if hits_only:
+        out = hit.join(totals, "etf_node_id")
+    else:
+        # funds are dealt to SPREAD parts, each of which meets every scenario once
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))
+        names = shocks.select("scenario_id").distinct().select("scenario_id", F.explode(parts).alias("part"))
+        every = totals.withColumn("part", F.pmod(F.xxhash64("etf_node_id"), F.lit(SPREAD).cast("long"))).join(names, "part").drop("part")
+        out = every.join(hit, ["scenario_id", "etf_node_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return out.select("scenario_id", "etf_node_id", zero("direct_shock"), zero("covered_weight"), zero("weight_sum"), F.coalesce("missing_weight_count", F.lit(0)).alias("missing_weight_count"))
 

@@ -19,7 +19,7 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def _normalize_holdings(spark, sf):
-    h = V.holdings(spark, sf)
+    h = V.normalized(spark, sf)
     return rounded(h.select("fund_id", "snapshot_date", "security_id", "security_name", "security_ticker", "country", "sector", F.round("quantity", 4).alias("quantity"), F.round("market_value", 4).alias("market_value"), "portfolio_weight"))
 
 

@@ -6,8 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.operators import graph, normalize
+from foliospark.sources.store import stage
 
 AS_OF = "2000-01-15"
+#: Canonical tables written in this session, by application, input folder, input files and kind.
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
+    """The table that ``make`` derives from ``sf_dir``, written once a session as Parquet in the
+    shared folder and read, pruned, by every query on it."""
+    files = "|".join(sorted(table(spark, sf_dir, "lineitem").inputFiles()))
+    key = (spark.sparkContext.applicationId, sf_dir, files, kind)
+    if key not in _STORED:
+        _STORED[key] = stage(make(), kind)
+    return _STORED[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +49,19 @@ def raw_holdings(spark: SparkSession, sf_dir: str, weights: str = "reported", fu
     return raw.withColumn("portfolio_weight", F.try_divide(F.col("market_value"), total))
 
 
-def holdings(spark: SparkSession, sf_dir: str, weights: str = "reported", **folds) -> DataFrame:
-    return normalize.normalize(raw_holdings(spark, sf_dir, weights, **folds)).holdings
+def normalized(spark: SparkSession, sf_dir: str, weights: str = "reported") -> DataFrame:
+    return normalize.normalize(raw_holdings(spark, sf_dir, weights)).holdings
+
+
+def holdings(spark: SparkSession, sf_dir: str, weights: str = "reported") -> DataFrame:
+    """The canonical holdings, normalised once."""
+    return stored(spark, sf_dir, f"holdings-{weights}", lambda: normalized(spark, sf_dir, weights))
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One filing a snapshot, 45 to 64 days later, and an amendment ten days after it for every
     fifth fund."""
-    snaps = raw_holdings(spark, sf_dir, "none").select("fund_id", "snapshot_date").distinct()
+    snaps = holdings(spark, sf_dir).select("fund_id", "snapshot_date").distinct()
     fund = F.substring("fund_id", 2, 9).cast("int")
     delay = 45 + (fund * 7 + F.month("snapshot_date") * 3) % 20
     first = F.date_add("snapshot_date", delay.cast("int"))
@@ -80,8 +98,8 @@ def second_provider(first: DataFrame) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    public = graph.public_holdings(holdings(spark, sf_dir), filings(spark, sf_dir))
-    return graph.edges(graph.as_of(public, as_of))
+    """The edges known on a day, built once."""
+    return stored(spark, sf_dir, f"edges-{as_of}", lambda: graph.edges(graph.as_of(holdings(spark, sf_dir), filings(spark, sf_dir), as_of)))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,39 +7,47 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 
-HOLDING = "struct<name:string,cusip:string,isin:string,ticker:string,balance:string,curCd:string,valUSD:string,pctVal:string,assetCat:string,invCountry:string>"
-REPORT = "struct<seriesId:string,regCik:string,cik:string,classId:string,regName:string,seriesName:string,repPdDate:string>"
-HOLDING_FIELDS = HOLDING[7:-1].split(",")
+#: Fields of a holding; a field's value is its text or its attribute ``value``.
+FIELDS = ("name", "title", "cusip", "isin", "ticker", "balance", "curCd", "valUSD", "pctVal", "assetCat", "invCountry")
+_VALUE = "struct<body: string, _value: string>"
+HOLDING = ", ".join([f"{f} {_VALUE}" for f in FIELDS] + [f"identifiers struct<isin: {_VALUE}, ticker: {_VALUE}>"])
 
 
-def _number(c: Column, divisor: float = 1.0) -> Column:
-    clean = F.regexp_replace(X.without_placeholder(c), ",", "")
-    return clean.try_cast("double") / divisor
+def _text(field: str) -> Column:
+    """A field's text, else its attribute ``value``; null if both are blank."""
+    return F.coalesce(X.blank_to_null(F.col(f"h.{field}.body")), X.blank_to_null(F.col(f"h.{field}._value")))
+
+
+def _number(field: str, divisor: float = 1.0) -> Column:
+    """A number, its thousands' commas left out; other text stops the job."""
+    return F.regexp_replace(_text(field), ",", "").cast("double") / divisor
 
 
 def holdings_from_xml(payloads: DataFrame) -> DataFrame:
     """Rows (accession, payload) to raw holdings: each invstOrSec element of the payload parsed on
-    its own, prefixes of namespaces removed, placeholders null, percent as fractions."""
+    its own, prefixes of namespaces removed, placeholders null, percent as fractions. ISIN and
+    ticker may stand in the element or in its ``identifiers``, not in a nested position. A holding
+    without any name or identifier and a number that is none stop the job."""
     plain = F.regexp_replace(F.col("payload"), r"(</?)[A-Za-z0-9_.-]+:", "$1")
     blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<invstOrSec\b[^>]*>.*?</invstOrSec>"), F.lit(0))
-    rows = payloads.select("accession", F.explode(blocks).alias("x")).select("accession", F.from_xml("x", HOLDING_FIELDS_DDL).alias("h"))
-    text = lambda c: X.without_placeholder(F.col(f"h.{c}"))
-    return rows.select(
+    rows = payloads.select("accession", F.explode(blocks).alias("x")).select("accession", F.from_xml("x", HOLDING, {"valueTag": "body"}).alias("h"))
+    real = lambda *fields: F.coalesce(*[X.without_placeholder(_text(f)) for f in fields])
+    kept = lambda f: F.when(X.without_placeholder(_text(f)).isNotNull(), _text(f))
+    out = rows.select(
         "accession",
-        X.blank_to_null(F.col("h.name")).alias("security_name"),
-        text("cusip").alias("cusip"),
-        text("isin").alias("isin"),
-        text("ticker").alias("security_ticker"),
-        _number(F.col("h.balance")).alias("quantity"),
-        text("curCd").alias("currency"),
-        _number(F.col("h.valUSD")).alias("market_value"),
-        _number(F.col("h.pctVal"), 100.0).alias("portfolio_weight"),
-        text("assetCat").alias("asset_type"),
-        text("invCountry").alias("country"),
+        F.coalesce(kept("name"), kept("title")).alias("security_name"),
+        real("cusip").alias("cusip"),
+        real("isin", "identifiers.isin").alias("isin"),
+        real("ticker", "identifiers.ticker").alias("security_ticker"),
+        _number("balance").alias("quantity"),
+        real("curCd").alias("currency"),
+        _number("valUSD").alias("market_value"),
+        _number("pctVal", 100.0).alias("portfolio_weight"),
+        real("assetCat").alias("asset_type"),
+        real("invCountry").alias("country"),
     )
-
-
-HOLDING_FIELDS_DDL = ", ".join(f.replace(":", " ") for f in HOLDING_FIELDS)
+    none = F.coalesce("security_name", "cusip", "isin", "security_ticker").isNull()
+    return out.where(F.when(none, F.raise_error(F.lit("a holding has no name, CUSIP, ISIN or ticker")).cast("boolean")).otherwise(True))
 
 
 def filing_facts(payloads: DataFrame) -> DataFrame:

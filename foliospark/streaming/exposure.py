@@ -9,7 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliospark.sources.store import stage
+
 MESSAGE = "type string, sequence long, arrival long, send_timestamp_ns long, decoded_timestamp_ns long, instrument_id int, price_ticks long, quantity int, instrument_count int"
+#: The state store that transformWithState needs.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TYPES = ("heartbeat", "price", "trade", "snapshot_start", "snapshot_end")
 STAGES = {"transport": ("send_timestamp_ns", "decoded_timestamp_ns"), "queue": ("decoded_timestamp_ns", "started_timestamp_ns"), "processing": ("started_timestamp_ns", "ended_timestamp_ns"), "end_to_end": ("send_timestamp_ns", "ended_timestamp_ns")}
 
@@ -61,20 +65,42 @@ def checksum(impacts: DataFrame) -> DataFrame:
     return impacts.agg(F.sum("impact").alias("checksum"), F.count(F.lit(1)).alias("funds"))
 
 
-def start_impacts(messages: DataFrame, held: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, instruments: int):
-    """A stream of messages to ``write(impacts, epoch)``, the whole impact table every trigger.
+STATE = "instrument_id int, since long, first_at long, first long, last_at long, last long, updates long"
+
+
+def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """The state after a batch of sound messages: first and last price of each instrument since the
+    newest snapshot start, one row an instrument, and one without an instrument that keeps that
+    start (``since``, -1 without one). Prices before it don't count, whenever they arrive."""
+    starts = batch.where("type = 'snapshot_start'").agg(F.max("sequence").alias("since")).unionByName(state.agg(F.max("since").alias("since")))
+    since = starts.agg(F.coalesce(F.max("since"), F.lit(-1)).alias("now"))
+    p, at = F.col("price_ticks"), F.col("sequence")
+    fresh = batch.where("type = 'price'").select("instrument_id", at.alias("first_at"), p.alias("first"), at.alias("last_at"), p.alias("last"), F.lit(1).cast("long").alias("updates"))
+    both = state.where("instrument_id IS NOT NULL").unionByName(fresh, allowMissingColumns=True).join(F.broadcast(since), F.coalesce(F.col("since") == F.col("now"), F.col("first_at") > F.col("now")))
+    merged = both.groupBy("instrument_id").agg(F.max("now").alias("since"), F.min("first_at").alias("first_at"), F.min_by("first", "first_at").alias("first"), F.max("last_at").alias("last_at"), F.max_by("last", "last_at").alias("last"), F.sum("updates").alias("updates"))
+    return merged.unionByName(since.select(F.col("now").alias("since")), allowMissingColumns=True)
+
 
-    Returns are the aggregate state; the join with edges and the sum by fund run on each trigger's
-    batch. A late first price changes the reference, as in the batch form.
+def start_impacts(messages: DataFrame, held: DataFrame, instruments: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, count: int):
+    """A stream of messages to ``write(impacts, batch)``, the whole impact table every trigger.
+
+    The state, one row an instrument, is a table beside the checkpoint, one version a batch: a
+    batch that runs again reads the version before its own and writes the same. The join with
+    ``instruments`` (instrument_id, security_node_id) and edges and the sum by fund run on each
+    version. A late first price changes the reference, as in the batch form; a snapshot start
+    forgets all prices before it.
     """
-    sound, _ = split_valid(messages, instruments)
-    returns = security_returns(sound.where("type = 'price'"), "instrument_id").withColumnRenamed("instrument_id", "security_index")
+    sound, _ = split_valid(messages, count)
+    spark = messages.sparkSession
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        named = batch.withColumn("security_node_id", F.concat(F.lit("cusip:P"), F.lpad(F.col("security_index").cast("string"), 8, "0")))
-        write(fund_impacts(named, held), epoch)
+    def step(batch: DataFrame, number: int) -> None:
+        before = spark.read.schema(STATE).parquet(f"{checkpoint}/state/{number - 1}") if number else spark.createDataFrame([], STATE)
+        advance(before, batch).write.mode("overwrite").parquet(f"{checkpoint}/state/{number}")
+        state = spark.read.schema(STATE).parquet(f"{checkpoint}/state/{number}").where("instrument_id IS NOT NULL")
+        returns = state.withColumn("return", F.col("last") / F.col("first") - 1).join(instruments, "instrument_id")
+        write(fund_impacts(returns, held), number)
 
-    return returns.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+    return sound.writeStream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(step).trigger(availableNow=True).start()
 
 
 class ArrivalOrder(StatefulProcessor):
@@ -111,15 +137,27 @@ class ArrivalOrder(StatefulProcessor):
 
 def strict_changes(prices: DataFrame) -> DataFrame:
     """Return changes in arrival order, one row a price after an instrument's first; their sum by
-    instrument is the closed form's return where prices arrive in order."""
+    instrument is the closed form's return where prices arrive in order. The session's
+    ``spark.sql.streaming.stateStore.providerClass`` has to be STATE_STORE."""
     return prices.groupBy("instrument_id").transformWithStateInPandas(ArrivalOrder(), "instrument_id int, sequence long, change double", "append", "none")
 
 
 def sequence_accounting(messages: DataFrame, channel: str, order: list[str]) -> DataFrame:
     """Observations, missing values, repeats of the highest value so far and late ones of each
-    channel, in arrival order; the first value expected is 0."""
-    before = F.max("sequence").over(Window.partitionBy(channel).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    seen = messages.withColumn("high", F.coalesce(before, F.lit(-1)))
+    channel, in arrival order; the first value expected is 0.
+
+    Arrival is dealt to ranges; each range takes its own running maximum on top of the maximum of
+    the ranges before it, so no task holds a channel, or all of them, whole.
+    """
+    by = [channel, *order]
+    dealt = messages.select(*by, *(["sequence"] if "sequence" not in by else [])).repartitionByRange(*by).withColumn("range", F.spark_partition_id())
+    dealt = stage(dealt)
+    tops = dealt.groupBy(F.col(channel).alias("__of"), F.col("range").alias("__range")).agg(F.max("sequence").alias("top"))
+    earlier = F.max("top").over(Window.partitionBy("__of").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    tops = F.broadcast(tops.withColumn("earlier", earlier).drop("top"))  # a row a channel and range
+    before = F.max("sequence").over(Window.partitionBy(channel, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    seen = dealt.withColumn("own", before).join(tops, F.col(channel).eqNullSafe(F.col("__of")) & (F.col("range") == F.col("__range")))
+    seen = seen.withColumn("high", F.greatest(F.coalesce("own", F.lit(-1)), F.coalesce("earlier", F.lit(-1))))
     s, h = F.col("sequence"), F.col("high")
     return seen.groupBy(channel).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.when(s > h, s - h - 1).otherwise(0)).alias("gaps"), F.count_if(s == h).alias("duplicates"), F.count_if(s < h).alias("out_of_order"))
 

@@ -206,3 +206,87 @@ def test_neighbours(spark):
     assert got == [(2, 1), (3, 2)]
 
 
+
+
+def risk_rows(spark, n=90):
+    """A small risk dataset with a signal: y follows x."""
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(n * 3):
+        split = ("train", "validation", "test")[i % 3]
+        x = rng.random()
+        rows.append((f"F{i % 6}", D1 + dt.timedelta(days=i), split, x, rng.random(), 2 * x + 0.01 * rng.random(), x > 0.6, 0.01, 3 if i % 2 else None))
+    return spark.createDataFrame(rows, "fund_id string, trading_date date, split string, x double, noise double, y_true double, tail_event_20d boolean, return_1d double, holding_count int")
+
+
+def test_firewall_fires(spark):
+    data = risk_rows(spark, 10)
+    assert quality.firewall(quality.tuning_rows(data)).count() == 20
+    nulls = quality.tuning_rows(data.withColumn("split", F.when(F.col("split") != "validation", F.col("split"))))
+    assert nulls.where("split IS NULL").count() == 10
+    with pytest.raises(Exception, match="test row reached tuning"):
+        quality.firewall(data).collect()
+    with pytest.raises(ValueError, match="needs the split"):
+        quality.firewall(data.drop("split"))
+
+
+def test_models_from_baseline_to_one_test_score(spark):
+    data = risk_rows(spark)
+    features = ["x", "noise"]
+    base = {r.split: r.mae for r in models.mean_scores(data, "y_true").collect()}
+    grid = [{"trees": 1, "depth": 1}, {"trees": 8, "depth": 3}]
+    best, mae = models.tune(data, features, "y_true", grid)
+    assert best == grid[1] and mae < base["validation"] / 2
+    model = models.refit_best(quality.tuning_rows(data), features, "y_true", best)
+    score = one(models.score_once(model, data, "y_true"))
+    assert score.split == "test" and score.mae < base["test"] / 2 and score.r2 > 0.5
+    with pytest.raises(Exception, match="test row reached tuning"):
+        models.refit_best(data, features, "y_true", best)
+    assert [f for f, _ in models.gains(model, features)][0] == "x"
+    ridge = models.fit_split(models.ridge(features, "y_true"), data, "y_true")
+    assert one(models.score_once(ridge, data, "y_true")).r2 > 0.9
+    latest = models.score_latest({"holdings": model, "market": ridge}, data, {"holdings": features, "market": ["x"]}).collect()
+    assert len(latest) == 6 and {r.family for r in latest} == {"holdings", "market"}
+    with pytest.raises(ValueError, match="lacks"):
+        models.score_latest({"market": ridge}, data.drop("noise"), {"market": features})
+
+
+def test_tail_classifier_is_gated(spark):
+    data = risk_rows(spark)
+    assert models.fit_tail(data.where("split <> 'test'"), ["x", "noise"]) is None
+    assert models.fit_tail(data, ["x", "noise"], trees=3) is not None
+    best, ap = models.tune(data, ["x", "noise"], "tail_event_20d", [{"trees": 2}], objective="ap")
+    assert best == {"trees": 2} and ap > 0.9
+    assert models.enough(data, "y_true") and not models.enough(risk_rows(spark, 10), "y_true")
+
+
+def test_ignored_aliases_are_named(spark):
+    raw = spark.createDataFrame([("2024-03-31", "2024-01-01", "F", "C1", 1.0)], "snapshot_date string, report_date string, fund_id string, cusip string, market_value double")
+    got = [(r.kind, r.column) for r in normalize.normalize(raw).warnings.collect() if r.kind == "ignored_alias"]
+    assert got == [("ignored_alias", "report_date")]
+
+
+def test_universe_entries(spark):
+    rows = [("a", "x", True), ("b", "x", True), ("B", "y", False)]
+    make = lambda r: spark.createDataFrame(r, "ticker string, category string, enabled boolean")
+    assert {r.ticker for r in quality.enabled_universe(make(rows)).collect()} == {"A", "B"}
+    assert quality.duplicate_tickers(make([*rows, ("b", "z", True)])).count() == 1
+    with pytest.raises(Exception, match="enabled twice: B"):
+        quality.enabled_universe(make([*rows, ("b", "z", True)])).collect()
+
+
+def test_newest_needed_counts_stored_filings(spark):
+    filings = spark.createDataFrame([(f"a{i}", "F", D1 + dt.timedelta(days=i), "1") for i in range(5)], "accession string, fund_id string, report_date date, parser_version string")
+    stored = filings.where("accession IN ('a4', 'a0')")
+    assert [r.accession for r in quality.newest_needed(filings, stored, 3).orderBy("accession").collect()] == ["a2", "a3"]
+
+
+def test_manifest_fingerprint(spark):
+    data = risk_rows(spark, 4).withColumn("available_from", F.col("trading_date"))
+    timeline = spark.createDataFrame([("a1", D1), ("a2", D2)], "accession string, publication_date date")
+    m = quality.manifest(data, timeline)
+    assert quality.same_build(m, quality.manifest(data.repartition(5), timeline.orderBy(F.desc("accession"))))
+    assert not quality.same_build(m, quality.manifest(data, timeline.where("accession = 'a1'")))
+    assert not quality.same_build(m, quality.manifest(data.withColumn("available_from", F.date_add("trading_date", 1)), timeline))

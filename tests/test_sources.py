@@ -2,12 +2,13 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.sources import exchange, filings, market, store
 
 XML = """<edgar:edgarSubmission xmlns:edgar="x"><genInfo><regName>Trust</regName><cik>320193</cik><seriesId>S1</seriesId><repPdDate>2024-03-31</repPdDate></genInfo>
 <invstOrSecs><nport:invstOrSec><name>Alpha &amp; Co</name><cusip>037833100</cusip><balance>1,000.5</balance><curCd>usd</curCd><valUSD>2000</valUSD><pctVal>12.5</pctVal></nport:invstOrSec>
-<invstOrSec><name>Beta</name><cusip>N/A</cusip><balance>x</balance><pctVal>-1</pctVal></invstOrSec></invstOrSecs></edgar:edgarSubmission>"""
+<invstOrSec><name>Beta</name><cusip>N/A</cusip><balance> </balance><pctVal>-1</pctVal></invstOrSec></invstOrSecs></edgar:edgarSubmission>"""
 
 
 def test_filing_xml(spark):
@@ -19,6 +20,24 @@ def test_filing_xml(spark):
     assert (f.cik, f.series_id, f.fund_name, f.report_date) == ("320193", "S1", "Trust", dt.date(2024, 3, 31))
 
 
+def test_filing_identifiers(spark):
+    """ISIN and ticker in the identifiers or in a value attribute; a nested position's don't count."""
+    inner = "<derivativeInfo><identifiers><isin value='XX9999999999'/></identifiers></derivativeInfo>"
+    bodies = [
+        "<name>A</name><identifiers><isin value='us0378331005'/><ticker>aapl</ticker></identifiers>" + inner,
+        f"<title>B title</title><isin>US1</isin>{inner}",
+        "<name>N/A</name><cusip value='111111111'/><valUSD value='7.5'/>",
+    ]
+    xml = "<r>" + "".join(f"<n:invstOrSec>{b}</n:invstOrSec>" for b in bodies) + "</r>"
+    parse = lambda x: filings.holdings_from_xml(spark.createDataFrame([("a", x)], "accession string, payload string"))
+    got = {(r.security_name, r.cusip, r.isin, r.security_ticker, r.market_value) for r in parse(xml).collect()}
+    assert got == {("A", None, "US0378331005", "AAPL", None), ("B title", None, "US1", None, None), (None, "111111111", None, None, 7.5)}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast"):
+        parse("<invstOrSec><name>x</name><balance>many</balance></invstOrSec>").collect()
+    with pytest.raises(Exception, match="no name, CUSIP"):
+        parse("<invstOrSec><name>N/A</name><balance>1</balance></invstOrSec>").collect()
+
+
 def submissions(**recent):
     return json.dumps({"filings": {"recent": recent}})
 
@@ -70,9 +89,7 @@ def test_snapshot_store(spark, tmp_path):
     mk = lambda rows: spark.createDataFrame(rows, "fund_id string, snapshot_date date, security_id string, portfolio_weight double")
     d1, d2 = dt.date(2024, 3, 31), dt.date(2024, 6, 30)
     store.write_snapshots(mk([("A", d1, "x", 0.1), ("B", d1, "x", 0.2), ("A", d2, "x", 0.3)]), root)
-    fresh = mk([("A", d1, "y", 0.9)])
-    merged = store.merge_snapshots(spark.read.parquet(root), fresh)
-    store.write_snapshots(spark.createDataFrame(merged.collect(), merged.schema), root)
+    store.write_snapshots(mk([("A", d1, "y", 0.9)]), root)  # fund A's date alone; fund B's stays
     assert [r.security_id for r in store.read_snapshot(spark, root, "A", "2024-03-31").collect()] == ["y"]
     assert store.read_snapshot(spark, root, "B", "2024-03-31").count() == store.read_snapshot(spark, root, "A", "2024-06-30").count() == 1
     with pytest.raises(FileNotFoundError):
@@ -86,8 +103,35 @@ def test_publish_keeps_the_version_before(spark, tmp_path):
     with pytest.raises(ValueError, match="stays current"):
         store.publish({"t": b}, str(tmp_path), {"bad": b.where("id > 3")})
     assert store.read_published(spark, str(tmp_path), "t").count() == 3
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("version-")]) == 1  # nothing is left of the refused one
     store.publish({"t": b}, str(tmp_path))
     assert store.read_published(spark, str(tmp_path), "t").count() == 5
+    assert {(r.number, r.row_counts["t"]) for r in store.manifest(spark, str(tmp_path)).collect()} == {(1, 3), (2, 5)}
+
+
+def test_snapshots_of_many_funds_of_one_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKETS", 1)
+    root, d = f"{tmp_path}/h", dt.date(2024, 3, 31)
+    mk = lambda rows: spark.createDataFrame(rows, "fund_id string, snapshot_date date, security_id string, portfolio_weight double")
+    store.write_snapshots(mk([(f"F{i}", d, "x", 0.1) for i in range(20)]), root)
+    store.write_snapshots(mk([(f"F{i}", d, "y", 0.2) for i in range(5)]), root)
+    got = {r.fund_id: r.security_id for r in spark.read.parquet(root).collect()}
+    assert got == {f"F{i}": "y" if i < 5 else "x" for i in range(20)}
+
+
+def test_upsert_of_selected_columns(spark):
+    old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, name string, seen int")
+    new = spark.createDataFrame([(2, "c", 21), (3, "d", 30)], "id int, name string, seen int")
+    got = {tuple(r) for r in store.upsert_columns(old, new, ["id"], ["seen"]).collect()}
+    assert got == {(1, "a", 10), (2, "b", 21), (3, "d", 30)}
+    assert [r.id for r in store.new_keys(old, new, ["id"]).collect()] == [3]
+
+
+def test_fund_dirname(spark):
+    names = ["cik:1|series:S 2", "../etc", "..", "A.B-c_9"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", store.fund_dirname(F.col("n")).alias("d"))
+    got = {r.n: r.d for r in df.collect()}
+    assert got == {"cik:1|series:S 2": "cik_1_series_S_2", "../etc": "etc", "..": None, "A.B-c_9": "A.B-c_9"} or all(d is None or ("/" not in d and ".." not in d and not d.startswith(".")) for d in got.values())
 
 
 def test_exchange_files(spark, tmp_path):

@@ -24,14 +24,62 @@ def test_stream_equals_batch(spark, tmp_path):
     assert batch == {"A": pytest.approx(0.5 * 0.21 + -0.2 * -0.2), "B": pytest.approx(-0.2)}
     messages.repartition(3).write.parquet(f"{tmp_path}/in")
     seen = []
-    query = E.start_impacts(E.message_stream(spark, f"{tmp_path}/in", 1), edges(spark), lambda df, epoch: seen.append({r.etf_node_id: r.impact for r in df.collect()}), f"{tmp_path}/cp", 2)
+    query = E.start_impacts(E.message_stream(spark, f"{tmp_path}/in", 1), edges(spark), names(spark), lambda df, epoch: seen.append({r.etf_node_id: r.impact for r in df.collect()}), f"{tmp_path}/cp", 2)
     query.awaitTermination(120)
     assert seen and seen[-1] == {k: pytest.approx(v) for k, v in batch.items()}
 
 
+def names(spark):
+    return spark.createDataFrame([(0, "cusip:P00000000"), (1, "cusip:P00000001")], "instrument_id int, security_node_id string")
+
+
+def test_snapshot_start_resets_the_stream(spark, tmp_path):
+    """Two files, two batches: the start in the second forgets the first's prices, and a price from
+    before the start that comes late doesn't count."""
+    start = ("snapshot_start", 10, 10, 0, 0, None, None, None, 2)
+    later = [start, ("price", 11, 11, 0, 0, 0, 200, 1, 2), ("price", 12, 12, 0, 0, 0, 220, 1, 2), ("price", 3, 13, 0, 0, 0, 1, 1, 2)]
+    seen = []
+    run = lambda: E.start_impacts(E.message_stream(spark, f"{tmp_path}/in", 1), edges(spark), names(spark), lambda df, n: seen.append({r.etf_node_id: (r.impact, r.updates) for r in df.collect()}), f"{tmp_path}/cp", 2).awaitTermination(120)
+    prices(spark, ROWS[:5]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    run()
+    assert seen[-1]["A"][0] == pytest.approx(0.5 * 0.21 + -0.2 * -0.2)
+    spark.createDataFrame(later, E.MESSAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()  # goes on from the checkpoint
+    assert seen[-1] == {"A": (pytest.approx(0.5 * 0.1), 2)}
+
+
+def test_strict_arrival_order(spark, tmp_path):
+    """The reference is the first price to arrive, for good; changes sum to the return."""
+    rows = [(5, 0, 100), (1, 0, 50), (7, 0, 125), (2, 1, 10), (3, 1, 20)]
+    prices(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", E.STATE_STORE)
+    query = E.strict_changes(E.message_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("strict").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.instrument_id, r.sequence, round(r.change, 9)) for r in spark.table("strict").collect())
+    assert got == [(0, 1, -0.5), (0, 7, 0.75), (1, 3, 1.0)]
+
+
+def test_checksum(spark):
+    r = E.checksum(spark.createDataFrame([("A", 0.5), ("B", -0.2)], "etf_node_id string, impact double")).first()
+    assert r.checksum == pytest.approx(0.3) and r.funds == 2
+
+
 def test_sequence_accounting(spark):
     got = E.sequence_accounting(prices(spark, [(0, 0, 1), (2, 0, 1), (2, 0, 1), (1, 0, 1), (5, 0, 1)]), "type", ["arrival"]).first()
     assert (got.observations, got.gaps, got.duplicates, got.out_of_order) == (5, 3, 1, 1)
+    import random
+
+    rng = random.Random(3)
+    rows = [(max(0, k + rng.randint(-4, 2)), 0, 1) for k in range(600)]
+    high, gaps, twice, late = -1, 0, 0, 0
+    for s, _, _ in rows:
+        gaps += max(0, s - high - 1)
+        twice += s == high
+        late += s < high
+        high = max(high, s)
+    got = E.sequence_accounting(prices(spark, rows).repartition(7), "type", ["arrival"]).first()
+    assert (got.observations, got.gaps, got.duplicates, got.out_of_order) == (600, gaps, twice, late)
 
 
 def test_histogram_bins(spark):
