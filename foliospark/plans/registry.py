@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 from foliospark.operators import graph, models, normalize, quality, series, shock, similarity, snapshots, text
+from foliospark.plans import payloads
 from foliospark.plans import views as V
 from foliospark.sources import store
 from foliospark.streaming import exposure
@@ -95,7 +96,7 @@ def _universe(s, d):
     supplier = V.table(s, d, "supplier")
     universe = V.table(s, d, "nation").select(F.upper("n_name").alias("ticker"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("category"), (F.col("n_nationkey") % 6 != 5).alias("enabled"))
     names = V.table(s, d, "nation").select("n_nationkey", F.upper("n_name").alias("ticker"))
-    listed = supplier.where(F.col("s_suppkey") % 7 < 3).join(names, F.col("s_nationkey") == F.col("n_nationkey"))
+    listed = supplier.join(names, F.col("s_nationkey") == F.col("n_nationkey"))
     catalogue = listed.select("ticker", F.col("s_nationkey").cast("string").alias("cik"), F.concat(F.lit("s"), (F.col("s_suppkey") % 2 * (F.col("s_nationkey") % 3 == 0).cast("int")).cast("string")).alias("series_id"), F.lit("c1").alias("class_id"), F.lit("Fund").alias("fund_name"))
     return quality.resolve_universe(universe, catalogue)
 
@@ -159,7 +160,7 @@ QUERIES = {
     "risk_dataset": lambda s, d: rounded(_risk(s, d).select("fund_id", *KEYS, "momentum_120d", "realized_vol_60d", "label_end_date", "accession", "holdings_drift", "split"), 7),
     "split_counts": lambda s, d: _risk(s, d).groupBy("fund_id", "split").agg(F.count(F.lit(1)).alias("row_count")),
     "dataset_profile": lambda s, d: series.dataset_profile(_risk(s, d)),
-    "first_use": lambda s, d: series.first_use(_risk(s, d), _timeline(s, d).where("fund_id IN ('F00', 'F01', 'F02')")),
+    "first_use": lambda s, d: series.first_use(_risk(s, d), _timeline(s, d)),
     "leak_gate": lambda s, d: quality.leak_gate(_risk(s, d)),
     "provider_comparison": lambda s, d: rounded(quality.compare_providers(V.bars(s, d), V.second_provider(V.bars(s, d))), 4),
     "bars_upsert": _upsert,
@@ -199,3 +200,4 @@ QUERIES = {
     "gbt_scores": _gbt,
     "als_links": lambda s, d: models.roc_auc(models.holding_links(V.edges(s, d)), ["split"]),
 }
+QUERIES |= payloads.queries(_risk, _timeline, _universe)

@@ -241,7 +241,7 @@ ORACLES |= {
     "risk_dataset": RISK + rnd("SELECT fund_id, instrument_id, trading_date, momentum_120d, realized_vol_60d, label_end_date, accession, holdings_drift, split FROM rs", "momentum_120d realized_vol_60d holdings_drift", 7),
     "split_counts": RISK + "SELECT fund_id, split, count(*) AS row_count FROM rs GROUP BY ALL",
     "dataset_profile": RISK + "SELECT fund_id, count(*) AS row_count, count(return_1d) AS market_rows, count(holding_count) AS holdings_rows, min(trading_date) AS first_date, max(trading_date) AS last_date, count(DISTINCT accession) AS filings_used, " + ", ".join(f"count(*) FILTER (split = '{p}') AS {p}_rows" for p in ("train", "validation", "test", "purged_train", "purged_validation", "warmup", "no_target")) + " FROM rs GROUP BY fund_id",
-    "first_use": RISK + "SELECT t.fund_id, t.accession, t.available_from, min(r.trading_date) AS first_session FROM tl t LEFT JOIN rs r ON r.accession = t.accession WHERE t.fund_id IN ('F00', 'F01', 'F02') GROUP BY ALL",
+    "first_use": RISK + "SELECT t.fund_id, t.accession, t.available_from, min(r.trading_date) AS first_session FROM tl t LEFT JOIN rs r ON r.accession = t.accession GROUP BY ALL",
     "leak_gate": RISK + "SELECT fund_id, count(*) AS row_count, count(*) FILTER (holding_count IS NOT NULL AND available_from > trading_date) AS leaked FROM rs GROUP BY fund_id",
     "provider_comparison": with_(BARS, """
 b2 AS (SELECT instrument_id, trading_date, volume, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0),
@@ -277,7 +277,7 @@ FROM (SELECT *, CAST('0x' || substr(sha256('7:' || etf_node_id || ':' || securit
   coalesce(sum(portfolio_weight) FILTER (missing_weights = 0), 0) AS weight_sum, count(*) FILTER (missing_weights > 0 AND shock IS NOT NULL) AS missing_weight_count
 FROM (SELECT DISTINCT scenario_id FROM sh) s CROSS JOIN e LEFT JOIN ef USING (scenario_id, security_node_id) GROUP BY ALL""", "direct_shock covered_weight weight_sum"),
     "shock_replay": with_(RAW, FILINGS, EDGES, TICKS) + rnd("SELECT sequence, t.security_node_id, count(e.etf_node_id) AS funds, coalesce(sum(e.portfolio_weight * (sequence % 201 - 100) * 0.0001), 0) AS impact FROM tk t LEFT JOIN e USING (security_node_id) WHERE copy = 0 GROUP BY ALL", "impact"),
-    "universe_resolution": """WITH c AS (SELECT upper(n_name) AS ticker, CAST(s_nationkey AS VARCHAR) AS cik, 'S' || CAST(CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey % 2 ELSE 0 END AS VARCHAR) AS series FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 < 3),
+    "universe_resolution": """WITH c AS (SELECT upper(n_name) AS ticker, CAST(s_nationkey AS VARCHAR) AS cik, 'S' || CAST(CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey % 2 ELSE 0 END AS VARCHAR) AS series FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 n AS (SELECT ticker, count(DISTINCT (cik, series)) AS k, min(cik) AS cik, min(series) AS series FROM c GROUP BY 1)
 SELECT upper(n_name) AS ticker, 'R' || CAST(n_regionkey AS VARCHAR) AS category, CASE WHEN k IS NULL THEN 'unresolved' WHEN k = 1 THEN 'resolved' ELSE 'ambiguous' END AS status,
   CASE WHEN k = 1 THEN lpad(n.cik, 10, '0') END AS cik, CASE WHEN k = 1 THEN series END AS series_id, CASE WHEN k = 1 THEN 'C1' END AS class_id, CASE WHEN k = 1 THEN 'Fund' END AS fund_name
@@ -321,3 +321,73 @@ FROM (SELECT *, row_number() OVER o AS rk, sum(y) OVER o AS hits FROM bn WINDOW
     + f" UNION ALL SELECT doc_id, 0, 'large text' FROM documents WHERE length(text) >= {T.LARGE} UNION ALL SELECT doc_id, 0, 'zero byte' FROM documents WHERE contains(text, chr(0))",
     "redact_text": f"WITH c AS (SELECT doc_id, text, {redacted_sql()} AS clean FROM documents) SELECT doc_id, text <> clean AS changed, CAST(length(clean) AS INTEGER) AS chars, CAST(len(regexp_extract_all(clean, '\\[REDACTED')) AS INTEGER) AS marks FROM c",
 }
+
+#: Sources: the tables themselves, from which the payloads were rendered.
+P2 = "p2 AS (SELECT instrument_id, trading_date, open, high, low, volume, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0)"
+PROVIDERS = "pv AS (SELECT 'one' AS provider, 'raw' AS adjustment_mode, instrument_id, trading_date, close FROM b UNION ALL SELECT 'two', 'raw', instrument_id, trading_date, close FROM p2 WHERE instrument_id = 'O')"
+VENDOR = "vb AS (SELECT ['twelvedata', 'tiingo', 'massive'][CAST(year(trading_date) % 3 + 1 AS INTEGER)] AS provider, * FROM b)"
+EPOCH = """
+em AS (SELECT * FROM tk WHERE copy = 0),
+ep AS (SELECT * FROM em WHERE sequence > coalesce((SELECT max(sequence) FROM em WHERE sequence % 4000 = 3999), -1) AND price_ticks > 0),
+er AS (SELECT security_node_id, arg_max(price_ticks, sequence) / arg_min(price_ticks, sequence) - 1 AS r, count(*) AS updates FROM ep GROUP BY 1)"""
+EPOCH_SQL = with_(RAW, FILINGS, EDGES, TICKS, EPOCH) + rnd("SELECT etf_node_id, sum(portfolio_weight * r) AS impact, count(*) AS links, CAST(sum(updates) AS BIGINT) AS updates FROM e JOIN er USING (security_node_id) GROUP BY 1", "impact")
+_place = lambda n, value: f"CASE p_partkey % {n} WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE {value} END"
+_HEX = "CAST('0x' || substr(hx, {}, 15) AS BIGINT)"
+
+ORACLES |= {
+    "xml_holdings": """SELECT CAST(l_orderkey AS VARCHAR) AS accession, count(*) AS holdings, count(*) FILTER (l_linenumber <> 7 AND l_partkey <> 0) AS cusips, count(*) FILTER (l_linenumber % 3 <> 2) AS isins,
+  max('US' || lpad(CAST(l_partkey AS VARCHAR), 9, '0')) FILTER (l_linenumber % 3 <> 2) AS last_isin, round(sum(l_quantity * 1000), 1) AS quantity, round(sum(l_extendedprice), 2) AS market_value, round(sum(round(l_discount, 4)), 6) AS weight
+FROM lineitem GROUP BY l_orderkey""",
+    "submission_index": """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filed_at, CAST(o_orderdate AS DATE) AS report_date, 'primary_doc.xml' AS primary_document
+FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0""",
+    "primary_documents": "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE p_partkey % 3 WHEN 0 THEN 'primary_doc.xml' WHEN 1 THEN 'my_primary.xml' ELSE 'a.XML' END AS primary_document FROM part WHERE p_partkey % 7 <> 0",
+    "vendor_bars": with_(BARS, VENDOR) + "SELECT provider, instrument_id, trading_date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM vb WHERE NOT (year(trading_date) = 1995 AND instrument_id = 'O')",
+    "vendor_status": with_(BARS, VENDOR) + "SELECT provider, CASE WHEN y = 1995 AND instrument_id = 'O' THEN 'rate_limit' ELSE 'ok' END AS status, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS items FROM (SELECT provider, instrument_id, year(trading_date) AS y, count(*) AS n FROM vb GROUP BY ALL) GROUP BY ALL",
+    "fund_catalogue": "SELECT DISTINCT upper(s_name) AS ticker, lpad(CAST(s_nationkey AS VARCHAR), 10, '0') AS cik, 'S' || s_suppkey % 5 AS series_id, 'C1' AS class_id FROM supplier WHERE s_suppkey % 9 <> 0",
+    "fixture_snapshots": "SELECT 'F' || l_suppkey AS fund_id, '2024-03-31' AS snapshot_date, CASE WHEN l_linenumber = 1 THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS holdings, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL",
+    "snapshot_store": with_(RAW) + "SELECT fund_id, count(*) AS holdings, count(DISTINCT snapshot_date) AS snapshots, round(sum(portfolio_weight * CASE WHEN fund_id = 'F03' THEN 2 ELSE 1 END), 6) AS weight FROM h GROUP BY fund_id",
+    "snapshot_read": with_(RAW) + "SELECT security_id, snapshot_date, round(portfolio_weight, 8) AS portfolio_weight FROM h WHERE fund_id = 'F07' AND snapshot_date = (SELECT max(snapshot_date) FROM h WHERE fund_id = 'F07')",
+    "graph_files": with_(RAW, FILINGS, EDGES, SHOCKS) + """SELECT etf_node_id, count(*) AS edges, count(k.key) AS shocked, round(sum(portfolio_weight), 6) AS weight, min(security_ticker) AS first_ticker
+FROM e LEFT JOIN (SELECT DISTINCT key FROM sh WHERE scenario_id = 'scenario-1') k ON k.key = security_node_id GROUP BY etf_node_id""",
+    "impact_file": with_(RAW, FILINGS, EDGES, SHOCKS, "ef AS (SELECT scenario_id, security_node_id, arg_max(shock, ord) AS shock FROM sr WHERE status = 'resolved' GROUP BY ALL)")
+    + """SELECT scenario_id, count(DISTINCT etf_node_id) AS funds, round(sum(portfolio_weight * shock) FILTER (missing_weights = 0), 6) AS direct_shock, round(sum(portfolio_weight) FILTER (missing_weights = 0), 6) AS covered_weight
+FROM e JOIN ef USING (security_node_id) GROUP BY scenario_id""",
+    "scenario_file": with_(RAW, FILINGS, EDGES, SHOCKS) + "SELECT 'from-file' AS scenario_id, row_number() OVER (ORDER BY key) - 1 AS ord, key, round(shock, 6) AS shock FROM sh WHERE scenario_id = 'scenario-2' AND ord < 5000",
+    "vector_table": "SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
+    "published_graph": GRAPH + """SELECT 'edges' AS name, count(*) AS in_manifest, count(*) AS row_count FROM e
+UNION ALL SELECT 'nodes', count(DISTINCT etf_node_id) + count(DISTINCT security_node_id), count(DISTINCT etf_node_id) + count(DISTINCT security_node_id) FROM e""",
+    "series_meta": with_(BARS, P2, PROVIDERS) + "SELECT provider, instrument_id, adjustment_mode, min(trading_date) AS first_date, max(trading_date) AS last_date, count(*) AS bars FROM pv GROUP BY ALL",
+    "authoritative_closes": with_(BARS, P2, PROVIDERS) + "SELECT instrument_id, trading_date, round(close, 2) AS close, provider, adjustment_mode FROM pv WHERE provider = 'two'",
+    "bar_gate": with_(BARS, P2, PROVIDERS) + """SELECT instrument_id, count(*) AS bars, count(*) - count(DISTINCT trading_date) AS repeated, count(*) FILTER (trading_date < before) AS out_of_order
+FROM (SELECT *, lag(trading_date) OVER (PARTITION BY instrument_id ORDER BY day(trading_date), trading_date) AS before FROM pv) GROUP BY instrument_id""",
+    "provenance_gate": with_(BARS, P2, PROVIDERS) + "SELECT instrument_id, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM pv GROUP BY 1 HAVING bool_or(provider <> 'one')",
+    "filing_validation": """SELECT *, NOT (html OR cik_mismatch OR series_mismatch OR no_holdings) AS clean, sha256((CASE WHEN html THEN ' <!DOCTYPE html>' ELSE '<xml>' END) || accession) AS content_hash
+FROM (SELECT CAST(o_orderkey AS VARCHAR) AS accession, o_orderkey % 10 = 0 AS html, o_orderkey % 6 = 0 AS cik_mismatch, o_orderkey % 8 = 0 AS series_mismatch, o_orderkey % 5 = 0 AS no_holdings FROM orders)""",
+    "load_range": with_(BARS) + """SELECT instrument_id, count(*) AS bars, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b
+LEFT JOIN (SELECT instrument_id, max(trading_date) AS latest FROM b WHERE day(trading_date) < 10 AND instrument_id <> 'P' AND trading_date < DATE '1998-06-01' GROUP BY 1) USING (instrument_id)
+WHERE trading_date > coalesce(latest, DATE '0001-01-01') AND trading_date <= DATE '1998-11-01' GROUP BY 1""",
+    "ingest_summary": with_(RAW, FILINGS) + "SELECT CASE WHEN day(filed_at) % 4 = 0 THEN 'skipped' WHEN day(filed_at) % 7 = 0 THEN 'failed' WHEN day(filed_at) % 2 = 0 THEN 'ingested' ELSE 'discovered' END AS status, count(*) AS filings FROM f GROUP BY 1",
+    "filing_fields": "SELECT 'F' || l_suppkey % 20 AS fund_id, count(*) AS names, count(*) AS tickers, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS thousands, round(sum(l_discount / 100), 8) AS weight FROM lineitem GROUP BY 1",
+    "filing_context": "SELECT 'C' || o_custkey AS fund_id, CAST(o_orderdate AS DATE) AS snapshot_date, 'filing' AS source, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
+    "universe_manifest": f"WITH r AS ({ORACLES['universe_resolution']}) SELECT status, count(*) AS n, CASE WHEN (SELECT count(*) FILTER (status <> 'resolved') FROM r) = 0 THEN 'PASSED' ELSE 'INCOMPLETE' END AS gate FROM r GROUP BY status",
+    "enabled_universe": "SELECT upper(n_name) AS ticker, 'R' || n_regionkey AS category, true AS enabled FROM nation WHERE n_nationkey % 6 <> 5",
+    "dataset_manifest": RISK + """SELECT count(*) AS row_count, count(holding_count) AS holdings_rows, min(trading_date) AS market_from, max(trading_date) AS market_through, count(*) FILTER (available_from > trading_date AND holding_count IS NOT NULL) AS leaked,
+  (SELECT max(publication_date) FROM tl) AS holdings_through, (SELECT count(*) FROM tl) AS filings, CASE WHEN count(*) FILTER (available_from > trading_date AND holding_count IS NOT NULL) = 0 THEN 'PASSED' ELSE 'FAILED' END AS validation_status FROM rs""",
+    "node_keys": f"""SELECT p_partkey, coalesce('cusip:' || {_place(5, "'C' || p_partkey")}, 'isin:' || {_place(6, "'I' || p_partkey")}, 'ticker:' || {_place(7, 'upper(p_brand)')}, 'name:' || upper(p_name) || ' ' || p_partkey) AS node FROM part""",
+    "completed_sessions": """SELECT event_id, CAST(CASE WHEN hour(l) * 60 + minute(l) < 990 THEN CAST(l AS DATE) - 1 ELSE CAST(l AS DATE) END AS DATE) AS session, round(CASE WHEN event_id % 3 <> 0 THEN value ELSE value + 1 END, 4) AS price
+FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM events)""",
+    "epoch_exposure": EPOCH_SQL,
+    "stream_exposure": EPOCH_SQL,
+    "replay_summary": with_(RAW, FILINGS, EDGES, TICKS) + "SELECT (SELECT count(*) FROM tk WHERE copy = 0) AS events, round(sum(portfolio_weight * (sequence % 201 - 100) * 0.0001), 6) AS checksum, (SELECT count(DISTINCT sequence) = count(*) AND min(sequence) = 0 AND max(sequence) = count(*) - 1 FROM tk WHERE copy = 0) AS dense FROM tk JOIN e USING (security_node_id) WHERE copy = 0",
+    "impact_checksum": f"SELECT round(sum(impact), 6) AS checksum, count(*) AS funds FROM ({ORACLES['price_exposure']})",
+    "alias_warnings": "SELECT 'ignored_alias' AS kind, unnest(['report_date', 'holding_ticker']) AS \"column\", 1::BIGINT AS n",
+    "upsert_columns": """SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, count(*) AS orders, round(sum(CASE WHEN o_orderkey % 4 < 2 THEN o_totalprice ELSE 0 END), 2) AS total FROM orders GROUP BY 1""",
+    "new_keys": with_(BARS, P2) + "SELECT instrument_id, trading_date FROM p2 WHERE day(trading_date) > 20",
+    "newest_needed": with_(RAW, FILINGS) + "SELECT fund_id, accession FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY report_date DESC, accession DESC) AS nth FROM f) WHERE nth <= 3 AND day(filed_at) % 2 <> 0",
+    "graph_fingerprint": GRAPH + f""", g AS (SELECT as_of, sha256(etf_node_id || '|' || security_node_id || '|' || CAST(CAST(round(portfolio_weight, 8) AS DECIMAL(20, 8)) AS VARCHAR)) AS hx FROM e)
+SELECT as_of, sha256(concat_ws('|', count(*), {", ".join(f"sum({_HEX.format(15 * k + 1)})" for k in range(4))})) AS fingerprint FROM g GROUP BY as_of""",
+    "mean_scores": RISK + rnd("""SELECT split, count(*) AS n, avg(abs(y - m)) AS mae, sqrt(avg((y - m) * (y - m))) AS rmse, 1 - sum((y - m) * (y - m)) / nullif(sum((y - a) * (y - a)), 0) AS r2
+FROM (SELECT split, forward_realized_vol_20d AS y, (SELECT avg(forward_realized_vol_20d) FROM rs WHERE split = 'train') AS m, avg(forward_realized_vol_20d) OVER (PARTITION BY split) AS a FROM rs WHERE split IN ('validation', 'test') AND forward_realized_vol_20d IS NOT NULL) GROUP BY split""", "mae rmse r2", 7),
+    "target_profile": RISK + rnd("SELECT split, count(*) AS row_count, count(forward_realized_vol_20d) AS labelled, avg(forward_realized_vol_20d) AS mean, min(forward_realized_vol_20d) AS least, max(forward_realized_vol_20d) AS most FROM rs GROUP BY split", "mean least most", 7),
+}
+ORACLES["graph_manifest"] = f"SELECT q.*, f.fingerprint FROM ({ORACLES['graph_quality']}) q JOIN ({ORACLES['graph_fingerprint']}) f USING (as_of)"

@@ -53,8 +53,16 @@ def export_graph(edges: DataFrame, shocks: DataFrame, root: str) -> None:
     shocks.select("key", "shock").write.option("header", True).csv(f"{root}/shocks")
 
 
+IMPACTS = "scenario_id string, etf_node_id string, direct_shock double, covered_weight double, weight_sum double, missing_weight_count long"
+
+
 def write_impacts(impacts: DataFrame, path: str) -> None:
-    impacts.write.option("header", True).csv(path)
+    """Impacts as CSV, ids quoted, so that commas, quotes and line feeds in them come back."""
+    impacts.select(*[c.split()[0] for c in IMPACTS.split(", ")]).write.option("header", True).option("escape", '"').csv(path)
+
+
+def read_impacts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(IMPACTS).option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ SUMMARY_SQL = "SELECT fund_id, snapshot_date, count(*) AS holdings, sum(portfoli
 
 
 #: Partitions of a snapshot date: funds are dealt to them by hash.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def work_folder(spark: SparkSession) -> str:
