@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,23 +14,130 @@ from foliospark.llm.common import let, long, table
 #: Base phrases and labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Templates: label, opening of a public license notice, and the phrases that must stand in it.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "associated documentation files")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
-    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+#: Public license texts and notices: label, text, and the phrases that must stand in it.
+_TEXTS = (
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+        ("permission is hereby granted", "associated documentation files"),
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "associated documentation files")),
+    ("mit", "released under the MIT license", ("mit license",)),
+    ("mit", "SPDX-License-Identifier: MIT", ("spdx license identifier mit",)),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies.""",
+        ("with or without fee", "this permission notice appear"),
+    ),
+    (
+        "apache-2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed
+        under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License.""",
+        ("apache license version 2", "in compliance with the license"),
+    ),
+    ("apache-2", "licensed under the Apache License, Version 2.0", ("apache license version 2",)),
+    ("apache-2", "SPDX-License-Identifier: Apache-2.0", ("spdx license identifier apache 2",)),
+    (
+        "gpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+        ("gnu general public license", "version 3 of the license"),
+    ),
+    ("gpl-3", "licensed under the GNU General Public License version 3", ("gnu general public license", "version 3")),
+    ("gpl-3", "SPDX-License-Identifier: GPL-3.0", ("spdx license identifier gpl 3",)),
+    (
+        "gpl-2",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free
+        Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+        ("gnu general public license", "version 2 of the license"),
+    ),
+    ("gpl-2", "licensed under the GNU General Public License version 2", ("gnu general public license", "version 2")),
+    ("gpl-2", "SPDX-License-Identifier: GPL-2.0", ("spdx license identifier gpl 2",)),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the
+        Free Software Foundation""",
+        ("gnu lesser general public license",),
+    ),
+    ("lgpl", "licensed under the GNU Lesser General Public License", ("gnu lesser general public license",)),
+    (
+        "agpl-3",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the
+        Free Software Foundation, either version 3 of the License""",
+        ("gnu affero general public license",),
+    ),
+    ("agpl-3", "licensed under the GNU Affero General Public License version 3", ("gnu affero general public license",)),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary
+        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution.""",
+        ("redistribution and use in source and binary forms", "must retain the above copyright notice"),
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    (
+        "bsd-3",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.""",
+        ("endorse or promote products", "prior written permission"),
+    ),
+    ("bsd-3", "SPDX-License-Identifier: BSD-3-Clause", ("spdx license identifier bsd 3",)),
+    (
+        "mpl-2",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
+        obtain one at https://mozilla.org/MPL/2.0/.""",
+        ("mozilla public license", "source code form"),
+    ),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    (
+        "epl-2",
+        """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/""",
+        ("eclipse public license",),
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from
+        the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+        redistribute it freely, subject to the following restrictions""",
+        ("permission is granted to anyone", "redistribute it freely"),
+    ),
+    (
+        "bsl-1",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by
+        this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software""",
+        ("any person or organization", "accompanying documentation"),
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ("unencumbered software", "public domain"),
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
+    (
+        "wtfpl",
+        """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is
+        changed.""",
+        ("verbatim or modified copies",),
+    ),
+    ("cc-by", "licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0", ("cc by sa",)),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", ("cc by nc",)),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4",)),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("creative commons attribution noncommercial",)),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
 )
+#: The same as words: label, words with single spaces, phrases.
+TEMPLATES = tuple((label, " ".join(re.findall(r"[a-z0-9]+", text.lower())), keys) for label, text, keys in _TEXTS)
 #: Least share of a template's IDF weight that an alignment must hold, and anchors per template.
 LEAST = 0.8
 ANCHORS = 3
@@ -48,7 +159,7 @@ def vocabulary() -> list[str]:
 
 def document_frequency(docs: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows of ``docs`` and, for each word of the templates (a fixed list), rows that hold it."""
-    own = F.array([F.lit(w) for w in vocabulary()])
+    own = F.split(F.lit(" ".join(vocabulary())), " ")
     found = docs.select(F.explode(F.array_append(F.array_intersect(own, license_words(F.col("text"))), F.lit(""))).alias("word"))
     counts = {r["word"]: r["count"] for r in found.groupBy("word").count().collect()}
     return counts.pop("", 0), counts
@@ -57,8 +168,6 @@ def document_frequency(docs: DataFrame) -> tuple[int, dict[str, int]]:
 def build_index(n_docs: int, df: dict[str, int]) -> list[dict]:
     """Templates and base phrases with the IDF of each word, their highest-IDF words as anchors,
     and the word positions that mandatory phrases cover."""
-    import math
-
     idf = {w: round(math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1, 6) for w in vocabulary()}
     index = []
     for label, text, keys, base in [(v, k, (k,), True) for k, v in PHRASES.items()] + [(*t, False) for t in TEMPLATES]:
@@ -83,12 +192,14 @@ def scan(docs: DataFrame, index: list[dict] | None = None) -> DataFrame:
     found, 0 without any; labels are distinct, sorted and comma-joined, '' without any.
 
     Everything but the word counts of the fixed vocabulary happens inside a row: no shuffle, and
-    no group to be skewed. Null text counts as empty; equal rows get equal results; no rows give
+    no group to be skewed. Texts are read whole, however long; null text counts as empty; equal rows get equal results; no rows give
     none; other columns are ignored.
     """
     index = index or build_index(*document_frequency(docs))
-    templates = F.array([F.struct(F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), F.array([F.lit(w) for w in t["words"]]).alias("words"), F.array([F.lit(x) for x in t["idf"]]).alias("idf"), F.array([F.lit(i) for i in t["must"]]).alias("must")) for t in index])
-    postings = F.array([F.struct(F.lit(w).alias("word"), F.lit(n).alias("t"), F.lit(i).alias("at")) for n, t in enumerate(index) for w, i in t["anchors"]])
+    listed = [{"label": t["label"], "base": t["base"], "words": t["words"], "idf": t["idf"], "must": t["must"]} for t in index]
+    templates = F.from_json(F.lit(json.dumps(listed)), "array<struct<label:string,base:boolean,words:array<string>,idf:array<double>,must:array<int>>>")
+    places = [{"word": w, "t": n, "at": i} for n, t in enumerate(index) for w, i in t["anchors"]]
+    postings = F.from_json(F.lit(json.dumps(places)), "array<struct<word:string,t:int,at:int>>")
     rare = sorted({w for t in index for w, _ in t["anchors"]})
 
     def starts(w: Column) -> Column:
@@ -106,7 +217,7 @@ def scan(docs: DataFrame, index: list[dict] | None = None) -> DataFrame:
         return let(F.get(templates, c["t"]), one)
 
     def result(w: Column) -> Column:
-        hits = F.when(F.arrays_overlap(w, F.array([F.lit(x) for x in rare])), F.filter(F.transform(starts(w), lambda c: judge(w, c)), lambda x: x["share"] >= F.when(x["base"], 1.0).otherwise(LEAST)))
+        hits = F.when(F.arrays_overlap(w, F.split(F.lit(" ".join(rare)), " ")), F.filter(F.transform(starts(w), lambda c: judge(w, c)), lambda x: x["share"] >= F.when(x["base"], 1.0).otherwise(LEAST)))
         empty = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double>>")
 
         def summary(h: Column) -> Column:

@@ -45,3 +45,25 @@ def test_templates_with_small_changes(make_docs):
 def test_no_rows(make_docs):
     assert licenses.scan(make_docs([])).count() == 0
     assert licenses.scan(make_docs([(None, "cc by nc"), (1, "x"), (1, "x")])).count() == 3
+
+
+def test_every_text_is_found_as_its_own(make_docs):
+    """Each template inside other words, with a word changed far from its mandatory phrases."""
+    docs, want = [], {}
+    for n, (label, text, keys) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        fixed = {i for k in keys for i in range(len(words)) if words[i : i + len(k.split())] == k.split() for i in range(i, i + len(k.split()))}
+        free = [i for i in range(len(words)) if i not in fixed]
+        if len(words) > 20:
+            words[free[len(free) // 2]] = "zzz"
+        docs.append((n, "Some words before it. " + " ".join(words).upper() + " and some after"))
+        want[n] = label
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(make_docs(docs)).collect()}
+    assert all(want[n] in got[n] for n in want), [(n, want[n], got[n]) for n in want if want[n] not in got[n]]
+    assert got[next(n for n in want if want[n] == "agpl-3")] == {"agpl-3"}
+
+
+def test_long_texts_are_read_whole(make_docs):
+    text = "word " * 60_000 + "SPDX-License-Identifier: MIT"
+    r = licenses.scan(make_docs([(1, text)])).first()
+    assert (r["n_words"], r["labels"]) == (60_004, "mit")
