@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, small_batches, table
+from foliospark.llm.common import cut, sliced, table
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Names that mark a speaker.
@@ -179,12 +179,12 @@ def parse(convs: DataFrame, model: dict | None = None, use_role: bool = True) ->
     """
     model = model or fit(convs)
     n = len(ROLES)
-    rows = small_batches(convs).select(F.col("conv_id").cast("long"), F.col("turn").cast("double"), F.col("role").cast("string"), "text", F.xxhash64("text", "role").alias("h"), F.monotonically_increasing_id().alias("copy"))
+    rows = convs.select(F.col("conv_id").cast("long"), F.col("turn").cast("double"), F.col("role").cast("string"), "text", F.xxhash64("text", "role").alias("h"), F.monotonically_increasing_id().alias("copy"))
     order = ["conv_id", "turn", "h", "copy"]  # the last one parts repeated rows, which may be many
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("n"), "conv_id", "turn", "role", "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(7 + n)]
             for number, conv, turn, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 given = ROLE_OF.get(role.strip().lower()) if role else None

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.sources.store import stage, work_folder
+
 #: The white space that separates words, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 NO_WORD = rf"[{SPACE}]+"
@@ -18,15 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share. Only a local master
-    (tests) may go without one; it then gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
+    """The session's ``spark.checkpoint.dir``, which all executors share."""
+    return work_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,19 +31,20 @@ def cut(df: DataFrame) -> DataFrame:
     A written table, unlike checkpoint(), also has its true size for later plans: estimates of
     joins are products, and grow beyond bounds when each round starts from the one before.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches at 1,000 rows if they still have Spark's 10,000:
-    texts run to a million characters, and a task holds a batch several times over."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, "1000")
-    return df
+    return stage(df, "cut")
+
+
+#: Bytes of a batch that a task turns into Python objects at once.
+SLICE = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE bytes, one row at least: Spark bounds a batch by its
+    bytes, and Python objects of it take several times as much."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import broadcast_if_small, cut, small_batches, table, unused
+from foliospark.llm.common import broadcast_if_small, cut, sliced, table, unused
 
 #: Edits allowed as a share of an item's length, the length (in normalised characters) under which
 #: an item has to stand as it is between word borders, and the characters of items in one pass.
@@ -143,7 +143,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = int(size // block_chars) + 1
     schema = "doc_id long, item_id long, distance int, start int, end int" + (f", `{key}` long" if key else "")
-    texts = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *([key] if key else []))
+    texts = docs.select(F.col("doc_id").cast("long"), "text", *([key] if key else []))
     out = None
     for block in range(blocks):
         mine = benchmark.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)).select(F.col("item_id").cast("long"), "text").distinct()
@@ -155,7 +155,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, rate)
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [(n, *x) for n, t in enumerate(batch.column(1).to_pylist()) if t for x in matcher.matches(t)]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 cols = [batch.column(0).take(at), *[pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.int32()) for i in range(1, 5)]]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, small_batches, table
+from foliospark.llm.common import cut, sliced, table
 
 #: n-grams in a profile, languages whose profiles a task holds at once (others follow in further
 #: passes), and n-grams counted at once.
@@ -58,7 +58,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         held: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(lang, []).append(grams(text or ""))
@@ -74,7 +74,7 @@ def fit(train: DataFrame) -> DataFrame:
     texts and languages are left out. Counts add up over all whole texts, repeated rows too; each
     language keeps its TOP most frequent n-grams, ties by code, places from 0. The ranking drops
     what can't be among the TOP of a language before its shuffle. No rows give no profiles."""
-    known = small_batches(train).where("lang IS NOT NULL AND text IS NOT NULL")
+    known = train.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     profiles = cut(profiles)
     blocks = -(-profiles.select("lang").distinct().count() // AT_ONCE)
     none = [F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("cost", "long"), ("most", "long"))]
-    out = small_batches(docs).select(F.col("doc_id").cast("long"), "text", *none)
+    out = docs.select(F.col("doc_id").cast("long"), "text", *none)
     for block in range(blocks):
         rows = profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block).collect()
         if not rows:
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, profiles: DataFrame) -> DataFrame:
         mine = Profiles(rows)
 
         def run(batches: Iterator[pa.RecordBatch], mine=mine) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 got = []
                 for text, lang, cost in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                     found = grams(text) if text else ()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import broadcast_if_small, cut, long, table, words
+from foliospark.llm.common import broadcast_if_small, cut, long, table, unused, words
 
 #: Source weights by place in code point order, and the shares of the mix.
 WEIGHTS = (5, 2, 1)
@@ -59,13 +59,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def _copies(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """``sized`` with source_size, target and copies of its source and row, under those names
-    with two underscores."""
-    rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size")), F.lit(0.0))
+def _copies(sized: DataFrame, targets: DataFrame, seed: str, names: list[str]) -> DataFrame:
+    """``sized`` with source, source_size, target and copies of its source and row, under ``names``."""
+    of, size, target, copies = names
+    rate = F.coalesce(F.try_divide(F.col(target), F.col(size)), F.lit(0.0))
     extra = (unit_hash(seed, F.col("source"), F.col("doc_id")) < rate - F.floor(rate)).cast("long")
-    targets = broadcast_if_small(targets.toDF("__source", "__source_size", "__target"))
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", F.floor(rate) + extra)
+    targets = broadcast_if_small(targets.toDF(of, size, target))
+    return sized.join(targets, F.col("source").eqNullSafe(F.col(of))).withColumn(copies, F.floor(rate) + extra)
 
 
 def mix(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
@@ -78,16 +78,19 @@ def mix(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
     a rate of 0.
     """
     sized = cut(docs.select("doc_id", "source", long(F.size(words(F.col("text")))).alias("size")))
-    out = _copies(sized, source_targets(sized, **limits), seed)
-    return out.select("doc_id", "source", "size", *[F.col(f"__{c}").alias(c) for c in ("source_size", "target", "copies")])
+    names = ["of", "source_size", "target", "copies"]
+    return _copies(sized, source_targets(sized, **limits), seed, names).select("doc_id", "source", "size", *names[1:])
 
 
 def emit(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as mix() says, with all its columns and
-    copy, counted from 1 (a column ``copy`` of ``docs`` is replaced)."""
+    """The mix itself: every row of ``docs`` as often as mix() says, with all its columns, whatever
+    their names, and copy, counted from 1 (a column ``copy`` of ``docs`` is replaced). Null and empty
+    texts of a source with words are emitted at its rate; a source without words and an empty
+    table give no rows; rows of one doc_id and source are emitted alike; ties don't arise."""
     sized = cut(docs.select("source", long(F.size(words(F.col("text")))).alias("size")))
-    out = _copies(docs, source_targets(sized, **limits), seed).where("__copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__source", "__source_size", "__target", "__copies")
+    names = unused(docs, "of", "source_size", "target", "copies")
+    out = _copies(docs, source_targets(sized, **limits), seed, names).where(F.col(names[3]) > 0)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int")))).drop(*names)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import sigtree
-from foliospark.llm.common import broadcast_if_small, cut, small_batches, table, unused
+from foliospark.llm.common import broadcast_if_small, cut, sliced, table, unused
 from foliospark.llm.graph import components
 from foliospark.llm.shingles import fingerprint, mix, shingle_sets
 
@@ -55,7 +55,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = int(keep.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), _signed(tokens[keep]), pa.array(times[keep].astype(np.int64)), *[pa.array(np.zeros(n, np.int64))] * 2], ["kind", "key", "n", "f1", "f2"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         n, f1, f2 = [], [], []
         for tokens in shingle_sets(batch.column(1).to_pylist()):
             one, two = fingerprint(tokens)
@@ -79,7 +79,7 @@ def _postings(docs: DataFrame, tokens: np.ndarray, lists: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             if len(seen) > SEEN:
                 seen.clear()
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -182,7 +182,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, tokens) of the documents in ``ids``, tokens sorted as unsigned numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [t.view(np.int64) for t in shingle_sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
@@ -193,7 +193,7 @@ def _bitmaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, n, bits) of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             bits = [sigtree.bitmap(t, sigtree.width_of(len(t))).view(np.int64) for t in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "bits"])
@@ -340,7 +340,7 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
     one for a row alone. Rows of one doc_id count as one node; a row with a null doc_id links only
     with equal sets. No rows give none; other columns are ignored.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(docs.mapInArrow(_classes, "kind int, key long, n long, f1 long, f2 long"))
     rows = found.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "f1", "f2")
     least = max(LIST // 4, rows.count() * FREQUENT)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import small_batches, table
+from foliospark.llm.common import sliced, table
 from foliospark.llm.tlds import TLDS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -253,7 +253,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             base, spans, clean = [], [], []
             for text in batch.column(1).to_pylist():
                 b, s = all_spans(text or "")
@@ -264,7 +264,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], ["doc_id", "base", "spans", "clean"]
             )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, base string, spans string, clean string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, base string, spans string, clean string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -275,12 +275,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
-        for batch in batches:
+        for batch in sliced(batches):
             clean = [t if t is None else redacted(t, all_spans(t)[1]) for t in batch.column(at).to_pylist()]
             cols = [pa.array(clean, batch.column(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    done = small_batches(docs).mapInArrow(run, schema)
+    done = docs.mapInArrow(run, schema)
     return done.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else done
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import broadcast_if_small, cut, small_batches, table, unused
+from foliospark.llm.common import broadcast_if_small, cut, sliced, table, unused
 
 #: Passages of fewer words stay wherever they are: greetings, menus and other short lines recur in
 #: sound texts. units() with fewer words, or 1, takes them too.
@@ -91,7 +91,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS, pieces: Callable = pass
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, starts, ends, counts, high, low = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for start, end, n_words, norm in pieces(text or "", min_words):
@@ -105,7 +105,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS, pieces: Callable = pass
             cols = [pa.array(ids, pa.int64()), *[pa.array(x, pa.int32()) for x in (starts, ends, counts)], *[pa.array(x, pa.int64()) for x in (high, low)]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "end", "n_words", "h1", "h2"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, n_words int, h1 long, h2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, n_words int, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, pieces: Callable = passages) -> DataFrame:

@@ -119,7 +119,13 @@ def test_inner_nodes_cut_most_pairs():
     leaves = sum(tried for a, b, tried, _ in log if a == b == 0)
     assert leaves < len(sets) * (len(sets) + 1) / 2 / 10
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) * 7 >= 3 * (n[a] + n[b])}
+    shared, seen = {}, {}
+    for b, tokens in enumerate(sets):
+        for t in tokens.tolist():
+            for a in seen.setdefault(t, []):
+                shared[a, b] = shared.get((a, b), 0) + 1
+            seen[t].append(b)
+    want = {(a, b) for (a, b), both in shared.items() if both * 7 >= 3 * (n[a] + n[b])}
     assert len(want) == 256 and want <= got
 
 
