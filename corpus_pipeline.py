@@ -1,5 +1,12 @@
 """A training corpus from documents: quality, near duplicates, benchmark passages, personal data
-and the mix of sources, each stage on what the one before it kept."""
+and the mix of sources, each stage on what the one before it kept.
+
+What the stages do with odd rows follows their operators: null and empty texts fail the quality
+rules; rows that share an id are judged by their own texts there and against the benchmark, and stay
+or go together among near duplicates; equal rows become one among near duplicates; whole texts are
+read, however long; empty tables give an empty corpus, no labels and no benchmark reject nothing by
+themselves; all columns pass through, whatever their names, but for ``copy``, which the last stage sets.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +19,30 @@ from foliospark.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: null, empty and short texts, and those that break the rules that the
+    labelled holdout of their language allows. Repeated rows go or stay alike."""
     return quality.passed(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one of the smallest doc_id, and one
+    of repeated rows. Null and empty texts are groups of their own, rows without an id stay."""
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, whatever their id; null texts hold none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes the name of its kind."""
+    """Personal data in the texts becomes the name of its kind; every row stays, null texts too."""
     return pii.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks; ``copy`` counts from 1."""
+    """Every document as often as its source's target asks; ``copy`` counts from 1. Null sources are
+    one source; rows of one id and source are emitted alike; sources without words give nothing."""
     return mixing.emit(docs)
 
 
