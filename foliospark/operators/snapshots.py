@@ -145,12 +145,22 @@ def weight_changes(holdings: DataFrame, pairs: DataFrame | None = None, limit: i
     return moved.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "direction", "rank", "security_id", "security_name", "from_weight", "to_weight", "delta")
 
 
-def latest_view(holdings: DataFrame) -> DataFrame:
-    """The newest snapshot of each fund with its concentration and the drift to it, if any."""
-    newest = holdings.groupBy("fund_id").agg(F.max("snapshot_date").alias("snapshot_date"))
-    current = concentration(holdings).join(newest, list(SNAP), "left_semi")
-    moved = drift(holdings).withColumnRenamed("to_date", "snapshot_date")
-    return current.join(moved, list(SNAP), "left")
+def latest_view(holdings: DataFrame, today: str | None = None, stale_after_days: int = 120) -> DataFrame:
+    """The newest snapshot of each fund with its concentration and the drift to it from the one
+    before, if any; with ``today`` also its age in days and whether it is stale. Only the two
+    newest snapshots of a fund are read beyond their dates."""
+    order = Window.partitionBy("fund_id").orderBy(F.desc("snapshot_date"))
+    days = holdings.select(*SNAP).distinct().withColumn("nth", F.row_number().over(order)).where("nth <= 2")
+    pairs = days.groupBy("fund_id").agg(F.min(F.when(F.col("nth") == 2, F.col("snapshot_date"))).alias("from_date"), F.max("snapshot_date").alias("to_date"))
+    near = holdings.join(days.select(*SNAP), list(SNAP), "left_semi")
+    newest = days.where("nth = 1").select(*SNAP)
+    current = concentration(near).join(newest, list(SNAP), "left_semi")
+    moved = drift(near, pairs.where("from_date IS NOT NULL")).withColumnRenamed("to_date", "snapshot_date")
+    out = current.join(moved, list(SNAP), "left")
+    if today is None:
+        return out
+    age = F.datediff(F.lit(today).cast("date"), F.col("snapshot_date"))
+    return out.withColumns({"age_days": age, "stale": age > stale_after_days})
 
 
 def holdings_timeline(holdings: DataFrame, filings: DataFrame) -> DataFrame:

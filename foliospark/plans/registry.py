@@ -152,7 +152,7 @@ QUERIES = {
     "drift_consecutive": lambda s, d: rounded(snapshots.drift(V.holdings(s, d)).drop("sector_distance", "sector_metric"), 7),
     "sector_drift": lambda s, d: rounded(snapshots.drift(V.holdings(s, d)).select("fund_id", "from_date", "to_date", "sector_distance", "sector_metric"), 7),
     "weight_changes": lambda s, d: rounded(snapshots.weight_changes(V.holdings(s, d))),
-    "latest_fund_view": lambda s, d: rounded(snapshots.latest_view(V.holdings(s, d)).select("fund_id", "snapshot_date", "holdings_count", "top_10_weight", "hhi", "from_date", "holdings_distance", "top_10_delta"), 7),
+    "latest_fund_view": lambda s, d: rounded(snapshots.latest_view(V.holdings(s, d), "2002-03-01").select("fund_id", "snapshot_date", "holdings_count", "top_10_weight", "hhi", "from_date", "holdings_distance", "top_10_delta", "age_days", "stale"), 7),
     "holdings_timeline": lambda s, d: rounded(snapshots.holdings_timeline(V.holdings(s, d), V.filings(s, d)), 7),
     "market_features": lambda s, d: rounded(series.market_features(V.bars(s, d)), 6),
     "forward_targets": lambda s, d: rounded(_labelled(s, d).select(*KEYS, "forward_realized_vol_20d", "forward_max_drawdown_20d", "label_end_date", "tail_event_20d"), 7),

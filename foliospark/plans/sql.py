@@ -145,7 +145,7 @@ ch AS (
     + rnd("""SELECT fund_id, from_date, to_date, direction, CAST(rk AS INTEGER) AS rank, security_id, security_name, from_weight, to_weight, delta FROM (
   SELECT *, row_number() OVER (PARTITION BY fund_id, from_date, to_date, direction ORDER BY round(abs(delta), 9) DESC, security_id) AS rk FROM (
     SELECT *, to_weight - from_weight AS delta, CASE WHEN to_weight > from_weight THEN 'increase' ELSE 'decrease' END AS direction FROM ch WHERE NOT unknown AND to_weight <> from_weight)) WHERE rk <= 5""", "from_weight to_weight delta"),
-    "latest_fund_view": DRIFT + rnd("""SELECT c.fund_id, c.snapshot_date, c.holdings_count, c.top_10_weight, c.hhi, p.from_date, hd.distance AS holdings_distance, c.top_10_weight - a.top_10_weight AS top_10_delta
+    "latest_fund_view": DRIFT + rnd("""SELECT c.fund_id, c.snapshot_date, c.holdings_count, c.top_10_weight, c.hhi, p.from_date, hd.distance AS holdings_distance, c.top_10_weight - a.top_10_weight AS top_10_delta, CAST(DATE '2002-03-01' - c.snapshot_date AS INTEGER) AS age_days, DATE '2002-03-01' - c.snapshot_date > 120 AS stale
 FROM conc c JOIN (SELECT fund_id, max(snapshot_date) AS snapshot_date FROM h GROUP BY ALL) m USING (fund_id, snapshot_date)
 LEFT JOIN pairs p ON p.fund_id = c.fund_id AND p.to_date = c.snapshot_date LEFT JOIN hd ON hd.fund_id = p.fund_id AND hd.to_date = p.to_date
 LEFT JOIN conc a ON a.fund_id = p.fund_id AND a.snapshot_date = p.from_date""", "top_10_weight hhi holdings_distance top_10_delta", 7),
