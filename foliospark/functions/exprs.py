@@ -11,8 +11,8 @@ UNCLASSIFIED = "UNCLASSIFIED"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space at both ends: spaces, tabs, line and form feeds."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -39,10 +39,11 @@ def padded_cik(c: Column) -> Column:
     return F.when(F.length(digits) > 0, zfill(digits, 10))
 
 
-def fund_key(fund_id: Column, cik: Column, series_id: Column) -> Column:
-    """The explicit id, or one from CIK and series; never a ticker."""
-    made = F.concat(F.lit("cik:"), padded_cik(cik), F.lit("|series:"), upper_clean(series_id))
-    return F.coalesce(blank_to_null(fund_id), made)
+def fund_key(fund_id: Column, cik: Column, series_id: Column, clean=upper_clean) -> Column:
+    """The explicit id, or one from CIK and series; never a ticker. Ids that are stripped already
+    come with ``clean`` upper."""
+    made = F.concat(F.lit("cik:"), padded_cik(cik), F.lit("|series:"), clean(series_id))
+    return F.coalesce(blank_to_null(fund_id) if clean is upper_clean else fund_id, made)
 
 
 def security_key(cusip: Column, isin: Column, ticker: Column, name: Column, clean=upper_clean) -> Column:

@@ -54,26 +54,30 @@ def rename_aliases(raw: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def typed(raw: DataFrame, weight_unit: str = "fraction", market_value_scale: float = 1.0) -> DataFrame:
-    """Every canonical input column, cleaned and cast; bad values raise (ANSI casts)."""
+    """Keys, measures and the text columns that the input has, cleaned and cast; bad values raise
+    (ANSI casts). Texts are stripped once, in a projection of their own."""
     have = set(raw.columns)
-    text = lambda c: X.blank_to_null(F.col(c)) if c in have else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    texts = [c for c in ("fund_id", *TEXTS, *MEASURES) if c in have]
     day = F.col("snapshot_date")
     day = day.cast("date") if dict(raw.dtypes)["snapshot_date"] != "string" else X.blank_to_null(day).cast("date")
+    stamp = F.col("source_timestamp").cast("timestamp") if "source_timestamp" in have else F.lit(None).cast("timestamp")
+    numbers = [c for c, t in raw.dtypes if c in MEASURES and t != "string"]
+    clean = raw.select(day.alias("snapshot_date"), stamp.alias("source_timestamp"), *[F.col(c) if c in numbers else X.blank_to_null(F.col(c)).alias(c) for c in texts])
+    text = lambda c: F.col(c) if c in have else none
     measure = {m: text(m).cast("double") for m in MEASURES}
     measure["market_value"] = measure["market_value"] * F.lit(float(market_value_scale))
     if weight_unit == "percent":
         measure["portfolio_weight"] = measure["portfolio_weight"] / 100
-    stamp = F.col("source_timestamp").cast("timestamp") if "source_timestamp" in have else F.lit(None).cast("timestamp")
-    t = {c: text(c) for c in ("fund_id", *TEXTS)}
-    upper = {c: F.upper(t[c]) for c in ("ticker", "series_id", "class_id", "security_ticker", "cusip", "isin", "currency")}
-    shown = t | upper | {"cik": X.padded_cik(t["cik"])}
-    return raw.select(
-        day.alias("snapshot_date"),
-        X.fund_key(t["fund_id"], t["cik"], t["series_id"]).alias("fund_id"),
-        X.security_key(t["cusip"], t["isin"], t["security_ticker"], t["security_name"]).alias("security_id"),
-        *[shown[c].alias(c) for c in TEXTS],
+    upper = ("ticker", "series_id", "class_id", "security_ticker", "cusip", "isin", "currency")
+    shown = {c: X.padded_cik(text(c)) if c == "cik" else F.upper(text(c)) if c in upper else text(c) for c in TEXTS if c in have}
+    return clean.select(
+        "snapshot_date",
+        X.fund_key(text("fund_id"), text("cik"), text("series_id"), F.upper).alias("fund_id"),
+        X.security_key(text("cusip"), text("isin"), text("security_ticker"), text("security_name"), F.upper).alias("security_id"),
+        *[c.alias(n) for n, c in shown.items()],
         *[measure[m].alias(m) for m in MEASURES],
-        stamp.alias("source_timestamp"),
+        "source_timestamp",
     )
 
 
@@ -81,12 +85,17 @@ def merge_duplicates(rows: DataFrame) -> DataFrame:
     """One row a (date, fund, security), with n_rows and, for each text column, whether its values
     disagree. Sums are null only where all values are; a text stays only if all given values agree.
 
-    min = max tells agreement without a distinct count, so all of it combines before the shuffle.
+    min = max tells agreement without a distinct count, so all of it combines before the shuffle;
+    columns that the input lacks are added as nulls afterwards.
     """
     aggs = [F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(m) for m in MEASURES], F.max("source_timestamp").alias("source_timestamp")]
-    for c in TEXTS:
-        aggs += [F.when(F.min(c) == F.max(c), F.min(c)).alias(c), F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"{c}_conflict")]
-    return rows.groupBy(*KEYS).agg(*aggs)
+    there = [c for c in TEXTS if c in rows.columns]
+    for c in there:
+        aggs += [F.min(c).alias(f"{c}_least"), F.max(c).alias(f"{c}_most")]
+    same = lambda c: F.col(f"{c}_least") == F.col(f"{c}_most")
+    shown = {c: F.when(same(c), F.col(f"{c}_least")) if c in there else F.lit(None).cast("string") for c in TEXTS}
+    conflict = {f"{c}_conflict": F.coalesce(~same(c), F.lit(False)) if c in there else F.lit(False) for c in TEXTS}
+    return rows.groupBy(*KEYS).agg(*aggs).select(*KEYS, "n_rows", *MEASURES, "source_timestamp", *[v.alias(c) for c, v in (shown | conflict).items()])
 
 
 def derive_weights(holdings: DataFrame) -> DataFrame:
@@ -136,9 +145,11 @@ def normalize(raw: DataFrame, weight_unit: str = "fraction", market_value_scale:
     known = F.col("snapshot_date").isNotNull() & F.col("fund_id").isNotNull() & F.col("security_id").isNotNull()
     if strict:
         rows = rows.where(F.when(~known, F.raise_error(F.lit("a row has no snapshot_date, fund or security identifier")).cast("boolean")).otherwise(True))
+    lacking = {c: F.lit(None).cast("string") for c in TEXTS if c not in rows.columns}
+    rejects = rows.where(~known).withColumns(lacking).select("snapshot_date", "fund_id", "security_id", *TEXTS, *MEASURES, "source_timestamp")
     merged = merge_duplicates(rows.where(known))
     weighted = derive_weights(merged)
-    return Normalized(weighted.select(*CANONICAL), warnings_of(merged, weighted, ignored), rows.where(~known))
+    return Normalized(weighted.select(*CANONICAL), warnings_of(merged, weighted, ignored), rejects)
 
 
 def from_filing_rows(parsed: DataFrame, context: DataFrame) -> DataFrame:
