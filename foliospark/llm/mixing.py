@@ -73,8 +73,8 @@ def mix(docs: DataFrame, seed: str = "mix", **limits) -> DataFrame:
 
     A source's rate is target / size. A document gets floor(rate) copies and one more with the
     probability of the fraction, by a hash of seed, source and doc_id, so reruns agree. Null text
-    has size 0; null sources form one source, last in order; rows with one doc_id are treated
-    alike; no rows give no rows. Other columns of ``docs`` are ignored. Sources of no words get
+    has size 0, texts are counted whole however long; null sources form one source, last in order;
+    rows with one doc_id are treated alike; no rows give no rows. Other columns of ``docs`` are ignored. Sources of no words get
     a rate of 0.
     """
     sized = cut(docs.select("doc_id", "source", long(F.size(words(F.col("text")))).alias("size")))

@@ -248,8 +248,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     points), and the redacted text, of each row.
 
     Null and empty texts have no spans and stay as they are. Rows are independent: repeated rows
-    give repeated results, no rows give none, other columns are ignored. A task holds one Arrow
-    batch.
+    give repeated results, no rows give none, other columns are ignored. Texts are read whole,
+    however long; a task turns a slice of one Arrow batch into objects at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by [EMAIL], [IP], [CARD] or [PHONE]; all
-    columns, rows and nulls stay, and n_chars, where there, is counted anew."""
+    columns, whatever their names, rows and nulls stay, and n_chars, where there, is counted anew.
+    Texts are read whole, however long; repeated rows change alike; an empty table stays empty; of
+    spans that overlap the earliest and then longest names the kind."""
     names = docs.columns
     schema = docs.schema
 
