@@ -15,7 +15,8 @@ _STORED: dict[tuple, DataFrame] = {}
 
 def stored(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
     """The table that ``make`` derives from ``sf_dir``, written once a session as Parquet in the
-    shared folder and read, pruned, by every query on it."""
+    shared folder and read, pruned, by every query on it. Files that change under their names need
+    a new session."""
     files = "|".join(sorted(table(spark, sf_dir, "lineitem").inputFiles()))
     key = (spark.sparkContext.applicationId, sf_dir, files, kind)
     if key not in _STORED:
