@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, quality, substrings, tokencount
+from foliospark.llm import chat, decontaminate, langid, licenses, mixing, ngram_join, pii, quality, spelling, substrings, tokencount, toxicity, whitening
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_pii": pii.op8,
     "op9_token_counts": tokencount.op9,
     "op10_mixing": mixing.op10,
+    "op11_spelling_variants": spelling.op11,
+    "op12_toxicity": toxicity.op12,
+    "op13_whitening": whitening.op13,
 }
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
@@ -23,4 +26,5 @@ ORACLES = {
     "op4_license_scan": licenses.OP4_SQL,
     "op5_ngram_join": ngram_join.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
 }
