@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
+from foliospark.operators.scan import running
 
 
 def weight() -> Column:
@@ -138,11 +139,6 @@ def hash_split(pairs: DataFrame, left: str, right: str, seed: str = "7") -> Data
 
 
 def node_index(held: DataFrame, column: str) -> DataFrame:
-    """Dense 0-based numbers of the distinct ids in order: places inside range partitions plus
-    the sizes of those before, so no task orders all ids."""
-    dealt = held.select(F.col(column).alias("node_id")).distinct().repartitionByRange("node_id").withColumn("part", F.spark_partition_id())
-    sizes = dealt.groupBy("part").count()
-    start = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", start.alias("start"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1
-    return dealt.withColumn("place", place).join(F.broadcast(starts), "part").select("node_id", (F.col("place") + F.col("start")).alias("index"))
+    """Dense 0-based numbers of the distinct ids in order: a running count over ranges of them, so
+    no task orders all ids."""
+    return running(held.select(F.col(column).alias("node_id")).distinct(), [], ["node_id"], sums={"index": F.lit(1)})

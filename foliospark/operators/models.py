@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.scan import running
+
 #: Rows that a fit and an evaluation need, and positives in each split for a tail classifier.
 TRAIN_ROWS, EVAL_ROWS, TAIL_EVENTS = 50, 20, 15
 
@@ -25,11 +27,11 @@ def regression_scores(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def roc_auc(rows: DataFrame, by: list[str]) -> DataFrame:
     """Chance that a positive's score is above a negative's, ties half. Counts a distinct score
-    first, then one running sum over scores: not over pairs, not over rows."""
+    first, then takes one running sum over ranges of scores: not over pairs, not in one task."""
     per = rows.where("y IS NOT NULL AND score IS NOT NULL").groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return per.withColumn("wins", wins).groupBy(*by).agg(X_div(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
+    below = running(per, by, ["score"], sums={"below": F.col("neg")})
+    wins = F.col("pos") * (F.col("below") + F.col("neg") / 2)
+    return below.withColumn("wins", wins).groupBy(*by).agg(X_div(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
 def X_div(a, b):
@@ -37,11 +39,11 @@ def X_div(a, b):
 
 
 def average_precision(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
-    """Sum of precision at every positive over the positives, scores falling, ties by ``tie``."""
-    known = rows.where("y IS NOT NULL AND score IS NOT NULL")
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), tie).rowsBetween(Window.unboundedPreceding, 0)
-    hits = F.sum(F.col("y").cast("long")).over(order)
-    ranked = known.withColumn("precision", F.when(F.col("y").cast("long") == 1, hits / F.count(F.lit(1)).over(order)))
+    """Sum of precision at every positive over the positives, scores falling, ties by ``tie``;
+    places and hits are running sums over ranges of scores."""
+    y = F.col("y").cast("long")
+    ranked = running(rows.where("y IS NOT NULL AND score IS NOT NULL"), by, [F.desc("score"), tie], sums={"hits": y, "place": F.lit(1)})
+    ranked = ranked.withColumn("precision", F.when(y == 1, (F.col("hits") + 1) / (F.col("place") + 1)))
     return ranked.groupBy(*by).agg(X_div(F.sum("precision"), F.sum(F.col("y").cast("long"))).alias("average_precision"))
 
 

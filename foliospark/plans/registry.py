@@ -66,7 +66,7 @@ def _risk(s, d):
 
 
 def _labelled(s, d):
-    return series.forward_targets(series.market_features(V.bars(s, d)), TAIL)
+    return series.labelled(V.bars(s, d), TAIL)
 
 
 def _binary(s, d):

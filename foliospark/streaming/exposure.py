@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from foliospark.sources.store import stage
+from foliospark.operators.scan import running
 
 MESSAGE = "type string, sequence long, arrival long, send_timestamp_ns long, decoded_timestamp_ns long, instrument_id int, price_ticks long, quantity int, instrument_count int"
 #: The state store that transformWithState needs.
@@ -146,18 +146,12 @@ def sequence_accounting(messages: DataFrame, channel: str, order: list[str]) ->
     """Observations, missing values, repeats of the highest value so far and late ones of each
     channel, in arrival order; the first value expected is 0.
 
-    Arrival is dealt to ranges; each range takes its own running maximum on top of the maximum of
-    the ranges before it, so no task holds a channel, or all of them, whole.
+    The highest value so far is a running maximum over ranges of arrival, so no task holds a
+    channel, or all of them, whole.
     """
     by = [channel, *order]
-    dealt = messages.select(*by, *(["sequence"] if "sequence" not in by else [])).repartitionByRange(*by).withColumn("range", F.spark_partition_id())
-    dealt = stage(dealt)
-    tops = dealt.groupBy(F.col(channel).alias("__of"), F.col("range").alias("__range")).agg(F.max("sequence").alias("top"))
-    earlier = F.max("top").over(Window.partitionBy("__of").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    tops = F.broadcast(tops.withColumn("earlier", earlier).drop("top"))  # a row a channel and range
-    before = F.max("sequence").over(Window.partitionBy(channel, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    seen = dealt.withColumn("own", before).join(tops, F.col(channel).eqNullSafe(F.col("__of")) & (F.col("range") == F.col("__range")))
-    seen = seen.withColumn("high", F.greatest(F.coalesce("own", F.lit(-1)), F.coalesce("earlier", F.lit(-1))))
+    rows = messages.select(*by, *(["sequence"] if "sequence" not in by else []))
+    seen = running(rows, [channel], order, maxima={"before": F.col("sequence")}).withColumn("high", F.coalesce("before", F.lit(-1)))
     s, h = F.col("sequence"), F.col("high")
     return seen.groupBy(channel).agg(F.count(F.lit(1)).alias("observations"), F.sum(F.when(s > h, s - h - 1).otherwise(0)).alias("gaps"), F.count_if(s == h).alias("duplicates"), F.count_if(s < h).alias("out_of_order"))
 
