@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 from foliospark.operators.scan import running
+from foliospark.sources.store import stage
 
 
 def weight() -> Column:
@@ -50,37 +55,110 @@ def nodes(held: DataFrame) -> DataFrame:
     return funds.withColumn("node_type", F.lit("ETF")).unionByName(securities.withColumn("node_type", F.lit("SECURITY")), allowMissingColumns=True)
 
 
-def overlap_pairs(held: DataFrame, min_shared: int = 1, salts: int = 16) -> DataFrame:
+#: Holders above which a security is heavy; funds and securities of one block of the product.
+HEAVY, FUND_BLOCK, SECURITY_BLOCK = 500, 256, 64
+_SUMS = ("shared", "least_sum", "neg_a", "neg_b", "dot")
+
+
+def _light_pairs(vec: DataFrame) -> DataFrame:
+    """Sums over the shared securities of fund pairs, by a self join on the security: at most
+    HEAVY^2 pairs a security."""
+    left = vec.select("as_of", "security_node_id", F.col("etf_node_id").alias("left_etf"), F.col("w").alias("a"))
+    right = vec.select("as_of", "security_node_id", F.col("etf_node_id").alias("right_etf"), F.col("w").alias("b"))
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    met = left.join(right, ["as_of", "security_node_id"]).where("left_etf < right_etf")
+    return met.groupBy("as_of", "left_etf", "right_etf").agg(
+        F.count(F.lit(1)).alias("shared"), F.sum(F.least(a, b)).alias("least_sum"), F.sum(F.least(a, zero)).alias("neg_a"), F.sum(F.least(b, zero)).alias("neg_b"), F.sum(a * b).alias("dot")
+    )
+
+
+def _block_product(left: dict, right: dict) -> dict[str, np.ndarray]:
+    """The sums of all pairs of two blocks: held and weights as matrices funds x securities, whose
+    products are all but the sum of smaller weights, which goes security by security."""
+    a, held_a, b, held_b = left["w"], left["held"], right["w"], right["held"]
+    least = np.zeros((len(a), len(b)))
+    for s in range(a.shape[1]):
+        least += np.minimum(a[:, s, None], b[None, :, s]) * (held_a[:, s, None] * held_b[None, :, s])
+    return {"shared": held_a @ held_b.T, "least_sum": least, "neg_a": np.minimum(a, 0) @ held_b.T, "neg_b": held_a @ np.minimum(b, 0).T, "dot": a @ b.T}
+
+
+def _heavy_pairs(vec: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The same sums over heavy securities by a blocked sparse matrix product.
+
+    Funds are dealt to blocks of about FUND_BLOCK and heavy securities, which are numbered, to
+    blocks of SECURITY_BLOCK; two fund blocks meet once for each block of securities, in a task that
+    holds these two blocks and no more. A security that all funds hold takes as many blocks as
+    there are funds, spread over tasks.
+    """
+    slot = heavy.select("as_of", "security_node_id", (F.col("number") / SECURITY_BLOCK).cast("long").alias("s_block"), (F.col("number") % SECURITY_BLOCK).cast("int").alias("s"))
+    entries = vec.join(slot, ["as_of", "security_node_id"])
+    blocks = max(1, -(-vec.select("etf_node_id").distinct().count() // FUND_BLOCK))
+    entries = entries.withColumn("f_block", F.pmod(F.xxhash64("etf_node_id"), F.lit(blocks)).cast("int"))
+    rows = entries.groupBy("as_of", "s_block", "f_block").agg(F.collect_list(F.struct(F.col("etf_node_id").alias("fund"), "s", "w")).alias("cells"))
+    rows = stage(rows, "blocks")
+    left = rows.select("as_of", "s_block", F.col("f_block").alias("i"), F.col("cells").alias("left"))
+    right = rows.select("as_of", "s_block", F.col("f_block").alias("j"), F.col("cells").alias("right"))
+    met = left.join(right, ["as_of", "s_block"]).where("i <= j").select("as_of", "left", "right")
+
+    def side(cells: list[dict]) -> dict:
+        funds = sorted({c["fund"] for c in cells})
+        at = {f: i for i, f in enumerate(funds)}
+        w, held = np.zeros((len(funds), SECURITY_BLOCK)), np.zeros((len(funds), SECURITY_BLOCK))
+        for c in cells:
+            w[at[c["fund"]], c["s"]], held[at[c["fund"]], c["s"]] = c["w"], 1.0
+        return {"funds": np.array(funds, object), "w": w, "held": held}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a row is two whole blocks
+                a, b = side(batch.column(1)[k].as_py()), side(batch.column(2)[k].as_py())
+                sums = _block_product(a, b)
+                i, j = np.nonzero(sums["shared"])
+                x, y = a["funds"][i], b["funds"][j]
+                keep = x != y if batch.column(1)[k] != batch.column(2)[k] else x < y
+                i, j, x, y = i[keep], j[keep], x[keep], y[keep]
+                turn = x > y
+                cols = {n: m[i, j] for n, m in sums.items()}
+                neg_a, neg_b = np.where(turn, cols["neg_b"], cols["neg_a"]), np.where(turn, cols["neg_a"], cols["neg_b"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([k] * len(i), pa.int32())), pa.array(np.where(turn, y, x), pa.string()), pa.array(np.where(turn, x, y), pa.string()), *map(pa.array, (cols["shared"], cols["least_sum"], neg_a, neg_b, cols["dot"]))],
+                    ["as_of", "left_etf", "right_etf", *_SUMS],
+                )
+
+    kind = vec.schema["as_of"].dataType.simpleString()
+    return met.repartition(F.xxhash64("left"), F.xxhash64("right")).mapInArrow(run, f"as_of {kind}, left_etf string, right_etf string, " + ", ".join(f"{c} double" for c in _SUMS))
+
+
+def overlap_pairs(held: DataFrame, min_shared: int = 1, least_jaccard: float = 0.0, heavy: int = HEAVY) -> DataFrame:
     """Shared count, Jaccard, weighted overlap and cosine of fund pairs that share a security.
 
-    A sparse self join on the security: both sides are summed to one weight an edge before, the
-    left side is salted and the right one repeated, so that the holders of a crowded security
-    meet in ``salts`` tasks. Weighted overlap sums the smaller weight over the union, where an
-    absent one is 0: a negative weight of one side counts even unshared.
+    A heavy-light join: both sides are summed to one weight an edge before; securities of at most
+    ``heavy`` holders go through a sparse self join, the others through a blocked matrix product.
+    Weighted overlap sums the smaller weight over the union, where an absent one is 0: a negative
+    weight of one side counts even unshared. With ``least_jaccard``, pairs below it go, and pairs whose sizes
+    alone rule it out (smaller / larger) before their facts are joined.
     """
     key = ["as_of", "etf_node_id"]
-    vec = held.groupBy(*key, "security_node_id").agg(F.sum(weight()).alias("w"))
-    v = F.coalesce("w", F.lit(0.0))
+    vec = stage(held.groupBy(*key, "security_node_id").agg(F.coalesce(F.sum(weight()), F.lit(0.0)).alias("w")), "weights")
+    v = F.col("w")
     facts = vec.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least(v, F.lit(0.0))).alias("negative"), F.sum(v * v).alias("square"), F.min(v).alias("least"))
-    left = vec.select("as_of", F.col("etf_node_id").alias("left_etf"), "security_node_id", v.alias("a"), F.pmod(F.xxhash64("etf_node_id"), F.lit(salts)).alias("salt"))
-    right = vec.select("as_of", F.col("etf_node_id").alias("right_etf"), "security_node_id", v.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    a, b = F.col("a"), F.col("b")
-    met = left.join(right, ["as_of", "security_node_id", "salt"]).where("left_etf < right_etf")
-    sums = met.groupBy("as_of", "left_etf", "right_etf").agg(
-        F.count(F.lit(1)).alias("shared"),
-        F.sum(F.least(a, b)).alias("least_sum"),
-        F.sum(F.least(a, F.lit(0.0))).alias("neg_a"),
-        F.sum(F.least(b, F.lit(0.0))).alias("neg_b"),
-        F.sum(a * b).alias("dot"),
-    )
+    dense = vec.groupBy("as_of", "security_node_id").count().where(F.col("count") > heavy).select("as_of", "security_node_id")
+    dense = running(dense, ["as_of"], ["security_node_id"], sums={"number": F.lit(1)})
+    sums = _light_pairs(vec.join(dense, ["as_of", "security_node_id"], "left_anti"))
+    if not dense.isEmpty():
+        both = sums.unionByName(_heavy_pairs(vec, dense))
+        sums = both.groupBy("as_of", "left_etf", "right_etf").agg(*[F.sum(c).alias(c) for c in _SUMS])
     side = lambda s: facts.select("as_of", F.col("etf_node_id").alias(f"{s}_etf"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "negative", "square", "least")])
+    shared, left_n, right_n = F.col("shared").cast("long"), F.col("left_n"), F.col("right_n")
+    jaccard = shared / (left_n + right_n - shared)
     out = sums.where(F.col("shared") >= min_shared).join(side("left"), ["as_of", "left_etf"]).join(side("right"), ["as_of", "right_etf"])
+    out = out.where((F.least(left_n, right_n) >= least_jaccard * F.greatest(left_n, right_n)) & (jaccard >= least_jaccard)) if least_jaccard > 0 else out
     return out.select(
         "as_of",
         "left_etf",
         "right_etf",
-        F.col("shared").alias("shared_holding_count"),
-        (F.col("shared") / (F.col("left_n") + F.col("right_n") - F.col("shared"))).alias("jaccard"),
+        shared.alias("shared_holding_count"),
+        jaccard.alias("jaccard"),
         (F.col("least_sum") + F.col("left_negative") - F.col("neg_a") + F.col("right_negative") - F.col("neg_b")).alias("weighted_overlap"),
         ((F.col("left_least") >= 0) & (F.col("right_least") >= 0)).alias("weighted_overlap_is_long_only"),
         F.when((F.col("left_square") > 0) & (F.col("right_square") > 0), F.try_divide(F.col("dot"), F.sqrt("left_square") * F.sqrt("right_square"))).alias("cosine_similarity"),

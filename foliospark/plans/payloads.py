@@ -165,7 +165,7 @@ def _providers(s, d) -> DataFrame:
     one = V.bars(s, d)
     two = V.second_provider(one)
     mode = lambda p: {"provider": F.lit(p), "adjustment_mode": F.lit("raw")}
-    return one.withColumns(mode("one")).unionByName(two.withColumns(mode("two")).where("instrument_id = 'O'"))
+    return one.withColumns(mode("one")).unionByName(two.withColumns(mode("two")).where("instrument_id LIKE 'O%'"))
 
 
 def _bar_gate(s, d):
@@ -229,14 +229,14 @@ def _sessions(s, d):
 
 
 def epoch_messages(s, d) -> DataFrame:
-    """Price messages with a snapshot start in place of every 4,000th event."""
-    t = V.ticks(s, d).where("copy = 0").withColumn("instrument_count", F.lit(64))
-    start = F.col("sequence") % 4000 == 3999
+    """Price messages with a snapshot start in place of every 3,001st event."""
+    t = V.ticks(s, d).where("copy = 0").withColumn("instrument_count", F.lit(V.instrument_count(s, d)))
+    start = F.col("sequence") % 3001 == 3000
     return t.withColumn("type", F.when(start, "snapshot_start").otherwise(F.col("type"))).withColumn("instrument_id", F.when(~start, F.col("instrument_id")))
 
 
 def _epoch_exposure(s, d):
-    sound, _ = exposure.split_valid(epoch_messages(s, d), 64)
+    sound, _ = exposure.split_valid(epoch_messages(s, d), V.instrument_count(s, d))
     live = exposure.latest_epoch(sound).where("type = 'price'")
     impacts = exposure.fund_impacts(exposure.security_returns(live), V.edges(s, d))
     return impacts.select("etf_node_id", F.round("impact", 8).alias("impact"), "links", "updates")
@@ -254,7 +254,7 @@ def _stream_exposure(s, d):
     m = epoch_messages(s, d).withColumn("quantity", F.lit(1))
     m.select(*cols).repartitionByRange(12, "arrival").write.parquet(root)
     held = V.edges(s, d)
-    exposure.start_impacts(exposure.message_stream(s, root, 3), held, instruments(s, d), lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n:06}"), f"{root}-check", 64).awaitTermination()
+    exposure.start_impacts(exposure.message_stream(s, root, 3), held, instruments(s, d), lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n:06}"), f"{root}-check", V.instrument_count(s, d)).awaitTermination()
     rows = s.read.option("recursiveFileLookup", True).schema("etf_node_id string, impact double, links long, updates long, n long").parquet(out)
     last = rows.agg(F.max("n").alias("last"))
     done = rows.join(F.broadcast(last), F.col("n") == F.col("last"))
@@ -268,7 +268,7 @@ def _replay_summary(s, d):
 
 
 def _checksum(s, d):
-    sound, _ = exposure.split_valid(V.ticks(s, d).withColumn("instrument_count", F.lit(64)), 64)
+    sound, _ = exposure.split_valid(V.ticks(s, d).withColumn("instrument_count", F.lit(V.instrument_count(s, d))), V.instrument_count(s, d))
     c = exposure.checksum(exposure.fund_impacts(exposure.security_returns(sound), V.edges(s, d)))
     return c.select(F.round("checksum", 6).alias("checksum"), "funds")
 

@@ -53,16 +53,12 @@ TRAIN_END, VALIDATION_END, TAIL = "1999-12-31", "2000-12-31", 0.97
 KEYS = ("instrument_id", "trading_date")
 
 
-def _funds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("F", "F00"), ("O", "F01"), ("P", "F02")], "instrument_id string, fund_id string")
-
-
 def _timeline(s, d):
     return snapshots.holdings_timeline(V.holdings(s, d), V.filings(s, d))
 
 
 def _risk(s, d):
-    return series.risk_dataset(V.bars(s, d), _timeline(s, d), _funds(s), TRAIN_END, VALIDATION_END, TAIL)
+    return series.risk_dataset(V.bars(s, d), _timeline(s, d), V.instrument_funds(s, d), TRAIN_END, VALIDATION_END, TAIL)
 
 
 def _labelled(s, d):
@@ -74,7 +70,7 @@ def _binary(s, d):
 
 
 def _asof(s, d):
-    market = V.bars(s, d).join(_funds(s), "instrument_id")
+    market = V.bars(s, d).join(V.instrument_funds(s, d), "instrument_id")
     out = series.attach_holdings(market, _timeline(s, d))
     return rounded(out.select("fund_id", "trading_date", "accession", "report_date", "available_from", "superseded_by", "holding_count", "days_since_holdings_report_date", "days_since_holdings_publication", "hhi"), 7)
 
@@ -116,7 +112,7 @@ def _freshness(s, d):
 
 
 def _exposure(s, d):
-    sound, _ = exposure.split_valid(V.ticks(s, d).withColumn("instrument_count", F.lit(64)), 64)
+    sound, _ = exposure.split_valid(V.ticks(s, d).withColumn("instrument_count", F.lit(V.instrument_count(s, d))), V.instrument_count(s, d))
     return rounded(exposure.fund_impacts(exposure.security_returns(sound), V.edges(s, d)))
 
 
@@ -126,7 +122,7 @@ def _redact(s, d):
 
 
 def _gbt(s, d):
-    data = _labelled(s, d).join(_funds(s), "instrument_id").withColumn("split", X.split_label(F.col("trading_date"), F.col("label_end_date"), F.col("momentum_120d"), TRAIN_END, VALIDATION_END))
+    data = _labelled(s, d).join(V.instrument_funds(s, d), "instrument_id").withColumn("split", X.split_label(F.col("trading_date"), F.col("label_end_date"), F.col("momentum_120d"), TRAIN_END, VALIDATION_END))
     features, target = ["return_5d", "realized_vol_20d", "rolling_max_drawdown_20d", "volume_zscore_20d"], "forward_realized_vol_20d"
     model = models.fit_split(models.boosted(features, target, trees=10), data, target)
     scored = model.transform(data.where(f"split IN ('validation', 'test') AND {target} IS NOT NULL"))
@@ -138,6 +134,14 @@ def _neighbours(s, d):
     return rounded(similarity.neighbours(e, e.where("id % 20 = 0"), 5))
 
 
+def _neighbours_index(s, d):
+    """The index's answers held against the exact ones, and whether 90 % of these are found."""
+    e = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = e.where("id % 20 = 0")
+    found = similarity.recall(similarity.Index.build(e).search(asked, 5), similarity.neighbours(e, asked, 5))
+    return found.select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 QUERIES = {
     "normalize_holdings": _normalize_holdings,
     "reject_report": _reject_report,
@@ -189,6 +193,7 @@ QUERIES = {
     "latency_histogram": lambda s, d: exposure.quantiles(exposure.histogram(exposure.stage_latencies(V.ticks(s, d)).where("valid"), ["stage"]), ["stage"]),
     "feed_counters": lambda s, d: exposure.feed_counters(V.ticks(s, d)),
     "neighbours": _neighbours,
+    "neighbours_index": _neighbours_index,
     "naive_scores": lambda s, d: rounded(models.regression_scores(_labelled(s, d).select("instrument_id", F.col("forward_realized_vol_20d").alias("y"), F.col("realized_vol_20d").alias("yhat")), ["instrument_id"]), 7),
     "roc_auc": lambda s, d: rounded(models.roc_auc(_binary(s, d), ["instrument_id"])),
     "average_precision": lambda s, d: rounded(models.average_precision(_binary(s, d), ["instrument_id"], "trading_date")),

@@ -6,17 +6,20 @@ from foliospark.operators import text as T
 
 #: Raw holdings, holdings with reported weights, and holdings without.
 RAW = """
+li AS (
+  SELECT *, l_suppkey % nf AS fund, l_partkey % ns AS sec
+  FROM lineitem, (SELECT greatest(20, count(*) // 5) AS nf FROM supplier), (SELECT greatest(200, count(*) // 10) AS ns FROM part)),
 raw0 AS (
-  SELECT 'F' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 2, '0') AS fund_id,
+  SELECT 'F' || lpad(CAST(fund AS VARCHAR), CASE WHEN nf <= 100 THEN 2 ELSE 9 END, '0') AS fund_id,
          CAST(last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS DATE) AS snapshot_date,
-         'cusip:P' || lpad(CAST(l_partkey % 200 AS VARCHAR), 8, '0') AS security_id, l_quantity AS quantity,
+         'cusip:P' || lpad(CAST(sec AS VARCHAR), 8, '0') AS security_id, l_quantity AS quantity,
          CASE WHEN l_returnflag = 'A' AND l_linenumber = 6 THEN NULL WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN -1 ELSE 1 END
            * l_extendedprice * (1 - l_discount) AS market_value,
-         'N' || CAST(CASE WHEN l_partkey % 200 < 20 THEN l_linenumber ELSE l_partkey % 200 END AS VARCHAR) AS security_name,
-         'T' || CAST((l_partkey % 200) % 150 AS VARCHAR) AS security_ticker,
-         'C' || CAST((l_partkey % 200) % 25 AS VARCHAR) AS country,
-         CASE WHEN (l_partkey % 200) % 10 = 0 THEN NULL ELSE 'Sector' || CAST((l_partkey % 200) % 8 AS VARCHAR) END AS sector
-  FROM lineitem),
+         'N' || CAST(CASE WHEN sec < 20 THEN l_linenumber ELSE sec END AS VARCHAR) AS security_name,
+         'T' || CAST(sec % 150 AS VARCHAR) AS security_ticker,
+         'C' || CAST(sec % 25 AS VARCHAR) AS country,
+         CASE WHEN sec % 10 = 0 THEN NULL ELSE 'Sector' || CAST(sec % 8 AS VARCHAR) END AS sector
+  FROM li),
 raw AS (SELECT *, market_value / sum(market_value) OVER (PARTITION BY fund_id, snapshot_date) AS portfolio_weight FROM raw0),
 h AS (
   SELECT fund_id, snapshot_date, security_id, sum(quantity) AS quantity, sum(market_value) AS market_value, sum(portfolio_weight) AS portfolio_weight,
@@ -153,8 +156,9 @@ LEFT JOIN conc a ON a.fund_id = p.fund_id AND a.snapshot_date = p.from_date""",
 }
 
 BARS = """
-b AS (SELECT o_orderstatus AS instrument_id, CAST(o_orderdate AS DATE) AS trading_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
-             min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY ALL)"""
+b AS (SELECT CASE WHEN k > 1 THEN o_orderstatus || CAST(o_custkey % k AS VARCHAR) ELSE o_orderstatus END AS instrument_id, CAST(o_orderdate AS DATE) AS trading_date, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+             min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume
+      FROM orders, (SELECT count(*) // 1500 AS k FROM customer) GROUP BY ALL)"""
 
 
 def fall(path: str) -> str:
@@ -185,7 +189,11 @@ F_NAMES = (
     "return_1d return_5d return_20d return_60d log_return_1d momentum_20d momentum_60d momentum_120d high_low_range close_open_range volume_change "
     "realized_vol_5d realized_vol_20d realized_vol_60d volume_zscore_20d volume_zscore_60d rolling_drawdown rolling_max_drawdown_20d rolling_max_drawdown_60d"
 )
-FUNDS = "fu AS (SELECT * FROM (VALUES ('F', 'F00'), ('O', 'F01'), ('P', 'F02')) AS v(instrument_id, fund_id))"
+FUNDS = """
+fu AS (
+  SELECT CASE WHEN k > 1 THEN kind || i ELSE kind END AS instrument_id, 'F' || lpad(CAST((3 * i + o) % nf AS VARCHAR), CASE WHEN nf <= 100 THEN 2 ELSE 9 END, '0') AS fund_id
+  FROM (VALUES ('F', 0), ('O', 1), ('P', 2)) AS v(kind, o), (SELECT greatest(20, count(*) // 5) AS nf FROM supplier),
+       (SELECT k, unnest(range(k)) AS i FROM (SELECT greatest(1, count(*) // 1500) AS k FROM customer)))"""
 ASOF = """
 tl1 AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY fund_id, available_from ORDER BY report_date DESC, accession DESC) = 1),
 rk AS (
@@ -204,8 +212,8 @@ e AS (SELECT DATE '2000-01-15' AS as_of, h.fund_id AS etf_node_id, security_id A
 GRAPH = with_(RAW, FILINGS, EDGES)
 TICKS = """
 tk AS (SELECT 'price' AS type, event_id AS sequence, event_id + (event_id * 7) % 5 AS arrival, copy, epoch_us(ts) * 1000 AS sent, epoch_us(ts) * 1000 + (event_id * 7919) % 100003 - 50 AS decoded,
-              user_id % 64 AS instrument_id, CAST(round(value * 100) AS BIGINT) AS price_ticks, 'cusip:P' || lpad(CAST(user_id % 64 AS VARCHAR), 8, '0') AS security_node_id
-       FROM events, (VALUES (0), (1)) AS v(copy) WHERE copy = 0 OR event_id % 97 = 0)"""
+              user_id % m AS instrument_id, CAST(round(value * 100) AS BIGINT) AS price_ticks, 'cusip:P' || lpad(CAST(user_id % m AS VARCHAR), 8, '0') AS security_node_id
+       FROM events, (SELECT greatest(200, count(*) // 10) * 8 // 25 AS m FROM part), (VALUES (0), (1)) AS v(copy) WHERE copy = 0 OR event_id % 97 = 0)"""
 SHOCKS = """
 sh AS (
   SELECT 'scenario-' || CAST(n % 7 AS VARCHAR) AS scenario_id, CAST(n * 10 AS INTEGER) AS ord, key, -0.05 * (n % 7 + 1) AS shock FROM (SELECT DISTINCT security_node_id AS key, CAST(substr(security_node_id, 8) AS INTEGER) AS n FROM e)
@@ -304,6 +312,7 @@ x AS (SELECT ns, CAST(CASE WHEN ns < 1024 THEN ns ELSE pow(2, floor(log2(ns))) +
     "feed_counters": with_(TICKS) + "SELECT type, count(*) AS messages FROM tk GROUP BY type",
     "neighbours": rnd("""SELECT query_id, id, cosine, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rk FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS id, coalesce(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 0) AS cosine FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)) WHERE rk <= 5""", "cosine"),
+    "neighbours_index": "SELECT count(*) AS queries, 5 * count(*) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
     "naive_scores": MARKET + rnd("""SELECT instrument_id, count(*) AS n, avg(abs(y - x)) AS mae, sqrt(avg((y - x) * (y - x))) AS rmse, 1 - sum((y - x) * (y - x)) / nullif(sum((y - m) * (y - m)), 0) AS r2
 FROM (SELECT instrument_id, forward_realized_vol_20d AS y, realized_vol_20d AS x, avg(forward_realized_vol_20d) OVER (PARTITION BY instrument_id) AS m FROM mf WHERE forward_realized_vol_20d IS NOT NULL AND realized_vol_20d IS NOT NULL) GROUP BY 1""", "mae rmse r2", 7),
     "roc_auc": with_(BARS, FEATURES, BINARY) + rnd("""SELECT instrument_id, (SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*) FROM bn p JOIN bn n ON p.instrument_id = n.instrument_id AND p.y = 1 AND n.y = 0 WHERE p.instrument_id = b0.instrument_id) AS roc_auc,
@@ -324,11 +333,11 @@ FROM (SELECT *, row_number() OVER o AS rk, sum(y) OVER o AS hits FROM bn WINDOW
 
 #: Sources: the tables themselves, from which the payloads were rendered.
 P2 = "p2 AS (SELECT instrument_id, trading_date, open, high, low, volume, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0)"
-PROVIDERS = "pv AS (SELECT 'one' AS provider, 'raw' AS adjustment_mode, instrument_id, trading_date, close FROM b UNION ALL SELECT 'two', 'raw', instrument_id, trading_date, close FROM p2 WHERE instrument_id = 'O')"
+PROVIDERS = "pv AS (SELECT 'one' AS provider, 'raw' AS adjustment_mode, instrument_id, trading_date, close FROM b UNION ALL SELECT 'two', 'raw', instrument_id, trading_date, close FROM p2 WHERE instrument_id LIKE 'O%')"
 VENDOR = "vb AS (SELECT ['twelvedata', 'tiingo', 'massive'][CAST(year(trading_date) % 3 + 1 AS INTEGER)] AS provider, * FROM b)"
 EPOCH = """
 em AS (SELECT * FROM tk WHERE copy = 0),
-ep AS (SELECT * FROM em WHERE sequence > coalesce((SELECT max(sequence) FROM em WHERE sequence % 4000 = 3999), -1) AND price_ticks > 0),
+ep AS (SELECT * FROM em WHERE sequence > coalesce((SELECT max(sequence) FROM em WHERE sequence % 3001 = 3000), -1) AND price_ticks > 0),
 er AS (SELECT security_node_id, arg_max(price_ticks, sequence) / arg_min(price_ticks, sequence) - 1 AS r, count(*) AS updates FROM ep GROUP BY 1)"""
 EPOCH_SQL = with_(RAW, FILINGS, EDGES, TICKS, EPOCH) + rnd("SELECT etf_node_id, sum(portfolio_weight * r) AS impact, count(*) AS links, CAST(sum(updates) AS BIGINT) AS updates FROM e JOIN er USING (security_node_id) GROUP BY 1", "impact")
 _place = lambda n, value: f"CASE p_partkey % {n} WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE {value} END"
@@ -341,8 +350,8 @@ FROM lineitem GROUP BY l_orderkey""",
     "submission_index": """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filed_at, CAST(o_orderdate AS DATE) AS report_date, 'primary_doc.xml' AS primary_document
 FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0""",
     "primary_documents": "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE p_partkey % 3 WHEN 0 THEN 'primary_doc.xml' WHEN 1 THEN 'my_primary.xml' ELSE 'a.XML' END AS primary_document FROM part WHERE p_partkey % 7 <> 0",
-    "vendor_bars": with_(BARS, VENDOR) + "SELECT provider, instrument_id, trading_date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM vb WHERE NOT (year(trading_date) = 1995 AND instrument_id = 'O')",
-    "vendor_status": with_(BARS, VENDOR) + "SELECT provider, CASE WHEN y = 1995 AND instrument_id = 'O' THEN 'rate_limit' ELSE 'ok' END AS status, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS items FROM (SELECT provider, instrument_id, year(trading_date) AS y, count(*) AS n FROM vb GROUP BY ALL) GROUP BY ALL",
+    "vendor_bars": with_(BARS, VENDOR) + "SELECT provider, instrument_id, trading_date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM vb WHERE NOT (year(trading_date) = 1995 AND instrument_id LIKE 'O%')",
+    "vendor_status": with_(BARS, VENDOR) + "SELECT provider, CASE WHEN y = 1995 AND instrument_id LIKE 'O%' THEN 'rate_limit' ELSE 'ok' END AS status, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS items FROM (SELECT provider, instrument_id, year(trading_date) AS y, count(*) AS n FROM vb GROUP BY ALL) GROUP BY ALL",
     "fund_catalogue": "SELECT DISTINCT upper(s_name) AS ticker, lpad(CAST(s_nationkey AS VARCHAR), 10, '0') AS cik, 'S' || s_suppkey % 5 AS series_id, 'C1' AS class_id FROM supplier WHERE s_suppkey % 9 <> 0",
     "fixture_snapshots": "SELECT 'F' || l_suppkey AS fund_id, '2024-03-31' AS snapshot_date, CASE WHEN l_linenumber = 1 THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS holdings, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL",
     "snapshot_store": with_(RAW) + "SELECT fund_id, count(*) AS holdings, count(DISTINCT snapshot_date) AS snapshots, round(sum(portfolio_weight * CASE WHEN fund_id = 'F03' THEN 2 ELSE 1 END), 6) AS weight FROM h GROUP BY fund_id",

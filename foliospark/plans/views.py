@@ -15,9 +15,9 @@ _STORED: dict[tuple, DataFrame] = {}
 
 def stored(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
     """The table that ``make`` derives from ``sf_dir``, written once a session as Parquet in the
-    shared folder and read, pruned, by every query on it. Files that change under their names need
-    a new session."""
-    files = "|".join(sorted(table(spark, sf_dir, "lineitem").inputFiles()))
+    shared folder and read, pruned, by every query on it; made anew if a file of ``lineitem`` has
+    another length or time of change."""
+    files = "|".join(f"{r[0]} {r[1]} {r[2]}" for r in table(spark, sf_dir, "lineitem").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect())
     key = (spark.sparkContext.applicationId, sf_dir, files, kind)
     if key not in _STORED:
         _STORED[key] = stage(make(), kind)
@@ -28,13 +28,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_holdings(spark: SparkSession, sf_dir: str, weights: str = "reported", funds: int = 20, securities: int = 200) -> DataFrame:
+def sizes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Funds, a fifth of the suppliers, and securities, a tenth of the parts; 20 and 200 at least."""
+    n = lambda name: table(spark, sf_dir, name).count()
+    return max(20, n("supplier") // 5), max(200, n("part") // 10)
+
+
+def fund_name(number, funds: int):
+    return F.concat(F.lit("F"), F.lpad(number.cast("string"), 2 if funds <= 100 else 9, "0"))
+
+
+def instrument_count(spark: SparkSession, sf_dir: str) -> int:
+    """Instruments of the price messages: eight for every 25 securities."""
+    return sizes(spark, sf_dir)[1] * 8 // 25
+
+
+def bar_groups(spark: SparkSession, sf_dir: str) -> int:
+    """Groups of customers that have bars of their own: one for every 1,500."""
+    return max(1, table(spark, sf_dir, "customer").count() // 1500)
+
+
+def instrument_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fund that each instrument of the bars stands for."""
+    groups, funds = bar_groups(spark, sf_dir), sizes(spark, sf_dir)[0]
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n")) for n, k in enumerate("FOP")]))
+    rows = spark.range(groups).select("id", kinds)
+    name = F.concat("kind", F.col("id").cast("string")) if groups > 1 else F.col("kind")
+    return rows.select(name.alias("instrument_id"), fund_name((F.col("id") * 3 + F.col("n")) % funds, funds).alias("fund_id"))
+
+
+def raw_holdings(spark: SparkSession, sf_dir: str, weights: str = "reported") -> DataFrame:
     """Line items as raw holdings: fund from the supplier, security from the part, quarter end of
     the ship date; some values negative or null, some names in conflict."""
+    funds, securities = sizes(spark, sf_dir)
     n, line = F.col("l_partkey") % securities, F.col("l_linenumber")
     sign = F.when((F.col("l_returnflag") == "A") & (line == 6), F.lit(None)).when((F.col("l_returnflag") == "R") & (line == 7), -1).otherwise(1)
     raw = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("F"), F.lpad((F.col("l_suppkey") % funds).cast("string"), 2 if funds <= 100 else 9, "0")).alias("fund_id"),
+        fund_name(F.col("l_suppkey") % funds, funds).alias("fund_id"),
         F.last_day(F.add_months(F.trunc(F.col("l_shipdate").cast("date"), "quarter"), 2)).alias("snapshot_date"),
         F.concat(F.lit("P"), F.lpad(n.cast("string"), 8, "0")).alias("cusip"),
         F.concat(F.lit("T"), (n % 150).cast("string")).alias("security_ticker"),
@@ -79,10 +109,11 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as daily bars of three instruments."""
+    """Orders as daily bars of three instruments for every 1,500 customers."""
     o = table(spark, sf_dir, "orders")
-    price, key = "o_totalprice", "o_orderkey"
-    return o.groupBy(F.col("o_orderstatus").alias("instrument_id"), F.col("o_orderdate").cast("date").alias("trading_date")).agg(
+    price, key, groups = "o_totalprice", "o_orderkey", bar_groups(spark, sf_dir)
+    name = F.concat(F.col("o_orderstatus"), (F.col("o_custkey") % groups).cast("string")) if groups > 1 else F.col("o_orderstatus")
+    return o.groupBy(name.alias("instrument_id"), F.col("o_orderdate").cast("date").alias("trading_date")).agg(
         F.min_by(price, key).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -106,6 +137,7 @@ def edges(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as price messages in arrival order: shuffled within five, every 97th repeated."""
     e = table(spark, sf_dir, "events")
+    instrument = F.col("user_id") % instrument_count(spark, sf_dir)
     copies = F.when(F.col("event_id") % 97 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return e.select(
         F.lit("price").alias("type"),
@@ -114,9 +146,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(copies).alias("copy"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("send_timestamp_ns"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + (F.col("event_id") * 7919) % 100_003 - 50).alias("decoded_timestamp_ns"),
-        (F.col("user_id") % 64).cast("int").alias("instrument_id"),
+        instrument.cast("int").alias("instrument_id"),
         F.round(F.col("value") * 100).cast("long").alias("price_ticks"),
-        F.concat(F.lit("cusip:P"), F.lpad((F.col("user_id") % 64).cast("string"), 8, "0")).alias("security_node_id"),
+        F.concat(F.lit("cusip:P"), F.lpad(instrument.cast("string"), 8, "0")).alias("security_node_id"),
     )
 
 
