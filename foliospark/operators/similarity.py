@@ -89,8 +89,11 @@ class Index:
             return cls(np.zeros((1, 1)), rows.select(F.lit(0).alias("cell"), F.array("id").alias("ids"), F.lit(b"").alias("codes"), F.lit(1.0).alias("scale"), F.lit(b"").alias("vectors")), 1)
         cells = cells or max(1, min(4096, round(n**0.5 / 2)))
         some = rows.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000)) if n > sample else rows
-        fitted = KMeans(k=cells, maxIter=15, seed=17, initSteps=2).fit(some.select(array_to_vector("v").alias("features")))
-        centres = np.array(fitted.clusterCenters())
+        if cells > 1:
+            fitted = KMeans(k=cells, maxIter=15, seed=17, initSteps=2).fit(some.select(array_to_vector("v").alias("features")))
+            centres = np.array(fitted.clusterCenters())
+        else:
+            centres = np.zeros((1, rows.select(F.max(F.size("v"))).first()[0]))
         blocks = max(1, -(-n // (BLOCK * len(centres))))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
