@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import broadcast_if_small, cut, sliced, table, unused
 
 #: Edits allowed as a share of an item's length, the length (in normalised characters) under which
-#: an item has to stand as it is between word borders, and the characters of items in one pass.
+#: what is found has to lie between word borders, and the characters of items in one pass: the
+#: automaton takes about 48 bytes a character in each worker, 200 MB in all.
 ERROR_RATE = 0.08
-MIN_CHARS = 40
-BLOCK_CHARS = 16_000_000
+SHORT = 40
+BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -67,13 +68,32 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def between_words(item: str, text: str, a: int, b: int, most: int) -> tuple[int, int, int] | None:
+    """(least edit distance of ``item`` to whole words of text[a:b], their start and end), the first
+    of equal ones, or None if above ``most``."""
+    found = None
+    for s in range(a, b):
+        if text[s] == " " or (s > 0 and text[s - 1] != " "):
+            continue
+        part = text[s : min(len(text), s + len(item) + most)]
+        row = list(range(len(part) + 1))
+        for i, c in enumerate(item, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(part, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        for n in range(1, len(part) + 1):
+            if row[n] <= most and text[s + n : s + n + 1] in ("", " ") and part[n - 1] != " ":
+                found = min(found or (row[n], s, s + n), (row[n], s, s + n))
+    return found
+
+
 class Matcher:
     """Items (ids, normalised text) ready to be looked for; built once a task."""
 
     def __init__(self, items: list[tuple[list, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * rate) if len(t) >= MIN_CHARS else 0) for i, t in items]
+        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
         self.find = ahocorasick.Automaton()
         for n, (_, item, budget) in enumerate(self.items):
             for at, piece in pieces(item, budget):
@@ -82,8 +102,7 @@ class Matcher:
             self.find.make_automaton()
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
-        """For each item, merged stretches of ``text`` where a piece says that it may lie; for a
-        short one, its first place between word borders."""
+        """For each item, merged stretches of ``text`` where a piece says that it may lie."""
         found: dict[int, set[int]] = {}
         for last, hits in self.find.iter(text):
             for n, at, size in hits:
@@ -91,11 +110,6 @@ class Matcher:
         out: dict[int, list[list[int]]] = {}
         for n, starts in found.items():
             _, item, budget = self.items[n]
-            if len(item) < MIN_CHARS:
-                whole = [s for s in starts if text[s - 1 : s] in ("", " ") and text[s + len(item) : s + len(item) + 1] in ("", " ")]
-                if whole:
-                    out[n] = [[min(whole), min(whole) + len(item)]]
-                continue
             spans: list[list[int]] = []
             for s in sorted(starts):
                 a, b = max(0, s - budget), min(len(text), s + len(item) + budget)
@@ -116,7 +130,10 @@ class Matcher:
         for n, spans in self.windows(plain).items():
             ids, item, budget = self.items[n]
             places = [(got[0], a + got[1]) for a, b in spans if (got := myers(item, plain[a:b], budget))]
-            if places:
+            if places and len(item) < SHORT:  # the scan finds it inside words too
+                whole = [got for a, b in spans if (got := between_words(item, plain, a, b, budget))]
+                out += [(ids, *min(whole))] if whole else []
+            elif places:
                 distance, end = min(places)
                 out.append((ids, distance, max(0, end - len(item)), end))
         if not out:
@@ -132,9 +149,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     most ``rate`` x its length edits, at its best place (the first of equal ones); with ``key``
     also that column (a long) of the document.
 
-    Both texts are compared as lower-case words with single spaces. Items under MIN_CHARS
-    characters there are found only as they are, between word borders; items without a word and
-    null ones never; a null item_id is kept as such. Items of one text are looked for once. Items
+    Both texts are compared as lower-case words with single spaces. Items under SHORT characters
+    there are found between word borders only, with the same share of edits; items without a word
+    and null ones never; a null item_id is kept as such. Items of one text are looked for once. Items
     go to the tasks in blocks of about ``block_chars`` characters, dealt by their texts; with
     several blocks each one's finds are written before the next block comes to the driver. Null
     texts hold nothing; whole texts are read, however long; repeated rows give repeated results;

@@ -138,9 +138,8 @@ _TEXTS = (
 )
 #: The same as words: label, words with single spaces, phrases.
 TEMPLATES = tuple((label, " ".join(re.findall(r"[a-z0-9]+", text.lower())), keys) for label, text, keys in _TEXTS)
-#: Least share of a template's IDF weight that an alignment must hold, and anchors per template.
+#: Least share of a template's IDF weight that an alignment must hold.
 LEAST = 0.8
-ANCHORS = 3
 
 
 def license_words(text: Column) -> Column:
@@ -166,9 +165,13 @@ def document_frequency(docs: DataFrame) -> tuple[int, dict[str, int]]:
 
 
 def build_index(n_docs: int, df: dict[str, int]) -> list[dict]:
-    """Templates and base phrases with the IDF of each word, their highest-IDF words as anchors,
-    and the word positions that mandatory phrases cover."""
+    """Templates and base phrases with the IDF of each word, the word positions that mandatory
+    phrases cover, and an anchor: the mandatory word of highest IDF. It has to stand in its place
+    in every alignment that counts, so none is lost, whatever else a text has changed. Words that
+    the documents hold alike are ranked by how few templates hold them."""
     idf = {w: round(math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1, 6) for w in vocabulary()}
+    texts = [set(t.split()) for t in [*PHRASES, *(t for _, t, _ in TEMPLATES)]]
+    common = {w: sum(w in t for t in texts) for w in idf}
     index = []
     for label, text, keys, base in [(v, k, (k,), True) for k, v in PHRASES.items()] + [(*t, False) for t in TEMPLATES]:
         words = text.split()
@@ -177,8 +180,8 @@ def build_index(n_docs: int, df: dict[str, int]) -> list[dict]:
             k = key.split()
             at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
             must.update(range(at, at + len(k)))
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[: 1 if base else ANCHORS]
-        index.append({"label": label, "words": words, "idf": [idf[w] for w in words], "must": sorted(must), "anchors": [(w, i) for i, w in enumerate(words) if w in rare], "base": base})
+        place = min(must, key=lambda i: (-idf[words[i]], common[words[i]], i))
+        index.append({"label": label, "words": words, "idf": [idf[w] for w in words], "must": sorted(must), "anchors": [(words[place], place)], "base": base})
     return index
 
 
@@ -187,6 +190,7 @@ def scan(docs: DataFrame, index: list[dict] | None = None) -> DataFrame:
 
     The places of a document's rare license words are looked up in the postings of the templates;
     a template's start follows from each pair of positions (intersection by relative position).
+    Postings hold the rarest mandatory word of each template, which no alignment can lack.
     At every such start the words are compared in place: a base phrase needs all of them, another
     template its mandatory phrases and LEAST of its IDF weight. The score is the largest share
     found, 0 without any; labels are distinct, sorted and comma-joined, '' without any.
