@@ -36,44 +36,56 @@ DIGITS = {
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
 }
 SIGNS = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": "."}
+#: Names of @ and of the dot in the languages of the digit names; those of @ that
+#: are no everyday word.
+AT_NAMES = ("at", "ät", "arroba", "arobase", "klammeraffe", "chez")
+DOT_NAMES = ("dot", "punkt", "punto", "point")
 _NAME = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SIGN = "|".join(SIGNS)
+#: What may lie between spelled digits: one white space, or a comma or hyphen with or without one. Two
+#: spaces or a sentence's end part what isn't one number.
+_GAP = r"(?:\s?-\s?|,\s?|\s)"
 #: Two or more digit names or numbers, at least one of them a name, with signs between. What the
 #: digits make must then match a base pattern.
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NAME}|[0-9]+)(?:[\s,-]{{1,3}}(?:(?:{_SIGN})[\s-]+)?(?:{_NAME}|[0-9]+)(?!\w))+")
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_NAME}|[0-9]+)(?:{_GAP}(?:(?:{_SIGN}){_GAP})?(?:{_NAME}|[0-9]+)(?!\w))+")
 SPELLED_WORD = re.compile(rf"(?i)(?:{_NAME}|{_SIGN}|[0-9]+)")
-#: an @ or dot in brackets anywhere; bare words only where a whole address has them (addresses())
-_DOT = r"(?:\s{0,2}[(\[{]\s?(?:dot|\.)\s?[)\]}]\s{0,2}|\s(?:dot)\s)"
-_AT = r"(?:\s{0,2}[(\[{]\s?(?:at|@)\s?[)\]}]\s{0,2})"
+DIGIT_NAME = re.compile(rf"(?i)(?<!\w)(?:{_NAME})(?!\w)")
+#: An @ or dot in brackets anywhere, with any white space around; bare names only where a whole
+#: address has them (addresses()). Possessive, and not begun inside white space, so long runs are
+#: passed over once.
+_AT_NAME, _DOT_NAME = "|".join(AT_NAMES), "|".join(DOT_NAMES)
+_DOT = rf"(?:(?<!\s)\s*+[(\[{{]\s?(?:{_DOT_NAME}|\.)\s?[)\]}}]\s*+|\s(?:{_DOT_NAME})\s|\s\.\s(?=[a-z]))"
+_AT = rf"(?:(?<!\s)\s*+[(\[{{]\s?(?:{_AT_NAME}|@)\s?[)\]}}]\s*+)"
 _PART = r"[A-Za-z0-9_%+-]+"
 LOCAL_CHAIN = re.compile(rf"(?i){_PART}(?:(?:\.|{_DOT}){_PART})*+")
 DOMAIN_CHAIN = re.compile(rf"(?i)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)++")
 BRACKETED_AT = re.compile(rf"(?i){_AT}")
-ANY_AT = re.compile(rf"(?i){_AT}|\sat(?=\s)|\s?@")
+ANY_AT = re.compile(rf"(?i){_AT}|\s(?:{_AT_NAME})(?=\s)|\s?@")
 DOT = re.compile(rf"(?i){_DOT}")
 DOMAIN_DOT = re.compile(rf"(?i)\.|{_DOT}")
-#: Words of bare addresses: those before 'at' that no one has as a name, and those that are no
-#: name of a host. 'look at the dot' and 'we sat at home dot com' stay.
+#: Words that say whether a bare address is one; none of them decides alone (see ``evidence``).
 VERBS = frozenset(
     """
-    aim aimed am appear appeared are arrive arrived arriving ate back be been being book bought call called came come cost dine dined down eat
-    eating end ended everyone fire gather gathered gaze gazed glance glanced going good grab guess had happen happened hard has have held help here him
-    home is it jump keep kept land landed laugh laughed left lie live lived living located look looked looking looks lunch me meet meeting met never not
-    now off one open opened out over park parked play played point pointed price priced read run sat school see seen sell served shoot shot shout shown
-    sit sits sitting sleep slept sold someone speak staff standing stand stared start started stay stayed staying stood stop stopped study talk taught
-    that them there they this time today together tomorrow tonight train up us wait waited waiting was we went were which who winked wonder work worked
-    working works you
+    aim appear are arrive ate be book buy call came come cost dine eat end gather gaze glance go grab guess happen have help is jump keep land laugh
+    left lie live look lunch meet met open park play point read run sat see sell shoot shout sit sleep speak stand stare start stay stop study talk
+    taught train wait was went were wink wonder work
     """.split()
 )
 FUNCTION_WORDS = frozenset(
     """
     all an and any as at be both but by each every for from he her his if in is it its just last least me more most my next no noon night of on once
-    one or our so some that the their them then there these they this those to us was we were what when where which who will with work you your
+    one or our so some that the their them then there these they this those to us was we what when where which who will with your
     """.split()
 )
-BARE = re.compile(r"(?i)\sdot\s|\s@|@\s")
+#: Evidence that an address of bare words needs.
+ENOUGH = 2
+#: Words, and signs, that lead to an address.
+LEADS = re.compile(r"(?i)(?:^|[:;,(<>|/–-]|\b(?:to|an|à|a|via|mail|e-mail|email|address|contact|kontakt|contacto|correo|write|ask|reach|schreib|schreibe|escribe|écrire|adresse|courriel|is|ist|es|est))\s*$")
+#: Public last labels that are everyday words: nothing is told by them.
+WORD_TLDS = frozenset("am as at be best by do fun game go group help home hot how im in is it la live love ma me mo my no now one open place run save show so to us work world zone".split())
+BARE = re.compile(rf"(?i)\s(?:{_DOT_NAME})\s|\s@|@\s|\s\.\s")
 WORD = re.compile(r"\w+")
-BRACKETED = re.compile(r"(?i)[(\[{]\s?(?:at|dot|@|\.)\s?[)\]}]")
+BRACKETED = re.compile(rf"(?i)[(\[{{]\s?(?:{_AT_NAME}|{_DOT_NAME}|@|\.)\s?[)\]}}]")
 ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(HIDDEN) + "！-～\U0001d7ce-\U0001d7ff٠-٩۰-۹०-९]")
 
 
@@ -147,20 +159,29 @@ def is_verb(word: str) -> bool:
     return not VERBS.isdisjoint(forms)
 
 
-def closed(labels: list[str], prose: bool) -> int:
+def closed(labels: list[str]) -> int:
     """How many labels of a bare domain its address takes: up to its last public one, since words
-    of the sentence may follow; 0 if it is no address, as in ``prose`` with a word among them that
-    no host has as its name."""
-    for n in range(len(labels), 1, -1):
-        if labels[n - 1] in TLDS and not (prose and any(x in FUNCTION_WORDS for x in labels[: n - 1])):
-            return n
-    return 0
+    of the sentence may follow; 0 if none is public."""
+    return next((n for n in range(len(labels), 1, -1) if labels[n - 1] in TLDS), 0)
+
+
+def evidence(text: str, start: int, at: int, labels: list[str], end: int) -> int:
+    """How much speaks for an address of bare words, from its shape: a local part that isn't a
+    verb's form, or has a sign of a name; a last label that isn't a word; what leads to it; an end
+    of the clause behind it. Host labels that are function words speak against it."""
+    local = text[start:at].lower()
+    score = 1 if not is_verb(local) else 0 if LEADS.search(text[max(0, start - 16) : start]) else -1
+    score += any(c in "0123456789._-+%" for c in local)
+    score += labels[-1] not in WORD_TLDS
+    score += LEADS.search(text[max(0, start - 16) : start]) is not None
+    score += not re.match(r"\s*\w", text[end:])
+    return score - 3 * any(x in FUNCTION_WORDS for x in labels[:-1]) - 2 * (local in FUNCTION_WORDS and local != "me")
 
 
 def addresses(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end of the local part, start of the domain, end) of addresses with a disguised @
-    or dot, in order. Bracketed signs stand alone; a bare 'at' needs a spelled-out dot after it, a
-    public last label, and words around it that aren't ones of a sentence."""
+    or dot, in order. Bracketed signs stand alone; a bare name of @ needs a spelled-out dot after it,
+    a public last label and ENOUGH evidence."""
     out, ends, last = [], None, 0
     for at in ANY_AT.finditer(text):
         bracketed = BRACKETED_AT.fullmatch(at[0]) is not None
@@ -177,15 +198,16 @@ def addresses(text: str) -> list[tuple[int, int, int, int]]:
         if not bracketed:
             dots = list(DOMAIN_DOT.finditer(domain[0]))
             word = "@" not in at[0]
-            n = closed(DOMAIN_DOT.sub(".", domain[0]).lower().split("."), word)
+            labels = DOMAIN_DOT.sub(".", domain[0]).lower().split(".")
+            n = closed(labels)
             spaced = not word and after - at.start() > 1
             spelled = any(len(d[0]) > 1 for d in dots[: max(n - 1, 0)])
             if n == 0 or not (spelled or spaced or DOT.search(text, start, at.start())):
                 continue
-            if word and (not spelled or is_verb(text[start : at.start()].lower())):
-                continue
             if n <= len(dots):
                 end = after + dots[n - 1].start()
+            if word and (not spelled or evidence(text, start, at.start(), labels[:n], end) < ENOUGH):
+                continue
         last = end
         out.append((start, at.start(), after, end))
     return out
@@ -223,9 +245,19 @@ def hidden_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans: hidden ones come in unless a base span of their kind holds them."""
+    """Base spans, and all spans: hidden ones come in unless a base span of their kind holds them,
+    or they only lengthen one by a digit name, which is more likely a word of the sentence."""
     base = base_spans(text)
-    more = [x for x in hidden_spans(text) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
+
+    def new(kind: int, start: int, end: int) -> bool:
+        for k, s, e in base:
+            if k == kind and s <= start and end <= e:
+                return False
+            if k == kind > 0 and start <= s and e <= end and len(DIGIT_NAME.findall(text[start:s] + "|" + text[e:end])) == 1:
+                return False
+        return True
+
+    more = [x for x in hidden_spans(text) if new(*x)]
     return base, sorted({*base, *more})
 
 

@@ -167,3 +167,29 @@ def test_one_digit_name_is_enough(found):
 @pytest.mark.parametrize("found", ["jane at mail dot online", "jane at mail dot museum", "jane at mail dot in"])
 def test_public_last_labels_of_any_length(found):
     assert pii.redacted(f"ask {found} please", pii.all_spans(f"ask {found} please")[1]) == "ask [EMAIL] please"
+
+
+#: Written from how people write, not from the patterns: at, dot and brackets in four languages.
+WRITTEN = """
+anna arroba firma punto es|anna [arroba] firma [punto] es|anna (at) firma (punkt) de|anna ät firma punkt de|info   (at)   firma   (dot)   de|john @ example . com
+work at acme dot com|play at studio dot io|me at smith dot org|m.muster (ät) web (punkt) de|hans klammeraffe gmx punkt net|lucie arobase courrier point fr
+lucie (arobase) courrier (point) fr|pedro.ruiz arroba correo punto com punto mx|pedro(arroba)correo(punto)com|info {at} uni-koeln {dot} de|sales[at]shop[dot]co[dot]uk
+contact [ at ] firm [ dot ] eu|JOHN AT EXAMPLE DOT COM|jane_doe at mail dot example dot org|k.larsen at post dot no|bob(@)site.org|bob[@]site[.]org|office @ company . net
+""".replace("\n", "|").strip("|").split("|")
+
+
+def test_forms_of_four_languages():
+    frames = ["{}", "mail: {}", "Bitte an {} schreiben", "escribe a {}, gracias", "contact {}."]
+    lost = [(f, x) for x in WRITTEN for f in frames if not any(f.format(x)[s:e] == x for _, s, e in pii.all_spans(f.format(x))[1])]
+    assert len(lost) <= 0.1 * len(WRITTEN) * len(frames), lost
+
+
+@pytest.mark.parametrize("text", ["call +1 (848) 555-1373  Un au re", "call +1 (848) 555-1373 Un au re", "+49 30 1234567 acht Uhr", "tel +1 (848) 555-1373. One more"])
+def test_a_word_of_the_sentence_does_not_lengthen_a_number(text):
+    base, spans = pii.all_spans(text)
+    assert len(base) == 1 and spans == base
+
+
+def test_long_white_space_is_linear():
+    for t in [" " * 200_000 + "(at) x (dot) com", "a" + " " * 200_000 + "b", "a (at)" + " " * 100_000 + "b.com" + " " * 100_000, "( " * 60_000, "a . " * 50_000]:
+        pii.all_spans(t)
