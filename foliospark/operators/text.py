@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.sources.store import stage
+
 MARK = "[REDACTED]"
 #: Token formats that issuers document: name, literal prefixes, characters, least length.
 ISSUED = (
@@ -81,13 +83,79 @@ def is_private(name: Column) -> Column:
 
 
 def scrub_config(config: Column) -> Column:
-    """A string map without private fields, its values scrubbed; members of private names inside
-    JSON texts among the values go too, at any depth."""
-    kept = F.map_filter(config, lambda k, v: ~is_private(k))
-    value = r"(?:\"(?:\\.|[^\"\\])*\"|\{[^{}]*\}|\[[^\[\]]*\]|[^,{}\[\]]+)"
-    name = rf"\"(?:[^\"]*(?:[^A-Za-z0-9\"]|[a-z0-9](?=[A-Z])))?(?i:{_any(PRIVATE)}s?)(?:[^a-z0-9\"][^\"]*)?\""
-    member = rf"{name}\s*:\s*{value}\s*,?"
-    return F.transform_values(kept, lambda k, v: scrub(F.regexp_replace(v, member, "")))
+    """A flat string map without private fields, its values scrubbed as texts. Values that are
+    JSON go through ``scrub_json`` (by ``scrub_configs``), which reads them."""
+    return F.transform_values(F.map_filter(config, lambda k, v: ~is_private(k)), lambda k, v: scrub(v))
+
+
+#: Nesting of JSON that is walked; what lies deeper goes, as it can't be judged.
+DEEPEST = 64
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON."""
+    one = F.to_json(F.array(text))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def scrub_json(texts: DataFrame, column: str) -> DataFrame:
+    """``texts`` with the JSON of ``column`` without private members at any depth, and its strings
+    scrubbed; a text that isn't JSON is scrubbed as text, null stays.
+
+    A walk over the distinct texts as variants: a level of the tree becomes rows (text, place of
+    the parent, place, name, value), private names are filtered there, and the next level comes from
+    ``variant_explode`` of the objects and arrays that are left. Then the texts are put together
+    again from the deepest level up. A level is one step for all texts; a task's group is the
+    members of one object or array. Members come in order of their names, as a variant keeps them.
+    """
+    spark = texts.sparkSession
+    key = F.sha2(F.col(column), 256)
+    root = texts.where(F.col(column).isNotNull()).select(key.alias("doc"), F.col(column).alias("raw"), F.try_parse_json(column).alias("value")).dropDuplicates(["doc"])
+    root = root.where(F.col("value").isNotNull()).select("doc", F.lit("").alias("at"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("pos"), F.lit("").alias("parent"), F.schema_of_variant("value").alias("kind"), "value")
+    levels, now = [], stage(_told(root), "level")
+    while not now.isEmpty() and len(levels) <= DEEPEST:
+        levels.append(now)
+        inner = now.where("holds").select("doc", F.col("at").alias("parent"), "value")
+        members = inner.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).toDF("pos", "name", "member")).select("doc", "parent", "pos", "name", F.col("member").alias("value"))
+        kept = members.where(F.col("name").isNull() | ~is_private(F.col("name")))
+        place = F.concat_ws(".", "parent", F.col("pos").cast("string"))
+        now = stage(_told(kept.select("doc", place.alias("at"), "name", "pos", "parent", F.schema_of_variant("value").alias("kind"), "value")), "level")
+    done = None
+    for level in reversed(levels):
+        leaf = F.when(F.col("scalar") == "string", _quoted(scrub(F.col("text")))).otherwise(F.col("json"))
+        rows = level.select("doc", "at", "name", "pos", "parent", "holds", "object", leaf.alias("leaf"))
+        if done is not None:
+            rows = rows.join(done, ["doc", "at"], "left")
+        inside = F.coalesce("inside", F.lit("")) if done is not None else F.lit("")
+        whole = F.when(~F.col("holds"), F.col("leaf")).when(F.col("object"), F.concat(F.lit("{"), inside, F.lit("}"))).otherwise(F.concat(F.lit("["), inside, F.lit("]")))
+        rows = rows.select("doc", "at", "parent", "pos", F.when(F.col("name").isNotNull(), F.concat(_quoted(F.col("name")), F.lit(":"), whole)).otherwise(whole).alias("whole"))
+        members = F.array_sort(F.collect_list(F.struct("pos", "whole")))
+        done = rows.where("at <> ''").groupBy("doc", F.col("parent").alias("at")).agg(F.array_join(F.transform(members, lambda m: m["whole"]), ",").alias("inside")) if level is not levels[0] else rows.select("doc", "whole")
+    if done is None:
+        return texts.withColumn(column, scrub(F.col(column)))
+    named = done.select(F.col("doc").alias("__doc"), F.col("whole").alias("__whole"))
+    return texts.join(named, key == F.col("__doc"), "left").select(*[F.coalesce("__whole", scrub(F.col(c))).alias(c) if c == column else F.col(c) for c in texts.columns])
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Of each value whether it holds members, whether it is an object, and a scalar's kind and text."""
+    object_, array = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
+    scalar = F.when(F.col("kind") == "STRING", "string").otherwise("other")
+    return rows.withColumns({"object": object_, "holds": object_ | array, "scalar": scalar, "text": F.when(scalar == "string", F.try_variant_get("value", "$", "string")), "json": F.when(~(object_ | array), F.to_json("value"))}).drop("kind")
+
+
+def scrub_configs(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the string map of ``column`` without private fields; values that are JSON
+    objects or arrays lose theirs at any depth, other values are scrubbed as texts."""
+    texts = rows.select(F.explode(F.map_values(F.map_filter(column, lambda k, v: ~is_private(k)))).alias("value")).where("value IS NOT NULL").distinct()
+    holds = F.col("value").rlike(r"^\s*[{\[]")
+    clean = scrub_json(texts.where(holds).withColumn("clean", F.col("value")), "clean")
+    known = rows.select(F.monotonically_increasing_id().alias("__row"), "*")
+    known = stage(known, "configs")
+    parts = known.select("__row", F.explode(F.map_filter(column, lambda k, v: ~is_private(k))).alias("name", "value")).join(clean, "value", "left")
+    whole = parts.select("__row", F.struct("name", F.coalesce("clean", scrub(F.col("value")))).alias("m")).groupBy("__row").agg(F.map_from_entries(F.collect_list("m")).alias("__map"))
+    none = F.when(F.col(column).isNotNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    return known.join(whole, "__row", "left").select(*[F.coalesce("__map", none).alias(c) if c == column else F.col(c) for c in rows.columns])
 
 
 def secret_scan(texts: DataFrame, id_column: str, text_column: str, large: int = LARGE) -> DataFrame:

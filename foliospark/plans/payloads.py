@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 from foliospark.operators import graph, models, normalize, quality, shock
+from foliospark.operators import text as text_ops
 from foliospark.plans import views as V
-from foliospark.sources import exchange, filings, market, store
+from foliospark.sources import commits, exchange, filings, market, store
 from foliospark.streaming import exposure
 
 
@@ -45,6 +46,55 @@ def _xml_holdings(s, d):
     return h.groupBy("accession").agg(F.count(F.lit(1)).alias("holdings"), F.count("cusip").alias("cusips"), F.count("isin").alias("isins"), F.max("isin").alias("last_isin"), F.round(F.sum("quantity"), 1).alias("quantity"), F.round(F.sum("market_value"), 2).alias("market_value"), F.round(F.sum("portfolio_weight"), 6).alias("weight"))
 
 
+def archive(s, d) -> DataFrame:
+    """The filings of xml_payloads with a report date, every eighth broken in one of seven ways."""
+    n = F.col("accession").cast("long") % 8
+    head = "<edgarSubmission xmlns:n='x'>"
+    dated = F.replace("payload", F.lit(head), F.lit(f"{head}<submissionType>NPORT-P</submissionType><repPdDate>2024-03-31</repPdDate><!-- <invstOrSec> -->"))
+    ways = [
+        F.lit("  "),
+        F.substring(dated, F.lit(1), F.length(dated) - 20),
+        F.replace(F.replace(dated, F.lit("<edgarSubmission"), F.lit("<html")), F.lit("</edgarSubmission"), F.lit("</html")),
+        F.replace(dated, F.lit("NPORT-P"), F.lit("NPORT-EX")),
+        F.col("payload"),
+        F.replace(dated, F.lit("2024-03-31"), F.lit("March 2024")),
+        F.regexp_replace(dated, r"(?s)<invstOrSecs>.*</invstOrSecs>", ""),
+    ]
+    broken = F.when(F.col("accession").cast("long") % 64 >= 8, dated)
+    for i, way in enumerate(ways):
+        broken = broken.when(n == i, way)
+    return xml_payloads(s, d).select("accession", broken.otherwise(dated).alias("payload"))
+
+
+def _quarantine(s, d):
+    """Reasons of the filings that are rejected, and the holdings of the others."""
+    rows, bad = filings.read_filings(archive(s, d))
+    sound = rows.groupBy(F.lit("sound").alias("reason")).agg(F.count_distinct("accession").alias("filings"), F.count(F.lit(1)).alias("holdings"))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("filings"), F.lit(0).cast("long").alias("holdings")).unionByName(sound)
+
+
+def _scrubbed(s, d):
+    """Orders as nested JSON with private members at several depths, and without them."""
+    o = V.table(s, d, "orders")
+    text = lambda c: F.col(c).cast("string")
+    parts = ['{"order":', text("o_orderkey"), ',"contact":{"address":{"street":"', text("o_orderpriority"), '","nested":[{"deep":1}]}},"lines":[{"status":"', text("o_orderstatus"), '","password":"p"},{"deep":{"userAgent":"x","cents":', (F.col("o_totalprice") * 100).cast("decimal(20,0)").cast("string"), ',"note":"mail a@b.org"}}]}']
+    made = o.select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("config"))
+    return text_ops.scrub_json(made, "config")
+
+
+def _keyed_table(s, d):
+    """Orders appended, a quarter upserted, a tenth deleted, the files rewritten in between: the
+    table at its first version and at the last."""
+    o = V.table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    t = commits.KeyedTable(s, folder(s), ["o_orderkey"])
+    first = t.write(o, "append")
+    t.write(o.where("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("new")), read_version=first)
+    t.rewrite()
+    t.write(o.where("o_orderkey % 10 = 0"), "delete")
+    count = lambda v, name: t.read(v).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")).select(F.lit(name).alias("version"), "o_orderstatus", "orders")
+    return count(first, "first").unionByName(count(None, "last"))
+
+
 def submission_payloads(s, d) -> DataFrame:
     """One columnar JSON index a customer."""
     o = V.table(s, d, "orders")
@@ -111,7 +161,7 @@ def _snapshot_store(s, d):
     """All snapshots written, then one fund's alone with doubled weights: the others stay."""
     root, h = folder(s), V.holdings(s, d).select("fund_id", "snapshot_date", "security_id", "portfolio_weight")
     store.write_snapshots(h, root)
-    store.write_snapshots(h.where("fund_id = 'F03'").withColumn("portfolio_weight", F.col("portfolio_weight") * 2), root)
+    store.write_snapshots(h.where(F.col("fund_id") == V.fund_id(s, d, 3)).withColumn("portfolio_weight", F.col("portfolio_weight") * 2), root)
     rows = s.read.parquet(root)
     return rows.groupBy("fund_id").agg(F.count(F.lit(1)).alias("holdings"), F.count_distinct("snapshot_date").alias("snapshots"), F.round(F.sum("portfolio_weight"), 6).alias("weight"))
 
@@ -119,8 +169,9 @@ def _snapshot_store(s, d):
 def _point_read(s, d):
     root, h = folder(s), V.holdings(s, d)
     store.write_snapshots(h, root)
-    day = str(h.where("fund_id = 'F07'").agg(F.max("snapshot_date")).first()[0])
-    return store.read_snapshot(s, root, "F07", day).select("security_id", "snapshot_date", F.round("portfolio_weight", 8).alias("portfolio_weight"))
+    fund = V.fund_id(s, d, 7)
+    day = str(h.where(F.col("fund_id") == fund).agg(F.max("snapshot_date")).first()[0])
+    return store.read_snapshot(s, root, fund, day).select("security_id", "snapshot_date", F.round("portfolio_weight", 8).alias("portfolio_weight"))
 
 
 def _graph_files(s, d):
@@ -320,6 +371,9 @@ def queries(risk, timeline, resolved) -> dict:
     session and folder."""
     return {
         "xml_holdings": _xml_holdings,
+        "filing_quarantine": _quarantine,
+        "scrub_json": _scrubbed,
+        "keyed_table": _keyed_table,
         "submission_index": lambda s, d: filings.filings_from_submissions(submission_payloads(s, d)),
         "primary_documents": _primary,
         "vendor_bars": _vendor_bars,

@@ -347,6 +347,11 @@ ORACLES |= {
     "xml_holdings": """SELECT CAST(l_orderkey AS VARCHAR) AS accession, count(*) AS holdings, count(*) FILTER (l_linenumber <> 7 AND l_partkey <> 0) AS cusips, count(*) FILTER (l_linenumber % 3 <> 2) AS isins,
   max('US' || lpad(CAST(l_partkey AS VARCHAR), 9, '0')) FILTER (l_linenumber % 3 <> 2) AS last_isin, round(sum(l_quantity * 1000), 1) AS quantity, round(sum(l_extendedprice), 2) AS market_value, round(sum(round(l_discount, 4)), 6) AS weight
 FROM lineitem GROUP BY l_orderkey""",
+    "filing_quarantine": """SELECT reason, count(DISTINCT l_orderkey) AS filings, CAST(sum(CASE WHEN reason = 'sound' THEN 1 ELSE 0 END) AS BIGINT) AS holdings FROM (
+  SELECT l_orderkey, CASE WHEN l_orderkey % 64 >= 8 THEN 'sound' ELSE ['empty', 'not XML', 'root', 'submission type', 'no report date', 'report date', 'no records', 'sound'][1 + l_orderkey % 8] END AS reason FROM lineitem) GROUP BY reason""",
+    "scrub_json": """SELECT o_orderkey, '{"lines":[{"status":"' || o_orderstatus || '"},{"deep":{"cents":' || CAST(CAST(o_totalprice * 100 AS DECIMAL(20, 0)) AS VARCHAR) || ',"note":"mail [REDACTED_EMAIL]"}}],"order":' || o_orderkey || '}' AS config FROM orders""",
+    "keyed_table": """SELECT 'first' AS version, o_orderstatus, count(*) AS orders FROM orders GROUP BY ALL UNION ALL
+SELECT 'last', CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END, count(*) FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY ALL""",
     "submission_index": """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filed_at, CAST(o_orderdate AS DATE) AS report_date, 'primary_doc.xml' AS primary_document
 FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0""",
     "primary_documents": "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE p_partkey % 3 WHEN 0 THEN 'primary_doc.xml' WHEN 1 THEN 'my_primary.xml' ELSE 'a.XML' END AS primary_document FROM part WHERE p_partkey % 7 <> 0",
@@ -354,8 +359,8 @@ FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0""",
     "vendor_status": with_(BARS, VENDOR) + "SELECT provider, CASE WHEN y = 1995 AND instrument_id LIKE 'O%' THEN 'rate_limit' ELSE 'ok' END AS status, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS items FROM (SELECT provider, instrument_id, year(trading_date) AS y, count(*) AS n FROM vb GROUP BY ALL) GROUP BY ALL",
     "fund_catalogue": "SELECT DISTINCT upper(s_name) AS ticker, lpad(CAST(s_nationkey AS VARCHAR), 10, '0') AS cik, 'S' || s_suppkey % 5 AS series_id, 'C1' AS class_id FROM supplier WHERE s_suppkey % 9 <> 0",
     "fixture_snapshots": "SELECT 'F' || l_suppkey AS fund_id, '2024-03-31' AS snapshot_date, CASE WHEN l_linenumber = 1 THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS holdings, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL",
-    "snapshot_store": with_(RAW) + "SELECT fund_id, count(*) AS holdings, count(DISTINCT snapshot_date) AS snapshots, round(sum(portfolio_weight * CASE WHEN fund_id = 'F03' THEN 2 ELSE 1 END), 6) AS weight FROM h GROUP BY fund_id",
-    "snapshot_read": with_(RAW) + "SELECT security_id, snapshot_date, round(portfolio_weight, 8) AS portfolio_weight FROM h WHERE fund_id = 'F07' AND snapshot_date = (SELECT max(snapshot_date) FROM h WHERE fund_id = 'F07')",
+    "snapshot_store": with_(RAW) + "SELECT fund_id, count(*) AS holdings, count(DISTINCT snapshot_date) AS snapshots, round(sum(portfolio_weight * CASE WHEN fund_id = (SELECT 'F' || lpad('3', CASE WHEN greatest(20, count(*) // 5) <= 100 THEN 2 ELSE 9 END, '0') FROM supplier) THEN 2 ELSE 1 END), 6) AS weight FROM h GROUP BY fund_id",
+    "snapshot_read": with_(RAW) + "SELECT security_id, snapshot_date, round(portfolio_weight, 8) AS portfolio_weight FROM h WHERE fund_id = (SELECT 'F' || lpad('7', CASE WHEN greatest(20, count(*) // 5) <= 100 THEN 2 ELSE 9 END, '0') FROM supplier) AND snapshot_date = (SELECT max(snapshot_date) FROM h WHERE fund_id = (SELECT 'F' || lpad('7', CASE WHEN greatest(20, count(*) // 5) <= 100 THEN 2 ELSE 9 END, '0') FROM supplier))",
     "graph_files": with_(RAW, FILINGS, EDGES, SHOCKS) + """SELECT etf_node_id, count(*) AS edges, count(k.key) AS shocked, round(sum(portfolio_weight), 6) AS weight, min(security_ticker) AS first_ticker
 FROM e LEFT JOIN (SELECT DISTINCT key FROM sh WHERE scenario_id = 'scenario-1') k ON k.key = security_node_id GROUP BY etf_node_id""",
     "impact_file": with_(RAW, FILINGS, EDGES, SHOCKS, "ef AS (SELECT scenario_id, security_node_id, arg_max(shock, ord) AS shock FROM sr WHERE status = 'resolved' GROUP BY ALL)")

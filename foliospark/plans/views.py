@@ -38,6 +38,10 @@ def fund_name(number, funds: int):
     return F.concat(F.lit("F"), F.lpad(number.cast("string"), 2 if funds <= 100 else 9, "0"))
 
 
+def fund_id(spark: SparkSession, sf_dir: str, number: int) -> str:
+    return f"F{number:0{2 if sizes(spark, sf_dir)[0] <= 100 else 9}}"
+
+
 def instrument_count(spark: SparkSession, sf_dir: str) -> int:
     """Instruments of the price messages: eight for every 25 securities."""
     return sizes(spark, sf_dir)[1] * 8 // 25

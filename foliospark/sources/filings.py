@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import date
+from xml.parsers import expat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
+from foliospark.sources.store import stage
 
 #: Fields of a holding; a field's value is its text or its attribute ``value``.
 FIELDS = ("name", "title", "cusip", "isin", "ticker", "balance", "curCd", "valUSD", "pctVal", "assetCat", "invCountry")
@@ -23,12 +29,90 @@ def _number(field: str, divisor: float = 1.0) -> Column:
     return F.regexp_replace(_text(field), ",", "").cast("double") / divisor
 
 
+#: Longest filing that is read, in characters, and the roots that one may have.
+LONGEST, ROOTS = 50_000_000, ("edgarSubmission", "nport")
+
+
+def filing_fault(payload: str | None) -> tuple[str | None, str | None, int]:
+    """(reason to reject a filing, its report date, its investment records). The document is read
+    once as a stream of events, without building it; entities and document types are refused."""
+    if payload is None or not payload.strip():
+        return "empty", None, 0
+    if len(payload) > LONGEST:
+        return "too long", None, 0
+    seen: dict[str, list[str]] = {}
+    state = {"root": None, "records": 0, "open": None, "doctype": False}
+    parser = expat.ParserCreate()
+    local = lambda tag: tag.rpartition(":")[2]
+
+    def start(tag: str, _) -> None:
+        name = local(tag)
+        state["root"] = state["root"] or name
+        state["records"] += name == "invstOrSec"
+        state["open"] = name if name in ("submissionType", "repPdDate") and name not in seen else None
+        if state["open"]:
+            seen[name] = []
+
+    def text(data: str) -> None:
+        if state["open"]:
+            seen[state["open"]].append(data)
+
+    def end(tag: str) -> None:
+        state["open"] = None
+
+    def doctype(*_) -> None:
+        state["doctype"] = True
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, text, doctype
+    try:
+        parser.Parse(payload.encode("utf-8", "surrogatepass"), True)
+    except expat.ExpatError:
+        return "not XML", None, state["records"]
+    value = {k: "".join(v).strip() for k, v in seen.items()}
+    day = value.get("repPdDate", "")[:10]
+    if state["doctype"]:
+        return "document type", None, state["records"]
+    if state["root"] not in ROOTS:
+        return "root", None, state["records"]
+    if value.get("submissionType", "NPORT-P").upper() != "NPORT-P":
+        return "submission type", None, state["records"]
+    if not day:
+        return "no report date", None, state["records"]
+    try:
+        date.fromisoformat(day)
+    except ValueError:
+        return "report date", None, state["records"]
+    return (None if state["records"] else "no records"), day, state["records"]
+
+
+def check_filings(payloads: DataFrame) -> DataFrame:
+    """accession, reason (null if sound), report_date and records of each payload: whether it is
+    well-formed XML with the root, submission type, report date and records of a holdings filing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [filing_fault(p) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))]], ["accession", "reason", "report_date", "records"])
+
+    checked = payloads.select("accession", "payload").mapInArrow(run, "accession string, reason string, report_date string, records long")
+    return checked.withColumn("report_date", F.col("report_date").cast("date"))
+
+
+def read_filings(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw holdings of the sound filings, quarantine: accession and reason of the others). The checks
+    run once and are written to the shared folder; nothing is read of a filing that fails them."""
+    checked = stage(check_filings(payloads), "checked")
+    sound = checked.where("reason IS NULL").select("accession", "report_date")
+    return holdings_from_xml(payloads.join(sound, "accession")).join(sound, "accession"), checked.where("reason IS NOT NULL").select("accession", "reason")
+
+
 def holdings_from_xml(payloads: DataFrame) -> DataFrame:
     """Rows (accession, payload) to raw holdings: each invstOrSec element of the payload parsed on
     its own, prefixes of namespaces removed, placeholders null, percent as fractions. ISIN and
     ticker may stand in the element or in its ``identifiers``, not in a nested position. A holding
-    without any name or identifier and a number that is none stop the job."""
-    plain = F.regexp_replace(F.col("payload"), r"(</?)[A-Za-z0-9_.-]+:", "$1")
+    without any name or identifier and a number that is none stop the job. The payloads are taken as
+    sound: ``read_filings`` checks them first."""
+    plain = F.regexp_replace(F.regexp_replace(F.col("payload"), r"(?s)<!--.*?-->", ""), r"(</?)[A-Za-z0-9_.-]+:", "$1")
     blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<invstOrSec\b[^>]*>.*?</invstOrSec>"), F.lit(0))
     rows = payloads.select("accession", F.explode(blocks).alias("x")).select("accession", F.from_xml("x", HOLDING, {"valueTag": "body"}).alias("h"))
     real = lambda *fields: F.coalesce(*[X.without_placeholder(_text(f)) for f in fields])

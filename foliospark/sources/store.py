@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.sources.commits import Log
+
 SUMMARY_SQL = "SELECT fund_id, snapshot_date, count(*) AS holdings, sum(portfolio_weight) AS weight_sum FROM holdings GROUP BY fund_id, snapshot_date"
 
 
@@ -107,8 +109,9 @@ def publish(tables: dict[str, DataFrame], root: str, gates: dict[str, DataFrame]
     """Check the gates (no rows may be in them), write all tables to a new version folder, and
     then name the version in the manifest with the rows of each table.
 
-    A gate that fails leaves nothing behind. The manifest is one small file a version, added and
-    never replaced, so a reader sees the version before or the new one whole.
+    A gate that fails leaves nothing behind. The manifest is one small file a version, made only if
+    no other publisher has its number, and added, never replaced: of two at once one gets the next
+    number and the other the one after it, and a reader sees a version whole or not at all.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, bad in (gates or {}).items():
@@ -119,17 +122,13 @@ def publish(tables: dict[str, DataFrame], root: str, gates: dict[str, DataFrame]
     for name, df in tables.items():
         df.write.parquet(f"{version}/{name}")
         counts[name] = spark.read.parquet(f"{version}/{name}").count()
-    number = 1 + (manifest(spark, root).agg(F.max("number")).first()[0] or 0) if exists(spark, f"{root}/_manifest") else 1
-    spark.createDataFrame([(number, version, counts)], MANIFEST).coalesce(1).write.mode("append").json(f"{root}/_manifest")
+    Log(spark, root).commit({"operation": "publish", "version": version, "row_counts": counts})
     return version
 
 
-MANIFEST = "number long, version string, row_counts map<string,long>"
-
-
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """All published versions, the current one with the greatest number."""
-    return spark.read.schema(MANIFEST).json(f"{root}/_manifest")
+    return Log(spark, root).entries().select("number", "version", "row_counts")
 
 
 def current(spark: SparkSession, root: str) -> str:

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -182,11 +183,36 @@ def test_redaction(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.scrub(F.col("t")).alias("out"), text.scrub(text.scrub(F.col("t"))).alias("again"))
     for r in df.collect():
         assert r.out == cases[r.t] == r.again
-    m = one(spark.range(1).select(text.scrub_config(F.create_map(*[F.lit(x) for x in ("api_key", "v", "depth", "3", "nested", '{"password": "p", "n": 1}')])).alias("m"))).m
-    assert m == {"depth": "3", "nested": '{ "n": 1}'}
-    more = {"userAgent": "x", "monkey": "stays", "db-Password": "x", "j": '{"a": {"contactName": {"b": 1}, "c": 2}}'}
-    m = one(spark.range(1).select(text.scrub_config(F.create_map(*[F.lit(x) for kv in more.items() for x in kv])).alias("m"))).m
-    assert m == {"monkey": "stays", "j": '{"a": { "c": 2}}'}
+    m = one(spark.range(1).select(text.scrub_config(F.create_map(*[F.lit(x) for x in ("api_key", "v", "depth", "3", "to", "a@b.com")])).alias("m"))).m
+    assert m == {"depth": "3", "to": "[REDACTED_EMAIL]"}
+
+
+def test_private_members_go_at_any_depth(spark):
+    cases = {
+        '{"contact": {"address": {"street": "Main 5"}}, "x": 1}': {"x": 1},
+        '{"a": [1, 2.5, {"password": "p", "n": null}], "e": {}, "f": [], "t": true, "s": "he \\"said\\" \\u00e9"}': {"a": [1, 2.5, {"n": None}], "e": {}, "f": [], "t": True, "s": 'he "said" é'},
+        '{"d": {"d": {"d": {"d": {"userAgent": "q", "contactName": {"b": [{"c": 1}]}, "ok": ["a@b.com", {"apiKey": 1}]}}}}}': {"d": {"d": {"d": {"d": {"ok": ["[REDACTED_EMAIL]", {}]}}}}},
+        "[[[[3]]]]": [[[[3]]]],
+        '"a@b.com"': "[REDACTED_EMAIL]",
+        "7": 7,
+    }
+    rows = [(i, t, "x") for i, t in enumerate(cases)] + [(90, None, "n"), (91, "no json: a@b.com", "t"), (92, "", "e"), (0, next(iter(cases)), "again")]
+    df = spark.createDataFrame(rows, "i int, j string, doc string")
+    got = [(r.i, r.j, r.doc) for r in text.scrub_json(df, "j").collect()]
+    assert len(got) == len(rows)
+    for i, j, doc in got:
+        if doc in ("x", "again"):
+            assert json.loads(j) == list(cases.values())[i], j
+    assert {(i, j) for i, j, doc in got if doc in "nte"} == {(90, None), (91, "no json: [REDACTED_EMAIL]"), (92, "")}
+    none = df.where("false")
+    assert text.scrub_json(none, "j").count() == 0
+
+
+def test_configs_lose_private_fields_inside_json(spark):
+    rows = [(1, {"api_key": "v", "depth": "3", "nested": '{"password": "p", "n": 1}', "mail_to": "x"}), (2, {"userAgent": "x", "monkey": "stays", "db-Password": "x", "j": '{"a": {"contactName": {"b": 1}, "c": 2}}', "k": None}), (3, None), (4, {"token": "x"})]
+    got = {r.i: r.m for r in text.scrub_configs(spark.createDataFrame(rows, "i int, m map<string,string>"), "m").collect()}
+    assert got[1]["depth"] == "3" and got[1]["nested"] == '{"n":1}' and "api_key" not in got[1]
+    assert got[2] == {"monkey": "stays", "j": '{"a":{"c":2}}', "k": None} and got[3] is None and got[4] == {}
 
 
 def test_secret_scan_tells_places_only(spark):

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.sources import exchange, filings, market, store
+from foliospark.sources import commits, exchange, filings, market, store
 
 XML = """<edgar:edgarSubmission xmlns:edgar="x"><genInfo><regName>Trust</regName><cik>320193</cik><seriesId>S1</seriesId><repPdDate>2024-03-31</repPdDate></genInfo>
 <invstOrSecs><nport:invstOrSec><name>Alpha &amp; Co</name><cusip>037833100</cusip><balance>1,000.5</balance><curCd>usd</curCd><valUSD>2000</valUSD><pctVal>12.5</pctVal></nport:invstOrSec>
@@ -147,3 +149,87 @@ def test_exchange_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"s1": true}')
     with pytest.raises(Exception, match="isn't a number"):
         exchange.read_scenario(spark, str(tmp_path / "bad.json"), "one").collect()
+
+
+@pytest.mark.parametrize(
+    ("payload", "reason"),
+    [
+        (None, "empty"),
+        (" ", "empty"),
+        ("<edgarSubmission><repPdDate>2024-03-31</repPdDate><invstOrSec><name>A</name></invstOrSec>", "not XML"),
+        ("<html><invstOrSec/></html>", "root"),
+        ("<edgarSubmission><submissionType>NPORT-EX</submissionType><repPdDate>2024-03-31</repPdDate><invstOrSec/></edgarSubmission>", "submission type"),
+        ("<edgarSubmission><invstOrSec/></edgarSubmission>", "no report date"),
+        ("<edgarSubmission><repPdDate>soon</repPdDate><invstOrSec/></edgarSubmission>", "report date"),
+        ("<edgarSubmission><repPdDate>2024-03-31</repPdDate><!-- <invstOrSec/> --></edgarSubmission>", "no records"),
+        ("<!DOCTYPE a [<!ENTITY b 'c'>]><edgarSubmission><repPdDate>2024-03-31</repPdDate><invstOrSec/></edgarSubmission>", "document type"),
+        ("<n:edgarSubmission xmlns:n='x'><n:repPdDate> 2024-03-31T00:00</n:repPdDate><n:invstOrSec/></n:edgarSubmission>", None),
+    ],
+)
+def test_faults_of_filings(payload, reason):
+    assert filings.filing_fault(payload)[0] == reason
+
+
+def test_quarantine(spark):
+    sound = XML.replace("<genInfo>", "<genInfo><!-- <invstOrSec><name>no</name></invstOrSec> -->")
+    rows = [("good", sound), ("cut", sound[:-30]), ("none", None)]
+    held, bad = filings.read_filings(spark.createDataFrame(rows, "accession string, payload string"))
+    assert {(r.accession, r.reason) for r in bad.collect()} == {("cut", "not XML"), ("none", "empty")}
+    got = held.collect()
+    assert {r.accession for r in got} == {"good"} and len(got) == filings.holdings_from_xml(spark.createDataFrame([("a", XML)], "accession string, payload string")).count()
+    assert {str(r.report_date) for r in got} == {"2024-03-31"}
+
+
+def test_two_publishers_get_two_numbers(spark, tmp_path):
+    root = str(tmp_path / "t")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: store.publish({"t": spark.range(n)}, root), range(1, 13)))
+    rows = store.manifest(spark, root).collect()
+    assert sorted(r.number for r in rows) == list(range(1, 13)) and {r.row_counts["t"] for r in rows} == set(range(1, 13))
+    assert store.read_published(spark, root, "t").count() == next(r.row_counts["t"] for r in rows if r.number == 12)
+
+
+def test_a_taken_name_stays(spark, tmp_path):
+    path = f"{tmp_path}/log/1.json"
+    assert commits.create_if_absent(spark, path, "one") and not commits.create_if_absent(spark, path, "two")
+    assert open(path).read() == "one" and os.listdir(tmp_path / "log") == ["1.json"]
+
+
+def test_keyed_table_versions_and_conflicts(spark, tmp_path):
+    t = commits.KeyedTable(spark, str(tmp_path), ["k"])
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    seen = lambda v=None: sorted((r.k, r.v) for r in t.read(v).collect())
+    assert t.write(rows((1, "a"), (1, "aa"), (2, "b"), (3, "c")), "append") == 1
+    assert t.write(rows((1, "A"))) == 2
+    assert t.write(rows((2, None)), "delete") == 3
+    assert t.write(rows((2, "again")), "append") == 4
+    assert seen() == [(1, "A"), (2, "again"), (3, "c")]
+    assert seen(1) == [(1, "a"), (1, "aa"), (2, "b"), (3, "c")] and seen(3) == [(1, "A"), (3, "c")]
+    # two writers that read version 4: disjoint keys both pass, the same key fails for the second
+    assert t.write(rows((3, "C")), read_version=4) == 5
+    assert t.write(rows((7, "new")), read_version=4) == 6
+    with pytest.raises(commits.Conflict):
+        t.write(rows((3, "lost")), read_version=4)
+    assert t.write(rows((3, "kept")), read_version=6) == 7
+    before = seen()
+    t.rewrite()
+    assert seen() == before and seen(4) == [(1, "A"), (2, "again"), (3, "c")]
+    t.write(rows((1, "z")))
+    t.write(rows((3, None)), "delete")
+    assert seen() == [(1, "z"), (2, "again"), (7, "new")]
+
+
+def test_concurrent_writers_of_one_key(spark, tmp_path):
+    t = commits.KeyedTable(spark, str(tmp_path), ["k"])
+    first = t.write(spark.createDataFrame([(1, "start")], "k int, v string"), "append")
+
+    def attempt(n):
+        try:
+            return t.write(spark.createDataFrame([(1, f"w{n}")], "k int, v string"), read_version=first)
+        except commits.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(attempt, range(4)))
+    assert sum(x is not None for x in got) == 1, "one wins, the others have to read again"
+    assert [r.v for r in t.read().collect()] == [f"w{next(n for n, x in enumerate(got) if x)}"]
