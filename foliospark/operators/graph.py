@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import exprs as X
 from foliospark.operators.scan import running
+from foliospark.sources import store
 from foliospark.sources.store import stage
 
 
@@ -210,6 +211,18 @@ def manifest(held: DataFrame) -> DataFrame:
     return quality_report(held).join(fingerprint(held), "as_of")
 
 
+#: Tables of a published graph.
+TABLES = ("edges", "nodes", "overlap", "crowding", "degree", "manifest")
+
+
+def publish(held: DataFrame, root: str, min_shared: int = 1) -> str:
+    """The graph of the edges as one version: edges, nodes, overlapping pairs, crowding, degree
+    and manifest, behind a gate for weights that aren't numbers; the version's folder."""
+    bad = held.where(F.isnan(weight()) | (F.abs(weight()) == float("inf")))
+    tables = {"edges": held, "nodes": nodes(held), "overlap": overlap_pairs(held, min_shared), "crowding": crowding(held), "degree": fund_degree(held), "manifest": manifest(held)}
+    return store.publish({name: tables[name] for name in TABLES}, root, {"weights": bad})
+
+
 def hash_split(pairs: DataFrame, left: str, right: str, seed: str = "7") -> DataFrame:
     """Train, validation or test by a hash of seed and pair, about 7 : 2 : 1."""
     byte = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col(left), F.col(right)), 256), 1, 2), 16, 10).cast("int") % 10

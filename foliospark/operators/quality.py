@@ -22,10 +22,12 @@ def leak_gate(dataset: DataFrame) -> DataFrame:
 
 
 def bar_gate(bars: DataFrame) -> DataFrame:
-    """Sessions, repeated dates and bars out of ingest order of each series."""
-    w = Window.partitionBy("instrument_id").orderBy("ingest_order")
+    """Sessions, repeated dates and bars out of ingest order of each series: of an instrument, by
+    provider and adjustment mode where the bars have these."""
+    series = [c for c in ("provider", "instrument_id", "adjustment_mode") if c in bars.columns]
+    w = Window.partitionBy(*series).orderBy("ingest_order")
     back = F.col("trading_date") < F.lag("trading_date").over(w)
-    return bars.withColumn("back", F.coalesce(back, F.lit(False))).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("bars"), (F.count(F.lit(1)) - F.count_distinct("trading_date")).alias("repeated"), F.count_if("back").alias("out_of_order"))
+    return bars.withColumn("back", F.coalesce(back, F.lit(False))).groupBy(*series).agg(F.count(F.lit(1)).alias("bars"), (F.count(F.lit(1)) - F.count_distinct("trading_date")).alias("repeated"), F.count_if("back").alias("out_of_order"))
 
 
 def provenance_gate(bars: DataFrame, authority: str) -> DataFrame:
@@ -85,13 +87,16 @@ def enabled_universe(entries: DataFrame) -> DataFrame:
     return once.where(fine).drop("n").withColumn("enabled", F.lit(True))
 
 
-def duplicate_tickers(universe: DataFrame) -> DataFrame:
-    return universe.where("enabled").groupBy("ticker").count().where("count > 1")
-
-
 def universe_manifest(resolved: DataFrame) -> DataFrame:
-    counts = resolved.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("gate", F.when(F.max((F.col("status") != "resolved").cast("int")).over(Window.partitionBy(F.lit(1))) == 0, "PASSED").otherwise("INCOMPLETE"))
+    """Tickers by status, the gate, and a fingerprint of every ticker with its outcome, whatever
+    the order of rows: a hash of a sum of hashes, so no task holds the universe."""
+    shown = [c for c in ("ticker", "status", "cik", "series_id", "class_id") if c in resolved.columns]
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in shown]), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    counts = resolved.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(digest).alias("digest"))
+    every = Window.partitionBy(F.lit(1))  # a row a status
+    gate = F.when(F.max((F.col("status") != "resolved").cast("int")).over(every) == 0, "PASSED").otherwise("INCOMPLETE")
+    whole = F.sha2(F.concat_ws("|", F.sum("n").over(every).cast("string"), F.sum("digest").over(every).cast("string")), 256)
+    return counts.select("status", "n", gate.alias("gate"), whole.alias("fingerprint"))
 
 
 def not_ingested(filings: DataFrame, stored: DataFrame) -> DataFrame:
@@ -111,9 +116,24 @@ def newest_needed(filings: DataFrame, stored: DataFrame, n: int) -> DataFrame:
     return newest(filings, n).join(have, ["accession", "parser_version"], "left_anti")
 
 
+def ingest(filings: DataFrame, stored: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The filings of a run with what becomes of each and why: 'skipped' if ``stored`` has it already,
+    'failed' if its payload (``fetched``, as ``validate_payloads`` takes them) breaks a rule or isn't
+    there, else 'ingested'. One bad filing doesn't stop the others."""
+    new = not_ingested(filings, stored).select("accession").withColumn("__new", F.lit(True))
+    checked = validate_payloads(fetched.join(new.drop("__new"), "accession", "left_semi"))
+    rules = ("html", "cik_mismatch", "series_mismatch", "no_holdings")
+    reason = F.coalesce(*[F.when(F.col(r), r) for r in rules])
+    verdict = checked.select("accession", "clean", reason.alias("reason"))
+    rows = filings.join(new, "accession", "left").join(verdict, "accession", "left")
+    status = F.when(F.col("__new").isNull(), "skipped").when(F.coalesce("clean", F.lit(False)), "ingested").otherwise("failed")
+    why = F.when(status == "failed", F.coalesce("reason", F.lit("no payload")))
+    return rows.select(*filings.columns, status.alias("status"), why.alias("reason"))
+
+
 def ingest_summary(rows: DataFrame) -> DataFrame:
-    """Counts by status of a run: discovered, skipped, failed, ingested."""
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("filings"))
+    """Counts by outcome and reason of a run (``ingest``)."""
+    return rows.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("filings"))
 
 
 def validate_payloads(payloads: DataFrame) -> DataFrame:

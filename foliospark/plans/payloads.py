@@ -118,24 +118,47 @@ def _primary(s, d):
     return filings.primary_document(p.select(k.cast("string").alias("accession"), F.when(k % 7 == 0, F.array(F.lit("only.htm"))).otherwise(names).alias("names")))
 
 
+VENDOR_NAMES = ("twelvedata", "tiingo", "massive", "alphavantage", "yahoo")
+
+
 def vendor_payloads(s, d) -> DataFrame:
-    """Bars as JSON of three vendors, a year of an instrument a payload; some answers refused."""
-    vendor = F.element_at(F.array(F.lit("twelvedata"), F.lit("tiingo"), F.lit("massive")), (F.year("trading_date") % 3 + 1).cast("int"))
+    """Bars as JSON of five vendors, a year of an instrument a payload; some answers refused by
+    their status code or, with a good one, in their body."""
+    vendor = F.element_at(F.array(*map(F.lit, VENDOR_NAMES)), (F.year("trading_date") % 5 + 1).cast("int"))
     b = V.bars(s, d).withColumns({"provider": vendor, "year": F.year("trading_date")})
-    day = F.date_format("trading_date", "yyyy-MM-dd")
-    text = lambda c: F.col(c).cast("string").alias(c)
-    plain = lambda key: F.struct(day.alias(key), *[text(c) for c in ("open", "high", "low", "close", "volume")])
-    short = F.struct((F.unix_timestamp(F.col("trading_date").cast("timestamp")) * 1000).alias("t"), *[F.col(c).alias(c[0]) for c in ("open", "high", "low", "close", "volume")])
-    listed = lambda item: F.array_sort(F.collect_list(item))
-    g = b.groupBy("provider", "instrument_id", "year").agg(listed(plain("datetime")).alias("x"), listed(plain("date")).alias("y"), listed(short).alias("z"))
-    body = F.when(F.col("provider") == "twelvedata", F.to_json(F.struct(F.col("x").alias("values")))).when(F.col("provider") == "tiingo", F.to_json("y")).otherwise(F.to_json(F.struct(F.col("z").alias("results"))))
-    code = F.when((F.col("year") == 1995) & (F.col("instrument_id") == "O"), 429).otherwise(200)
-    return g.select("provider", "instrument_id", code.alias("status_code"), body.alias("body"), F.lit("2024-01-05").cast("timestamp").alias("downloaded_at"))
+    day, second = F.date_format("trading_date", "yyyy-MM-dd"), F.unix_timestamp(F.col("trading_date").cast("timestamp")) + 18 * 3600
+    prices = ("open", "high", "low", "close", "volume")
+    text = lambda c: F.col(c).cast("string")
+    items = {
+        "twelvedata": F.struct(day.alias("datetime"), *[text(c).alias(c) for c in prices]),
+        "tiingo": F.struct(day.alias("date"), *[text(c).alias(c) for c in prices], *[(F.col(c) / 2).alias(f"adj{c.title()}") for c in prices[:4]]),
+        "massive": F.struct((second * 1000).alias("t"), *[F.col(c).alias(c[0]) for c in prices]),
+        "alphavantage": F.struct(day.alias("key"), F.struct(*[text(c).alias(f"{n}. {c}") for n, c in enumerate(prices, 1)]).alias("value")),
+        "yahoo": F.struct(second.alias("timestamp"), *[F.col(c).alias(c) for c in prices], (F.col("close") / 4).alias("adjclose")),
+    }
+    by_day = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("trading_date", item.alias("x")))), lambda r: r["x"])
+    g = b.groupBy("provider", "instrument_id", "year").agg(*[by_day(F.when(F.col("provider") == v, item)).alias(v) for v, item in items.items()])
+    column = lambda f: F.transform("yahoo", lambda r: r[f]).alias(f)
+    meta = lambda name: F.struct(F.lit("EUR").alias("currency"), F.lit("XETR").alias(name)).alias("meta")
+    chart = F.struct(meta("exchangeName"), column("timestamp"), F.struct(F.array(F.struct(*[column(c) for c in prices])).alias("quote"), F.array(F.struct(column("adjclose"))).alias("adjclose")).alias("indicators"))
+    bodies = {
+        "twelvedata": F.to_json(F.struct(meta("exchange"), F.col("twelvedata").alias("values"))),
+        "tiingo": F.to_json("tiingo"),
+        "massive": F.to_json(F.struct(F.col("massive").alias("results"))),
+        "alphavantage": F.to_json(F.struct(F.map_from_entries("alphavantage").alias("Time Series (Daily)"))),
+        "yahoo": F.to_json(F.struct(F.struct(F.array(chart).alias("result")).alias("chart"))),
+    }
+    body = F.coalesce(*[F.when(F.col("provider") == v, x) for v, x in bodies.items()])
+    refused = F.col("instrument_id").startswith("O")
+    limit = F.when((F.col("year") == 1993) & refused, '{"Note": "call frequency"}').when((F.col("year") == 1995) & refused, '{"code": 429, "status": "error"}').when((F.col("year") == 1994) & refused, '{"chart": {"result": null, "error": {"code": "Not Found"}}}')
+    code = F.when((F.col("year") == 1996) & refused, 429).when((F.col("year") == 1997) & refused, 503).otherwise(200)
+    return g.select("provider", "instrument_id", code.alias("status_code"), F.coalesce(limit, body).alias("body"), F.lit("2024-01-05").cast("timestamp").alias("downloaded_at"), F.lit("USD").alias("currency"), F.lit("XNYS").alias("exchange"))
 
 
 def _vendor_bars(s, d):
     bars, _ = market.bars_from_payloads(vendor_payloads(s, d))
-    return bars.select("provider", "instrument_id", "trading_date", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    shown = bars.withColumn("continuity", X.continuity_price(F.col("adjusted_close"), F.col("close")))
+    return shown.select("provider", "instrument_id", "trading_date", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close", "volume", "adjusted_open", "continuity")], "currency", "exchange")
 
 
 def _catalogue(s, d):
@@ -219,6 +242,31 @@ def _providers(s, d) -> DataFrame:
     return one.withColumns(mode("one")).unionByName(two.withColumns(mode("two")).where("instrument_id LIKE 'O%'"))
 
 
+def _ingested(s, d):
+    """Filings through the rules of an ingest run: those stored are skipped, the others' payloads
+    checked, the sound ones written as snapshots. Every fourth day's filings are stored before."""
+    f = V.filings(s, d)
+    day = F.dayofmonth("filed_at")
+    stored = f.where(day % 4 == 0).select("accession", "parser_version", "fund_id")
+    cik = F.regexp_extract("fund_id", r"([0-9]+)$", 1)
+    payload = F.when(day % 7 == 0, "<html>gone</html>").otherwise(F.concat(F.lit("<xml>"), "accession"))
+    fetched = f.select("accession", "fund_id", payload.alias("payload"), F.when(day % 5 == 0, F.lit("999")).otherwise(cik).alias("cik"), cik.alias("expected_cik"), F.lit("S1").alias("series_id"), F.lit("s1").alias("expected_series_id"), F.when(day % 6 == 0, 0).otherwise(3).alias("holding_count"))
+    return quality.ingest(f, stored, fetched)
+
+
+def _whole_graph(s, d):
+    """The whole graph published: edges, nodes, overlap, crowding, degree and manifest, and the rows
+    that each table has in the log and on disk."""
+    root, e = folder(s), V.edges(s, d)
+    graph.publish(e, root)
+    listed = store.manifest(s, root).select(F.explode("row_counts").alias("name", "in_manifest"))
+    read = None
+    for name in graph.TABLES:
+        one = store.read_published(s, root, name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("name"), "row_count")
+        read = one if read is None else read.unionByName(one)
+    return listed.join(read, "name")
+
+
 def _bar_gate(s, d):
     order = F.dayofmonth("trading_date") * 100_000 + F.datediff("trading_date", F.lit("1990-01-01").cast("date"))
     return quality.bar_gate(_providers(s, d).withColumn("ingest_order", order))
@@ -244,8 +292,7 @@ def _load_range(s, d):
 
 
 def _ingest_summary(s, d):
-    f, k = V.filings(s, d), F.dayofmonth("filed_at")
-    return quality.ingest_summary(f.withColumn("status", F.when(k % 4 == 0, "skipped").when(k % 7 == 0, "failed").when(k % 2 == 0, "ingested").otherwise("discovered")))
+    return quality.ingest_summary(_ingested(s, d))
 
 
 def _filing_fields(s, d):
@@ -262,7 +309,7 @@ def _filing_context(s, d):
 
 
 def _manifest(s, d, risk, timeline):
-    return quality.manifest(risk, timeline).drop("fingerprint")
+    return quality.manifest(risk, timeline)
 
 
 def _node_keys(s, d):
@@ -387,6 +434,7 @@ def queries(risk, timeline, resolved) -> dict:
         "scenario_file": _scenario_file,
         "vector_table": _vectors,
         "published_graph": _published,
+        "whole_graph": _whole_graph,
         "series_meta": lambda s, d: store.series_meta(_providers(s, d)),
         "authoritative_closes": lambda s, d: store.authoritative_closes(_providers(s, d), "two").select("instrument_id", "trading_date", F.round("close", 2).alias("close"), "provider", "adjustment_mode"),
         "bar_gate": _bar_gate,

@@ -334,7 +334,7 @@ FROM (SELECT *, row_number() OVER o AS rk, sum(y) OVER o AS hits FROM bn WINDOW
 #: Sources: the tables themselves, from which the payloads were rendered.
 P2 = "p2 AS (SELECT instrument_id, trading_date, open, high, low, volume, close * (1 + (day(trading_date) % 7 - 3) / 1000.0) AS close FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trading_date) AS nth FROM b) WHERE nth % 11 <> 0)"
 PROVIDERS = "pv AS (SELECT 'one' AS provider, 'raw' AS adjustment_mode, instrument_id, trading_date, close FROM b UNION ALL SELECT 'two', 'raw', instrument_id, trading_date, close FROM p2 WHERE instrument_id LIKE 'O%')"
-VENDOR = "vb AS (SELECT ['twelvedata', 'tiingo', 'massive'][CAST(year(trading_date) % 3 + 1 AS INTEGER)] AS provider, * FROM b)"
+VENDOR = """vb AS (SELECT ['twelvedata', 'tiingo', 'massive', 'alphavantage', 'yahoo'][CAST(year(trading_date) % 5 + 1 AS INTEGER)] AS provider, *, year(trading_date) AS y FROM b)"""
 EPOCH = """
 em AS (SELECT * FROM tk WHERE copy = 0),
 ep AS (SELECT * FROM em WHERE sequence > coalesce((SELECT max(sequence) FROM em WHERE sequence % 3001 = 3000), -1) AND price_ticks > 0),
@@ -355,8 +355,13 @@ SELECT 'last', CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END, c
     "submission_index": """SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filed_at, CAST(o_orderdate AS DATE) AS report_date, 'primary_doc.xml' AS primary_document
 FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey % 10 <> 0""",
     "primary_documents": "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE p_partkey % 3 WHEN 0 THEN 'primary_doc.xml' WHEN 1 THEN 'my_primary.xml' ELSE 'a.XML' END AS primary_document FROM part WHERE p_partkey % 7 <> 0",
-    "vendor_bars": with_(BARS, VENDOR) + "SELECT provider, instrument_id, trading_date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume FROM vb WHERE NOT (year(trading_date) = 1995 AND instrument_id LIKE 'O%')",
-    "vendor_status": with_(BARS, VENDOR) + "SELECT provider, CASE WHEN y = 1995 AND instrument_id LIKE 'O%' THEN 'rate_limit' ELSE 'ok' END AS status, count(*) AS payloads, CAST(sum(n) AS BIGINT) AS items FROM (SELECT provider, instrument_id, year(trading_date) AS y, count(*) AS n FROM vb GROUP BY ALL) GROUP BY ALL",
+    "vendor_bars": with_(BARS, VENDOR) + """SELECT provider, instrument_id, trading_date, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, volume,
+  CASE WHEN provider = 'tiingo' THEN round(open / 2, 4) END AS adjusted_open, round(close / CASE provider WHEN 'tiingo' THEN 2 WHEN 'yahoo' THEN 4 ELSE 1 END, 4) AS continuity,
+  CASE WHEN provider IN ('twelvedata', 'yahoo') THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN provider IN ('twelvedata', 'yahoo') THEN 'XETR' ELSE 'XNYS' END AS exchange
+FROM vb WHERE NOT (y BETWEEN 1993 AND 1997 AND instrument_id LIKE 'O%')""",
+    "vendor_status": with_(BARS, VENDOR) + """SELECT provider, status, count(*) AS payloads, CAST(sum(CASE WHEN status = 'ok' OR y IN (1996, 1997) THEN n ELSE 0 END) AS BIGINT) AS items FROM (
+  SELECT provider, instrument_id, y, count(*) AS n, CASE WHEN instrument_id NOT LIKE 'O%' THEN 'ok' WHEN y IN (1993, 1995, 1996) THEN 'rate_limit' WHEN y = 1994 THEN 'error' WHEN y = 1997 THEN 'error' ELSE 'ok' END AS status
+  FROM vb GROUP BY ALL) GROUP BY ALL""",
     "fund_catalogue": "SELECT DISTINCT upper(s_name) AS ticker, lpad(CAST(s_nationkey AS VARCHAR), 10, '0') AS cik, 'S' || s_suppkey % 5 AS series_id, 'C1' AS class_id FROM supplier WHERE s_suppkey % 9 <> 0",
     "fixture_snapshots": "SELECT 'F' || l_suppkey AS fund_id, '2024-03-31' AS snapshot_date, CASE WHEN l_linenumber = 1 THEN 'EUR' ELSE 'USD' END AS currency, count(*) AS holdings, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ALL",
     "snapshot_store": with_(RAW) + "SELECT fund_id, count(*) AS holdings, count(DISTINCT snapshot_date) AS snapshots, round(sum(portfolio_weight * CASE WHEN fund_id = (SELECT 'F' || lpad('3', CASE WHEN greatest(20, count(*) // 5) <= 100 THEN 2 ELSE 9 END, '0') FROM supplier) THEN 2 ELSE 1 END), 6) AS weight FROM h GROUP BY fund_id",
@@ -370,23 +375,34 @@ FROM e JOIN ef USING (security_node_id) GROUP BY scenario_id""",
     "vector_table": "SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
     "published_graph": GRAPH + """SELECT 'edges' AS name, count(*) AS in_manifest, count(*) AS row_count FROM e
 UNION ALL SELECT 'nodes', count(DISTINCT etf_node_id) + count(DISTINCT security_node_id), count(DISTINCT etf_node_id) + count(DISTINCT security_node_id) FROM e""",
+    "whole_graph": GRAPH + f"""SELECT name, n AS in_manifest, n AS row_count FROM (
+  SELECT 'edges' AS name, count(*) AS n FROM e UNION ALL SELECT 'nodes', count(DISTINCT etf_node_id) + count(DISTINCT security_node_id) FROM e UNION ALL SELECT 'degree', count(DISTINCT etf_node_id) FROM e
+  UNION ALL SELECT 'crowding', count(DISTINCT security_node_id) FROM e UNION ALL SELECT 'manifest', 1
+  UNION ALL SELECT 'overlap', count(*) FROM (SELECT DISTINCT l.etf_node_id, r.etf_node_id AS other FROM e l JOIN e r ON l.security_node_id = r.security_node_id AND l.etf_node_id < r.etf_node_id))""",
     "series_meta": with_(BARS, P2, PROVIDERS) + "SELECT provider, instrument_id, adjustment_mode, min(trading_date) AS first_date, max(trading_date) AS last_date, count(*) AS bars FROM pv GROUP BY ALL",
     "authoritative_closes": with_(BARS, P2, PROVIDERS) + "SELECT instrument_id, trading_date, round(close, 2) AS close, provider, adjustment_mode FROM pv WHERE provider = 'two'",
-    "bar_gate": with_(BARS, P2, PROVIDERS) + """SELECT instrument_id, count(*) AS bars, count(*) - count(DISTINCT trading_date) AS repeated, count(*) FILTER (trading_date < before) AS out_of_order
-FROM (SELECT *, lag(trading_date) OVER (PARTITION BY instrument_id ORDER BY day(trading_date), trading_date) AS before FROM pv) GROUP BY instrument_id""",
+    "bar_gate": with_(BARS, P2, PROVIDERS) + """SELECT provider, instrument_id, adjustment_mode, count(*) AS bars, count(*) - count(DISTINCT trading_date) AS repeated, count(*) FILTER (trading_date < before) AS out_of_order
+FROM (SELECT *, lag(trading_date) OVER (PARTITION BY provider, instrument_id, adjustment_mode ORDER BY day(trading_date), trading_date) AS before FROM pv) GROUP BY ALL""",
     "provenance_gate": with_(BARS, P2, PROVIDERS) + "SELECT instrument_id, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM pv GROUP BY 1 HAVING bool_or(provider <> 'one')",
     "filing_validation": """SELECT *, NOT (html OR cik_mismatch OR series_mismatch OR no_holdings) AS clean, sha256((CASE WHEN html THEN ' <!DOCTYPE html>' ELSE '<xml>' END) || accession) AS content_hash
 FROM (SELECT CAST(o_orderkey AS VARCHAR) AS accession, o_orderkey % 10 = 0 AS html, o_orderkey % 6 = 0 AS cik_mismatch, o_orderkey % 8 = 0 AS series_mismatch, o_orderkey % 5 = 0 AS no_holdings FROM orders)""",
     "load_range": with_(BARS) + """SELECT instrument_id, count(*) AS bars, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b
 LEFT JOIN (SELECT instrument_id, max(trading_date) AS latest FROM b WHERE day(trading_date) < 10 AND instrument_id <> 'P' AND trading_date < DATE '1998-06-01' GROUP BY 1) USING (instrument_id)
 WHERE trading_date > coalesce(latest, DATE '0001-01-01') AND trading_date <= DATE '1998-11-01' GROUP BY 1""",
-    "ingest_summary": with_(RAW, FILINGS) + "SELECT CASE WHEN day(filed_at) % 4 = 0 THEN 'skipped' WHEN day(filed_at) % 7 = 0 THEN 'failed' WHEN day(filed_at) % 2 = 0 THEN 'ingested' ELSE 'discovered' END AS status, count(*) AS filings FROM f GROUP BY 1",
+    "ingest_summary": with_(RAW, FILINGS) + """SELECT status, reason, count(*) AS filings FROM (
+  SELECT *, CASE WHEN status = 'failed' THEN CASE WHEN day(filed_at) % 7 = 0 THEN 'html' WHEN day(filed_at) % 5 = 0 THEN 'cik_mismatch' ELSE 'no_holdings' END END AS reason FROM (
+    SELECT filed_at, CASE WHEN day(filed_at) % 4 = 0 THEN 'skipped' WHEN day(filed_at) % 7 = 0 OR day(filed_at) % 5 = 0 OR day(filed_at) % 6 = 0 THEN 'failed' ELSE 'ingested' END AS status FROM f)) GROUP BY ALL""",
     "filing_fields": "SELECT 'F' || l_suppkey % 20 AS fund_id, count(*) AS names, count(*) AS tickers, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS thousands, round(sum(l_discount / 100), 8) AS weight FROM lineitem GROUP BY 1",
     "filing_context": "SELECT 'C' || o_custkey AS fund_id, CAST(o_orderdate AS DATE) AS snapshot_date, 'filing' AS source, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
-    "universe_manifest": f"WITH r AS ({ORACLES['universe_resolution']}) SELECT status, count(*) AS n, CASE WHEN (SELECT count(*) FILTER (status <> 'resolved') FROM r) = 0 THEN 'PASSED' ELSE 'INCOMPLETE' END AS gate FROM r GROUP BY status",
+    "universe_manifest": f"""WITH r AS ({ORACLES['universe_resolution']}),
+x AS (SELECT status, sha256(concat_ws('|', ticker, status, coalesce(cik, ''), coalesce(series_id, ''), coalesce(class_id, ''))) AS hx FROM r)
+SELECT status, count(*) AS n, CASE WHEN (SELECT count(*) FILTER (status <> 'resolved') FROM r) = 0 THEN 'PASSED' ELSE 'INCOMPLETE' END AS gate,
+  (SELECT sha256(concat_ws('|', count(*), sum({_HEX.format(1)}))) FROM x) AS fingerprint FROM r GROUP BY status""",
     "enabled_universe": "SELECT upper(n_name) AS ticker, 'R' || n_regionkey AS category, true AS enabled FROM nation WHERE n_nationkey % 6 <> 5",
     "dataset_manifest": RISK + """SELECT count(*) AS row_count, count(holding_count) AS holdings_rows, min(trading_date) AS market_from, max(trading_date) AS market_through, count(*) FILTER (available_from > trading_date AND holding_count IS NOT NULL) AS leaked,
-  (SELECT max(publication_date) FROM tl) AS holdings_through, (SELECT count(*) FROM tl) AS filings, CASE WHEN count(*) FILTER (available_from > trading_date AND holding_count IS NOT NULL) = 0 THEN 'PASSED' ELSE 'FAILED' END AS validation_status FROM rs""",
+  (SELECT max(publication_date) FROM tl) AS holdings_through, (SELECT count(*) FROM tl) AS filings, CASE WHEN count(*) FILTER (available_from > trading_date AND holding_count IS NOT NULL) = 0 THEN 'PASSED' ELSE 'FAILED' END AS validation_status,
+  sha256(concat_ws('|', count(*), concat_ws(',', count(*) FILTER (split = 'train'), count(*) FILTER (split = 'validation'), count(*) FILTER (split = 'test'), count(*) FILTER (split = 'purged_train'), count(*) FILTER (split = 'purged_validation'),
+    count(*) FILTER (split = 'warmup'), count(*) FILTER (split = 'no_target')), min(trading_date), max(trading_date), (SELECT count(*) FROM tl), (SELECT sum(CAST('0x' || substr(sha256(accession), 1, 15) AS BIGINT)) FROM tl))) AS fingerprint FROM rs""",
     "node_keys": f"""SELECT p_partkey, coalesce('cusip:' || {_place(5, "'C' || p_partkey")}, 'isin:' || {_place(6, "'I' || p_partkey")}, 'ticker:' || {_place(7, 'upper(p_brand)')}, 'name:' || upper(p_name) || ' ' || p_partkey) AS node FROM part""",
     "completed_sessions": """SELECT event_id, CAST(CASE WHEN hour(l) * 60 + minute(l) < 990 THEN CAST(l AS DATE) - 1 ELSE CAST(l AS DATE) END AS DATE) AS session, round(CASE WHEN event_id % 3 <> 0 THEN value ELSE value + 1 END, 4) AS price
 FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM events)""",

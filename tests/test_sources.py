@@ -82,7 +82,7 @@ def test_vendor_payloads(spark):
     df = spark.createDataFrame([(*r, dt.datetime(2024, 1, 5)) for r in rows], "provider string, instrument_id string, status_code int, body string, downloaded_at timestamp")
     bars, status = market.bars_from_payloads(df)
     got = {(r.instrument_id, r.trading_date.day): r.high for r in bars.collect()}
-    assert got == {("a", 2): 3.0, ("a", 1): 3.0, ("c", 2): 2.0, ("d", 2): 2.0, ("e", 2): 2.0, ("f", 2): 2.0}
+    assert got == {("a", 2): 3.0, ("a", 1): 3.0, ("c", 2): 2.0, ("d", 1): 2.0, ("e", 2): 2.0, ("f", 2): 2.0}
     assert {r.instrument_id: r.status for r in status.collect()} == {"a": "ok", "b": "error", "c": "ok", "d": "ok", "e": "ok", "f": "ok", "g": "rate_limit"}
 
 
@@ -233,3 +233,40 @@ def test_concurrent_writers_of_one_key(spark, tmp_path):
         got = list(pool.map(attempt, range(4)))
     assert sum(x is not None for x in got) == 1, "one wins, the others have to read again"
     assert [r.v for r in t.read().collect()] == [f"w{next(n for n, x in enumerate(got) if x)}"]
+
+
+def test_vendor_bodies_that_refuse_or_adjust(spark):
+    day, bar = "2024-01-02", {"open": "2", "high": "3", "low": "1", "close": "2.5", "volume": "10"}
+    alpha = {"1. open": "1", "2. high": "2", "3. low": "1", "4. close": "2", "5. volume": "5"}
+    chart = {"meta": {"currency": "EUR", "exchangeName": "GER"}, "timestamp": [1704153600], "indicators": {"quote": [{k: [float(v)] for k, v in bar.items()}], "adjclose": [{"adjclose": [1.25]}]}}
+    rows = [
+        ("alphavantage", "note", 200, {"Note": "5 calls a minute"}),
+        ("alphavantage", "info", 200, {"Information": "daily limit"}),
+        ("alphavantage", "wrong", 200, {"Error Message": "no such symbol"}),
+        ("alphavantage", "denied", 403, {}),
+        ("alphavantage", "fine", 200, {"Time Series (Daily)": {day: alpha}}),
+        ("twelvedata", "code", 200, {"code": 429, "status": "error"}),
+        ("twelvedata", "key", 200, {"code": "401"}),
+        ("twelvedata", "bad", 200, {"status": "error"}),
+        ("twelvedata", "meta", 200, {"meta": {"currency": "GBP", "exchange": "LSE"}, "values": [{"datetime": day, **bar}]}),
+        ("massive", "none", 200, {"status": "OK"}),
+        ("massive", "down", 500, {}),
+        ("massive", "late", 200, {"results": [{"t": 1704254400000, "o": 1, "h": 2, "l": 1, "c": 2, "v": 5}]}),
+        ("yahoo", "split", 200, {"chart": {"result": [chart]}}),
+        ("yahoo", "gone", 200, {"chart": {"result": None, "error": {"code": "Not Found"}}}),
+        ("yahoo", "shut", 401, {}),
+        ("tiingo", "adj", 200, [{"date": day, **bar, "adjOpen": 1.0, "adjHigh": 1.5, "adjLow": 0.5, "adjClose": 1.25}]),
+        ("tiingo", "text", 200, [{"date": day, **bar, "adjClose": "many"}]),
+    ]
+    df = spark.createDataFrame([(p, i, c, json.dumps(b), dt.datetime(2024, 1, 5), "USD", None) for p, i, c, b in rows], "provider string, instrument_id string, status_code int, body string, downloaded_at timestamp, currency string, exchange string")
+    bars, status = market.bars_from_payloads(df)
+    assert {r.instrument_id: r.status for r in status.collect()} == {
+        "note": "rate_limit", "info": "rate_limit", "wrong": "error", "denied": "error", "fine": "ok", "code": "rate_limit", "key": "rejected", "bad": "error", "meta": "ok",
+        "none": "ok", "down": "error", "late": "ok", "split": "ok", "gone": "error", "shut": "error", "adj": "ok", "text": "error",
+    }
+    got = {r.instrument_id: r for r in bars.collect()}
+    assert got.keys() == {"fine", "meta", "late", "split", "adj"}
+    assert (got["split"].adjusted_close, got["split"].currency, got["split"].exchange) == (1.25, "EUR", "GER")
+    assert (got["adj"].adjusted_open, got["adj"].adjusted_close, got["adj"].currency) == (1.0, 1.25, "USD")
+    assert (got["meta"].currency, got["meta"].exchange) == ("GBP", "LSE")
+    assert str(got["late"].trading_date) == "2024-01-02", "23:00 in New York"
