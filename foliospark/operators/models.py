@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, VectorAssembler
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from foliospark.operators.scan import running
+from foliospark.sources.store import stage
 
 #: Rows that a fit and an evaluation need, and positives in each split for a tail classifier.
 TRAIN_ROWS, EVAL_ROWS, TAIL_EVENTS = 50, 20, 15
@@ -100,6 +103,11 @@ def tail_classifier(features: list[str], trees: int = 30, seed: int = 7) -> Pipe
     return Pipeline(stages=[*_prepared(features), GBTClassifier(featuresCol="vector", labelCol="y", maxIter=trees, maxDepth=3, seed=seed)])
 
 
+def fit_gated(pipeline: Pipeline, dataset: DataFrame, target: str) -> PipelineModel | None:
+    """A fit on the train rows, or None, for 'insufficient', where a split has too few of them."""
+    return fit_split(pipeline, dataset, target) if enough(dataset, target) else None
+
+
 def fit_split(pipeline: Pipeline, dataset: DataFrame, target: str) -> PipelineModel:
     return pipeline.fit(dataset.where((F.col("split") == "train") & F.col(target).isNotNull()))
 
@@ -150,6 +158,33 @@ def tune(dataset: DataFrame, features: list[str], target: str, grid: list[dict],
     return grid[best[1]], abs(best[0])
 
 
+def tune_by_halving(dataset: DataFrame, features: list[str], target: str, grid: list[dict], shares: tuple[float, ...] = (0.2, 0.4, 1.0), keep: float = 0.4, side_by_side: int = 4) -> tuple[dict, float, float]:
+    """(grid point, its MAE on the validation split, effort in whole fits) by successive halving.
+
+    All points are fitted with a share of their trees, the best ``keep`` of them with more, the last
+    ones with all; rungs run ``side_by_side`` fits at a time over one written feature table, so Spark
+    shares its tasks among them. Test rows are never seen.
+    """
+    from foliospark.operators.quality import firewall, tuning_rows
+
+    rows = stage(firewall(tuning_rows(dataset)).where(F.col(target).isNotNull()).select("split", target, *features), "tuning")
+    seen = rows.where("split = 'validation'")
+
+    def loss(point: dict, share: float) -> float:
+        trees = max(1, round(point.get("trees", 30) * share))
+        scored = fit_split(boosted(features, target, **{**point, "trees": trees}), rows, target).transform(seen)
+        return scored.agg(F.avg(F.abs(F.col(target) - F.col("yhat")))).first()[0]
+
+    alive, effort, losses = list(range(len(grid))), 0.0, {}
+    with ThreadPoolExecutor(side_by_side) as pool:
+        for share in shares:
+            losses = dict(zip(alive, pool.map(lambda i, share=share: loss(grid[i], share), alive), strict=True))
+            effort += share * len(alive)
+            best = sorted(alive, key=lambda i: (losses[i], i))
+            alive = best[: max(1, round(len(alive) * keep))] if share != shares[-1] else best[:1]
+    return grid[alive[0]], losses[alive[0]], effort
+
+
 def refit_best(rows: DataFrame, features: list[str], target: str, point: dict) -> PipelineModel:
     """A model of the frozen parameters on the train and validation rows; a test row among them
     stops the job."""
@@ -165,33 +200,79 @@ def score_once(model: PipelineModel, dataset: DataFrame, target: str) -> DataFra
     return regression_scores(scored.select("split", F.col(target).alias("y"), "yhat"), ["split"])
 
 
-def score_latest(by_family: dict[str, PipelineModel], dataset: DataFrame, features: dict[str, list[str]]) -> DataFrame:
-    """Predictions for the newest usable row of each fund: by the model of family ``holdings`` where
-    the fund's holdings are known, else by that of ``market``. Missing feature columns are an error."""
-    missing = sorted({f for fs in features.values() for f in fs} - set(dataset.columns))
-    if missing:
+def check_schema(model: PipelineModel, dataset: DataFrame) -> None:
+    """Stops where the dataset lacks a column that the model was fitted on, or has it as text."""
+    needs = [c for stage_ in model.stages if isinstance(stage_, ImputerModel) for c in stage_.getInputCols()]
+    kinds = dict(dataset.dtypes)
+    if missing := sorted(set(needs) - set(kinds)):
         raise ValueError(f"the dataset lacks {missing}")
-    newest = F.row_number().over(Window.partitionBy("fund_id").orderBy(F.desc("trading_date")))
-    rows = dataset.where("return_1d IS NOT NULL").withColumn("nth", newest).where("nth = 1")
+    if odd := sorted(c for c in needs if not isinstance(dataset.schema[c].dataType, NumericType)):
+        raise ValueError(f"the model needs numbers in {odd}")
+
+
+def score_rows(by_family: dict[str, PipelineModel], dataset: DataFrame) -> DataFrame:
+    """Predictions for every row with a return: by the model of family ``holdings`` where the fund's
+    holdings are known, else by that of ``market``; ``check_schema`` comes first."""
     family = F.when(F.col("holding_count").isNotNull(), "holdings").otherwise("market")
-    out = None
+    rows, out = dataset.where("return_1d IS NOT NULL").withColumn("family", family), None
     for name, model in by_family.items():
-        mine = model.transform(rows.withColumn("family", family).where(F.col("family") == name)).select("fund_id", "trading_date", "family", "yhat")
+        check_schema(model, dataset)
+        mine = model.transform(rows.where(F.col("family") == name)).select("fund_id", "trading_date", "family", "yhat")
         out = mine if out is None else out.unionByName(mine)
     return out
 
 
+def score_latest(by_family: dict[str, PipelineModel], dataset: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    """Predictions for the newest usable row of each fund, as score_rows() gives them. Missing feature
+    columns are an error."""
+    missing = sorted({f for fs in features.values() for f in fs} - set(dataset.columns))
+    if missing:
+        raise ValueError(f"the dataset lacks {missing}")
+    newest = F.row_number().over(Window.partitionBy("fund_id").orderBy(F.desc("trading_date")))
+    return score_rows(by_family, dataset.where("return_1d IS NOT NULL").withColumn("nth", newest).where("nth = 1"))
+
+
+#: Pairs without a holding that links are judged by, for each fund; draws for each pair in a round.
+NEGATIVES, DRAWS = 20, 8
+
+
+def negative_pairs(held: DataFrame, n: int, seed: int = 7, rounds: int = 8) -> DataFrame:
+    """``n`` securities for each fund that it doesn't hold, drawn without replacement with chances in
+    proportion to the number of funds that hold them; fewer where it holds nearly all that it meets
+    in ``rounds``. The same for the same edges and seed, whatever their order.
+
+    A draw is an edge by its running number, at a hash of seed, fund and draw: its security comes by
+    an equi join, so funds and securities are never paired with each other. Repeats and held pairs
+    go, and funds that are short draw on.
+    """
+    pairs = stage(held.select("etf_node_id", "security_node_id").distinct(), "pairs")
+    numbered = stage(running(pairs, [], ["security_node_id", "etf_node_id"], sums={"number": F.lit(1)}).select("number", "security_node_id"), "numbered")
+    edges, funds = numbered.count(), pairs.select("etf_node_id").distinct()
+    short, got = funds, None
+    for r in range(rounds):
+        draw = F.explode(F.sequence(F.lit(r * n * DRAWS), F.lit((r + 1) * n * DRAWS - 1))).alias("draw")
+        at = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "etf_node_id", "draw"), 256), 1, 15), 16, 10).cast("long"), F.lit(edges))
+        drawn = short.select("etf_node_id", draw).select("etf_node_id", "draw", at.alias("number")).join(numbered, "number")
+        fresh = drawn.groupBy("etf_node_id", "security_node_id").agg(F.min("draw").alias("draw")).join(pairs, ["etf_node_id", "security_node_id"], "left_anti")
+        both = fresh if got is None else got.unionByName(fresh).groupBy("etf_node_id", "security_node_id").agg(F.min("draw").alias("draw"))
+        nth = F.row_number().over(Window.partitionBy("etf_node_id").orderBy("draw"))
+        got = stage(both.withColumn("nth", nth).where(F.col("nth") <= n).drop("nth"), "negatives")
+        short = funds.join(got.groupBy("etf_node_id").count().where(F.col("count") >= n), "etf_node_id", "left_anti")
+        if short.isEmpty():
+            break
+    return got.select("etf_node_id", "security_node_id")
+
+
 def holding_links(held: DataFrame, rank: int = 8, seed: int = 7) -> DataFrame:
-    """Implicit-feedback factors of funds and securities, and their score for held pairs and as
-    many others, of the pairs left out by hash."""
+    """Implicit-feedback factors of funds and securities, and their score for held pairs and for
+    NEGATIVES others a fund, of the pairs left out by hash."""
     from foliospark.operators.graph import hash_split, node_index
 
     funds = node_index(held, "etf_node_id").withColumnsRenamed({"node_id": "etf_node_id", "index": "f"})
     securities = node_index(held, "security_node_id").withColumnsRenamed({"node_id": "security_node_id", "index": "s"})
     pairs = held.select("etf_node_id", "security_node_id").distinct().join(funds, "etf_node_id").join(securities, "security_node_id")
     pairs = hash_split(pairs, "etf_node_id", "security_node_id").select(F.col("f").cast("int"), F.col("s").cast("int"), F.lit(1.0).alias("y"), "split")
-    n = securities.count()
-    others = pairs.select("f", F.pmod(F.col("s") + 1 + F.pmod(F.xxhash64("f", "s"), F.lit(n - 1)), F.lit(n)).cast("int").alias("s"), F.lit(0.0).alias("y"), "split").distinct()
-    others = others.join(pairs.select("f", "s"), ["f", "s"], "left_anti")
+    drawn = hash_split(negative_pairs(held, NEGATIVES, seed), "etf_node_id", "security_node_id")
+    others = drawn.join(funds, "etf_node_id").join(securities, "security_node_id").select(F.col("f").cast("int"), F.col("s").cast("int"), F.lit(0.0).alias("y"), "split")
     model = ALS(rank=rank, implicitPrefs=True, userCol="f", itemCol="s", ratingCol="y", seed=seed, coldStartStrategy="drop").fit(pairs.where("split = 'train'"))
     return model.transform(pairs.unionByName(others).where("split <> 'train'")).withColumnRenamed("prediction", "score")

@@ -359,6 +359,55 @@ def _stream_exposure(s, d):
     return done.select("etf_node_id", F.round("impact", 8).alias("impact"), "links", "updates")
 
 
+def _message_files(s, d) -> str:
+    """The messages of epoch_messages as files in arrival order."""
+    root = folder(s)
+    cols = [c.split()[0] for c in exposure.MESSAGE.split(", ")]
+    epoch_messages(s, d).withColumn("quantity", F.lit(1)).select(*cols).repartitionByRange(12, "arrival").write.parquet(root)
+    return root
+
+
+def _strict_stream(s, d):
+    """Strict changes and sequence counts by a stream: of each instrument, updates and return of the
+    last epoch, and its accounting from the state."""
+    root, count = _message_files(s, d), V.instrument_count(s, d)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(name, None)
+    s.conf.set(name, exposure.STATE_STORE)
+    try:
+        sound, _ = exposure.split_valid(exposure.message_stream(s, root, 64), count)
+        changes = exposure.strict_changes(sound, count)
+        changes.writeStream.format("parquet").option("path", f"{root}-out").option("checkpointLocation", f"{root}-check").trigger(availableNow=True).start().awaitTermination()
+        rows = s.read.schema("instrument_id int, epoch long, sequence long, change double").parquet(f"{root}-out")
+        counts = store.stage(exposure.strict_counts(s, f"{root}-check"), "counts")
+    finally:
+        s.conf.unset(name) if before is None else s.conf.set(name, before)
+    last = rows.join(F.broadcast(counts.select(F.col("instrument_id").alias("i"), F.col("epoch").alias("e"))), (F.col("instrument_id") == F.col("i")) & (F.col("epoch") == F.col("e")))
+    sums = last.groupBy("instrument_id").agg(F.count(F.lit(1)).alias("changes"))
+    return counts.join(sums, "instrument_id", "left").select("instrument_id", "seen", "gaps", "duplicates", "late", F.coalesce("changes", F.lit(0)).alias("changes"))
+
+
+def _stream_latencies(s, d):
+    """Latency quantiles and counters by a stream, as they are after its last trigger."""
+    root, out = folder(s), folder(s)
+    cols = [c.split()[0] for c in exposure.MESSAGE.split(", ")]
+    V.ticks(s, d).withColumns({"quantity": F.lit(1), "instrument_count": F.lit(1)}).select(*cols).repartitionByRange(12, "arrival").write.parquet(root)
+
+    def write(found: DataFrame, types: DataFrame, number: int) -> None:
+        total = types.agg(F.sum("messages").alias("messages"))
+        found.join(F.broadcast(total)).withColumn("trigger", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number:06}")
+
+    exposure.start_latencies(exposure.message_stream(s, root, 3), write, f"{root}-check").awaitTermination()
+    rows = s.read.option("recursiveFileLookup", True).schema("stage string, percent double, ns long, samples long, messages long, trigger int").parquet(out)
+    last = rows.agg(F.max("trigger").alias("last"))
+    return rows.join(F.broadcast(last), F.col("trigger") == F.col("last")).drop("trigger", "last")
+
+
+def _negatives(s, d):
+    """Ten pairs a fund that no holding joins, drawn by the securities' degree."""
+    return models.negative_pairs(V.edges(s, d), 10)
+
+
 def _replay_summary(s, d):
     events = V.ticks(s, d).where("copy = 0").select("sequence", "security_node_id", ((F.col("sequence") % 201 - 100) * F.lit(0.0001)).alias("shock"))
     r = shock.replay_summary(shock.replay(V.edges(s, d), events))
@@ -451,6 +500,9 @@ def queries(risk, timeline, resolved) -> dict:
         "completed_sessions": _sessions,
         "epoch_exposure": _epoch_exposure,
         "stream_exposure": _stream_exposure,
+        "strict_stream": _strict_stream,
+        "stream_latencies": _stream_latencies,
+        "negative_pairs": _negatives,
         "replay_summary": _replay_summary,
         "impact_checksum": _checksum,
         "alias_warnings": _alias_warnings,

@@ -408,6 +408,17 @@ SELECT status, count(*) AS n, CASE WHEN (SELECT count(*) FILTER (status <> 'reso
 FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS l FROM events)""",
     "epoch_exposure": EPOCH_SQL,
     "stream_exposure": EPOCH_SQL,
+    "strict_stream": with_(TICKS) + """, em AS (SELECT *, max(sequence) OVER (PARTITION BY instrument_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM tk WHERE copy = 0 AND sequence % 3001 <> 3000 AND price_ticks > 0)
+SELECT CAST(instrument_id AS INTEGER) AS instrument_id, count(*) AS seen, CAST(sum(greatest(0, sequence - coalesce(high, -1) - 1)) AS BIGINT) AS gaps, count(*) FILTER (sequence = high) AS duplicates, count(*) FILTER (sequence < high) AS late,
+  greatest(0, count(*) FILTER (sequence > st[1] AND arrival > st[2]) - 1) AS changes
+FROM em, (SELECT coalesce(max([sequence, arrival]), [-1, -1]) AS st FROM tk WHERE sequence % 3001 = 3000) GROUP BY 1""",
+    "stream_latencies": f"SELECT *, (SELECT sum(messages)::BIGINT FROM ({ORACLES['feed_counters']})) AS messages FROM ({ORACLES['latency_histogram']})",
+    "negative_pairs": GRAPH + """, pr AS (SELECT DISTINCT etf_node_id, security_node_id FROM e),
+nu AS (SELECT security_node_id, row_number() OVER (ORDER BY security_node_id, etf_node_id) - 1 AS number FROM pr),
+dr AS (SELECT fu.etf_node_id, k, security_node_id FROM (SELECT DISTINCT etf_node_id FROM pr) fu, (SELECT unnest(range(640)) AS k) JOIN nu
+       ON number = CAST('0x' || substr(sha256('7:' || etf_node_id || ':' || k), 1, 15) AS BIGINT) % (SELECT count(*) FROM pr)),
+mn AS (SELECT etf_node_id, security_node_id, min(k) AS k FROM dr GROUP BY ALL)
+SELECT etf_node_id, security_node_id FROM mn ANTI JOIN pr USING (etf_node_id, security_node_id) QUALIFY row_number() OVER (PARTITION BY etf_node_id ORDER BY k) <= 10""",
     "replay_summary": with_(RAW, FILINGS, EDGES, TICKS) + "SELECT (SELECT count(*) FROM tk WHERE copy = 0) AS events, round(sum(portfolio_weight * (sequence % 201 - 100) * 0.0001), 6) AS checksum, (SELECT count(DISTINCT sequence) = count(*) AND min(sequence) = 0 AND max(sequence) = count(*) - 1 FROM tk WHERE copy = 0) AS dense FROM tk JOIN e USING (security_node_id) WHERE copy = 0",
     "impact_checksum": f"SELECT round(sum(impact), 6) AS checksum, count(*) AS funds FROM ({ORACLES['price_exposure']})",
     "alias_warnings": "SELECT 'ignored_alias' AS kind, unnest(['report_date', 'holding_ticker']) AS \"column\", 1::BIGINT AS n",

@@ -104,42 +104,97 @@ def start_impacts(messages: DataFrame, held: DataFrame, instruments: DataFrame,
 
 
 class ArrivalOrder(StatefulProcessor):
-    """Strict arrival order of one instrument: the first price is the reference for good; every
-    price gives the change of the return. Also counts missing, repeated and late sequences."""
+    """Strict arrival order of one instrument: the first price since the last snapshot start is the
+    reference; every later one gives the change of the return. A snapshot start opens a new epoch;
+    prices of a sequence before it don't count, whenever they arrive. Also counts missing,
+    repeated and late sequences. The state goes after ``ttl`` milliseconds without a message."""
+
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "reference long, last double, high long, gaps long, duplicates long, late long")
+        self.state = handle.getValueState("state", STRICT_STATE, self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        had = self.state.get() if self.state.exists() else (0, 0.0, -1, 0, 0, 0)
-        reference, last, high, gaps, duplicates, late = had
+        had = self.state.get() if self.state.exists() else (0, 0.0, -1, 0, 0, 0, -1, 0)
+        reference, last, high, gaps, duplicates, late, epoch, seen = had
         frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
         out = []
-        for sequence, ticks in zip(frame["sequence"], frame["price_ticks"], strict=True):
+        for kind, sequence, ticks in zip(frame["type"], frame["sequence"], frame["price_ticks"], strict=True):
+            sequence = int(sequence)
+            if kind == "snapshot_start":
+                if sequence > epoch:
+                    epoch, reference, last = sequence, 0, 0.0
+                continue
+            seen += 1
             if sequence == high:
                 duplicates += 1
             elif sequence < high:
                 late += 1
             else:
-                gaps, high = gaps + int(sequence) - high - 1, int(sequence)
+                gaps, high = gaps + sequence - high - 1, sequence
+            if sequence < epoch:
+                continue
             if reference == 0:
                 reference = int(ticks)
                 continue
             now = ticks / reference - 1
-            out.append((key[0], int(sequence), now - last))
+            out.append((key[0], epoch, sequence, now - last))
             last = now
-        self.state.update((int(reference), float(last), int(high), int(gaps), int(duplicates), int(late)))
-        yield pd.DataFrame(out, columns=["instrument_id", "sequence", "change"])
+        self.state.update((int(reference), float(last), int(high), int(gaps), int(duplicates), int(late), int(epoch), int(seen)))
+        yield pd.DataFrame(out, columns=["instrument_id", "epoch", "sequence", "change"])
 
     def close(self) -> None:
         pass
 
 
-def strict_changes(prices: DataFrame) -> DataFrame:
-    """Return changes in arrival order, one row a price after an instrument's first; their sum by
-    instrument is the closed form's return where prices arrive in order. The session's
+STRICT_STATE = "reference long, last double, high long, gaps long, duplicates long, late long, epoch long, seen long"
+
+
+def strict_changes(messages: DataFrame, count: int | None = None, ttl: int | None = None) -> DataFrame:
+    """Return changes in arrival order, one row a price after an instrument's first of its epoch
+    (the sequence of the snapshot start, -1 before any); their sum by instrument and epoch is the closed
+    form's return where prices arrive in order. With ``count`` instruments a snapshot start is
+    told to every one of them: a row a key, so each key's state starts anew on its own. The session's
     ``spark.sql.streaming.stateStore.providerClass`` has to be STATE_STORE."""
-    return prices.groupBy("instrument_id").transformWithStateInPandas(ArrivalOrder(), "instrument_id int, sequence long, change double", "append", "none")
+    keys = F.when(F.col("type") == "snapshot_start", F.sequence(F.lit(0), F.lit(count - 1))).otherwise(F.array("instrument_id")) if count else F.array("instrument_id")
+    told = messages.where(F.col("type").isin("price", "snapshot_start")).withColumn("instrument_id", F.explode(keys)).where("instrument_id IS NOT NULL")
+    return told.groupBy("instrument_id").transformWithStateInPandas(ArrivalOrder(ttl), "instrument_id int, epoch long, sequence long, change double", "append", "processingTime" if ttl else "none")
+
+
+def strict_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sequence accounting of each instrument as the strict stream's state has it, read from its
+    checkpoint by the state data source."""
+    state = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    held = "value.value" if "ttlExpirationMs" in state.schema["value"].dataType.names else "value"  # with a time to live
+    v = lambda c: F.col(f"{held}.{c}").alias(c)
+    return state.select(F.col("key.instrument_id").alias("instrument_id"), v("seen"), v("gaps"), v("duplicates"), v("late"), v("epoch"))
+
+
+def start_latencies(messages: DataFrame, write: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
+    """A stream of messages to ``write(quantiles, counters, batch)`` every trigger: of all messages so
+    far, latency quantiles by stage, and messages by type.
+
+    The state is what merges: histogram bins and counts, a table beside the checkpoint, one version
+    a batch; a batch that runs again reads the version before its own and writes the same.
+    """
+    spark = messages.sparkSession
+    kinds = {"bins": "stage string, bin long, n long, least long, most long", "types": "type string, messages long"}
+
+    def step(batch: DataFrame, number: int) -> None:
+        old = {k: spark.read.schema(v).parquet(f"{checkpoint}/{k}/{number - 1}") if number else spark.createDataFrame([], v) for k, v in kinds.items()}
+        fresh = histogram(stage_latencies(batch).where("valid"), ["stage"]).select("stage", F.col("bin").cast("long").alias("bin"), "n", "least", "most")
+        merged = {
+            "bins": old["bins"].unionByName(fresh).groupBy("stage", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")),
+            "types": old["types"].unionByName(feed_counters(batch)).groupBy("type").agg(F.sum("messages").alias("messages")),
+        }
+        now = {}
+        for k, v in kinds.items():
+            merged[k].write.mode("overwrite").parquet(f"{checkpoint}/{k}/{number}")
+            now[k] = spark.read.schema(v).parquet(f"{checkpoint}/{k}/{number}")
+        write(quantiles(now["bins"], ["stage"]), now["types"], number)
+
+    return messages.writeStream.option("checkpointLocation", f"{checkpoint}/stream").foreachBatch(step).trigger(availableNow=True).start()
 
 
 def sequence_accounting(messages: DataFrame, channel: str, order: list[str]) -> DataFrame:

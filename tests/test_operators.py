@@ -316,3 +316,42 @@ def test_manifest_fingerprint(spark):
     assert quality.same_build(m, quality.manifest(data.repartition(5), timeline.orderBy(F.desc("accession"))))
     assert not quality.same_build(m, quality.manifest(data, timeline.where("accession = 'a1'")))
     assert not quality.same_build(m, quality.manifest(data.withColumn("available_from", F.date_add("trading_date", 1)), timeline))
+
+
+def test_negative_pairs(spark):
+    rows = [("d", f"F{f:02d}", f"s{s}", 0.1) for f in range(30) for s in range(60) if (f * 7 + s * 3) % (2 + s % 9) == 0]
+    held = spark.createDataFrame(rows, "as_of string, etf_node_id string, security_node_id string, portfolio_weight double")
+    got = [(r.etf_node_id, r.security_node_id) for r in models.negative_pairs(held, 6).collect()]
+    assert len(got) == len(set(got)) == 30 * 6 and not set(got) & {(f, s) for _, f, s, _ in rows}
+    assert sorted(got) == sorted((r.etf_node_id, r.security_node_id) for r in models.negative_pairs(held.repartition(7), 6).collect())
+    assert set(got) != {(r.etf_node_id, r.security_node_id) for r in models.negative_pairs(held, 6, seed=8).collect()}
+    degree = {s: len({f for _, f, x, _ in rows if x == s}) for _, _, s, _ in rows}
+    assert sum(degree[s] for _, s in got) / len(got) > sum(degree.values()) / len(degree) * 0.7, "common securities come up, though they are held more"
+    full = spark.createDataFrame([("d", "F0", "s0", 0.1), ("d", "F0", "s1", 0.1), ("d", "F1", "s0", 0.1)], held.schema)
+    assert [tuple(r) for r in models.negative_pairs(full, 3).collect()] == [("F1", "s1")]
+
+
+def test_halving_finds_the_grid_s_best(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["train", "train", "validation", "test"]), x := rng.uniform(-3, 3), rng.random(), x * x + rng.gauss(0, 0.1)) for _ in range(700)]
+    data = spark.createDataFrame(rows, "split string, x double, noise double, y double")
+    grid = [{"trees": 10, "depth": d, "step": s} for d in (1, 2, 4) for s in (0.02, 0.3)]
+    best, mae = models.tune(data, ["x", "noise"], "y", grid)
+    fast, least, effort = models.tune_by_halving(data, ["x", "noise"], "y", grid)
+    assert fast == best and least == pytest.approx(mae) and effort < len(grid) / 2 + 1e-9
+
+
+def test_gates_and_scores_of_all_rows(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(n) for n in range(200)]
+    rows = [("F", d, "train" if n < 120 else "validation" if n < 160 else "test", float(n % 7), float(n % 7) * 2, 0.1 if n else None, 5 if n > 100 else None) for n, d in enumerate(days)]
+    data = spark.createDataFrame(rows, "fund_id string, trading_date date, split string, x double, y double, return_1d double, holding_count int")
+    model = models.fit_gated(models.ridge(["x"], "y"), data, "y")
+    assert models.fit_gated(models.ridge(["x"], "y"), data.where("split <> 'test'"), "y") is None
+    scored = models.score_rows({"holdings": model, "market": model}, data).collect()
+    assert len(scored) == 199 and {r.family for r in scored} == {"holdings", "market"}
+    with pytest.raises(ValueError, match="lacks"):
+        models.score_rows({"market": model}, data.drop("x"))
+    with pytest.raises(ValueError, match="numbers"):
+        models.score_rows({"market": model}, data.withColumn("x", F.col("x").cast("string")))
