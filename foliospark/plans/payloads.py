@@ -215,11 +215,24 @@ def _impact_file(s, d):
 
 def _scenario_file(s, d):
     path, keys = folder(s), V.shocks(V.edges(s, d)).where("scenario_id = 'scenario-2' AND ord < 5000")
-    keys.groupBy(F.lit(1).alias("one")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.round("shock", 6)))))).alias("value")).select("value").coalesce(1).write.text(path)
-    back = exchange.read_scenario(s, path, "from-file")
+    exchange.write_scenario(keys.select("key", F.round("shock", 6).alias("shock")), path)
+    back = exchange.read_scenario_lines(s, path, "from-file")
     return back.select("scenario_id", F.col("ord").cast("long").alias("ord"), "key", F.round("shock", 6).alias("shock"))
 
 
+def _safe_names(s, d):
+    """Folder names of ids with unsafe characters, some of nothing else."""
+    o = V.table(s, d, "orders")
+    name = F.when(F.col("o_orderkey") % 11 == 0, "../").otherwise(F.concat(F.lit(".."), "o_orderpriority", F.lit("/"), "o_orderstatus", F.lit(" é"), F.col("o_custkey").cast("string")))
+    return o.select("o_orderkey", store.fund_dirname(name).alias("folder"))
+
+
+def _tuning_splits(s, d, risk):
+    """Rows of each split that tuning may see."""
+    rows = quality.firewall(quality.tuning_rows(risk))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def _vectors(s, d):
     path = folder(s)
     exchange.write_vectors(V.table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("node_id"), F.col("embedding").alias("vector")), path)
@@ -481,6 +494,8 @@ def queries(risk, timeline, resolved) -> dict:
         "graph_files": _graph_files,
         "impact_file": _impact_file,
         "scenario_file": _scenario_file,
+        "safe_names": _safe_names,
+        "tuning_splits": lambda s, d: _tuning_splits(s, d, risk(s, d)),
         "vector_table": _vectors,
         "published_graph": _published,
         "whole_graph": _whole_graph,

@@ -372,6 +372,8 @@ FROM e LEFT JOIN (SELECT DISTINCT key FROM sh WHERE scenario_id = 'scenario-1')
     + """SELECT scenario_id, count(DISTINCT etf_node_id) AS funds, round(sum(portfolio_weight * shock) FILTER (missing_weights = 0), 6) AS direct_shock, round(sum(portfolio_weight) FILTER (missing_weights = 0), 6) AS covered_weight
 FROM e JOIN ef USING (security_node_id) GROUP BY scenario_id""",
     "scenario_file": with_(RAW, FILINGS, EDGES, SHOCKS) + "SELECT 'from-file' AS scenario_id, row_number() OVER (ORDER BY key) - 1 AS ord, key, CAST(round(shock, 6) AS DOUBLE) AS shock FROM sh WHERE scenario_id = 'scenario-2' AND ord < 5000",
+    "safe_names": r"""SELECT o_orderkey, nullif(regexp_replace(regexp_replace(CASE WHEN o_orderkey % 11 = 0 THEN '../' ELSE '..' || o_orderpriority || '/' || o_orderstatus || ' é' || o_custkey END, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[.]{2,}', '', 'g'), '') AS folder FROM orders""",
+    "tuning_splits": RISK + "SELECT split, count(*) AS row_count FROM rs WHERE split <> 'test' GROUP BY split",
     "vector_table": "SELECT CAST(vec_id AS VARCHAR) AS node_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings",
     "published_graph": GRAPH + """SELECT 'edges' AS name, count(*) AS in_manifest, count(*) AS row_count FROM e
 UNION ALL SELECT 'nodes', count(DISTINCT etf_node_id) + count(DISTINCT security_node_id), count(DISTINCT etf_node_id) + count(DISTINCT security_node_id) FROM e""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.operators.scan import running
+
 EDGES = "etf_node_id string, security_node_id string, security_ticker string, portfolio_weight double"
 SHOCKS = "key string, shock double"
 
@@ -40,6 +42,25 @@ def read_scenario(spark: SparkSession, path: str, scenario_id: str) -> DataFrame
     return rows.select(F.lit(scenario_id).alias("scenario_id"), "ord", F.col("e.key").alias("key"), F.col("e.value").cast("double").alias("shock"))
 
 
+def write_scenario(shocks: DataFrame, path: str) -> None:
+    """Shocks (key, shock) as lines of JSON objects with one member each, from every task."""
+    shocks.select(F.to_json(F.create_map("key", "shock")).alias("value")).write.text(path)
+
+
+def read_scenario_lines(spark: SparkSession, path: str, scenario_id: str) -> DataFrame:
+    """Shocks of a file or folder of lines, a JSON object of key to number each, numbered in order of
+    their keys by ranges, so a scenario of any size isn't one task's. Other values and keys that stand
+    twice stop the job."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    raw = lines.select(F.explode_outer(F.map_entries(F.from_json("value", "map<string,string>"))).alias("e"), "value")
+    quoted = F.col("value").rlike(r":\s*(?:\"|true\b|false\b|null\b)")
+    shock = F.col("e.value").try_cast("double")
+    rows = _or_raise(raw, F.col("e").isNotNull() & ~quoted & shock.isNotNull(), "a shock isn't a number")
+    once = rows.groupBy(F.col("e.key").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min(shock).alias("shock"))
+    numbered = running(_or_raise(once, F.col("n") == 1, "a shock key stands twice").drop("n"), [], ["key"], sums={"ord": F.lit(1)})
+    return numbered.select(F.lit(scenario_id).alias("scenario_id"), "ord", "key", "shock")
+
+
 def export_graph(edges: DataFrame, shocks: DataFrame, root: str) -> None:
     """Edges and shocks as CSV, after a check for empty ids, control characters and non-finite
     numbers; nothing is written if it fails."""

@@ -53,6 +53,8 @@ def write_snapshots(holdings: DataFrame, root: str) -> None:
     fund within files, so a fund's read touches few row groups."""
     spark = holdings.sparkSession
     fresh = stage(holdings.withColumns({"snapshot_key": F.col("snapshot_date").cast("string"), "fund_bucket": fund_bucket(F.col("fund_id"))}))
+    if not fresh.where(fund_dirname(F.col("fund_id")).isNull()).isEmpty():
+        raise ValueError("a fund id is null or has no character that a name may have")
     names = [c for c in holdings.columns]
     rows = fresh
     if exists(spark, root):

@@ -270,3 +270,20 @@ def test_vendor_bodies_that_refuse_or_adjust(spark):
     assert (got["adj"].adjusted_open, got["adj"].adjusted_close, got["adj"].currency) == (1.0, 1.25, "USD")
     assert (got["meta"].currency, got["meta"].exchange) == ("GBP", "LSE")
     assert str(got["late"].trading_date) == "2024-01-02", "23:00 in New York"
+
+
+def test_scenario_lines(spark, tmp_path):
+    shocks = spark.range(500).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("key"), (F.col("id") / 1000).alias("shock")).repartition(6)
+    exchange.write_scenario(shocks, f"{tmp_path}/s")
+    back = exchange.read_scenario_lines(spark, f"{tmp_path}/s", "x").orderBy("ord").collect()
+    assert [(r.ord, r.key, r.shock) for r in back] == [(n, f"k{n:04}", n / 1000) for n in range(500)]
+    for n, bad in enumerate(['{"a": "1"}', '{"a": true}', "no json", '{"a": 1}\n{"a": 2}']):
+        (tmp_path / f"bad{n}").write_text(bad)
+        with pytest.raises(Exception, match="isn.t a number|twice"):
+            exchange.read_scenario_lines(spark, f"{tmp_path}/bad{n}", "x").collect()
+
+
+def test_unsafe_fund_ids_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("../", dt.date(2024, 3, 31), "s", 0.1)], "fund_id string, snapshot_date date, security_id string, portfolio_weight double")
+    with pytest.raises(ValueError, match="fund id"):
+        store.write_snapshots(rows, f"{tmp_path}/h")
