@@ -87,6 +87,11 @@ def enabled_universe(entries: DataFrame) -> DataFrame:
     return once.where(fine).drop("n").withColumn("enabled", F.lit(True))
 
 
+def duplicate_tickers(universe: DataFrame) -> DataFrame:
+    """Enabled tickers that stand more than once, for a report where ``enabled_universe`` would stop."""
+    return universe.where("enabled").groupBy("ticker").count().where("count > 1")
+
+
 def universe_manifest(resolved: DataFrame) -> DataFrame:
     """Tickers by status, the gate, and a fingerprint of every ticker with its outcome, whatever
     the order of rows: a hash of a sum of hashes, so no task holds the universe."""
