@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from llm_odd import ODD
 
 from foliospark.llm import substrings
@@ -35,16 +36,34 @@ def brute_units(text, least):
     return out
 
 
-def test_against_brute_force(make_docs):
+def brute_whole(text, least):
+    """Every line, and every run of its sentences, tried one by one."""
+    out, at = set(), 0
+    for line in text.split("\n"):
+        words = re.findall(r"[^\W_]+", line.lower())
+        if line.strip():
+            out.add((at, at + len(line), len(words), " ".join(words) or "\n" + line.strip()))
+        parts = [(m.start(), m.end(), w) for m in re.finditer(r"[^.!?]+[.!?]*", line) if (w := re.findall(r"[^\W_]+", m[0].lower()))]
+        n = lambda i, j, parts=parts: sum(len(w) for _, _, w in parts[i : j + 1])
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                if n(i, j) >= least and (n(i, j - 1) < least or n(i + 1, j) < least) and j - i + 1 < len(parts):
+                    out.add((at + parts[i][0], at + parts[j][1], n(i, j), " ".join(x for _, _, w in parts[i : j + 1] for x in w)))
+        at += len(line) + 1
+    return out
+
+
+@pytest.mark.parametrize(("brute", "pieces"), [(brute_units, substrings.passages), (brute_whole, substrings.units)])
+def test_against_brute_force(make_docs, brute, pieces):
     rng = random.Random(2)
     lines = [" ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(1, 10))) for _ in range(12)]
-    docs = [(i, "".join(rng.choice(lines) + rng.choice(["\n", ". ", "! ", "\n\n", ". . "]) for _ in range(6))) for i in range(40)]
-    places = sorted((i, *u) for i, t in docs for u in brute_units(t, 8))
+    docs = [(i, "".join(rng.choice(lines) + rng.choice(["\n", ". ", "! ", "\n\n", ". . ", "\n---\n"]) for _ in range(6))) for i in range(40)]
+    places = sorted((i, *u) for i, t in docs for u in brute(t, 8))
     first = {}
     for i, s, e, _, key in places:
         first.setdefault(key, (i, s, e))
     want = [(i, s, e, n, *first[key][:2]) for i, s, e, n, key in places if i != first[key][0] or s >= first[key][2]]
-    assert want and sorted(map(tuple, substrings.repeats(make_docs(docs), 8).collect())) == sorted(want)
+    assert want and sorted(map(tuple, substrings.repeats(make_docs(docs), 8, pieces).collect())) == sorted(want)
 
 
 def test_a_hot_unit_is_dealt_and_kept_once(make_docs):
