@@ -16,6 +16,11 @@ from foliospark.sources import commits, exchange, filings, market, store
 from foliospark.streaming import exposure
 
 
+#: Target of the risk models, and the feature of each family's ridge regression.
+TARGET = "forward_realized_vol_20d"
+FAMILIES = {"holdings": "realized_vol_60d", "market": "realized_vol_20d"}
+
+
 def folder(spark) -> str:
     return f"{store.work_folder(spark)}/files-{uuid.uuid4().hex}"
 
@@ -470,6 +475,29 @@ def _mean_scores(s, d, risk):
     return out.select("split", "n", *[F.round(c, 7).alias(c) for c in ("mae", "rmse", "r2")])
 
 
+def _ridges(risk):
+    """The rows whose features are known, and the ridge model of each family on the train rows: None
+    where a split has too few rows."""
+    known = store.stage(risk.where("realized_vol_20d IS NOT NULL AND realized_vol_60d IS NOT NULL").select("fund_id", "trading_date", "split", "return_1d", "holding_count", "realized_vol_20d", "realized_vol_60d", TARGET), "ridge")
+    return known, {family: models.fit_gated(models.ridge([x], TARGET), known, TARGET) for family, x in FAMILIES.items()}
+
+
+def _scored(s, d, risk):
+    known, fitted = _ridges(risk)
+    if None in fitted.values():
+        return known.select("fund_id", "trading_date", F.lit("").alias("family"), F.lit(0.0).alias("yhat")).limit(0)
+    return models.score_rows(fitted, known).withColumn("yhat", F.round("yhat", 7))
+
+
+def _ridge_scores(s, d, risk):
+    known, fitted = _ridges(risk)
+    model = fitted["market"]
+    rows = known.where("split IN ('validation', 'test')")
+    rows = model.transform(rows) if model else rows.withColumn("yhat", F.lit(None).cast("double"))
+    out = models.regression_scores(rows.select("split", F.col(TARGET).alias("y"), "yhat"), ["split"])
+    return out.select("split", "n", *[F.round(c, 7).alias(c) for c in ("mae", "rmse", "r2")])
+
+
 def _target_profile(s, d, risk):
     out = models.target_profile(risk, "forward_realized_vol_20d")
     return out.select("split", "row_count", "labelled", *[F.round(c, 7).alias(c) for c in ("mean", "least", "most")])
@@ -526,5 +554,7 @@ def queries(risk, timeline, resolved) -> dict:
         "newest_needed": _newest_needed,
         "graph_manifest": _node_counts,
         "mean_scores": lambda s, d: _mean_scores(s, d, risk(s, d)),
+        "ridge_scores": lambda s, d: _ridge_scores(s, d, risk(s, d)),
+        "scored_rows": lambda s, d: _scored(s, d, risk(s, d)),
         "target_profile": lambda s, d: _target_profile(s, d, risk(s, d)),
     }

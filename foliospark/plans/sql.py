@@ -204,6 +204,13 @@ rs AS (SELECT *, CASE WHEN momentum_120d IS NULL THEN 'warmup' WHEN label_end_da
   WHEN trading_date <= DATE '2000-12-31' THEN CASE WHEN label_end_date > DATE '2000-12-31' THEN 'purged_validation' ELSE 'validation' END ELSE 'test' END AS split FROM rk)"""
 MARKET = with_(BARS, FEATURES)
 RISK = with_(RAW, CONC, FILINGS, HELD_W, TIMELINE, dist("td", "hw", "tp"), TIMELINE_ROWS, BARS, FEATURES, FUNDS, ASOF)
+#: Ridge regression of one feature on standardised columns: the plain slope over 1 + penalty / deviation
+#: of the target; no fit where a split has too few rows.
+RIDGE = RISK + """,
+k AS (SELECT fund_id, trading_date, split, return_1d, holding_count, realized_vol_20d AS x, realized_vol_60d AS z, forward_realized_vol_20d AS y FROM rs WHERE realized_vol_20d IS NOT NULL AND realized_vol_60d IS NOT NULL),
+ft AS (SELECT avg(y) AS my, avg(x) AS mx, avg(z) AS mz, covar_pop(y, x) / var_pop(x) / (1 + 0.001 / stddev_pop(y)) AS bm, covar_pop(y, z) / var_pop(z) / (1 + 0.001 / stddev_pop(y)) AS bh
+  FROM k WHERE split = 'train' AND y IS NOT NULL HAVING count(*) >= 50 AND (SELECT least(count(*) FILTER (split = 'validation'), count(*) FILTER (split = 'test')) FROM k WHERE y IS NOT NULL) >= 20)
+"""
 EDGES = """
 ch0 AS (SELECT * FROM f WHERE filed_at <= DATE '2000-01-15' QUALIFY row_number() OVER (PARTITION BY fund_id ORDER BY filed_at DESC, report_date DESC, accession DESC) = 1),
 e AS (SELECT DATE '2000-01-15' AS as_of, h.fund_id AS etf_node_id, security_id AS security_node_id, coalesce(portfolio_weight, 0) AS portfolio_weight,
@@ -431,6 +438,10 @@ SELECT etf_node_id, security_node_id FROM mn ANTI JOIN pr USING (etf_node_id, se
 SELECT as_of, sha256(concat_ws('|', count(*), {", ".join(f"sum({_HEX.format(15 * k + 1)})" for k in range(4))})) AS fingerprint FROM g GROUP BY as_of""",
     "mean_scores": RISK + rnd("""SELECT split, count(*) AS n, avg(abs(y - m)) AS mae, sqrt(avg((y - m) * (y - m))) AS rmse, 1 - sum((y - m) * (y - m)) / nullif(sum((y - a) * (y - a)), 0) AS r2
 FROM (SELECT split, forward_realized_vol_20d AS y, (SELECT avg(forward_realized_vol_20d) FROM rs WHERE split = 'train') AS m, avg(forward_realized_vol_20d) OVER (PARTITION BY split) AS a FROM rs WHERE split IN ('validation', 'test') AND forward_realized_vol_20d IS NOT NULL) GROUP BY split""", "mae rmse r2", 7),
+    "ridge_scores": RIDGE + rnd("""SELECT split, count(*) AS n, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, 1 - sum((y - yhat) * (y - yhat)) / nullif(sum((y - m) * (y - m)), 0) AS r2
+FROM (SELECT k.split, y, my + bm * (x - mx) AS yhat, avg(y) OVER (PARTITION BY k.split) AS m FROM k, ft WHERE k.split IN ('validation', 'test') AND y IS NOT NULL) GROUP BY split""", "mae rmse r2", 7),
+    "scored_rows": RIDGE + rnd("""SELECT fund_id, trading_date, CASE WHEN holding_count IS NULL THEN 'market' ELSE 'holdings' END AS family,
+  CASE WHEN holding_count IS NULL THEN my + bm * (x - mx) ELSE my + bh * (z - mz) END AS yhat FROM k, ft WHERE return_1d IS NOT NULL""", "yhat", 7),
     "target_profile": RISK + rnd("SELECT split, count(*) AS row_count, count(forward_realized_vol_20d) AS labelled, avg(forward_realized_vol_20d) AS mean, min(forward_realized_vol_20d) AS least, max(forward_realized_vol_20d) AS most FROM rs GROUP BY split", "mean least most", 7),
 }
 ORACLES["graph_manifest"] = f"SELECT q.*, f.fingerprint FROM ({ORACLES['graph_quality']}) q JOIN ({ORACLES['graph_fingerprint']}) f USING (as_of)"

@@ -13,11 +13,12 @@ AS_OF = "2000-01-15"
 _STORED: dict[tuple, DataFrame] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, kind: str, make) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, kind: str, make, of: tuple[str, ...] = ("lineitem",)) -> DataFrame:
     """The table that ``make`` derives from ``sf_dir``, written once a session as Parquet in the
-    shared folder and read, pruned, by every query on it; made anew if a file of ``lineitem`` has
+    shared folder and read, pruned, by every query on it; made anew if a file of the tables ``of`` has
     another length or time of change."""
-    files = "|".join(f"{r[0]} {r[1]} {r[2]}" for r in table(spark, sf_dir, "lineitem").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect())
+    found = lambda name: table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().orderBy("file_path").collect()
+    files = "|".join(f"{r[0]} {r[1]} {r[2]}" for name in of for r in found(name))
     key = (spark.sparkContext.applicationId, sf_dir, files, kind)
     if key not in _STORED:
         _STORED[key] = stage(make(), kind)
