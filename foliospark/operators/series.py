@@ -29,14 +29,16 @@ def segmented(bars: DataFrame) -> DataFrame:
 
     A segment also holds the sessions that windows reach over its ends, marked ``border``, so a
     window over (instrument, segment) has all it needs and a long series isn't one task's. Places and
-    peaks are running values over ranges of sessions.
+    peaks are running values over ranges of sessions. Segments are dealt to as many tasks as the
+    session's shuffles have: few bytes, but many window steps a row, so they aren't merged by size.
     """
     rows = running(bars, ["instrument_id"], ["trading_date"], sums={"place": F.lit(1)}, maxima={"peak": F.col("close")})
     rows = rows.withColumn("peak", F.greatest("peak", "close"))
     mine, at = F.floor(F.col("place") / SEGMENT), F.col("place") % SEGMENT
     copy = lambda segment, border: F.struct(segment.cast("long").alias("segment"), F.lit(border).alias("border"))
     places = F.array(copy(mine, False), F.when(at >= SEGMENT - BEHIND, copy(mine + 1, True)), F.when((at < AHEAD) & (mine > 0), copy(mine - 1, True)))
-    return rows.select("*", F.inline(F.array_compact(places)))
+    tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("*", F.inline(F.array_compact(places))).repartition(tasks, "instrument_id", "segment")
 
 
 def _spans(frame: DataFrame, w, n: int) -> DataFrame:
