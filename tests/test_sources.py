@@ -287,3 +287,13 @@ def test_unsafe_fund_ids_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([("../", dt.date(2024, 3, 31), "s", 0.1)], "fund_id string, snapshot_date date, security_id string, portfolio_weight double")
     with pytest.raises(ValueError, match="fund id"):
         store.write_snapshots(rows, f"{tmp_path}/h")
+
+
+def test_a_wrong_cik_is_no_fund_s_own(spark, monkeypatch):
+    from foliospark.plans import payloads
+
+    rows = [(f"F{n:09}-{n}", f"F{n:09}", dt.date(2024, 3, 5), "1") for n in (7, 999, 1999)]
+    f = spark.createDataFrame(rows, "accession string, fund_id string, filed_at date, parser_version string")
+    monkeypatch.setattr(payloads.V, "filings", lambda s, d: f)
+    got = [tuple(r) for r in payloads._ingest_summary(spark, "").collect()]
+    assert got == [("failed", "cik_mismatch", 3)]
