@@ -114,7 +114,8 @@ def holdings_from_xml(payloads: DataFrame) -> DataFrame:
     sound: ``read_filings`` checks them first."""
     plain = F.regexp_replace(F.regexp_replace(F.col("payload"), r"(?s)<!--.*?-->", ""), r"(</?)[A-Za-z0-9_.-]+:", "$1")
     blocks = F.regexp_extract_all(plain, F.lit(r"(?s)<invstOrSec\b[^>]*>.*?</invstOrSec>"), F.lit(0))
-    rows = payloads.select("accession", F.explode(blocks).alias("x")).select("accession", F.from_xml("x", HOLDING, {"valueTag": "body"}).alias("h"))
+    rows = payloads.select("accession", F.explode_outer(blocks).alias("x")).where("x IS NOT NULL")  # the outer form: no filter that cuts the text once more
+    rows = X.once(rows, h=F.from_xml("x", HOLDING, {"valueTag": "body"}))
     real = lambda *fields: F.coalesce(*[X.without_placeholder(_text(f)) for f in fields])
     kept = lambda f: F.when(X.without_placeholder(_text(f)).isNotNull(), _text(f))
     out = rows.select(

@@ -297,3 +297,18 @@ def test_a_wrong_cik_is_no_fund_s_own(spark, monkeypatch):
     monkeypatch.setattr(payloads.V, "filings", lambda s, d: f)
     got = [tuple(r) for r in payloads._ingest_summary(spark, "").collect()]
     assert got == [("failed", "cik_mismatch", 3)]
+
+
+def test_payloads_are_parsed_once(spark):
+    """Neither filters nor projections copy the parsing of a filing or of a vendor's body."""
+    def parsings(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return len([1 for line in plan.splitlines() for _ in range(line.lower().count(name))])
+
+    xml = spark.createDataFrame([("a", "<x/>")], "accession string, payload string").repartition(2)
+    held = filings.holdings_from_xml(xml).groupBy("accession").agg(F.count("cusip").alias("n"), F.max("isin").alias("isin"))
+    assert parsings(held, "xml") == 1
+    bodies = spark.createDataFrame([("yahoo", "a", 200, "{}", dt.datetime(2024, 1, 5))], "provider string, instrument_id string, status_code int, body string, downloaded_at timestamp").repartition(2)
+    bars, status = market.bars_from_payloads(bodies)
+    for found in (bars, status):
+        assert parsings(found, "from_json(") <= len(market.VENDORS)
