@@ -131,26 +131,30 @@ def vendor_payloads(s, d) -> DataFrame:
     their status code or, with a good one, in their body."""
     vendor = F.element_at(F.array(*map(F.lit, VENDOR_NAMES)), (F.year("trading_date") % 5 + 1).cast("int"))
     b = V.bars(s, d).withColumns({"provider": vendor, "year": F.year("trading_date")})
-    day, second = F.date_format("trading_date", "yyyy-MM-dd"), F.unix_timestamp(F.col("trading_date").cast("timestamp")) + 18 * 3600
     prices = ("open", "high", "low", "close", "volume")
-    text = lambda c: F.col(c).cast("string")
+    text = lambda c: c.cast("string")
+
+    def rendered(item) -> F.Column:
+        """The bars of a payload, each as ``item`` of the bar, its day as text and its second."""
+        return F.transform("rows", lambda r: item(r, F.date_format(r["trading_date"], "yyyy-MM-dd"), F.unix_timestamp(r["trading_date"].cast("timestamp")) + 18 * 3600))
+
     items = {
-        "twelvedata": F.struct(day.alias("datetime"), *[text(c).alias(c) for c in prices]),
-        "tiingo": F.struct(day.alias("date"), *[text(c).alias(c) for c in prices], *[(F.col(c) / 2).alias(f"adj{c.title()}") for c in prices[:4]]),
-        "massive": F.struct((second * 1000).alias("t"), *[F.col(c).alias(c[0]) for c in prices]),
-        "alphavantage": F.struct(day.alias("key"), F.struct(*[text(c).alias(f"{n}. {c}") for n, c in enumerate(prices, 1)]).alias("value")),
-        "yahoo": F.struct(second.alias("timestamp"), *[F.col(c).alias(c) for c in prices], (F.col("close") / 4).alias("adjclose")),
+        "twelvedata": lambda r, day, _: F.struct(day.alias("datetime"), *[text(r[c]).alias(c) for c in prices]),
+        "tiingo": lambda r, day, _: F.struct(day.alias("date"), *[text(r[c]).alias(c) for c in prices], *[(r[c] / 2).alias(f"adj{c.title()}") for c in prices[:4]]),
+        "massive": lambda r, _, second: F.struct((second * 1000).alias("t"), *[r[c].alias(c[0]) for c in prices]),
+        "alphavantage": lambda r, day, _: F.struct(day.alias("key"), F.struct(*[text(r[c]).alias(f"{n}. {c}") for n, c in enumerate(prices, 1)]).alias("value")),
     }
-    by_day = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("trading_date", item.alias("x")))), lambda r: r["x"])
-    g = b.groupBy("provider", "instrument_id", "year").agg(*[by_day(F.when(F.col("provider") == v, item)).alias(v) for v, item in items.items()])
-    column = lambda f: F.transform("yahoo", lambda r: r[f]).alias(f)
+    listed = {v: rendered(item) for v, item in items.items()}
+    g = b.groupBy("provider", "instrument_id", "year").agg(F.array_sort(F.collect_list(F.struct("trading_date", *prices))).alias("rows"))
+    yahoo = {"timestamp": lambda r, _, second: second, **{c: lambda r, *_, c=c: r[c] for c in prices}, "adjclose": lambda r, *_: r["close"] / 4}
+    column = lambda f: rendered(yahoo[f]).alias(f)
     meta = lambda name: F.struct(F.lit("EUR").alias("currency"), F.lit("XETR").alias(name)).alias("meta")
     chart = F.struct(meta("exchangeName"), column("timestamp"), F.struct(F.array(F.struct(*[column(c) for c in prices])).alias("quote"), F.array(F.struct(column("adjclose"))).alias("adjclose")).alias("indicators"))
     bodies = {
-        "twelvedata": F.to_json(F.struct(meta("exchange"), F.col("twelvedata").alias("values"))),
-        "tiingo": F.to_json("tiingo"),
-        "massive": F.to_json(F.struct(F.col("massive").alias("results"))),
-        "alphavantage": F.to_json(F.struct(F.map_from_entries("alphavantage").alias("Time Series (Daily)"))),
+        "twelvedata": F.to_json(F.struct(meta("exchange"), listed["twelvedata"].alias("values"))),
+        "tiingo": F.to_json(listed["tiingo"]),
+        "massive": F.to_json(F.struct(listed["massive"].alias("results"))),
+        "alphavantage": F.to_json(F.struct(F.map_from_entries(listed["alphavantage"]).alias("Time Series (Daily)"))),
         "yahoo": F.to_json(F.struct(F.struct(F.array(chart).alias("result")).alias("chart"))),
     }
     body = F.coalesce(*[F.when(F.col("provider") == v, x) for v, x in bodies.items()])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions import exprs as X
+
 #: Where each vendor's JSON keeps its bars and what it calls their fields, the
 #: currency and the exchange.
 VENDORS = {
@@ -34,8 +36,12 @@ def _items(vendor: str, body: Column) -> Column:
         lists = ("open", "high", "low", "close", "volume")
         quote = ",".join(f"{n}:array<string>" for n in lists)
         r = F.from_json(body, f"struct<chart:struct<result:array<struct<timestamp:array<string>,indicators:struct<quote:array<struct<{quote}>>,adjclose:array<struct<adjclose:array<string>>>>>>>>")["chart"]["result"][0]
-        q, adjusted = r["indicators"]["quote"][0], F.get(r["indicators"]["adjclose"], 0)["adjclose"]
-        return F.transform(r["timestamp"], lambda t, i: F.create_map(F.lit("timestamp"), t, F.lit("adjclose"), F.get(adjusted, i), *[x for n in lists for x in (F.lit(n), F.get(q[n], i))]))
+
+        def bars(r: Column) -> Column:
+            q, adjusted = r["indicators"]["quote"][0], F.get(r["indicators"]["adjclose"], 0)["adjclose"]
+            return F.transform(r["timestamp"], lambda t, i: F.create_map(F.lit("timestamp"), t, F.lit("adjclose"), F.get(adjusted, i), *[x for n in lists for x in (F.lit(n), F.get(q[n], i))]))
+
+        return F.element_at(F.transform(F.array(r), bars), 1)  # the body is parsed once, not once a bar
     found = F.from_json(F.get_json_object(body, f"$.{where}"), "array<map<string,string>>")
     return F.when(F.get_json_object(body, "$.results").isNull(), F.array().cast("array<map<string,string>>")).otherwise(found) if vendor == "massive" else found
 
@@ -96,14 +102,14 @@ def bars_from_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     for c in ("currency", "exchange"):
         payloads = payloads if c in payloads.columns else payloads.withColumn(c, F.lit(None).cast("string"))
-    parts = None
-    for vendor, fields in VENDORS.items():
-        rows = payloads.where(F.col("provider") == vendor).withColumn("items", F.transform(_items(vendor, F.col("body")), _reader(vendor)))
-        rows = rows.withColumns({c: F.coalesce(F.get_json_object("body", fields[c]), c) for c in ("currency", "exchange") if c in fields})
-        broken = F.lit(False) if vendor in SKIP_BAD else F.exists("items", lambda b: ~_good(b))
-        rows = rows.withColumn("status", _status(vendor, broken))
-        parts = rows if parts is None else parts.unionByName(rows)
-    flat = parts.where("status = 'ok'").select("provider", "instrument_id", "currency", "exchange", "downloaded_at", F.posexplode(F.filter("items", _good)).alias("at", "b"))
+    each = lambda of: F.coalesce(*[F.when(F.col("provider") == v, of(v)) for v in VENDORS])
+    known = X.once(payloads.where(F.col("provider").isin(*VENDORS)), text=F.col("body")).drop("body").withColumnRenamed("text", "body")
+    named = {c: F.coalesce(*[F.when(F.col("provider") == v, F.get_json_object("body", x[c])) for v, x in VENDORS.items() if c in x], c) for c in ("currency", "exchange")}
+    read = X.once(known.withColumns(named), read=each(lambda v: _items(v, F.col("body"))))
+    read = X.once(read, items=each(lambda v: F.transform("read", _reader(v)))).drop("read")
+    broken = ~F.col("provider").isin(*SKIP_BAD) & F.exists("items", lambda b: ~_good(b))
+    parts = X.once(read, status=each(lambda v: _status(v, broken)))
+    flat = parts.where("status = 'ok'").select("provider", "instrument_id", "currency", "exchange", "downloaded_at", F.posexplode_outer(F.filter("items", _good)).alias("at", "b")).where("b IS NOT NULL")
     kept = F.struct(*[F.col(f"b.{f}") for f in PRICES], "currency", "exchange", "downloaded_at")
     bars = flat.groupBy("provider", "instrument_id", F.col("b.trading_date").alias("trading_date")).agg(F.min_by(kept, F.struct("downloaded_at", "at")).alias("x")).select("provider", "instrument_id", "trading_date", "x.*")
     return bars, parts.select("provider", "instrument_id", "status", F.coalesce(F.size("items"), F.lit(0)).alias("items"))
