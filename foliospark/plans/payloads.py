@@ -374,8 +374,8 @@ def _stream_exposure(s, d):
     cols = [c.split()[0] for c in exposure.MESSAGE.split(", ")]
     m = epoch_messages(s, d).withColumn("quantity", F.lit(1))
     m.select(*cols).repartitionByRange(12, "arrival").write.parquet(root)
-    held = V.edges(s, d)
-    exposure.start_impacts(exposure.message_stream(s, root, 3), held, instruments(s, d), lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n:06}"), f"{root}-check", V.instrument_count(s, d)).awaitTermination()
+    held, listed = V.edges(s, d), store.stage(instruments(s, d), "instruments")  # not found anew every trigger
+    exposure.start_impacts(exposure.message_stream(s, root, 3), held, listed, lambda df, n: df.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n:06}"), f"{root}-check", V.instrument_count(s, d)).awaitTermination()
     rows = s.read.option("recursiveFileLookup", True).schema("etf_node_id string, impact double, links long, updates long, n long").parquet(out)
     last = rows.agg(F.max("n").alias("last"))
     done = rows.join(F.broadcast(last), F.col("n") == F.col("last"))
