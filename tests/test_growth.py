@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import models, series, snapshots, text
-from foliospark.plans import payloads, registry
+from foliospark.operators import models, normalize, series, snapshots, text
+from foliospark.plans import payloads, registry, views
+from foliospark.sources import store
 from foliospark.streaming import exposure
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +76,24 @@ def test_json_is_scrubbed_in_its_row(spark):
     both = {r.i: (r.j, r.k) for r in text._walked(df.where("i < 7"), "j").select("i", "j").join(text.scrub_json(df.where("i < 7"), "j").select("i", F.col("j").alias("k")), "i").collect()}
     assert len(both) == 7 and all(a == b for a, b in both.values())
     assert "Exchange" not in plan(text.scrub_json(df.where("i < 2"), "j"))
+
+
+RAW = "SELECT CONCAT('F', id % 7) AS fund_id, DATE'2024-03-31' AS snapshot_date, CONCAT('P', id % 50) AS cusip, 1.0D AS quantity, CAST(id AS DOUBLE) AS market_value, 0.01D AS portfolio_weight, CONCAT('N', id % 50) AS security_name FROM range(1000)"
+
+
+def test_holdings_are_made_of_bounded_parts(spark, monkeypatch):
+    """A task sorts a number of rows, not a size in compressed bytes: parts grow with the rows and stay."""
+    monkeypatch.setattr(store, "ROWS", 100)
+    made = views.normalized(spark, SMALL)
+    parts = -(-views.lines(spark, SMALL) // 100)
+    assert parts > 50 and plan(made).count(f"{parts}), REPARTITION_BY_NUM") == 2
+    made.write.format("noop").mode("overwrite").save()
+    assert made.rdd.getNumPartitions() == parts
+
+
+def test_snapshots_are_ranked_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100)
+    held = normalize.normalize(spark.sql(RAW)).holdings
+    for found in (snapshots.concentration(held), snapshots.largest_positions(held)):
+        assert plan(found).count("4), REPARTITION_BY_NUM") == 1  # 350 holdings
+    assert [r.holdings_count for r in snapshots.concentration(held).collect()] == [50] * 7
