@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import models, normalize, series, snapshots, text
+from foliospark.operators import models, normalize, quality, series, snapshots, text
 from foliospark.plans import payloads, registry, views
 from foliospark.sources import store
 from foliospark.streaming import exposure
@@ -97,3 +97,11 @@ def test_snapshots_are_ranked_in_bounded_parts(spark, monkeypatch):
     for found in (snapshots.concentration(held), snapshots.largest_positions(held)):
         assert plan(found).count("4), REPARTITION_BY_NUM") == 1  # 350 holdings
     assert [r.holdings_count for r in snapshots.concentration(held).collect()] == [50] * 7
+
+
+def test_audit_meets_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100)
+    raw = spark.sql(RAW)
+    found = quality.audit_top(normalize.normalize(raw).holdings, raw)
+    assert "4), REPARTITION_BY_NUM" in plan(found) and "10), REPARTITION_BY_NUM" in plan(found)
+    assert found.where("weight_ok AND value_ok").count() == found.count() == 70
