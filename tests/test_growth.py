@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import models, normalize, quality, series, snapshots, text
+from foliospark.operators import graph, models, normalize, quality, series, snapshots, text
 from foliospark.plans import payloads, registry, views
 from foliospark.sources import store
 from foliospark.streaming import exposure
@@ -105,3 +105,16 @@ def test_audit_meets_in_bounded_parts(spark, monkeypatch):
     found = quality.audit_top(normalize.normalize(raw).holdings, raw)
     assert "4), REPARTITION_BY_NUM" in plan(found) and "10), REPARTITION_BY_NUM" in plan(found)
     assert found.where("weight_ok AND value_ok").count() == found.count() == 70
+
+
+def test_chosen_filings_are_sent_to_the_holdings(spark, monkeypatch):
+    """Holdings stay where they are; with too many filings to send, both sides give the same rows."""
+    held = normalize.normalize(spark.sql(RAW)).holdings
+    held = store.stage(held, "held")
+    filed = held.select("fund_id", F.col("snapshot_date").alias("report_date"), F.date_add("snapshot_date", 50).alias("filed_at"), F.concat("fund_id", F.lit("-1")).alias("accession")).distinct()
+    sent = graph.as_of(held, filed, "2024-06-30")
+    assert "Exchange hashpartitioning" not in plan(sent) and "BroadcastHashJoin" in plan(sent)
+    monkeypatch.setattr(graph, "SENT", 3)
+    met = graph.as_of(held, filed, "2024-06-30")
+    assert "REPARTITION_BY_NUM" in plan(met)
+    assert sent.count() == 350 and sent.exceptAll(met).isEmpty() and met.exceptAll(sent).isEmpty()
