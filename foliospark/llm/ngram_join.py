@@ -14,6 +14,7 @@ The order of tokens and the clusters only steer the work; the result is exact fo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +34,27 @@ MOST_FREQUENT = 200_000
 #: Postings of a frequent token that meet in one list, and sets of a block of a cluster.
 LIST = 1024
 SETS = 64
-#: Tokens counted together when frequent ones are looked for.
-TOGETHER = 1 << 22
+#: Tokens counted together when frequent ones are looked for; they take twice their 8 bytes.
+TOGETHER = 1 << 21
 #: Fingerprints that a task remembers to leave out equal sets.
 SEEN = 500_000
+#: Lists that a task puts together before it passes them on, and the bytes of their ids.
+HELD = 50_000
+HELD_BYTES = 16 << 20
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _often(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that occur ``least`` (2 or more) times at least, and their times; sorts ``tokens`` in place."""
+    tokens.sort()
+    ahead = tokens[least - 1 :]
+    found = np.unique(ahead[tokens[: len(ahead)] == ahead])
+    return found, np.searchsorted(tokens, found, "right") - np.searchsorted(tokens, found)
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(0, doc_id, n, f1, f2) of each row and (1, token, times, 0, 0) of locally frequent tokens."""
     held: list[np.ndarray] = []
@@ -50,10 +62,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def frequent() -> pa.RecordBatch:
-        tokens, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keep = times >= max(4, len(held) * FREQUENT)
-        n = int(keep.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), _signed(tokens[keep]), pa.array(times[keep].astype(np.int64)), *[pa.array(np.zeros(n, np.int64))] * 2], ["kind", "key", "n", "f1", "f2"])
+        least = max(4, math.ceil(len(held) * FREQUENT))
+        together = np.concatenate([*held, np.empty(0, np.uint64)])
+        held.clear()
+        tokens, times = _often(together, least)
+        n = len(tokens)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), _signed(tokens), pa.array(times.astype(np.int64)), *[pa.array(np.zeros(n, np.int64))] * 2], ["kind", "key", "n", "f1", "f2"])
 
     for batch in sliced(batches):
         n, f1, f2 = [], [], []
@@ -68,7 +82,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(tokens)
                 if size > TOGETHER:
                     yield frequent()
-                    held, seen, size = [], set(), 0
+                    seen, size = set(), 0
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), *[pa.array(x, pa.int64()) for x in (n, f1, f2)]], ["kind", "key", "n", "f1", "f2"])
     yield frequent()
 
@@ -113,7 +127,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     ``keys`` columns (integers)."""
     held: list[pa.Table] = []
     last: tuple | None = None
-    for batch in batches:
+    for batch in sliced(batches):
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
@@ -145,6 +159,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     become one row with a null token, as far as a task sees them; a token that wasn't noted and yet
     has more than LIST sets is dealt like a noted one."""
     held: dict[bytes, int] = {}
+    size = 0
 
     def flush() -> pa.RecordBatch:
         ids = [np.frombuffer(k, np.int64) for k in held]
@@ -164,12 +179,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hot += [(int(token[lo]), k // LIST, own[k : k + LIST]) for k in range(0, len(own), LIST)]
             elif len(own) > 1:
                 key = own.tobytes()
+                size += 0 if key in held else len(key)
                 held[key] = held.get(key, 0) + 1
+                if len(held) > HELD or size > HELD_BYTES:
+                    yield flush()
+                    held.clear()
+                    size = 0
         if hot:
             yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hot], pa.int64()), pa.array([h[1] for h in hot], pa.int32()), pa.array([h[2] for h in hot], pa.list_(pa.int64())), pa.array([1] * len(hot), pa.int64())], ["token", "part", "ids", "votes"])
-        if len(held) > 50_000:
-            yield flush()
-            held.clear()
     yield flush()
 
 

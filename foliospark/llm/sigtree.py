@@ -9,8 +9,8 @@ import numpy as np
 FAN = 2
 #: Sizes of a tree's members are put together in steps of this ratio.
 RATIO = 1.15
-#: Node pairs that are bounded at once.
-STEP = 1 << 13
+#: Words of bitmaps that are bounded at once, a node pair at least.
+STEP = 1 << 20
 
 
 def width_of(n: int) -> int:
@@ -60,8 +60,9 @@ def _survivors(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.nda
     keep = ~((a[4][i] == b[4][j]) & (a[4][i] >= 0)) & (4 * a[2][i] >= 3 * b[1][j]) & (4 * b[2][j] >= 3 * a[1][i])
     i, j = i[keep], j[keep]
     out = []
-    for s in range(0, len(i), STEP):
-        x, y = i[s : s + STEP], j[s : s + STEP]
+    step = max(1, STEP // a[0].shape[1])
+    for s in range(0, len(i), step):
+        x, y = i[s : s + step], j[s : s + step]
         common = np.bitwise_count(a[0][x] & b[0][y]).sum(1, dtype=np.int64)
         most = common + np.minimum(a[3][x], b[3][y])
         out.append(most >= need(a[1][x], b[1][y]))

@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from llm_odd import ODD
 
 from foliospark.llm import ngram_join, sigtree
@@ -145,3 +148,71 @@ def test_one_of_repeated_rows_stays(make_docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in rows if r["text"]) == [("1", text), ("4", "a b"), ("None", text)]
     assert sum(r["doc_id"] == 3 for r in rows) == 1 and ngram_join.one_of_each(docs).columns == docs.columns
     assert ngram_join.one_of_each(make_docs([])).count() == 0
+
+
+class Steps:
+    """Stands for ``docs``: keeps the function that a step maps batches with."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("step", ["_classes", "_postings", "_sets", "_bitmaps"])
+def test_memory_of_a_worker_stays_small(step, monkeypatch):
+    """Over 16 MB of texts, 3 million tokens, arrays take less than 60 MB at once; they took 94 to 190 MB."""
+    rng = np.random.default_rng(3)
+    words = [f"{k:x}" for k in range(4096, 8192)]
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words), 600)) for _ in range(5300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    del texts
+    docs = Steps()
+    monkeypatch.setattr(ngram_join, "_only", lambda docs, ids: docs)
+    none = np.empty(0, np.uint64)
+    run = {"_classes": lambda: ngram_join._classes, "_postings": lambda: ngram_join._postings(docs, none, none).run}.get(step, lambda: getattr(ngram_join, step)(docs, None).run)()
+    monkeypatch.setattr("foliospark.llm.shingles._POWERS", [])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= batch.num_rows and peak < 60 << 20
+
+
+def test_frequent_tokens_are_counted_exactly():
+    rng = np.random.default_rng(4)
+    for n, least in [(0, 4), (3, 4), (4, 4), (5000, 4), (5000, 9), (5000, 6000)]:
+        tokens = rng.integers(0, 700, n).astype(np.uint64)
+        all_tokens, times = np.unique(tokens, return_counts=True)
+        found, counted = ngram_join._often(tokens.copy(), least)
+        assert found.tolist() == all_tokens[times >= least].tolist() and counted.tolist() == times[times >= least].tolist()
+
+
+def test_long_lists_are_passed_on_by_bytes(monkeypatch):
+    """Lists of 1,000 sets leave a task before many are held, and none is lost."""
+    monkeypatch.setattr(ngram_join, "HELD_BYTES", 20_000, raising=False)
+    token, ids = np.repeat(np.arange(12), 1000), np.concatenate([np.arange(1000) + k // 2 for k in range(12)])
+    rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), -1, np.int32)), pa.array(ids)], ["token", "part", "doc_id"])
+    out = list(ngram_join._lists(iter([rows])))
+    assert max(len(b.column(2).flatten()) for b in out) <= 3000
+    votes = {}
+    for b in out:
+        for own, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            votes[tuple(own)] = votes.get(tuple(own), 0) + n
+    assert votes == {tuple(range(k, k + 1000)): 2 for k in range(6)}
+
+
+def test_wide_bitmaps_are_bounded_few_at_a_time():
+    """10,000 node pairs of bitmaps of 8 KB are bounded in steps of 8 MB; those that may link stay."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    sets = [draw(12_000) for _ in range(80)]
+    sets += [np.unique(np.concatenate((s[100:], draw(50)))) for s in sets[:20]]
+    n = np.array([len(s) for s in sets])
+    leaves = sigtree.Tree(np.stack([sigtree.bitmap(s, 1 << 16) for s in sets]), n, np.arange(len(sets))).levels[0]
+    i, j = (x.ravel() for x in np.indices((100, 100)))
+    tracemalloc.start()
+    i, j = sigtree._survivors(leaves, leaves, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, 80 + k) for k in range(20)} == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
+    assert peak < 40 << 20
