@@ -1,8 +1,10 @@
 """Jaccard join of word-shingle sets by signature trees, and the groups that its links make.
 
 1. Equal sets fall into one class by a fingerprint. Tokens that many sets hold are noted.
-2. Sets meet where they share a token of their prefix, that is, of the first n - ceil(0.75 n) + 1
-   tokens in one global order (noted tokens last): two sets of similarity 0.75 share one.
+2. Sets meet where they share a token of their prefix, that is, of the first n - ceil(0.75 n) + k
+   tokens in one global order (noted tokens last), with k = 1 + n // SHARED: two sets of similarity 0.75
+   share as many as the smaller k of both. A set with fewer tokens in lists with others than any partner
+   of its size would need has no link, and leaves the lists.
 3. Sets that meet most often form clusters. A task gets a block of a cluster, builds the signature
    tree of its sets and traverses it against itself; surviving pairs are verified on the sets.
 4. Where sets of different groups still meet, the trees of those meetings are traversed with the
@@ -34,6 +36,10 @@ MOST_FREQUENT = 200_000
 #: Postings of a frequent token that meet in one list, and sets of a block of a cluster.
 LIST = 1024
 SETS = 64
+#: Tokens of a set for each further token that its prefix has, and that near sets share.
+SHARED = 12
+#: Rows of ids that are sent to the documents; beyond it the texts go to the ids.
+SENT = 1_500_000
 #: Tokens counted together when frequent ones are looked for; they take twice their 8 bytes.
 TOGETHER = 1 << 21
 #: Fingerprints that a task remembers to leave out equal sets.
@@ -106,7 +112,7 @@ def _postings(docs: DataFrame, tokens: np.ndarray, lists: np.ndarray) -> DataFra
                 common = np.zeros(len(own), bool)
                 if len(tokens):
                     common = tokens[np.minimum(at, len(tokens) - 1)] == own
-                size = len(own) - (3 * len(own) + 3) // 4 + 1
+                size = len(own) - (3 * len(own) + 3) // 4 + 1 + len(own) // SHARED
                 rare = own[~common][:size]
                 part = np.full(size, -1, np.int32)
                 if len(rare) < size:
@@ -190,9 +196,26 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _near_enough(lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """``lists`` (token, part, ids, votes) without the sets that share too few tokens to link.
+
+    Near sets u and v share 1 + min(|u|, |v|) // SHARED prefix tokens at least, and |v| >= 0.75 |u|, so u has
+    1 + ceil(0.75 |u|) // SHARED tokens in lists with others. What stays is looked at once more, as
+    sets that left no longer count; both sets of a link stay each time.
+    """
+    need = rows.where("n > 0").groupBy("doc_id").agg((F.expr(f"(3 * min(n) + 3) div 4 div {SHARED}") + 1).alias("need")).select(F.col("doc_id").alias("of"), "need")
+    for _ in range(2):
+        numbered = lists.select(F.monotonically_increasing_id().alias("list"), "*")
+        members = numbered.select("list", "token", "part", "votes", F.explode("ids").alias("id"))
+        stay = cut(members.groupBy("id").agg(F.sum("votes").alias("votes")).join(need, F.col("id") == F.col("of")).where("votes >= need").select(F.col("id").alias("stays")))
+        kept = members.join(broadcast_if_small(stay, SENT), F.col("id") == F.col("stays")).groupBy("list", "token", "part", "votes").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        lists = cut(kept.where((F.size("ids") > 1) | (F.col("part") >= 0)).groupBy("token", "part", "ids").agg(F.sum("votes").alias("votes")))
+    return lists
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids`` (one column, distinct)."""
-    return docs.join(broadcast_if_small(ids.toDF("wanted"), 500_000), F.col("doc_id") == F.col("wanted"), "left_semi")
+    return docs.join(broadcast_if_small(ids.toDF("wanted"), SENT), F.col("doc_id") == F.col("wanted"), "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -368,11 +391,11 @@ def ngram_groups(docs: DataFrame) -> DataFrame:
 
     posted = _postings(docs, tokens[order], lists_of[order])
     lists = posted.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(_lists, "token long, part int, ids array<long>, votes long")
-    lists = cut(lists.groupBy("token", "part", "ids").agg(F.sum("votes").alias("votes")))
+    lists = _near_enough(cut(lists.groupBy("token", "part", "ids").agg(F.sum("votes").alias("votes"))), rows)
 
     blocks = _clusters(lists)
-    sets = _sets(docs, blocks.select("doc_id").distinct())
-    dealt = sets.join(broadcast_if_small(blocks.withColumnRenamed("doc_id", "of"), 500_000), F.col("doc_id") == F.col("of")).select("cluster", "block", "doc_id", "tokens")
+    sets = _sets(docs, cut(blocks.select("doc_id").distinct()))
+    dealt = sets.join(broadcast_if_small(blocks.withColumnRenamed("doc_id", "of"), SENT), F.col("doc_id") == F.col("of")).select("cluster", "block", "doc_id", "tokens")
     links = cut(dealt.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_block_links, "u long, v long"))
 
     classes = cut(rows.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first")).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "first"))

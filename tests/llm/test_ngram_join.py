@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from llm_odd import ODD
 
 from foliospark.llm import ngram_join, sigtree
+from foliospark.llm.common import RELEASED, cut
 from foliospark.llm.graph import components
 from foliospark.llm.shingles import shingle_sets
 
@@ -216,3 +218,48 @@ def test_wide_bitmaps_are_bounded_few_at_a_time():
     tracemalloc.stop()
     assert {(k, 80 + k) for k in range(20)} == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
     assert peak < 40 << 20
+
+
+def test_sets_without_a_near_one_leave_the_lists(make_docs, monkeypatch):
+    """Of 40 texts of 200 words that share a phrase of eight, only the near copies stay in the lists."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase = words(8)
+    docs = [(k, " ".join(words(190) + phrase)) for k in range(40)]
+    docs += [(100 + k, " ".join(docs[k][1].split()[:-3])) for k in range(3)]
+    met, found = [], ngram_join._clusters
+    monkeypatch.setattr(ngram_join, "_clusters", lambda lists: met.append(lists.selectExpr("explode(ids)").distinct().collect()) or found(lists))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_groups(make_docs(docs)).collect()}
+    assert got == brute(docs)
+    assert {r[0] for r in met[0]} == {0, 1, 2, 100, 101, 102}
+
+
+def test_near_sets_share_as_many_prefix_tokens():
+    """The least that near sets share of their prefixes is what the filter asks of each of both."""
+    rng = np.random.default_rng(11)
+    for _ in range(3000):
+        n = int(rng.integers(1, 200))
+        pool = np.sort(rng.choice(10**6, 2 * n + 8, replace=False))
+        a = np.sort(rng.choice(pool, n, replace=False))
+        kept = rng.choice(a, int(rng.integers(-(-3 * n // 4), n + 1)), replace=False)
+        b = np.union1d(kept, rng.choice(pool, int(rng.integers(0, 1 + n // 3)), replace=False))
+        if ngram_join.linked(a, b):
+            head = lambda s: s[: len(s) - (3 * len(s) + 3) // 4 + 1 + len(s) // ngram_join.SHARED]
+            both = len(np.intersect1d(head(a), head(b)))
+            assert both >= max((3 * len(s) + 3) // 4 // ngram_join.SHARED + 1 for s in (a, b))
+
+
+def test_shuffle_files_go_with_a_cut(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    assert len(cut(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count()).collect()) == 10
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and spark.conf.get(RELEASED) == "false"
