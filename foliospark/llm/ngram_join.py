@@ -435,11 +435,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     own = F.xxhash64("doc_id", "text")
     twice = cut(docs.groupBy(own.alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key)))
     if not twice.isEmpty():
-        again = broadcast_if_small(twice, 500_000)
+        again = broadcast_if_small(twice, SENT)
         first = docs.withColumn(other, own).join(again, F.col(other) == F.col(key), "left_semi").dropDuplicates([other]).drop(other)
         docs = docs.join(again, own == F.col(key), "left_anti").unionByName(first)
-    others = ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(others, F.col("doc_id") == F.col(other), "left_anti")
+    others = cut(ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct())
+    return docs.join(broadcast_if_small(others, SENT), F.col("doc_id") == F.col(other), "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

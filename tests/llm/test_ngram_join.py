@@ -263,3 +263,15 @@ def test_shuffle_files_go_with_a_cut(spark):
             break
         time.sleep(0.2)
     assert shuffled() <= before and spark.conf.get(RELEASED) == "false"
+
+
+def test_texts_are_not_dealt_to_drop_copies(spark, make_docs):
+    """The ids that go are sent to the texts, though they are too many for the planner to do so by itself."""
+    text = " ".join(f"w{k}" for k in range(30))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.one_of_each(make_docs([(1, text), (2, text + " x"), (3, "other")]))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
