@@ -125,3 +125,29 @@ def test_stretches_of_all_texts_are_learnt_in_order(counter):
         assert ([0, *accumulate(chars)], [0, *accumulate(tokens)]) == (ends, counts), text
         assert counts[-1] == len(counter.sp.encode(text)) and ends[-1] == len(text)
     assert ran == sorted(set(ran)) and len(ran) > 400
+
+
+def test_changes_are_those_of_every_prefix(counter):
+    own = [*texts(), *UNSPACED, "\n", "\n\n", "", " ", "  ", " a", "\nabc d", "a\n", "a  b \n c"]
+    chars, tokens, changes, ends, at = (x.tolist() for x in tc.PrefixCounter(PATH).columns(own))
+    assert len(ends) == len(at) == len(own) + 1
+    for k, (text, table) in enumerate(zip(own, counter.tables(own), strict=True)):
+        assert changes[at[k] : at[k + 1]] == tc.steps(counter.prefixes(text, inside=True)[1]), text
+        assert (chars[ends[k] : ends[k + 1]], tokens[ends[k] : ends[k + 1]]) == table, text
+    assert [len(x) for x in counter.columns([])] == [0, 0, 0, 1, 1]
+
+
+def test_query_has_the_count_of_every_prefix(spark, make_docs, counter, tmp_path):
+    """The query's own result holds all prefixes' counts, those inside stretches too, and the cut comes from them."""
+    long = " ".join(f"w{k} été" for k in range(900))
+    make_docs([*enumerate([*ODD, *UNSPACED]), (990, long), (991, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = tc.op9(spark, str(tmp_path)).collect()
+    assert len(rows) == len(ODD) + len(UNSPACED) + 2
+    for r in rows:
+        text = {**dict(enumerate([*ODD, *UNSPACED])), 990: long, 991: None}[r["doc_id"]] or ""
+        ends, counts = tc.unpacked(r["steps"])
+        assert ends[-1] == len(text) and counts[-1] == r["n_tokens"]
+        some = ends[:: max(1, len(ends) // 200)]
+        assert [counts[e] for e in some] == [len(counter.sp.encode(text[:e])) for e in some]
+        assert r["kept_chars"] == counter.cut([text], 4096)[0][1] == tc.within(ends, counts, 4096)
+    assert any(r["over_limit"] for r in rows)
