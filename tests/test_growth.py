@@ -78,6 +78,14 @@ def test_json_is_scrubbed_in_its_row(spark):
     assert "Exchange" not in plan(text.scrub_json(df.where("i < 2"), "j"))
 
 
+def test_json_of_any_depth_is_scrubbed_whole(spark):
+    """Values below 64 levels stay, without their private members; they all went before."""
+    deep = lambda n, inner: '{"a":[' * n + inner + "]}" * n
+    df = spark.createDataFrame([(0, deep(33, '{"n":1,"token":"t"},"x@y.org"')), (1, '{"b":{"password":1,"c":2}}')], "i int, j string")
+    got = {r.i: r.j for r in text.scrub_json(df, "j").collect()}
+    assert got == {0: deep(33, '{"n":1},"[REDACTED_EMAIL]"'), 1: '{"b":{"c":2}}'}
+
+
 RAW = "SELECT CONCAT('F', id % 7) AS fund_id, DATE'2024-03-31' AS snapshot_date, CONCAT('P', id % 50) AS cusip, 1.0D AS quantity, CAST(id AS DOUBLE) AS market_value, 0.01D AS portfolio_weight, CONCAT('N', id % 50) AS security_name FROM range(1000)"
 
 
